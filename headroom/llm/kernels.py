@@ -75,16 +75,18 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE) -> np.ndarray:
-    """A hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lens = ends - starts
-    at = np.cumsum(lens) - lens
-    inside = np.arange(int(lens.sum())) - np.repeat(at, lens)
-    v = values[raw[inside + np.repeat(starts, lens)]]
-    v *= powers(BASE, int(lens.max()))[inside]
-    return mix(np.add.reduceat(v, at) + lens.astype(np.uint64))
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE, step: int = 1 << 18) -> np.ndarray:
+    """A hash of each word's bytes, in steps that bound the memory."""
+    out = np.empty(len(starts), np.uint64)
+    for lo in range(0, len(starts), step):
+        s, e = starts[lo : lo + step], ends[lo : lo + step]
+        lens = e - s
+        at = np.cumsum(lens) - lens
+        inside = np.arange(int(lens.sum())) - np.repeat(at, lens)
+        v = values[raw[inside + np.repeat(s, lens)]]
+        v *= powers(BASE, int(lens.max()))[inside]
+        out[lo : lo + step] = mix(np.add.reduceat(v, at) + lens.astype(np.uint64))
+    return out
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
@@ -123,3 +125,42 @@ def window_argmin(keys: np.ndarray, width: int) -> np.ndarray:
         gap = width - have
         best = np.minimum(best[:-gap], best[gap:])
     return (best & low).astype(np.int64)
+
+
+def text_slices(batch: pa.RecordBatch, column: int, max_bytes: int = 1 << 20):
+    """The batch in runs of rows whose texts have about `max_bytes` together; a longer text stands alone."""
+    lens = np.diff(utf8(batch.column(column))[1])
+    lo, held = 0, 0
+    for i, n in enumerate(lens.tolist()):
+        if held and held + n > max_bytes:
+            yield batch.slice(lo, i - lo)
+            lo, held = i, 0
+        held += n
+    if lo < len(lens):
+        yield batch.slice(lo)
+
+
+def segments(values: np.ndarray, offsets: np.ndarray, window: int, most: int = 1 << 20):
+    """Cuts long texts so that no piece has more than `most` windows, and groups short ones.
+
+    Yields (values, offsets, text of each piece, first place in its text). A window lies in
+    exactly one piece, and a piece ends `window` - 1 values after its last window start.
+    """
+    group: list[tuple[int, int, int, int]] = []
+    held = 0
+
+    def packed():
+        at = np.concatenate([[0], np.cumsum([hi - lo for _, lo, hi, _ in group])])
+        part = np.concatenate([values[lo:hi] for _, lo, hi, _ in group])
+        return part, at, np.array([g[0] for g in group]), np.array([g[3] for g in group])
+
+    for doc, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        for a in range(0, max(0, hi - lo - window + 1), most):
+            b = min(a + most + window - 1, hi - lo)
+            if group and held + b - a > most:
+                yield packed()
+                group, held = [], 0
+            group.append((doc, lo + a, lo + b, a))
+            held += b - a
+    if group:
+        yield packed()

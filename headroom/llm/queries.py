@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, token_shards
+from . import debruijn, mixing, suffix_lpf, token_shards
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +22,7 @@ def default_tokenizer() -> str:
 def op1_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.curriculum_assign(read(spark, sf_dir, "documents"))
     out = out.withColumn("first_position", F.get("passes", F.lit(0))["position"]).drop("passes", "source")
-    return out.repartitionByRange("first_position").sortWithinPartitions("first_position", "doc_id").drop("first_position")
+    return out.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id").drop("first_position")
 
 
 OP1_SQL = r"""
@@ -61,8 +61,18 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_shards(read(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op4_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.substring_dedup(read(spark, sf_dir, "documents"))
+
+
+def op5_suffix_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lpf.suffix_dedup(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_curriculum_mix": op1_curriculum_mix,
+    "op4_debruijn_dedup": op4_debruijn_dedup,
+    "op5_suffix_lpf_dedup": op5_suffix_lpf_dedup,
     "op7_token_shards": op7_token_shards,
 }
 ORACLES: dict[str, str] = {"op1_curriculum_mix": OP1_SQL}
