@@ -103,6 +103,6 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     (these come last), count as separate documents in the order of their texts. Other
     columns are ignored, and an empty table gives no rows.
     """
-    keyed = ordered_key(docs)
+    keyed, _ = ordered_key(docs)
     with_all = with_places(keyed, repeated_windows(keyed, window)).select("doc_id", "text", "places")
     return with_all.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string")

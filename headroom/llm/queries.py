@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, mixing, suffix_lpf, token_shards
+from . import debruijn, mixing, near_dup, suffix_lpf, token_shards
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,10 +69,15 @@ def op5_suffix_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lpf.suffix_dedup(read(spark, sf_dir, "documents"))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.minhash_dedup(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_curriculum_mix": op1_curriculum_mix,
     "op4_debruijn_dedup": op4_debruijn_dedup,
     "op5_suffix_lpf_dedup": op5_suffix_lpf_dedup,
+    "op10_minhash_dedup": op10_minhash_dedup,
     "op7_token_shards": op7_token_shards,
 }
 ORACLES: dict[str, str] = {"op1_curriculum_mix": OP1_SQL}

@@ -167,6 +167,6 @@ def suffix_dedup(docs: DataFrame, window: int = 100) -> DataFrame:
     documents in the order of their texts. Other columns are ignored, and an empty table
     gives no rows. What is left of a text may end inside a UTF-8 sequence.
     """
-    keyed = ordered_key(docs)
+    keyed, _ = ordered_key(docs)
     with_all = with_places(keyed, repeated_windows(keyed, window)).select("doc_id", "text", "places")
     return with_all.mapInArrow(_cut(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
