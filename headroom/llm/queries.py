@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, mixing, near_dup, suffix_lpf, token_shards
+from . import debruijn, language, mixing, near_dup, pu_quality, suffix_lpf, token_shards
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,11 +73,21 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.minhash_dedup(read(spark, sf_dir, "documents"))
 
 
+def op6_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(read(spark, sf_dir, "documents"))
+
+
+def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_curriculum_mix": op1_curriculum_mix,
     "op4_debruijn_dedup": op4_debruijn_dedup,
     "op5_suffix_lpf_dedup": op5_suffix_lpf_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op6_language_bitmask": op6_language_bitmask,
+    "op8_pu_quality": op8_pu_quality,
     "op7_token_shards": op7_token_shards,
 }
 ORACLES: dict[str, str] = {"op1_curriculum_mix": OP1_SQL}
