@@ -3,8 +3,8 @@
 Non-negative PU learning with the logistic loss: minimise
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)),
 R_p from trusted positives (label 1), R_u from unlabelled documents of the corpus. Where
-the second term turns negative, a step is taken against it instead, so that the model
-cannot fit the positives by pushing the unlabelled risk below zero. The class prior is
+the second term would turn negative it counts as zero and so has no gradient: the model
+cannot gain by pushing the unlabelled risk below what the prior allows. The class prior is
 estimated first: no region holds a smaller share of the unlabelled text than prior times
 its share of the positives, so the least such ratio over the regions of a positive
 against unlabelled classifier bounds it.
@@ -137,7 +137,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0, steps: int
         negative = -np.log1p(-np.minimum(sb, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sa, 1 - 1e-12)).mean()
         up = b.T @ sb / batch - prior * (a.T @ sa) / batch
         if negative < 0:
-            return -up
+            return prior * (a.T @ (sa - 1)) / batch + 1e-4 * w
         return prior * (a.T @ (sa - 1)) / batch + up + 1e-4 * w
 
     w = _adam(gradient, p.shape[1], steps, 0.01)
