@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, language, mixing, near_dup, pu_quality, suffix_lpf, token_shards
+from . import debruijn, language, mixing, near_dup, pu_quality, suffix_lpf, token_shards, vector_dedup
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,8 +81,13 @@ def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.embedding_dedup(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_curriculum_mix": op1_curriculum_mix,
+    "op3_vector_dedup": op3_vector_dedup,
     "op4_debruijn_dedup": op4_debruijn_dedup,
     "op5_suffix_lpf_dedup": op5_suffix_lpf_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
