@@ -115,6 +115,9 @@ class _Bucket:
         self.key, self.size, self.level = col("key"), col("n_shingles"), col("level")
         blank = bytes(BITS // 8)
         self.sketch = [np.frombuffer(b"".join(v or blank for v in table.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("sketch", "sketch_up")]
+        self.band = col("band")
+        bands = table.column("bands").combine_chunks() if isinstance(table.column("bands"), pa.ChunkedArray) else table.column("bands")
+        self.bands = bands.flatten().to_numpy().reshape(-1, BANDS)
         self.sampled = [col("sampled").astype(np.int64), col("sampled_up").astype(np.int64)]
 
     def compare(self, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,6 +161,10 @@ def _candidates(threshold: float):
     """Pairs of each bucket part; rows come sorted by part, and those of a block pair carry their side."""
 
     def emit(d: _Bucket, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        # a pair leaves only from the first band that it shares; what the forest of a later
+        # bucket connects by such a pair was connected in that first bucket already
+        first = (d.bands[a] == d.bands[b]).argmax(1) == d.band[a]
+        a, b = a[first], b[first]
         x, y = d.key[a], d.key[b]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
@@ -259,23 +266,23 @@ def similar_links(keyed: DataFrame, signatures: DataFrame, percent: int) -> Data
     n = partitions(keyed)
     reps = signatures.where("n_shingles > 0").groupBy("set1", "set2", "n_shingles").agg(F.min("key").alias("key")).select("key")
     reps = signatures.join(reps, "key", "left_semi")
-    rows = reps.select("key", F.explode("bands").alias("bucket"))
+    rows = reps.select("key", F.posexplode("bands").alias("band", "bucket"))
     bucket = W.partitionBy("bucket")
-    rows = rows.select("key", "bucket", F.count("*").over(bucket).alias("m"), F.row_number().over(bucket.orderBy("key")).alias("place")).where("m > 1")
-    sketches = signatures.select("key", "n_shingles", "level", "sketch", "sampled", "sketch_up", "sampled_up")
+    rows = rows.select("key", "band", "bucket", F.count("*").over(bucket).alias("m"), F.row_number().over(bucket.orderBy("key")).alias("place")).where("m > 1")
+    sketches = signatures.select("key", "n_shingles", "level", "bands", "sketch", "sampled", "sketch_up", "sampled_up")
     # a bucket of more than BLOCK documents is compared block against block: side 1 against side 2, side 0 within
     block, blocks = F.floor((F.col("place") - 1) / BLOCK), F.ceil(F.col("m") / BLOCK)
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    rows = rows.select("key", "bucket", block.alias("block"), blocks.alias("blocks"), other.alias("other"))
+    rows = rows.select("key", "band", "bucket", block.alias("block"), blocks.alias("blocks"), other.alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     rows = rows.select(
-        "key", "bucket", (low * F.col("blocks") + high).cast("long").alias("part"),
+        "key", "band", "bucket", (low * F.col("blocks") + high).cast("long").alias("part"),
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("int").alias("side"),
     )
     rows = rows.join(sketches, "key").repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "key")
     pairs = written(rows.mapInArrow(_candidates(percent / 100), "a long, b long").distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = keyed.select("key", "text").join(asked, "key", "left_semi").mapInArrow(_sets, "key long, shingles binary")
+    sets = keyed.select("key", "text").join(asked.hint("merge"), "key", "left_semi").mapInArrow(_sets, "key long, shingles binary")
     sets = written(sets, "sets")
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
