@@ -1,8 +1,61 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, near-dedup, decontamination, mixing, token shards.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
+but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from headroom.llm import decontaminate, language, mixing, near_dup, queries, token_shards
+from headroom.llm.common import read, written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MIN_LANGUAGE_SCORE = 0.1
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without letters and texts of which hardly an n-gram is known in the predicted language."""
+    model = language.learn(docs, F.lit(True))
+    found = language.identify(docs, model)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(COLUMNS)
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest doc_id; repeated rows of it count once."""
+    gone = near_dup.minhash_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark")).select(COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per copy that the mix takes, in training order; a copy keeps its document's id and its whole text."""
+    return mixing.curriculum_mix(docs).select(COLUMNS)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_shards.token_shards(docs, queries.default_tokenizer())
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("minhash_dedup", near_dup_stage),
+    ("decontaminate", decontamination_stage),
+    ("curriculum_mix", mixing_stage),
+    ("token_shards", token_stage),
+]
+
+#: The stages learn models and tokenize, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

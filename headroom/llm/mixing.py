@@ -137,7 +137,17 @@ def curriculum_assign(
 
 
 def curriculum_mix(docs: DataFrame, **options) -> DataFrame:
-    """The training order: a row per taken copy, range-sorted by position, with the document's columns."""
-    picked = curriculum_assign(docs, **options).select("doc_id", F.explode("passes").alias("p"))
-    picked = picked.select("doc_id", F.col("p.pass").alias("pass"), F.col("p.taken").alias("taken"), F.col("p.position").alias("position"))
-    return docs.join(picked, "doc_id").orderBy("position", "doc_id", "pass")
+    """The training order: a row per taken copy, range-sorted by position, with all columns of `docs` and pass, taken, position.
+
+    Columns of `docs` that have these names are replaced. Rows that share a doc_id are
+    told apart by their source and size, equal ones are interchangeable.
+    """
+    docs = docs.drop("pass", "taken", "position")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("source", "_size"))
+    picked = curriculum_assign(docs, **options).withColumnRenamed("size", "_size").withColumn("_nth", nth)
+    picked = picked.select(F.col("doc_id").alias("_id"), "_nth", F.explode("passes").alias("p"))
+    picked = picked.select("_id", "_nth", F.col("p.pass").alias("pass"), F.col("p.taken").alias("taken"), F.col("p.position").alias("position"))
+    numbered = docs.withColumn("_size", size).withColumn("_nth", nth).drop("_size").withColumnRenamed("_nth", "_n")
+    joined = numbered.join(picked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_nth")))
+    return joined.drop("_id", "_nth", "_n").orderBy("position", "doc_id", "pass")

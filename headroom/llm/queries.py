@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, language, mixing, near_dup, pu_quality, suffix_lpf, token_shards, vector_dedup
+from . import debruijn, decontaminate, language, licenses, mixing, near_dup, pu_quality, suffix_lpf, token_shards, vector_dedup
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,8 +85,17 @@ def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.embedding_dedup(read(spark, sf_dir, "embeddings"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read(spark, sf_dir, "documents"), licenses.template_table(spark))
+
+
+def op9_simhash_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_curriculum_mix": op1_curriculum_mix,
+    "op2_license_scan": op2_license_scan,
     "op3_vector_dedup": op3_vector_dedup,
     "op4_debruijn_dedup": op4_debruijn_dedup,
     "op5_suffix_lpf_dedup": op5_suffix_lpf_dedup,
@@ -94,5 +103,6 @@ QUERIES: dict[str, Query] = {
     "op6_language_bitmask": op6_language_bitmask,
     "op8_pu_quality": op8_pu_quality,
     "op7_token_shards": op7_token_shards,
+    "op9_simhash_decontaminate": op9_simhash_decontaminate,
 }
 ORACLES: dict[str, str] = {"op1_curriculum_mix": OP1_SQL}
