@@ -1,4 +1,21 @@
 """All queries of the engine with their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import tables, pricing, windows, estimate, ingest  # noqa: F401, I001  the order of definition
+from .relations import RELATIONS, query, text
+
+NAMES = """
+usage_between snapshots_between bounds window_ids price_join event_cost api_equiv unpriced_models external_models weekly_usd dq_prices
+coalesce_snapshots instances instance_summary scoped_ids operative_window open_closed attribution gap_usage gap_snapshot candidates admission
+recency_cap exclusions instance_rates snap_pct latest_plan plan_points billing_evidence dq_grid dq_coverage
+floor_week best_hundred bound rate_median band loo_shift tier measured_span plan_cost decision certified_epoch certified_extraction open_extraction
+left_on_table window_worth unlock insufficient live_gap capture_curve capture_pace window_context other_windows provider_report status_line brief_rows
+formatters plan_resolve dq_calibration dq_attribution dq_checks dq_parse_loss
+scan_transcripts dedup_events usage_filters quarantine scan_summary retract_source insert_ignore counter_diff scan_rollout_usage carry_model active_copy
+scan_spool scan_polls scan_rollout_snapshots union_sources source_crosscheck manifest_delta
+""".split()
+
+QUERIES = {n: query(n) for n in NAMES}
+ORACLES = {n: text(n, "duck") for n in NAMES}
+assert set(NAMES) <= set(RELATIONS)
