@@ -1,0 +1,67 @@
+"""Exact instance reconstruction for snapshot series whose reset time drifts.
+
+Adjacent rows alone prove most splits; between such hard splits the anchor rule is folded
+in order. A segment is about one instance long, so the fold never holds a history.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+KEY = ["account_id", "provider", "window_id"]
+RESET_SLACK = 600
+DROP = 5
+
+
+def _differ(a, b):
+    return F.coalesce(a != b, F.lit(False))
+
+
+def coalesce_same_second(snapshots: DataFrame) -> DataFrame:
+    """One row per second: the largest percent; each missing field from the row of next lower percent, later source names first."""
+    order = F.struct("used_percent", "source")
+    pick = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
+    return snapshots.groupBy(*KEY, "ts").agg(F.max("used_percent").alias("used_percent"), pick("window_minutes"), pick("resets_at"), pick("plan_type"))
+
+
+def reconstruct(snapshots: DataFrame) -> DataFrame:
+    """Snapshots (one row per second) with `instance_id`, counted from 1 per window."""
+    order = W.partitionBy(*KEY).orderBy("ts")
+    before = lambda c: F.lag(c).over(order)
+    hard = (
+        before("ts").isNull()
+        | (F.col("used_percent") < before("used_percent") - DROP)
+        | _differ(before("window_minutes"), F.col("window_minutes"))
+        | _differ(before("plan_type"), F.col("plan_type"))
+        | F.coalesce(F.col("ts") - before("ts") > before("window_minutes") * 60, F.lit(False))
+        | F.coalesce(F.abs(before("resets_at") - F.col("resets_at")) > 2 * RESET_SLACK, F.lit(False))
+    )
+    cut = snapshots.withColumn("_hard", hard).withColumn("_segment", F.sum(F.col("_hard").cast("int")).over(order))
+    row = F.struct(*[F.col(c).cast(t).alias(c) for c, t in (("ts", "long"), ("used_percent", "double"), ("window_minutes", "long"), ("resets_at", "long"), ("plan_type", "string"))])
+    rows = cut.groupBy(*KEY, "_segment").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    start = F.struct(
+        F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("minutes"), F.lit(None).cast("long").alias("anchor"),
+        F.lit(None).cast("string").alias("plan"), F.array().cast("array<boolean>").alias("starts"),
+    )
+
+    def step(s, r):
+        new = (
+            s["last"].isNull()
+            | _differ(s["minutes"], r["window_minutes"])
+            | F.coalesce(F.abs(s["anchor"] - r["resets_at"]) > RESET_SLACK, F.lit(False))
+            | F.coalesce(r["ts"] - s["last"] > s["minutes"] * 60, F.lit(False))
+            | _differ(s["plan"], r["plan_type"])
+        )
+        return F.struct(
+            r["ts"].alias("last"),
+            F.when(new, r["window_minutes"]).otherwise(F.coalesce(s["minutes"], r["window_minutes"])).alias("minutes"),
+            F.when(new, r["resets_at"]).otherwise(F.coalesce(s["anchor"], r["resets_at"])).alias("anchor"),
+            F.when(new, r["plan_type"]).otherwise(F.coalesce(r["plan_type"], s["plan"])).alias("plan"),
+            F.concat(s["starts"], F.array(new)).alias("starts"),
+        )
+
+    folded = rows.withColumn("starts", F.aggregate("rows", start, step, lambda s: s["starts"]))
+    flat = folded.select(*KEY, F.explode(F.arrays_zip("rows", "starts")).alias("x")).select(*KEY, "x.rows.*", F.col("x.starts").alias("_new"))
+    return flat.withColumn("instance_id", F.sum(F.col("_new").cast("long")).over(order)).drop("_new")

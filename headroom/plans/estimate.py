@@ -306,8 +306,8 @@ def capture_pace(d):
 select g.account_id, g.provider, {r6('g.age')} age_frac, {r6('g.gap_lo / g.n_days')} per_day_lo, {r6('g.gap_med / g.n_days')} per_day_med, {r6('g.gap_hi / g.n_days')} per_day_hi,
   case when g.checkpoint is null then 'too_young' when c.n < 4 then 'uncalibrated' else 'calibrated' end pace, case when c.n >= 4 then c.med end checkpoint_pct, g.checkpoint
 from (select *, (resets_at - {NOW}) / cast(86400 as double) n_days, 1 - (resets_at - {NOW}) / cast(regime_secs as double) age,
-    case when 1 - (resets_at - {NOW}) / cast(regime_secs as double) >= 0.75 then 0.75 when 1 - (resets_at - {NOW}) / cast(regime_secs as double) >= 0.5 then 0.5
-      when 1 - (resets_at - {NOW}) / cast(regime_secs as double) >= 0.25 then 0.25 end checkpoint
+    case when 1 - (resets_at - {NOW}) / cast(regime_secs as double) >= 0.75 then cast(0.75 as double) when 1 - (resets_at - {NOW}) / cast(regime_secs as double) >= 0.5 then cast(0.5 as double)
+      when 1 - (resets_at - {NOW}) / cast(regime_secs as double) >= 0.25 then cast(0.25 as double) end checkpoint
   from gaps where tier = 'CALIBRATED' and resets_at > {NOW}) g
 left join capture_curve c on {on('c', 'g')} and c.checkpoint = g.checkpoint"""
 

@@ -106,7 +106,7 @@ def counter_rows(d):
     k = f"cast({d.json_('props', '$.k')} as bigint) * 10"
     return f"""
 select account_id, file, line_no, ts, model, cast(sum(inp + cached) over w as bigint) c_input, cast(sum(cached) over w as bigint) c_cached, cast(sum(wr) over w as bigint) c_write, cast(sum(outp) over w as bigint) c_output
-from (select u.account_id, concat('rollout-', u.session_id, '.jsonl') file, row_number() over (partition by u.account_id, u.session_id order by u.ts, u.event_id) line_no, u.ts, u.model,
+from (select u.account_id, concat('rollout-', u.session_id, '.jsonl') file, cast(row_number() over (partition by u.account_id, u.session_id order by u.ts, u.event_id) as bigint) line_no, u.ts, u.model,
     u.cents inp, {k} cached, u.cache_w_unsplit wr, u.cents outp,
     {d.div('row_number() over (partition by u.account_id, u.session_id order by u.ts, u.event_id) - 1', str(RESTART))} epoch
   from usage_events u join events e on e.event_id = u.event_id where u.provider = 'alpha') x window w as (partition by account_id, file, epoch order by line_no rows unbounded preceding)"""
