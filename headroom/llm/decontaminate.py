@@ -74,10 +74,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     listed = items.select("item", words(F.col("text")).alias("w")).select("item", F.size("w").alias("n_words"), shingles(F.col("w"), SHINGLE).alias("item_s"))
     listed = written(listed.where("n_words > 0").withColumn("item_print", simhash(F.col("item_s"))), "items")
     looked = F.array(*[F.struct(F.lit(i).alias("block"), b.alias("value")) for i, b in enumerate(blocks_of(F.col("print")))])
-    entries = F.concat(*[
-        F.transform(variants(b, width), lambda v, i=i: F.struct(F.lit(i).alias("block"), v.alias("value")))
-        for i, (b, width) in enumerate(zip(blocks_of(F.col("item_print")), BLOCKS, strict=True))
-    ])
+    entry = lambda i: lambda v: F.struct(F.lit(i).alias("block"), v.alias("value"))
+    entries = F.concat(*[F.transform(variants(b, width), entry(i)) for i, (b, width) in enumerate(zip(blocks_of(F.col("item_print")), BLOCKS, strict=True))])
     asks = windows.select("key", "doc_id", "start", "n_words", "print", F.explode(looked).alias("e")).select("*", "e.block", "e.value").drop("e")
     table = listed.select("item", "n_words", "item_print", F.explode(entries).alias("e")).select("item", "n_words", "item_print", "e.block", "e.value")
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
