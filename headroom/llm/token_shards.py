@@ -35,6 +35,7 @@ SHARD_SCHEMA = (
 )
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _OTHER_SPACE = re.compile(r"[^\S \t-\r]|\0")
+_CONTROLS = ("\0", "\x1c", "\x1d", "\x1e", "\x1f")
 _RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
 
 
@@ -53,13 +54,17 @@ class WaveletMatrix:
         planes = np.zeros((bits, wide // 8), np.uint8)
         ranks = np.zeros((bits, wide // BLOCK + 1), "<u4")
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        after = np.empty_like(now)
         for level in range(bits):
-            bit = ((now >> now.dtype.type(bits - 1 - level)) & now.dtype.type(1)).astype(bool)
+            bit = (now & now.dtype.type(1 << (bits - 1 - level))) != 0
             packed = np.packbits(bit)
             planes[level, : len(packed)] = packed
             ones = np.bitwise_count(planes[level].view(np.uint64)).reshape(-1, BLOCK // 64).sum(1)
             np.cumsum(ones, out=ranks[level, 1:])
-            now = np.concatenate([now[~bit], now[bit]])
+            zeros = n - int(ranks[level, -1])
+            np.compress(bit, now, out=after[zeros:])
+            np.compress(~bit, now, out=after[:zeros])
+            now, after = after, now
         return cls(n, bits, planes.tobytes(), ranks.tobytes())
 
     def rank1(self, level: int, i: int) -> int:
@@ -114,10 +119,11 @@ class WaveletMatrix:
         """All ids: the stable partitions undone from the last plane to the first."""
         now = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in reversed(range(self.bits)):
-            bit = np.unpackbits(self.planes[level])[: self.n].astype(bool)
+            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
             zeros, up = self.zeros(level), np.empty_like(now)
-            up[~bit] = now[:zeros]
-            up[bit] = now[zeros:] | now.dtype.type(1 << (self.bits - 1 - level))
+            now[zeros:] |= now.dtype.type(1 << (self.bits - 1 - level))
+            np.place(up, bit, now[zeros:])
+            np.place(up, ~bit, now[:zeros])
             now = up
         return now
 
@@ -147,7 +153,7 @@ class Encoder:
     @staticmethod
     def _pieces(text: str) -> list[str]:
         """The pieces, each with its blanks in front; a text without runs of blanks is cut at its spaces and lines."""
-        if _OTHER_SPACE.search(text):
+        if any(c in text for c in _CONTROLS) or not text.isascii() and _OTHER_SPACE.search(text):
             return [text]
         if any(run in text for run in _RUNS):
             return _CHUNK.findall(text)
@@ -157,12 +163,13 @@ class Encoder:
         """32-bit ids of each text, in the machine's byte order (little-endian ones only are supported)."""
         known = self.known
         cut = [self._pieces(t) for t in texts]
-        new = [p for p in set().union(*cut) if p not in known]
+        ids = [list(map(known.get, c)) for c in cut]
+        new = list({p for c, i in zip(cut, ids, strict=True) if None in i for p, v in zip(c, i, strict=True) if v is None})
         more = dict(zip(new, self._ids(new), strict=True))
+        out = [b"".join([more[p] if v is None else v for p, v in zip(c, i, strict=True)] if None in i else i) for c, i in zip(cut, ids, strict=True)]
         if len(known) < self.keep:
             known.update((p, i) for p, i in more.items() if len(p) <= 32)
-        get, rest = known.get, more.get
-        return [b"".join([get(p) or rest(p) or b"" for p in c]) for c in cut]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
