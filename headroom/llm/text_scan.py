@@ -12,12 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 BROADCAST_ROWS = 200_000
+LOCAL_SHINGLES = 2_000
 
 
 def words(text: Column) -> Column:
-    """Lower-cased (A-Z) words of a text; null has none."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
+    """Lower-cased words of a text, cut at ASCII white space; null has none."""
+    lower = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r", "     ")
     return F.filter(F.split(lower, " "), lambda w: w != "")
 
 
@@ -44,8 +47,13 @@ def item_windows(docs: DataFrame, index: DataFrame, k: int) -> DataFrame:
     kinds = index.groupBy("shingle").agg(F.collect_set(F.struct("n_words", "at")).alias("places"))
     # the distinct shingles of the items: their number is checked before they are sent everywhere
     small = kinds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    # the words are a column of their own, used many times but made once
-    listed = docs.select("key", "doc_id", words(F.col("text")).alias("w")).select("key", "doc_id", shingles(F.col("w"), k).alias("s"))
+    # the words are a column of their own, made once: no filter on the shingles passes an explode
+    worded = docs.select("key", "doc_id", F.explode_outer(F.array(words(F.col("text")))).alias("w"))
+    listed = worded.select("key", "doc_id", shingles(F.col("w"), k).alias("s"))
+    few = [r["shingle"] for r in kinds.select("shingle").limit(LOCAL_SHINGLES + 1).collect()]
+    if len(few) <= LOCAL_SHINGLES:
+        # few items: documents that share no shingle with any leave in the scan, before any shuffle
+        listed = written(listed.where(F.arrays_overlap("s", F.array(*[F.lit(v) for v in few]).cast("array<bigint>"))), "sharing")
     # the outer form: no filter on the shingles is inferred, which would be pushed below the words and make these anew for each shingle
     hits = listed.select("key", F.posexplode_outer("s").alias("pos", "shingle")).join(F.broadcast(kinds) if small else kinds, "shingle")
     hits = hits.select("key", "pos", F.explode("places").alias("p"))
