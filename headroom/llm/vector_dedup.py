@@ -1,20 +1,20 @@
-"""Embedding near-dedup on a robust-pruned flat graph.
-
-1. Cluster centres are fitted on a bounded sample. Each vector has a home shard (its
-   nearest centre) and also stands in its next nearest shards: the shards overlap.
-2. Each shard builds a robust-pruned neighbour graph: of a vector's near candidates one
-   is dropped if an already chosen neighbour is closer to it, by a factor ALPHA, than the
-   vector is. Adjacency lists of all shards are united per vector, per shard again for
-   the search.
-3. Every vector searches its home shard greedily from the medoid; once within range, the
-   search expands over all graph neighbours in range or within REACH of it. Each find is checked with the
-   cosine in double precision.
+"""Embedding near-dedup: every pair within the cosine asked for, between cells that a bound cannot rule out.
+
+1. Cluster centres are fitted on a bounded sample. Each vector has a home cell, that of
+   its nearest centre. Cells above BLOCK_BYTES are cut into blocks.
+2. A vector is dealt to every block of every cell that may hold a partner of it. Two
+   bounds rule a cell out: the angle to its centre exceeds the cell's radius by more than
+   the angle asked for, or the vector lies farther than that angle from the half space in
+   which the cell's centre is nearer than the vector's own. Neither loses a pair.
+3. Two blocks meet in one task, where all pairs are compared, in double precision. A pair
+   of vectors meets in just one task and counts there for both, so that counts are
+   symmetric and no pair leaves the task; what does is a spanning forest of the links.
 4. Recall is audited against brute force for a bounded set of query vectors.
 
 Copies are merged first: only distinct directions take part, with the number of vectors
-they stand for. A shard above SHARD vectors is cut into blocks, and every block of
-queries searches every block's graph of the shard in a task of its own, so that a dense
-cluster never meets in one task.
+they stand for. No approximate graph is searched: any such search can lose links. Where
+vectors lie in clusters the bounds leave few cells; where they fill the sphere evenly the
+work is that of all pairs of blocks.
 """
 
 from __future__ import annotations
@@ -26,20 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from .common import components, partitions, written
 from .near_dup import whole_groups
 
-SHARD = 2048
-MEAN = 256  # vectors per centre, up to CENTRES centres
-OVERLAP = 3
+BLOCK_BYTES = 1 << 24  # of the vectors of a block; a cell has half of it on average, up to CENTRES cells
 SAMPLE = 16_384
 CENTRES = 1024
-DEGREE = 32
-BEAM = 32
-ALPHA = 1.2
-REACH = 0.1  # the expansion also passes through vectors this far below the cosine asked for
+SLICE = 256  # rows compared with a block at once
+ROUNDING = 1e-9  # far above the error of a product of unit vectors
 AUDIT = 200
 
 
@@ -62,129 +57,53 @@ def fit_centres(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> n
     return centres
 
 
-def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, candidates: int = 48) -> np.ndarray:
-    """Adjacency (n x degree, -1 where unused) of a robust-pruned graph.
+def _homes(centres: np.ndarray):
+    """Each vector's cell and its cosine with the centre."""
 
-    Candidates of a vector are its nearest ones and, at geometrically rising ranks, ever
-    farther ones: without these a tight group would have no way out. A candidate is kept
-    unless a kept one covers it. Half of the slots are filled up with the nearest ones
-    that were covered, for a hub of a dense group cannot lead back to all its members;
-    reverse edges fill the rest.
-    """
-    n = len(x)
-    out = np.full((n, degree), -1, np.int32)
-    if n < 2:
-        return out
-    m = min(candidates, n - 1)
-    far = np.unique((m * 1.35 ** np.arange(1, 64)).astype(np.int64))
-    ranks = np.concatenate([np.arange(m), far[far < n - 1]])
-    limit = np.where(np.arange(len(ranks)) < m, degree // 2, degree * 3 // 4)
-    for lo in range(0, n, 256):
-        sim = x[lo : lo + 256] @ x.T
-        rows = np.arange(len(sim))
-        sim[rows, rows + lo] = -2
-        near = np.argsort(-sim, axis=1)[:, ranks]
-        dist = 1 - np.take_along_axis(sim, near, 1)
-        between = 1 - np.matmul(x[near], x[near].transpose(0, 2, 1))
-        alive = np.ones(near.shape, bool)
-        slot = np.zeros(len(near), np.int64)
-        kept = np.zeros(near.shape, bool)
-        for c in range(len(ranks)):
-            take = alive[:, c] & (slot < limit[c])
-            r = rows[take]
-            kept[r, c] = True
-            out[r + lo, slot[r]] = near[r, c]
-            slot[r] += 1
-            alive[r] &= alpha * between[r, c, :] > dist[r]
-        for c in range(m):
-            r = rows[~kept[:, c] & (slot < degree // 2)]
-            out[r + lo, slot[r]] = near[r, c]
-            slot[r] += 1
-    # reverse edges keep the graph connected both ways: the nearest ones fill the slots left
-    src, col = np.nonzero(out >= 0)
-    dst = out[src, col]
-    order = np.lexsort((src, -(x[src] * x[dst]).sum(1), dst))
-    src, dst = src[order], dst[order]
-    first = np.searchsorted(dst, np.arange(n))
-    used = (out >= 0).sum(1)
-    place = np.arange(len(dst)) - first[dst] + used[dst]
-    ok = place < degree
-    out[dst[ok], place[ok]] = src[ok]
-    return out
-
-
-def range_search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, entry: np.ndarray, cosine: float, beam: int = BEAM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, found) index pairs: a greedy beam search from the medoids, then expansion over all neighbours in range.
-
-    `x` are unit vectors, `entry` the medoids. All queries of a slice advance together.
-    """
-    n = len(x)
-    for lo in range(0, len(queries), 256):
-        q = queries[lo : lo + 256]
-        m, rows = len(q), np.arange(len(q))[:, None]
-        seen = np.zeros((m, n + 1), bool)
-        seen[:, n] = True
-        start = np.unique(entry)[:beam]
-        pool = np.full((m, beam), n, np.int64)
-        pool[:, : len(start)] = start
-        sim = np.full((m, beam), -2.0)
-        sim[:, : len(start)] = q @ x[start].T
-        seen[:, start] = True
-        done = pool == n
-        scores = np.full((m, n + 1), -2.0)
-        scores[:, start] = sim[:, : len(start)]
-        for _ in range(4 * beam):
-            # the best open place of each query
-            open_sim = np.where(done, -3.0, sim)
-            pick = open_sim.argmax(1)
-            live = open_sim[np.arange(m), pick] > -2.5
-            if not live.any():
-                break
-            done[np.arange(m), pick] |= live
-            node = np.where(live, pool[np.arange(m), pick], n)
-            more = np.where((node < n)[:, None], adjacency[np.minimum(node, n - 1)], -1)
-            more = np.where(more < 0, n, more)
-            more = np.where(seen[rows, more], n, more)
-            seen[rows, more] = True
-            s = np.where(more < n, np.einsum("md,mkd->mk", q, x[np.minimum(more, n - 1)]), -2.0)
-            scores[rows, more] = np.maximum(scores[rows, more], s)
-            scores[:, n] = -2
-            pool, sim, done = np.concatenate([pool, more], 1), np.concatenate([sim, s], 1), np.concatenate([done, more == n], 1)
-            best = np.argpartition(-sim, beam - 1, axis=1)[:, :beam]
-            pool, sim, done = pool[rows, best], sim[rows, best], done[rows, best]
-        # expand: every graph neighbour of a node in or near the range, until nothing new is there
-        found = scores[:, :n] >= cosine
-        front_a, front_b = np.nonzero(scores[:, :n] >= cosine - REACH)
-        while len(front_a):
-            near = adjacency[front_b]
-            fa = np.repeat(front_a, near.shape[1])
-            fb = near.ravel()
-            ok = fb >= 0
-            pair = np.unique(fa[ok].astype(np.int64) * n + fb[ok])
-            fa, fb = pair // n, pair % n
-            new = ~seen[fa, fb]
-            fa, fb = fa[new], fb[new]
-            seen[fa, fb] = True
-            s = np.einsum("id,id->i", q[fa], x[fb])
-            found[fa[s >= cosine], fb[s >= cosine]] = True
-            front_a, front_b = fa[s >= cosine - REACH], fb[s >= cosine - REACH]
-        a, b = np.nonzero(found)
-        yield a + lo, b
-
-
-def _assign(centres: np.ndarray, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("unit"))
-            if not len(x):
+            if not batch.num_rows:
                 continue
-            sim = x @ centres.T
-            m = min(overlap, sim.shape[1])
-            near = np.argsort(-sim, axis=1, kind="stable")[:, :m]
-            rows = np.repeat(np.arange(len(x)), m)
-            home = np.tile(np.arange(m) == 0, len(x))
-            picked = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(near.ravel().astype(np.int64)), pa.array(home)], names=[*batch.schema.names, "shard", "home"])
+            sim = _matrix(batch.column("unit")) @ centres.T
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sim.argmax(1)), pa.array(sim.max(1))], names=[*batch.schema.names, "cell", "inner"])
+
+    return run
+
+
+def possible(x: np.ndarray, home: np.ndarray, centres: np.ndarray, least: np.ndarray, cosine: float) -> np.ndarray:
+    """Which cells (columns) may hold a vector within `cosine` of each row of `x`; `least` is each cell's smallest cosine with its centre."""
+    sim = x @ centres.T
+    if cosine <= 0:
+        return np.ones(sim.shape, bool)
+    angle = np.arccos(min(cosine, 1.0))
+    radius = np.arccos(np.clip(least - ROUNDING, -1, 1))
+    near = sim >= np.cos(np.minimum(radius + angle, np.pi)) - 1e-6
+    # a cell's vectors lie on its side of the plane midway between its centre and the row's own
+    apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T)[home], 0))
+    beyond = sim[np.arange(len(x)), home][:, None] - sim
+    near &= beyond <= (np.sin(angle) + 1e-6) * apart + 1e-6
+    near[np.arange(len(x)), home] = True
+    return near
+
+
+def _deal(centres: np.ndarray, least: np.ndarray, first: np.ndarray, cosine: float):
+    """A row for each block that a vector has to meet: part names the two blocks, side which of them is its own (0: both)."""
+    total = int(first[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                rows = batch.slice(lo, 1024)
+                home, own = rows.column("cell").to_numpy(), rows.column("block").to_numpy()
+                own = own + first[home]
+                cells = possible(_matrix(rows.column("unit")), home, centres, least, cosine)
+                at, other = np.nonzero(np.repeat(cells, np.diff(first), axis=1))
+                mine = own[at]
+                part = np.maximum(mine, other) * total + np.minimum(mine, other)
+                side = np.where(mine == other, 0, np.where(mine > other, 1, 2)).astype(np.int32)
+                for i in range(0, len(at), 8192):
+                    picked = rows.select(["node", "unit", "copies"]).take(pa.array(at[i : i + 8192]))
+                    yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(part[i : i + 8192]), pa.array(side[i : i + 8192])], names=["node", "unit", "copies", "part", "side"])
 
     return run
 
@@ -214,94 +133,111 @@ def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "unit"])
 
 
-def _search(cosine: float):
-    """Per shard part: rows of queries (side 0 and 1) and of the graph (side 0 and 2), sorted by part."""
+def _compare(cosine: float):
+    """Per part: counts of the links of its vectors (other is the node itself), and a spanning forest of these links (links is 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["shard", "part"], 1):
-            shard, part, node, copies, side = (table.column(c).to_numpy() for c in ("shard", "part", "node", "copies", "side"))
-            home = table.column("home").to_numpy(zero_copy_only=False).astype(bool)
+        for table in whole_groups(batches, ["part"], 1):
+            part, node, copies, side = (table.column(c).to_numpy() for c in ("part", "node", "copies", "side"))
             x = _matrix(table.column("unit"))
-            cut = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])]))
+            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(x)], strict=True):
-                graph = np.flatnonzero(side[lo:hi] != 1) + lo
-                ask = np.flatnonzero((side[lo:hi] != 2) & home[lo:hi]) + lo
-                if not len(graph) or not len(ask):
+                left = np.flatnonzero(side[lo:hi] != 2) + lo
+                right = np.flatnonzero(side[lo:hi] != 1) + lo
+                if not len(left) or not len(right):
                     continue
-                g = x[graph]
-                adjacency = robust_prune(g)
-                centre = g.mean(0)
-                entry = np.argsort(-(g @ centre), kind="stable")[:1]
-                # further medoids: one of each tenth of the similarity to the first
-                spread = np.argsort(-(g @ g[entry[0]]), kind="stable")
-                entry = np.concatenate([entry, spread[:: max(1, len(g) // 8)]])
-                links = np.zeros(len(ask), np.int64)
-                low = node[ask].copy()
-                for a, b in range_search(g, adjacency, x[ask], entry, cosine):
-                    # the verdict, in double precision from the vectors themselves
-                    ok = (np.einsum("id,id->i", x[ask[a]], g[b]) >= cosine) & (node[ask[a]] != node[graph[b]])
+                within = side[lo] == 0  # a block with itself: both orders of a pair are met
+                g, weight = x[right], copies[right]
+                links, forest = np.zeros(len(x), np.int64), _Forest(len(x))
+                for i in range(0, len(left), SLICE):
+                    ask = left[i : i + SLICE]
+                    sim = x[ask] @ g.T
+                    a, b = np.nonzero(sim >= cosine - ROUNDING)
+                    ok = _verdict(sim, x[ask], g, a, b, cosine)
+                    ok &= node[ask[a]] != node[right[b]]
                     a, b = a[ok], b[ok]
-                    np.add.at(links, a, copies[graph[b]])
-                    np.minimum.at(low, a, node[graph[b]])
-                    # a spanning set of links: each query with its smallest partner, and its nearest ones
-                    yield _links(node[ask[a]], node[graph[b]])
-                got = links > 0
-                yield pa.RecordBatch.from_arrays([pa.array(node[ask[got]]), pa.array(links[got]), pa.array(low[got])], names=["node", "links", "other"])
+                    np.add.at(links, ask[a], weight[b])
+                    if not within:
+                        np.add.at(links, right[b], copies[ask[a]])
+                    a, b = forest.grow(ask[a], right[b])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(np.zeros(len(a), np.int64)), pa.array(node[b])], names=["node", "links", "other"])
+                got = np.flatnonzero(links)
+                yield pa.RecordBatch.from_arrays([pa.array(node[got]), pa.array(links[got]), pa.array(node[got])], names=["node", "links", "other"])
 
     return run
 
 
-def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """A spanning forest of the links of one slice, as rows without a count."""
-    ids, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent = list(range(len(ids)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    keep = []
-    for k, (i, j) in enumerate(zip(back[: len(a)].tolist(), back[len(a) :].tolist(), strict=True)):
-        i, j = find(i), find(j)
-        if i != j:
-            parent[max(i, j)] = min(i, j)
-            keep.append(k)
-    return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(np.zeros(len(keep), np.int64)), pa.array(b[keep])], names=["node", "links", "other"])
-
-
-def _placed(nodes: DataFrame, overlap: int, shard: int) -> DataFrame:
-    """Nodes dealt to overlapping shards, large shards to pairs of blocks."""
+def _verdict(sim: np.ndarray, x: np.ndarray, g: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
+    """Which of the pairs reach the cosine: those within rounding of it are summed anew, in one fixed order."""
+    ok = sim[a, b] >= cosine + ROUNDING
+    for i in np.array_split(np.flatnonzero(~ok), max(1, int((~ok).sum()) >> 14)):
+        ok[i] = np.einsum("id,id->i", x[a[i]], g[b[i]]) >= cosine
+    return ok
+
+
+class _Forest:
+    """Which links of a part join what no earlier one has joined."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def grow(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new = self.parent[a] != self.parent[b]
+        a, b = a[new], b[new]
+        if not len(a):
+            return a, b
+        # each b with its first a, then each a once with every such first one: these join all that the links join
+        _, one, back = np.unique(b, return_index=True, return_inverse=True)
+        _, two = np.unique(a * len(self.parent) + a[one][back], return_index=True)
+        some = np.union1d(one, two)
+        a, b = a[some], b[some]
+        parent = dict(zip((labels := np.unique(self.parent[np.concatenate([a, b])])).tolist(), labels.tolist(), strict=True))
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        keep = []
+        for k, (i, j) in enumerate(zip(self.parent[a].tolist(), self.parent[b].tolist(), strict=True)):
+            i, j = find(i), find(j)
+            if i != j:
+                parent[max(i, j)] = min(i, j)
+                keep.append(k)
+        root = np.arange(len(self.parent))
+        root[labels] = [find(i) for i in labels.tolist()]
+        self.parent = root[self.parent]
+        return a[keep], b[keep]
+
+
+def links_found(nodes: DataFrame, cosine: float, block: int | None = None) -> DataFrame:
+    """(node, links, other): how many vectors of other nodes are linked (0 in rows that only carry a link), and a link.
+
+    `block` is the number of vectors of a block, set by BLOCK_BYTES if not given.
+    """
     total = nodes.count()
-    k = int(min(CENTRES, max(1, total // MEAN)))
-    share = min(1.0, SAMPLE / max(total, 1))
-    part = F.pmod(F.xxhash64("unit"), F.lit(1 << 30)) / float(1 << 30)
-    sample = _matrix(nodes.where(part < share).select("unit").toArrow()["unit"])  # about SAMPLE vectors, whatever the table's size
-    sample = sample[np.lexsort(sample.T[:3])] if len(sample) else sample
-    k = min(k, len(sample))
-    centres = fit_centres(sample, k) if k else np.zeros((1, 1))
-    schema = T.StructType([*nodes.schema.fields, T.StructField("shard", T.LongType()), T.StructField("home", T.BooleanType())])
-    rows = nodes.mapInArrow(_assign(centres, overlap), schema)
-    sizes = rows.groupBy("shard").agg(F.count("*").alias("m"))  # at most CENTRES rows
-    rows = rows.join(F.broadcast(sizes), "shard")
-    blocks = F.ceil(F.col("m") / F.lit(2 * shard)).cast("long")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    rows = rows.withColumn("blocks", blocks).withColumn("block", block)
-    rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") * 2 - 1)))
-    # as query: part (block, to) for each graph block; as graph: part (from, block) for each query block
-    asks = F.col("to") < F.col("blocks")
-    other = F.when(asks, F.col("to")).otherwise(F.col("to") - F.col("blocks"))
-    at = F.when(asks, F.col("block") * F.col("blocks") + other).otherwise(other * F.col("blocks") + F.col("block"))
-    rows = rows.where(asks & F.col("home") | ~asks)
-    return rows.select("node", "unit", "copies", "home", "shard", at.alias("part"), F.when(asks, 1).otherwise(2).cast("int").alias("side"))
-
-
-def links_found(nodes: DataFrame, cosine: float, overlap: int = OVERLAP, shard: int = SHARD) -> DataFrame:
-    """(node, links, other): how many vectors of other nodes are linked (0 in rows that only carry a link), and a link."""
-    n = partitions(nodes)
-    rows = _placed(nodes, overlap, shard).repartition(n, "shard", "part").sortWithinPartitions("shard", "part", "side", "node")
-    return rows.mapInArrow(_search(cosine), "node long, links long, other long")
+    width = nodes.select(F.length("unit")).first()[0]
+    block = block or max(256, BLOCK_BYTES // width)
+    share = min(1.0, SAMPLE / total)
+    place = F.pmod(F.xxhash64("unit"), F.lit(1 << 30)) / float(1 << 30)
+    sample = _matrix(nodes.where(place < share).select("unit").toArrow()["unit"])  # about SAMPLE vectors, whatever the table's size
+    if not len(sample):
+        sample = _matrix(nodes.select("unit").limit(1).toArrow()["unit"])
+    sample = sample[np.lexsort(sample.T[:3])]
+    centres = fit_centres(sample, int(min(CENTRES, len(sample), max(1, 2 * total // block))))
+    schema = T.StructType([*nodes.schema.fields, T.StructField("cell", T.LongType()), T.StructField("inner", T.DoubleType())])
+    homes = written(nodes.mapInArrow(_homes(centres), schema), "homes")
+    size, least = np.zeros(len(centres), np.int64), np.ones(len(centres))
+    for r in homes.groupBy("cell").agg(F.count("*").alias("n"), F.min("inner").alias("least")).collect():  # at most CENTRES rows
+        size[r["cell"]], least[r["cell"]] = r["n"], r["least"]
+    blocks = -(-size // block)  # an empty cell has none
+    first = np.concatenate([[0], np.cumsum(blocks)])
+    per_cell = F.get(F.array(*[F.lit(int(v)) for v in blocks]), F.col("cell").cast("int"))
+    homes = homes.select("node", "unit", "copies", "cell", F.pmod(F.xxhash64("unit"), per_cell).cast("long").alias("block"))
+    rows = homes.mapInArrow(_deal(centres, least, first, cosine), "node long, unit binary, copies long, part long, side int")
+    rows = rows.repartition(partitions(nodes), "part").sortWithinPartitions("part", "side", "node")
+    return rows.mapInArrow(_compare(cosine), "node long, links long, other long")
 
 
 def embedding_dedup(vectors: DataFrame, cosine: float = 0.9, **options) -> DataFrame:

@@ -224,3 +224,56 @@ def test_vectors(spark):
     found = np.array([got[i].n_links for i in range(600)])
     assert (found <= true).all() and found.sum() >= 0.9 * true.sum()
     assert got[343].component_id == 5 and got[5].n_links == 4 and got[600].n_links == 0 and got[603].kept
+
+
+def pairs_at(r, n, pairs, low, high):
+    """`n` unit vectors, evenly spread over 64 dimensions, the last `pairs` of them at cosines from low to high with the first ones."""
+    x = r.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(pairs):
+        c, v = r.uniform(low, high), x[n - 1 - i]
+        v = v - (v @ x[i]) * x[i]
+        x[n - 1 - i] = c * x[i] + np.sqrt(1 - c * c) * v / np.linalg.norm(v)
+    return x
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 700}])
+def test_vector_links_across_cells(spark, options):
+    r = np.random.default_rng(11)
+    # evenly spread pairs at 0.90 to 0.93, tight groups and a chain
+    x = pairs_at(r, 11_000, 800, 0.9001, 0.93)
+    groups = np.repeat(pairs_at(r, 10, 0, 0, 0), 120, axis=0) + 0.04 * r.normal(size=(1200, 64))
+    chain = np.zeros((60, 64))
+    chain[np.arange(60), 0], chain[np.arange(60), 1] = np.cos(0.4 * np.arange(60) / 4), np.sin(0.4 * np.arange(60) / 4)
+    x = np.concatenate([x, groups, chain])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    result = vector_dedup.embedding_dedup(vectors, **options).cache()
+    got = {g.vec_id: (g.n_links, g.component_id, g.kept) for g in result.collect()}
+    u = vector_dedup.unit_rows(x)
+    a, b = np.nonzero(u @ u.T >= 0.9)
+    a, b = a[a != b], b[a != b]
+    label = np.arange(len(x))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        if (low == label).all():
+            break
+        label = low
+    links = np.bincount(a, minlength=len(x))
+    assert links[:800].min() >= 1
+    assert got == {i: (links[i], label[i], label[i] == i) for i in range(len(x))}
+    found, there = vector_dedup.audit_recall(vectors, result)
+    assert found == there > 0
+
+
+def test_vector_bounds_rule_out_far_cells_only():
+    r = np.random.default_rng(4)
+    centres = vector_dedup.unit_rows(r.normal(size=(20, 16)))
+    x = vector_dedup.unit_rows(centres[r.integers(0, 20, 2000)] + 0.1 * r.normal(size=(2000, 16)))
+    sim = x @ centres.T
+    home, least = sim.argmax(1), np.ones(20)
+    np.minimum.at(least, home, sim.max(1))
+    cells = vector_dedup.possible(x, home, centres, least, 0.9)
+    a, b = np.nonzero(x @ x.T >= 0.9)
+    assert cells[a, home[b]].all() and cells.mean() < 0.5
