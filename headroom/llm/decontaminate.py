@@ -63,7 +63,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     similarity is the weighted Jaccard similarity of the 5-word shingles of item and
     passage, on lower-cased words; start counts words. Each matching document and item
     gives one row, its best passage, the first of equals. Items of fewer than five words
-    are matched as one shingle. Null and empty texts match nothing; rows with a null
+    are matched as one shingle, also inside longer texts. Null and empty texts match nothing; rows with a null
     doc_id or item_id are matched like others and show null; repeated rows give one result.
     Other columns are ignored.
     """

@@ -21,7 +21,7 @@ SHINGLE = 5
 BANDS = 12
 CONTAINMENT = 0.8
 
-#: Notice sentences by which works state a license, by SPDX identifier (fixed values).
+#: Notice sentences by which works state a license, by SPDX identifier (fixed values); a notice that grants none has a name of the kind that SPDX keeps for others.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
@@ -34,6 +34,7 @@ TEMPLATES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
 )
 
 
@@ -52,8 +53,8 @@ def license_scan(docs: DataFrame, templates: DataFrame, containment: float = CON
     """(doc_id, license, n_places, start, containment): the licenses that `docs` (doc_id, text) state.
 
     `templates` has template_id, license and text. containment is the share of the
-    template's distinct 5-word shingles (lower-cased words; fewer words are one shingle)
-    in a window of its length; n_places counts the windows that reach it, start is the
+    template's distinct 5-word shingles (lower-cased words; a template of fewer words is
+    one shingle, also inside longer texts) in a window of its length; n_places counts the windows that reach it, start is the
     word where the best, then first, of them begins. Null and empty texts and templates
     match nothing; rows with a null doc_id show null; repeated rows give one result. Other
     columns are ignored.

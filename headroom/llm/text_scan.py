@@ -42,18 +42,34 @@ def item_windows(docs: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """(key, doc_id, n_words, start, s): the item-sized windows of `docs` (key, doc_id, text) around shared shingles, with their shingles in order.
 
     Windows that hang over an end of the document are moved inside; a document shorter
-    than the item is one window.
+    than the item is one window. An item of m words, fewer than k, is one m-word shingle:
+    for the lengths m that occur, the documents' m-word shingles are hashed too.
     """
-    kinds = index.groupBy("shingle").agg(F.collect_set(F.struct("n_words", "at")).alias("places"))
+    size = F.least("n_words", F.lit(k))
+    lengths = sorted(r["m"] for r in index.where("n_words > 0").select(size.alias("m")).distinct().collect())  # k at most
+    kinds = index.where("n_words > 0").groupBy(size.alias("m"), "shingle").agg(F.collect_set(F.struct("n_words", "at")).alias("places"))
     # the distinct shingles of the items: their number is checked before they are sent everywhere
     small = kinds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # the words are a column of their own, made once: no filter on the shingles passes an explode
     worded = docs.select("key", "doc_id", F.explode_outer(F.array(words(F.col("text")))).alias("w"))
-    listed = worded.select("key", "doc_id", shingles(F.col("w"), k).alias("s"))
-    few = [r["shingle"] for r in kinds.select("shingle").limit(LOCAL_SHINGLES + 1).collect()]
+    listed = worded.select("key", "doc_id", *[shingles(F.col("w"), m).alias(f"s{m}") for m in lengths])
+    few = kinds.select("m", "shingle").limit(LOCAL_SHINGLES + 1).collect()
     if len(few) <= LOCAL_SHINGLES:
         # few items: documents that share no shingle with any leave in the scan, before any shuffle
-        listed = written(listed.where(F.arrays_overlap("s", F.array(*[F.lit(v) for v in few]).cast("array<bigint>"))), "sharing")
+        shares = F.lit(False)
+        for m in lengths:
+            shares = shares | F.arrays_overlap(f"s{m}", F.array(*[F.lit(r["shingle"]) for r in few if r["m"] == m]).cast("array<bigint>"))
+        listed = written(listed.where(shares), "sharing")
+    out = None
+    for m in lengths or [k]:
+        some = listed.select("key", "doc_id", (F.col(f"s{m}") if lengths else F.array().cast("array<bigint>")).alias("s"))
+        part = _windows(some, kinds.where(F.col("m") == m).drop("m"), m, small)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _windows(listed: DataFrame, kinds: DataFrame, k: int, small: bool) -> DataFrame:
+    """item_windows for the items whose shingles have k words, on `listed` (key, doc_id, s)."""
     # the outer form: no filter on the shingles is inferred, which would be pushed below the words and make these anew for each shingle
     hits = listed.select("key", F.posexplode_outer("s").alias("pos", "shingle")).join(F.broadcast(kinds) if small else kinds, "shingle")
     hits = hits.select("key", "pos", F.explode("places").alias("p"))

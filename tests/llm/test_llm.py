@@ -277,3 +277,17 @@ def test_vector_bounds_rule_out_far_cells_only():
     cells = vector_dedup.possible(x, home, centres, least, 0.9)
     a, b = np.nonzero(x @ x.T >= 0.9)
     assert cells[a, home[b]].all() and cells.mean() < 0.5
+
+
+def test_short_items_in_long_texts(spark):
+    notice = "LicenseRef-All-Rights-Reserved"
+    texts = [TEXTS[0] + "\nAll rights reserved.\n" + TEXTS[1], "All rights reserved.", "(c) X. All rights reserved.", TEXTS[2], "all rights", None]
+    got = {(r.doc_id, r.license): (r.n_places, r.start) for r in licenses.license_scan(table(spark, texts), licenses.template_table(spark)).collect()}
+    assert got == {(0, notice): (1, len(TEXTS[0].split())), (1, notice): (1, 0), (2, notice): (1, 2)}
+    item, long = words(3), words(30)
+    bench = spark.createDataFrame([(1, " ".join([*item, "zq1"])), (2, "zq2 zq3"), (3, " ".join(long)), (4, "zq9")], "item_id long, text string")
+    texts = [" ".join([*words(60), *item, "ZQ1", *words(9)]), "zq2 zq3", "a zq2 zq3", " ".join([*words(7), *long, "zq9"]), " ".join(words(90)), "zq2", None]
+    got = {(r.doc_id, r.item_id, r.start, r.n_words, r.similarity) for r in decontaminate.contaminated(table(spark, texts), bench).collect()}
+    assert got == {(0, 1, 60, 4, 1.0), (1, 2, 0, 2, 1.0), (2, 2, 1, 2, 1.0), (3, 3, 7, 30, 1.0), (3, 4, 37, 1, 1.0)}
+    empty = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
+    assert decontaminate.contaminated(table(spark, texts), empty).count() == 0
