@@ -14,6 +14,7 @@ from headroom.llm.common import read, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_LANGUAGE_SCORE = 0.1
+NEAR_DUP_PERCENT = 80  # of the union of 5-word shingles; the 85 of minhash_dedup is the query op10's own
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +26,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id; repeated rows of it count once."""
-    gone = near_dup.minhash_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
+    gone = near_dup.minhash_dedup(docs, percent=NEAR_DUP_PERCENT).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
