@@ -41,6 +41,10 @@ class Shape:
     anchor: int
     symbols: Symbols  # texts -> (first hash value of each symbol, an independent second one, offsets)
 
+    def __post_init__(self):
+        if self.width >= SHIFT:
+            raise ValueError(f"a block of up to {self.width} windows does not fit its place, which counts to {SHIFT - 1}")
+
     @property
     def width(self) -> int:
         return self.window - self.anchor + 1

@@ -299,8 +299,8 @@ def minhash_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     documents in the order of their texts: only the first of a component is kept. Other
     columns are ignored, and an empty table gives no rows.
     """
-    if not 50 <= percent <= 100:
-        raise ValueError("bands are set for similarities of 50 % and above, at 85 % nearly surely found")
+    if not 80 <= percent <= 100:
+        raise ValueError("bands and sketches are set for similarities of 80 % and above")
     keyed, plain = ordered_key(docs)
     signatures = written(keyed.select("key", "text").mapInArrow(_signatures, _SIGNATURE), "signatures")
     sets = ["set1", "set2", "n_shingles"]

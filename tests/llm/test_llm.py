@@ -291,3 +291,15 @@ def test_short_items_in_long_texts(spark):
     assert got == {(0, 1, 60, 4, 1.0), (1, 2, 0, 2, 1.0), (2, 2, 1, 2, 1.0), (3, 3, 7, 30, 1.0), (3, 4, 37, 1, 1.0)}
     empty = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
     assert decontaminate.contaminated(table(spark, texts), empty).count() == 0
+
+
+def test_parameters_that_would_lose_rows_are_refused():
+    from headroom.llm import blocks
+
+    assert blocks.Shape(150, 24, blocks.word_symbols).width == 127
+    for window in (151, 152, 400):
+        with pytest.raises(ValueError):
+            blocks.Shape(window, 24, blocks.word_symbols)
+    for percent in (50, 79):
+        with pytest.raises(ValueError, match="80 %"):
+            near_dup.minhash_dedup(None, percent=percent)
