@@ -2,9 +2,9 @@
 
 A shard holds the ids of consecutive documents as one bit-plane per id bit, most
 significant first. Plane by plane, the ids whose bit is 0 move before those whose bit is
-1, in stable order; a running popcount per 512 bits gives rank in constant time. From
-the planes alone a shard answers access(i), count(id) and the places of an id
-(occurrences), without unpacking the ids.
+1, in stable order; a running popcount per 512 bits gives rank in constant time, and
+select by a search of these counts. From the planes alone a shard answers access(i),
+count(id) and the places of an id (occurrences), without unpacking the ids.
 
 Documents are range-partitioned by doc_id, each partition encodes its texts in order and
 cuts shards of about `shard_tokens` ids at document borders, and Spark writes them as
@@ -104,15 +104,27 @@ class WaveletMatrix:
         lo, hi = self._range(value)
         return hi - lo
 
+    def select(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
+        """Places of the k-th (from 0) ones or zeros of a plane: the running counts find the block, only its bits are unpacked."""
+        counts = self.ranks[level].astype(np.int64)
+        if not bit:
+            counts = np.arange(len(counts)) * BLOCK - counts
+        block = np.searchsorted(counts, k, "right") - 1
+        out = np.empty(len(k), np.int64)
+        rows = self.planes[level].reshape(-1, BLOCK // 8)
+        for lo in range(0, len(k), 4096):
+            b = block[lo : lo + 4096]
+            seen = np.cumsum(np.unpackbits(rows[b], axis=1) == bit, axis=1, dtype=np.int16)
+            out[lo : lo + 4096] = b * BLOCK + (seen > (k[lo : lo + 4096] - counts[b])[:, None]).argmax(1)
+        return out
+
     def occurrences(self, value: int) -> list[int]:
         """The places of an id, rising: select, from the last plane up to the first."""
         lo, hi = self._range(value)
         at = np.arange(lo, hi)
         for level in reversed(range(self.bits)):
-            bit = np.unpackbits(self.planes[level])[: self.n].astype(bool)
-            zeros = self.zeros(level)
-            places = np.flatnonzero(bit) if value >> (self.bits - 1 - level) & 1 else np.flatnonzero(~bit)
-            at = places[at - zeros] if value >> (self.bits - 1 - level) & 1 else places[at]
+            bit = value >> (self.bits - 1 - level) & 1
+            at = self.select(level, bit, at - self.zeros(level) if bit else at)
         return at.tolist()
 
     def decode(self) -> np.ndarray:
@@ -133,27 +145,26 @@ class Encoder:
 
     A border between a non-space and a following ASCII space is always a border of the
     byte-level pre-tokenizer, and each pre-token is encoded on its own, so that the ids
-    of a text are those of its pieces joined. A text with other white space than ASCII is
-    encoded whole. The first `keep` distinct pieces are remembered by a worker; later ones
-    are encoded as they come.
+    of a text are those of its pieces joined. A text with other white space than ASCII, or with
+    the string of an added token, is encoded whole by the library. The first `keep` distinct pieces are remembered by a
+    worker; later ones are encoded as they come.
     """
 
     def __init__(self, path: str, keep: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep, self.known = keep, {}
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
+    def _pieces(self, text: str) -> list[str]:
         """The pieces, each with its blanks in front; a text without runs of blanks is cut at its spaces and lines."""
-        if any(c in text for c in _CONTROLS) or not text.isascii() and _OTHER_SPACE.search(text):
+        if any(c in text for c in _CONTROLS) or not text.isascii() and _OTHER_SPACE.search(text) or any(a in text for a in self.added):
             return [text]
         if any(run in text for run in _RUNS):
             return _CHUNK.findall(text)
@@ -165,7 +176,7 @@ class Encoder:
         cut = [self._pieces(t) for t in texts]
         ids = [list(map(known.get, c)) for c in cut]
         new = list({p for c, i in zip(cut, ids, strict=True) if None in i for p, v in zip(c, i, strict=True) if v is None})
-        more = dict(zip(new, self._ids(new), strict=True))
+        more = dict(zip(new, self._whole(new), strict=True))
         out = [b"".join([more[p] if v is None else v for p, v in zip(c, i, strict=True)] if None in i else i) for c, i in zip(cut, ids, strict=True)]
         if len(known) < self.keep:
             known.update((p, i) for p, i in more.items() if len(p) <= 32)

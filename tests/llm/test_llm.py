@@ -148,8 +148,11 @@ def test_wavelet_and_tokens(spark):
     m = token_shards.WaveletMatrix.build(ids, 16)
     assert (m.decode() == ids).all() and [m.access(i) for i in range(0, 3001, 37)] == ids[::37].tolist()
     assert m.occurrences(int(ids[9])) == np.flatnonzero(ids == ids[9]).tolist() and m.count(int(ids[9])) == (ids == ids[9]).sum()
+    odd = np.arange(1, 700) % 3  # zeros beyond the last id belong to no one
+    m = token_shards.WaveletMatrix.build(odd, 2)
+    assert all(m.occurrences(v) == np.flatnonzero(odd == v).tolist() for v in range(4)) and m.count(3) == 0
     path = P.path("byte_bpe_50k.json")
-    texts = [*TEXTS, "a  b", "\n\n x\ty ", "\xa0  b\x1c !", "don't  I'll\r\n\r\n ok"]
+    texts = [*TEXTS, "hello <|endoftext|> world", "<|endoftext", "A.B, c;d !e\nf. \n\ng's",  "a  b", "\n\n x\ty ", "\xa0  b\x1c !", "don't  I'll\r\n\r\n ok"]
     got = [tuple(r) for r in token_shards.token_shards(table(spark, texts), path, shard_tokens=500).orderBy("doc_id").collect()]
     plain, start, want = Tokenizer.from_file(path), 0, []
     for i, t in enumerate(texts):
