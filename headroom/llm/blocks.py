@@ -62,20 +62,32 @@ def word_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, K.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), words
 
 
-def ordered_key(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """`docs` (doc_id, text) with a unique long `key` in document order; whether it is doc_id.
+def _plain_ids(docs: DataFrame) -> bool:
+    """Whether doc_id is whole, unique and not null, so that it can serve as a key."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return not ids.where("n > 1 or doc_id is null or doc_id < 0").limit(1).count()
+
+
+def row_keys(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` (doc_id, text and others) with a unique long column `name` in document order.
 
     The key is doc_id itself where ids are whole, unique and not null. Else rows are
     numbered in the order of doc_id (null last) and text, so that a repeated row is a
     later document.
     """
-    docs = docs.select("doc_id", "text")
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
-    if not ids.where("n > 1 or doc_id is null or doc_id < 0").limit(1).count():
-        return docs.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text"), True
+    if _plain_ids(docs):
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
     ranged = docs.repartitionByRange(partitions(docs), *order[:2]).sortWithinPartitions(*order)
-    return written(ranged.withColumn("key", F.monotonically_increasing_id()), "ordered").select("key", "doc_id", "text"), False
+    return written(ranged.withColumn(name, F.monotonically_increasing_id()), "ordered")
+
+
+def ordered_key(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(key, doc_id, text) of `docs`, see `row_keys`; whether the key is doc_id."""
+    docs = docs.select("doc_id", "text")
+    if _plain_ids(docs):
+        return docs.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text"), True
+    return row_keys(docs, "key").select("key", "doc_id", "text"), False
 
 
 def _blocks(values, second, offsets, shape: Shape):

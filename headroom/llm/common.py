@@ -36,12 +36,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session that has none, as in tests, gets a temporary one."""
     sc = spark.sparkContext
+    there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not there:
-        there = sc.getCheckpointDir()
-    if not there:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         there = sc.getCheckpointDir()
     elif sc.getCheckpointDir() is None:
@@ -53,7 +53,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a `written` table that nothing reads any more."""
+    sc = table.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(table._written)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def partitions(df: DataFrame) -> int:
@@ -94,6 +111,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         after = written(small, "links")
+        discard(edges)
         deep = after.alias("p").join(after.alias("q"), F.col("p.v") == F.col("q.u"), "left_semi").limit(1).count()
         split = after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
         edges = after

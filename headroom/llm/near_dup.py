@@ -8,10 +8,19 @@ its population count tells that difference, and with the sample sizes the Jaccar
 similarity, most precisely where the similarity is high.
 
 Equal sets are merged first; only their first document takes part. Documents that share a
-band value form a bucket. A bucket is compared inside tasks, in blocks of at most BLOCK
-documents, on sketches alone; what leaves the task is a spanning forest of the pairs that
-are surely similar and the pairs too close to call that the forest does not connect. All
-of these are confirmed on the full shingle sets, and only confirmed pairs are links.
+band value form a bucket, and only the connected components of the links are asked for:
+
+1. A bucket of up to BLOCK documents is one part, a larger one is dealt by hash to parts
+   of about that size, each with the bucket's first document as a visitor. A task
+   compares a part on sketches alone; what leaves it is a spanning forest of the pairs
+   that are surely similar, and the pairs too close to call that the forest does not
+   connect. All of these are confirmed on the full shingle sets, and only confirmed pairs
+   are links.
+2. In a larger bucket, the documents outside its largest component so far visit all parts.
+   A bucket that the first round has connected is done, so that a group of copies costs
+   in proportion to its size.
+3. Where the sketches were sure of a pair that its sets refute, a forest may have hidden
+   other links: the parts of these documents are compared anew without forests.
 """
 
 from __future__ import annotations
@@ -22,11 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import kernels as K
-from .blocks import ordered_key
-from .common import components, partitions, written
+from .blocks import ordered_key, row_keys
+from .common import components, discard, free_name, partitions, written
 
 SHINGLE = 5
 BANDS, ROWS = 20, 4  # a pair at 0.85 shares no band with probability (1 - 0.85**4)**20 < 4e-7
@@ -137,9 +145,9 @@ class _Bucket:
         return a[ok], b[ok], np.where(over[ok] >= slack[ok], 1.0, 0.0)
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> np.ndarray:
-    """Which pairs to keep: a spanning forest of the sure ones, and the unsure ones between its trees."""
-    parent = list(range(n))
+def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Which pairs to keep: a spanning forest of the sure ones over the labels, and the unsure ones between its trees."""
+    parent = list(range(int(label.max()) + 1))
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -149,29 +157,33 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> np.ndarra
 
     keep = np.zeros(len(a), bool)
     for i in np.flatnonzero(sure).tolist():
-        x, y = find(int(a[i])), find(int(b[i]))
+        x, y = find(int(label[a[i]])), find(int(label[b[i]]))
         if x != y:
             parent[max(x, y)] = min(x, y)
             keep[i] = True
-    roots = np.array([find(i) for i in range(n)])
-    return keep | ((sure == 0) & (roots[a] != roots[b])) if n else keep
+    roots = np.array([find(i) for i in range(len(parent))])[label]
+    return keep | ((sure == 0) & (roots[a] != roots[b]))
 
 
-def _candidates(threshold: float):
-    """Pairs of each bucket part; rows come sorted by part, and those of a block pair carry their side."""
+AT_HOME, VISITOR, RESIDENT = 0, 1, 2  # visitors and those at home ask, residents and those at home answer
 
-    def emit(d: _Bucket, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+
+def _candidates(threshold: float, forest: bool):
+    """Pairs of each part with different labels; rows come sorted by bucket and part."""
+
+    def emit(d: _Bucket, a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> pa.RecordBatch:
         # a pair leaves only from the first band that it shares; what the forest of a later
         # bucket connects by such a pair was connected in that first bucket already
         first = (d.bands[a] == d.bands[b]).argmax(1) == d.band[a]
-        a, b = a[first], b[first]
+        a, b, sure = a[first], b[first], sure[first]
         x, y = d.key[a], d.key[b]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(sure > 0)], names=["a", "b", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["bucket", "part"], 20_000):
             d = _Bucket(table)
             bucket, part, side = (table.column(c).to_numpy() for c in ("bucket", "part", "side"))
+            _, label = np.unique(table.column("label").to_numpy(), return_inverse=True)
             cut = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])]))
             size = np.diff(np.append(cut, len(bucket)))
             # small groups all at once: each row with those before it
@@ -180,21 +192,24 @@ def _candidates(threshold: float):
             reps = np.where(small, place, 0)
             b = np.repeat(np.arange(len(bucket)), reps)
             a = b - 1 - (np.arange(len(b)) - np.repeat(np.cumsum(reps) - reps, reps))
+            meet = (label[a] != label[b]) & ((side[a] != side[b]) | (side[a] == AT_HOME))
+            a, b = a[meet], b[meet]
             for lo in range(0, len(a), 1 << 17):
-                x, y, _ = d.compare(a[lo : lo + (1 << 17)], b[lo : lo + (1 << 17)], threshold)
-                yield emit(d, x, y)
+                yield emit(d, *d.compare(a[lo : lo + (1 << 17)], b[lo : lo + (1 << 17)], threshold))
             for lo, n in zip(cut[size > 16].tolist(), size[size > 16].tolist(), strict=True):
-                left = np.arange(lo, lo + n)[side[lo : lo + n] != 2]
-                right = np.arange(lo, lo + n)[side[lo : lo + n] != 1]
-                found = []
-                for i in range(0, len(left), 128):
-                    a, b = (v.ravel() for v in np.meshgrid(left[i : i + 128], right, indexing="ij"))
-                    if not (side[lo : lo + n] != 0).any():
-                        a, b = a[a < b], b[a < b]
-                    found.append(d.compare(a, b, threshold))
-                a, b, sure = (np.concatenate(v) for v in zip(*found, strict=True))
-                keep = _forest(n, a - lo, b - lo, sure)
-                yield emit(d, a[keep], b[keep])
+                ask = np.arange(lo, lo + n)[side[lo : lo + n] != RESIDENT]
+                answer = np.arange(lo, lo + n)[side[lo : lo + n] != VISITOR]
+                found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+                for i in range(0, len(ask), 128):
+                    a, b = (v.ravel() for v in np.meshgrid(ask[i : i + 128], answer, indexing="ij"))
+                    meet = (label[a] != label[b]) & ((side[a] != side[b]) | (a < b))
+                    found.append(d.compare(a[meet], b[meet], threshold))
+                    if not forest:
+                        yield emit(d, *found.pop())
+                if forest:
+                    a, b, sure = (np.concatenate(v) for v in zip(*found, strict=True))
+                    keep = _forest(label[lo : lo + n], a - lo, b - lo, sure)
+                    yield emit(d, a[keep], b[keep], sure[keep])
 
     return run
 
@@ -261,32 +276,95 @@ def _confirm(percent: int):
     return run
 
 
-def similar_links(keyed: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between different shingle sets that connect all that all such links connect."""
+def _block(key: str, blocks) -> F.Column:
+    return F.pmod(F.xxhash64(key), blocks).cast("long")
+
+
+def _parts(rows: DataFrame, size: int) -> DataFrame:
+    """(key, band, bucket, part, side): the parts of the first round."""
+    blocks = F.ceil(F.col("m") / size).cast("long")
+    dealt = rows.select("key", "band", "bucket", _block("key", blocks).alias("part"), F.lit(AT_HOME).alias("side"))
+    heads = rows.where(F.col("m") > size).groupBy("bucket").agg(F.min("key").alias("key"), F.first("band").alias("band"), F.max("m").alias("m"))
+    heads = heads.select("key", "band", "bucket", _block("key", blocks).alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("part"))
+    return dealt.union(heads.where("part <> home").select("key", "band", "bucket", "part", F.lit(VISITOR).alias("side")))
+
+
+def _visits(rows: DataFrame, labels: DataFrame, size: int) -> DataFrame:
+    """(key, band, bucket, part, side): in buckets of more than `size` documents with several labels, those outside the largest one visit all parts."""
+    large = rows.where(F.col("m") > size).join(labels, "key")
+    count = large.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    count = count.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
+    large = large.join(count, "bucket").withColumn("out", F.col("label") != F.col("main"))
+    blocks, guests = F.ceil(F.col("m") / size).cast("long"), F.ceil((F.col("all") - F.col("most")) / size).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    home = large.select("key", "band", "bucket", "out", "m", "all", "most", _block("key", blocks).alias("home"), _block("key", guests).alias("guest"))
+    asks = home.where("out").select("key", "band", "bucket", "guest", "home", every(blocks).alias("at"))
+    asks = asks.select("key", "band", "bucket", "guest", "at", F.when(F.col("home") == F.col("at"), AT_HOME).otherwise(VISITOR).alias("side"))
+    # those that visit from another part of the guests answer at home too
+    answers = home.select("key", "band", "bucket", "out", F.col("guest").alias("own"), F.col("home").alias("at"), every(guests).alias("guest"))
+    answers = answers.where("not out or own <> guest").select("key", "band", "bucket", "guest", "at", F.lit(RESIDENT).alias("side"))
+    return asks.union(answers).select("key", "band", "bucket", ((F.col("guest") + 1) * (1 << 30) + F.col("at")).alias("part"), "side")
+
+
+def similar_links(keyed: DataFrame, signatures: DataFrame, percent: int, size: int = BLOCK) -> DataFrame:
+    """(node, component): confirmed links between different shingle sets connect all that all such links connect."""
     n = partitions(keyed)
     reps = signatures.where("n_shingles > 0").groupBy("set1", "set2", "n_shingles").agg(F.min("key").alias("key")).select("key")
     reps = signatures.join(reps, "key", "left_semi")
     rows = reps.select("key", F.posexplode("bands").alias("band", "bucket"))
-    bucket = W.partitionBy("bucket")
-    rows = rows.select("key", "band", "bucket", F.count("*").over(bucket).alias("m"), F.row_number().over(bucket.orderBy("key")).alias("place")).where("m > 1")
+    count = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    rows = written(rows.join(count, "bucket").select("key", "band", "bucket", "m"), "buckets")
     sketches = signatures.select("key", "n_shingles", "level", "bands", "sketch", "sampled", "sketch_up", "sampled_up")
-    # a bucket of more than BLOCK documents is compared block against block: side 1 against side 2, side 0 within
-    block, blocks = F.floor((F.col("place") - 1) / BLOCK), F.ceil(F.col("m") / BLOCK)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    rows = rows.select("key", "band", "bucket", block.alias("block"), blocks.alias("blocks"), other.alias("other"))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    rows = rows.select(
-        "key", "band", "bucket", (low * F.col("blocks") + high).cast("long").alias("part"),
-        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("int").alias("side"),
-    )
-    rows = rows.join(sketches, "key").repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "key")
-    pairs = written(rows.mapInArrow(_candidates(percent / 100), "a long, b long").distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = keyed.select("key", "text").join(asked.hint("merge"), "key", "left_semi").mapInArrow(_sets, "key long, shingles binary")
-    sets = written(sets, "sets")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_confirm(percent), "a long, b long")
+
+    def confirmed(parts: DataFrame, labels: DataFrame | None, forest: bool) -> tuple[DataFrame, DataFrame]:
+        """Links among the candidates of the parts, and the documents of candidates that were sure and are no links."""
+        parts = parts.join(sketches, "key")
+        parts = parts.withColumn("label", F.col("key")) if labels is None else parts.join(labels, "key")
+        parts = parts.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "key")
+        pairs = parts.mapInArrow(_candidates(percent / 100, forest), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+        pairs = written(pairs, "pairs")
+        asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        sets = keyed.select("key", "text").join(asked.hint("merge"), "key", "left_semi").mapInArrow(_sets, "key long, shingles binary")
+        sets = written(sets, "sets")
+        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
+        both = both.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+        links = written(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
+        wrong = pairs.where("sure").join(links, ["a", "b"], "left_anti")
+        wrong = written(wrong.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wrong")
+        discard(sets)
+        return links, wrong
+
+    def labelled(links: DataFrame) -> DataFrame:
+        found = components(links).withColumnRenamed("node", "key")
+        return rows.select("key").distinct().join(found, "key", "left").select("key", F.coalesce("component", "key").alias("label"))
+
+    links, wrong = confirmed(_parts(rows, size), None, True)
+    if rows.where(F.col("m") > size).limit(1).count():
+        labels = labelled(links)
+        more, still = confirmed(_visits(rows, labels, size), labels, True)
+        links, wrong = links.union(more), wrong.union(still)
+    done = rows.select("bucket").limit(0)
+    while wrong.limit(1).count():
+        again = rows.join(wrong, "key", "left_semi").select("bucket").distinct().join(done, "bucket", "left_anti")
+        again, labels = written(again, "again"), labelled(links)
+        some = rows.join(again, "bucket", "left_semi")
+        more, wrong = confirmed(_parts(some, size).union(_visits(some, labels, size)), labels, False)
+        links, done = links.union(more), done.union(again)
+        wrong = rows.join(wrong, "key", "left_semi").join(done, "bucket", "left_anti").select("key").distinct()
+    return components(links)
+
+
+def labelled_sets(keyed: DataFrame, percent: int) -> DataFrame:
+    """(key, n_shingles, component) of each row of `keyed` (key, text); component is the smallest key that links reach."""
+    if not 80 <= percent <= 100:
+        raise ValueError("bands and sketches are set for similarities of 80 % and above")
+    signatures = written(keyed.select("key", "text").mapInArrow(_signatures, _SIGNATURE), "signatures")
+    sets = ["set1", "set2", "n_shingles"]
+    found = similar_links(keyed, signatures, percent)
+    firsts = signatures.where("n_shingles > 0").groupBy(*sets).agg(F.min("key").alias("first"))
+    firsts = firsts.join(found, F.col("first") == F.col("node"), "left").select(*sets, F.coalesce("component", "first").alias("component"))
+    # an equal set may stand in any number of rows: the join is one that Spark splits when skewed
+    return signatures.select("key", *sets).join(firsts, sets, "left").select("key", "n_shingles", F.coalesce("component", "key").alias("component"))
 
 
 def minhash_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -302,16 +380,24 @@ def minhash_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     if not 80 <= percent <= 100:
         raise ValueError("bands and sketches are set for similarities of 80 % and above")
     keyed, plain = ordered_key(docs)
-    signatures = written(keyed.select("key", "text").mapInArrow(_signatures, _SIGNATURE), "signatures")
-    sets = ["set1", "set2", "n_shingles"]
-    found = components(similar_links(keyed, signatures, percent))
-    firsts = signatures.where("n_shingles > 0").groupBy(*sets).agg(F.min("key").alias("first"))
-    firsts = firsts.join(found, F.col("first") == F.col("node"), "left").select(*sets, F.coalesce("component", "first").alias("component"))
-    # an equal set may stand in any number of rows: the join is one that Spark splits when skewed
-    out = signatures.select("key", *sets).join(firsts, sets, "left").select("key", "n_shingles", F.coalesce("component", "key").alias("component"))
+    out = labelled_sets(keyed, percent)
     kept = (F.col("component") == F.col("key")).alias("kept")
     if plain:
         return out.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept)
     ids = keyed.select("key", "doc_id")
     out = out.join(ids, "key").join(ids.select(F.col("key").alias("component"), F.col("doc_id").alias("component_id")), "component")
     return out.select("doc_id", "n_shingles", "component_id", kept)
+
+
+def first_rows(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that are the first of their component, with all their columns.
+
+    Rows are judged one by one, as in `minhash_dedup`: of repeated rows, and of copies
+    without an id, one stays; rows that share an id but not a text are documents of their
+    own. A row without shingles stays.
+    """
+    name = free_name(docs, "key")
+    rows = row_keys(docs, name)
+    out = labelled_sets(rows.select(F.col(name).alias("key"), "text"), percent)
+    gone = out.where("component <> key").select(F.col("key").alias(name))
+    return rows.join(gone, name, "left_anti").drop(name)

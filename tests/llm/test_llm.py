@@ -111,9 +111,8 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def test_minhash(spark):
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.minhash_dedup(table(spark, TEXTS)).collect()}
-    sets = [shingle_set(t) for t in TEXTS]
+def brute_components(texts, percent):
+    sets = [shingle_set(t) for t in texts]
     parent = list(range(len(sets)))
 
     def find(i):
@@ -123,10 +122,54 @@ def test_minhash(spark):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
-    assert got == {i: (len(s), find(i), find(i) == i) for i, s in enumerate(sets)}
+    return {i: (len(s), find(i), find(i) == i) for i, s in enumerate(sets)}
+
+
+def test_minhash(spark):
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.minhash_dedup(table(spark, TEXTS)).collect()}
+    assert got == brute_components(TEXTS, 85)
+
+
+@pytest.mark.parametrize("slack", [None, (-0.2, -0.2)])
+def test_minhash_large_buckets(spark, monkeypatch, slack):
+    """Buckets larger than a part, some of several components; and estimates that are sure of what the sets refute."""
+    r = random.Random(8)
+    texts = []
+    for n in (60, 40, 25):
+        base = words(120)
+        for _ in range(n):
+            near = list(base)
+            for _ in range(r.randint(0, 3)):
+                near[r.randrange(120)] = r.choice(VOCABULARY)
+            texts.append(" ".join(near))
+    shared = words(60)
+    texts += [" ".join(shared + words(r.randint(8, 14))) for _ in range(30)]
+    monkeypatch.setattr(near_dup.similar_links, "__defaults__", (12,))
+    if slack:  # below the threshold by far, a pair still counts as sure
+        monkeypatch.setattr(near_dup, "SLACK", slack)
+        monkeypatch.setattr(near_dup._Bucket, "compare", sure_of_all(near_dup._Bucket.compare))
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_dup.minhash_dedup(table(spark, texts)).collect()}
+    assert got == brute_components(texts, 85)
+
+
+def sure_of_all(compare):
+    def run(self, a, b, threshold):
+        a, b, sure = compare(self, a, b, threshold - 0.15)
+        return a, b, np.ones(len(a))
+
+    return run
+
+
+def test_first_rows_of_components(spark):
+    schema = "doc_id long, text string, key int, _key int"
+    rows = [(7, "x y z", 1, 1), (7, "x y z", 1, 1), (7, "other words", 2, 2), (9, "y", 3, 3), (None, "x y z", 4, 4), (None, "lone", 5, 5), (None, None, 6, 6), (None, None, 6, 6), (3, "", 7, 7)]
+    got = near_dup.first_rows(spark.createDataFrame(rows, schema).repartition(3))
+    assert got.columns == ["doc_id", "text", "key", "_key"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[0], *rows[2:4], *rows[5:]]))
+    assert near_dup.first_rows(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_odd_sketch_estimate():
