@@ -2,40 +2,29 @@
 
 Around every word shingle that a document shares with a template, windows of template
 length overlap the text. MinHash bands of one row each, BANDS of them, retrieve the
-templates of a window: at Jaccard similarity s they collide with probability
-1 - (1 - s) ** BANDS, above 1 - 1e-8 at the similarity asked for. A retrieved template
-counts if the window contains enough of its shingles, exactly compared.
+templates of a window. A window of a template's length that contains a share c of its
+shingles has Jaccard similarity c / (2 - c) at least, where the bands collide with
+probability 1 - (1 - c / (2 - c)) ** BANDS: above 1 - 1e-9 at c = 0.8. A retrieved
+template counts if the window contains enough of its shingles, exactly compared.
 
-Only DataFrame functions. The templates are a small parameter table.
+Only DataFrame functions. The templates are a parameter table of any size; TEMPLATES are
+those of `template_table`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import written
-from .text_scan import item_index, item_windows, shingles, words
+from .license_texts import TEMPLATES
+from .text_scan import WINDOW, item_shingles, item_windows
 
 SHINGLE = 5
-BANDS = 12
+BANDS = 20
 CONTAINMENT = 0.8
-
-#: Notice sentences by which works state a license, by SPDX identifier (fixed values); a notice that grants none has a name of the kind that SPDX keeps for others.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
-)
+MARKS = ".,;:!?\"'`()[]{}<>*#/|_=~-"  # vanish from words, so that comment signs and punctuation do not hide a notice
 
 
 def template_table(spark: SparkSession) -> DataFrame:
@@ -43,35 +32,40 @@ def template_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "template_id int, license string, text string")
 
 
-def minhash_bands(s: Column) -> Column:
-    """(band, value) of a shingle list: in each band the least of the shingles' hashes under the band's own seed."""
-    least = lambda band: F.array_min(F.transform(s, lambda h: F.xxhash64(h, F.lit(band))))
-    return F.array(*[F.struct(F.lit(b).alias("band"), least(b).alias("value")) for b in range(BANDS)])
+def minhashes(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, band, value): in each band the least of the group's shingle hashes under the band's own seed."""
+    least = rows.groupBy(*by).agg(*[F.min(F.xxhash64("shingle", F.lit(b))).alias(f"m{b}") for b in range(BANDS)])
+    bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"m{b}").alias("value")) for b in range(BANDS)]))
+    return least.select(*by, bands.alias("e")).select(*by, "e.band", "e.value")
 
 
 def license_scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, license, n_places, start, containment): the licenses that `docs` (doc_id, text) state.
 
     `templates` has template_id, license and text. containment is the share of the
-    template's distinct 5-word shingles (lower-cased words; a template of fewer words is
-    one shingle, also inside longer texts) in a window of its length; n_places counts the windows that reach it, start is the
-    word where the best, then first, of them begins. Null and empty texts and templates
-    match nothing; rows with a null doc_id show null; repeated rows give one result. Other
-    columns are ignored.
+    template's distinct 5-word shingles (lower-cased words without punctuation; a template
+    of fewer words is one shingle, also inside longer texts) in a window of its length;
+    of templates of one length, a window counts for those that it contains best. n_places
+    counts the windows, start is the word where the best, then first, of them begins
+    (marks that stand alone are no words). Null and empty texts and
+    templates match nothing; rows with a null doc_id show null; repeated rows give one
+    result. Other columns are ignored.
     """
-    items = templates.select(F.struct("template_id", "license").alias("item"), "text").distinct()
-    index = item_index(items, SHINGLE)
+    if not 0.5 <= containment <= 1:
+        raise ValueError("the bands are set for a containment from 0.5 to 1")
+    items = templates.select(F.struct("template_id", "license", F.xxhash64("text").alias("t")).alias("item"), "text").distinct()
+    index = written(item_shingles(items, SHINGLE, MARKS), "items")
     keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("key"), "doc_id", "text")
-    windows = written(item_windows(keyed, index, SHINGLE), "windows")
-    listed = items.select("item", words(F.col("text")).alias("w")).select("item", F.size("w").alias("n_words"), shingles(F.col("w"), SHINGLE).alias("item_s"))
-    listed = listed.where("n_words > 0")
-    asks = windows.select("key", "doc_id", "start", "n_words", F.explode(minhash_bands(F.col("s"))).alias("e")).select("key", "doc_id", "start", "n_words", "e.band", "e.value")
-    table = listed.select("item", "n_words", F.explode(minhash_bands(F.col("item_s"))).alias("e")).select("item", "n_words", "e.band", "e.value")
-    found = asks.join(table, ["n_words", "band", "value"]).select("key", "doc_id", "start", "n_words", "item").distinct()
-    found = found.join(windows.select("key", "start", "n_words", "s"), ["key", "start", "n_words"]).join(listed.select("item", "item_s"), "item")
-    kinds = F.array_distinct("item_s")
-    share = F.size(F.array_intersect(kinds, F.col("s"))) / F.size(kinds)
-    found = found.withColumn("containment", share).where(F.col("containment") >= containment)
-    places = found.groupBy("doc_id", F.col("item.license").alias("license"))
-    out = places.agg(F.count_distinct("start").alias("n_places"), F.max_by(F.struct("start", "containment"), F.struct("containment", -F.col("start"))).alias("m"))
+    windows = written(item_windows(keyed, index, SHINGLE, MARKS), "windows")
+    table = minhashes(index, ["item", "n_words"])
+    found = minhashes(windows, WINDOW).join(table, ["n_words", "band", "value"]).select(*WINDOW, "item").distinct()
+    kinds = index.select("item", "shingle").distinct()
+    shared = found.join(windows.select(*WINDOW, "doc_id", "shingle").distinct(), WINDOW).join(kinds, ["item", "shingle"])
+    shared = shared.groupBy(*WINDOW, "doc_id", "item").agg(F.count("*").alias("both"))
+    shared = shared.join(kinds.groupBy("item").agg(F.count("*").alias("all")), "item")
+    shared = shared.withColumn("containment", F.col("both") / F.col("all")).where(F.col("containment") >= containment)
+    # versions of a license differ in a word or two: a window states those that it contains best
+    shared = shared.withColumn("best", F.max("containment").over(W.partitionBy(*WINDOW))).where("containment = best")
+    places = shared.groupBy("doc_id", F.col("item.license").alias("license"))
+    out = places.agg(F.count_distinct("key", "start").alias("n_places"), F.max_by(F.struct("start", "containment"), F.struct("containment", -F.col("start"))).alias("m"))
     return out.select("doc_id", "license", "n_places", "m.start", "m.containment")

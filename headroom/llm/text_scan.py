@@ -1,10 +1,16 @@
 """Native search for short texts inside long ones: shared by the license scan and benchmark decontamination.
 
 Only DataFrame functions. A window of a document can be similar to an item only if it
-shares a word shingle with it. One pass over the documents hashes all shingles and keeps,
-by a join with the items' shingles, those that occur in an item; every hit names the
-window of the item's own length in which the shingle would stand at its place in the
-item. These item-sized windows are all that later steps look at.
+shares a word shingle with it, so the work has two passes:
+
+1. One scan hashes the shingles of all documents and joins them with the items' shingles.
+   Every hit names the window of the item's own length in which the shingle would stand
+   at its place in the item. Nothing else leaves the scan.
+2. Only the documents that were hit are read again, and the named windows are cut.
+
+A word is hashed once, and a shingle's hash is that of its words' hashes. The items'
+shingles, and the keys of the documents hit, are sent to all tasks where their checked
+size is below BROADCAST_BYTES; else the same joins shuffle.
 """
 
 from __future__ import annotations
@@ -14,76 +20,72 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BROADCAST_ROWS = 200_000
-LOCAL_SHINGLES = 2_000
+BROADCAST_BYTES = 48 << 20
+ROW_BYTES = 64  # of a row of numbers in a broadcast table
+WINDOW = ["key", "n_words", "start"]
+_BLANKS = "\t\n\x0b\x0c\r"
 
 
-def words(text: Column) -> Column:
-    """Lower-cased words of a text, cut at ASCII white space; null has none."""
-    lower = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r", "     ")
+def words(text: Column, without: str = "") -> Column:
+    """Lower-cased words of a text, cut at ASCII white space; the characters of `without` vanish first; null has none."""
+    lower = F.translate(F.lower(F.coalesce(text, F.lit(""))), _BLANKS + without, " " * len(_BLANKS))
     return F.filter(F.split(lower, " "), lambda w: w != "")
 
 
-def shingles(word_list: Column, k: int) -> Column:
-    """Hashes of the k-word shingles in order; fewer words than k are one shingle, none have none."""
-    n = F.size(word_list)
-    hashed = lambda i, m: F.xxhash64(F.array_join(F.slice(word_list, i, m), " "))
-    many = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: hashed(i, k))
-    return F.when(n >= k, many).when(n > 0, F.array(hashed(F.lit(1), F.greatest(n, F.lit(1))))).otherwise(F.array().cast("array<bigint>"))
+def hashed_words(text: Column, without: str = "") -> Column:
+    return F.transform(words(text, without), lambda w: F.xxhash64(w))
+
+
+def shingles(hashes: Column, m: int) -> Column:
+    """Hashes of the m-word shingles of a column of word hashes, in order; fewer words have none."""
+    at = F.sequence(F.lit(0), F.size(hashes) - m)
+    return F.when(F.size(hashes) >= m, F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(m)])))
+
+
+def with_words(rows: DataFrame, *columns: str, without: str = "") -> DataFrame:
+    """`columns` and w, the word hashes of `text`. They are generated, so that they are made once and not for each shingle."""
+    return rows.select(*columns, F.explode_outer(F.array(hashed_words(F.col("text"), without))).alias("w"))
+
+
+def item_shingles(items: DataFrame, k: int, without: str = "") -> DataFrame:
+    """(item, n_words, at, shingle) of all items that have words; an item of fewer than k words is one shingle."""
+    worded = with_words(items, "item", without=without).where(F.size("w") > 0)
+    s = F.when(F.size("w") >= k, shingles(F.col("w"), k)).otherwise(F.array(F.lit(None).cast("bigint")))
+    for m in range(1, k):
+        s = F.when(F.size("w") == m, shingles(F.col("w"), m)).otherwise(s)
+    return worded.select("item", F.size("w").alias("n_words"), F.posexplode(s).alias("at", "shingle"))
 
 
-def item_index(items: DataFrame, k: int) -> DataFrame:
-    """(item, n_words, at, shingle) of all items that have words."""
-    listed = items.select(F.col("item"), words(F.col("text")).alias("w")).select("item", F.size("w").alias("n_words"), shingles(F.col("w"), k).alias("s"))
-    return listed.select("item", "n_words", F.posexplode_outer("s").alias("at", "shingle"))
+def small_enough(table: DataFrame) -> bool:
+    most = BROADCAST_BYTES // ROW_BYTES
+    return table.limit(most + 1).count() <= most
 
 
-def item_windows(docs: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(key, doc_id, n_words, start, s): the item-sized windows of `docs` (key, doc_id, text) around shared shingles, with their shingles in order.
+def item_windows(docs: DataFrame, index: DataFrame, k: int, without: str = "") -> DataFrame:
+    """(key, doc_id, n_words, start, shingle), a row per shingle: the item-sized windows of `docs` (key, doc_id, text) around shared shingles.
 
     Windows that hang over an end of the document are moved inside; a document shorter
     than the item is one window. An item of m words, fewer than k, is one m-word shingle:
     for the lengths m that occur, the documents' m-word shingles are hashed too.
     """
-    size = F.least("n_words", F.lit(k))
-    lengths = sorted(r["m"] for r in index.where("n_words > 0").select(size.alias("m")).distinct().collect())  # k at most
-    kinds = index.where("n_words > 0").groupBy(size.alias("m"), "shingle").agg(F.collect_set(F.struct("n_words", "at")).alias("places"))
-    # the distinct shingles of the items: their number is checked before they are sent everywhere
-    small = kinds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    # the words are a column of their own, made once: no filter on the shingles passes an explode
-    worded = docs.select("key", "doc_id", F.explode_outer(F.array(words(F.col("text")))).alias("w"))
-    listed = worded.select("key", "doc_id", *[shingles(F.col("w"), m).alias(f"s{m}") for m in lengths])
-    few = kinds.select("m", "shingle").limit(LOCAL_SHINGLES + 1).collect()
-    if len(few) <= LOCAL_SHINGLES:
-        # few items: documents that share no shingle with any leave in the scan, before any shuffle
-        shares = F.lit(False)
-        for m in lengths:
-            shares = shares | F.arrays_overlap(f"s{m}", F.array(*[F.lit(r["shingle"]) for r in few if r["m"] == m]).cast("array<bigint>"))
-        listed = written(listed.where(shares), "sharing")
-    out = None
-    for m in lengths or [k]:
-        some = listed.select("key", "doc_id", (F.col(f"s{m}") if lengths else F.array().cast("array<bigint>")).alias("s"))
-        part = _windows(some, kinds.where(F.col("m") == m).drop("m"), m, small)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _windows(listed: DataFrame, kinds: DataFrame, k: int, small: bool) -> DataFrame:
-    """item_windows for the items whose shingles have k words, on `listed` (key, doc_id, s)."""
-    # the outer form: no filter on the shingles is inferred, which would be pushed below the words and make these anew for each shingle
-    hits = listed.select("key", F.posexplode_outer("s").alias("pos", "shingle")).join(F.broadcast(kinds) if small else kinds, "shingle")
-    hits = hits.select("key", "pos", F.explode("places").alias("p"))
-    starts = hits.select("key", F.col("p.n_words").alias("n_words"), F.greatest(F.col("pos") - F.col("p.at"), F.lit(0)).alias("start")).distinct()
-    asked = starts.groupBy("key").agg(F.collect_list(F.struct("n_words", "start")).alias("asked"))
-    cut = listed.join(asked, "key").select("key", "doc_id", "s", F.explode("asked").alias("a"))
-    width = F.greatest(F.col("a.n_words") - (k - 1), F.lit(1))
-    first = F.greatest(F.least(F.col("a.start"), F.size("s") - width), F.lit(0))
-    return cut.select("key", "doc_id", F.col("a.n_words").alias("n_words"), first.alias("start"), F.slice("s", first + 1, width).alias("s")).distinct()
-
-
-def weighted_overlap(a: Column, b: Column) -> tuple[Column, Column]:
-    """Sizes of the intersection and of the union of two shingle lists as multisets."""
-    a_kinds = F.array_distinct(a)
-    times = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    both = F.aggregate(a_kinds, F.lit(0), lambda t, v: t + F.least(times(a, v), times(b, v)))
-    return both, F.size(a) + F.size(b) - both
+    places = written(index.select("shingle", "n_words", "at").distinct(), "places")
+    lengths = [r["m"] for r in places.select(F.least("n_words", F.lit(k)).alias("m")).distinct().orderBy("m").collect()] or [k]  # k rows at most
+    some = lambda m: F.coalesce(shingles(F.col("w"), m), F.array().cast("array<bigint>"))
+    found = F.concat(*[F.transform(some(m), lambda h, i: F.struct(i.alias("pos"), h.alias("shingle"))) for m in lengths])
+    # the outer form: no filter on the shingles is inferred, which would be pushed below the words
+    rows = with_words(docs, "key", without=without).select("key", F.explode_outer(found).alias("s")).select("key", "s.pos", "s.shingle")
+    hits = rows.join(F.broadcast(places) if small_enough(places) else places, "shingle")
+    asked = hits.select("key", "n_words", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start")).distinct()
+    asked = written(asked, "asked")
+    hit = asked.select("key").distinct()
+    if small_enough(hit):
+        docs = docs.join(F.broadcast(hit), "key", "left_semi")
+    cut = with_words(docs, "key", "doc_id", without=without).join(asked, "key")
+    m = F.least("n_words", F.lit(k))
+    last = F.greatest(F.size("w") - F.col("n_words"), F.lit(0))
+    cut = cut.select("key", "doc_id", "n_words", m.alias("m"), F.least("start", last).alias("start"), F.slice("w", F.least("start", last) + 1, F.col("n_words")).alias("w"))
+    cut = cut.dropDuplicates(WINDOW)
+    s = F.array().cast("array<bigint>")
+    for m in lengths:
+        s = F.when(F.col("m") == m, some(m)).otherwise(s)
+    return cut.select("key", "doc_id", "n_words", "start", F.explode(s).alias("shingle"))
