@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import kernels as K
-from .common import held_remainder
+from .common import held_remainder, written
 
 ORDER = 4
 HASHES = 3
@@ -137,8 +137,10 @@ def learn(docs: DataFrame, train: Column, sample: int = SAMPLE, slots: int = SLO
     index = {name: i for i, name in enumerate(languages)}
     counts = known.where(part < share).select("lang", "text").mapInArrow(_count_grams(index), "language int, gram long, n long")
     counts = counts.groupBy("language", "gram").agg(F.sum("n").alias("n"))
-    # one pass: the share of each n-gram in its language, against its largest share
-    counts = counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("language")))
+    # the share of each n-gram in its language, against its largest share; totals are one row per language
+    counts = written(counts, "grams")
+    all_of = counts.groupBy("language").agg(F.sum("n").alias("all"))
+    counts = counts.join(all_of, "language").withColumn("share", F.col("n") / F.col("all"))
     counts = counts.withColumn("most", F.max("share").over(W.partitionBy("gram")))
     kept = counts.where((F.col("n") >= MIN_COUNT) & (F.col("share") >= LEAST_SHARE * F.col("most"))).select("language", "gram").toArrow()
     total = sum(sizes.values())
