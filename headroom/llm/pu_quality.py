@@ -159,8 +159,10 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPL
     n_trusted, n_rows = trusted.count(), rows.count()
     trusted = trusted.where(part("trusted") < min(1.0, sample / max(n_trusted, 1)))
     # about `sample` ids by the filter above: the join side has a size that does not grow
-    positive = rows.join(F.broadcast(trusted), "doc_id", "left_semi").select(F.lit(True).alias("positive"), "text")
-    unlabelled = rows.where(part("unlabelled") < min(1.0, 2 * sample / max(n_rows, 1))).select(F.lit(False).alias("positive"), "text")
+    # and of the rows that share an id one, so that neither do the rows sent to the driver
+    one = lambda df, mark: df.groupBy("doc_id").agg(F.min("text").alias("text")).select(F.lit(mark).alias("positive"), "text")
+    positive = one(rows.join(F.broadcast(trusted), "doc_id", "left_semi"), True)
+    unlabelled = one(rows.where(part("unlabelled") < min(1.0, 2 * sample / max(n_rows, 1))), False)
     got = positive.union(unlabelled).mapInArrow(_as_rows, "positive boolean, x binary").toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, FEATURES)
     mark = got["positive"].to_numpy(zero_copy_only=False).astype(bool)
