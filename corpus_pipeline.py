@@ -18,28 +18,38 @@ NEAR_DUP_PERCENT = 80  # of the union of 5-word shingles; the 85 of minhash_dedu
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and texts of which hardly an n-gram is known in the predicted language."""
+    """Rejects null texts, texts without letters and texts of which hardly an n-gram is known in the predicted language; repeated rows leave or stay together."""
     model = language.learn(docs, F.lit(True))
     found = language.identify(docs, model)
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(COLUMNS)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id; repeated rows of it count once."""
-    gone = near_dup.minhash_dedup(docs, percent=NEAR_DUP_PERCENT).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One row of each group of near copies stays, the first by doc_id (null last) and text.
+
+    Rows are judged one by one: repeated rows, and copies without an id, are copies like
+    others; rows that share an id but not a text are documents of their own. Null and empty
+    texts stay.
+    """
+    return near_dup.first_rows(docs, percent=NEAR_DUP_PERCENT).select(COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a passage of the benchmark leave, each judged by its own text, whatever its id; null and empty texts stay."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per copy that the mix takes, in training order; a copy keeps its document's id and its whole text."""
+    """A row per copy that the mix takes, in training order; a copy keeps its document's id and its whole text.
+
+    Rows of size 0 (null, empty or blank texts) are taken 0 times. A null source is a source of its own;
+    repeated rows are mixed as separate documents.
+    """
     return mixing.curriculum_mix(docs).select(COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards in order of doc_id (null first), then text; each copy is encoded as often as it comes, a null text is empty."""
     return token_shards.token_shards(docs, queries.default_tokenizer())
 
 
