@@ -37,6 +37,7 @@ _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _OTHER_SPACE = re.compile(r"[^\S \t-\r]|\0")
 _CONTROLS = ("\0", "\x1c", "\x1d", "\x1e", "\x1f")
 _RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
+_PLAIN = re.compile(r"([ \n]?)([A-Za-z]+)([.,;:!?]*)")  # one blank, one word of letters, one run of marks
 
 
 class WaveletMatrix:
@@ -145,8 +146,10 @@ class Encoder:
 
     A border between a non-space and a following ASCII space is always a border of the
     byte-level pre-tokenizer, and each pre-token is encoded on its own, so that the ids
-    of a text are those of its pieces joined. A text with other white space than ASCII, or with
-    the string of an added token, is encoded whole by the library. The first `keep` distinct pieces are remembered by a
+    of a text are those of its pieces joined. A new piece of ASCII letters, with a blank
+    in front and marks behind, goes to the library's model directly: its pre-tokens are
+    known. A text with other white space than ASCII, or with the string of an added token,
+    is encoded whole by the library. The first `keep` distinct pieces are remembered by a
     worker; later ones are encoded as they come.
     """
 
@@ -157,11 +160,37 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.keep, self.known = keep, {}
+        self.keep, self.known, self.marks = keep, {}, {}
+        self.model = self.tokenizer.model.tokenize
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _mark(self, text: str) -> bytes:
+        got = self.marks.get(text)
+        if got is None:
+            got = self._whole([text])[0]
+            if len(self.marks) < 4096:
+                self.marks[text] = got
+        return got
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that are not known yet."""
+        out: list[bytes | None] = []
+        rest = []
+        for p in pieces:
+            m = _PLAIN.fullmatch(p)
+            if m is None:
+                out.append(None)
+                rest.append(p)
+                continue
+            blank, word, marks = m.groups()
+            # the byte-level alphabet writes a blank as U+0120 and ASCII letters as they are
+            ids = array("I", [t.id for t in self.model("\u0120" + word if blank == " " else word)]).tobytes()
+            out.append((self._mark(blank) if blank == "\n" else b"") + ids + (self._mark(marks) if marks else b""))
+        more = iter(self._whole(rest)) if rest else iter(())
+        return [next(more) if i is None else i for i in out]
+
     def _pieces(self, text: str) -> list[str]:
         """The pieces, each with its blanks in front; a text without runs of blanks is cut at its spaces and lines."""
         if any(c in text for c in _CONTROLS) or not text.isascii() and _OTHER_SPACE.search(text) or any(a in text for a in self.added):
@@ -176,7 +205,7 @@ class Encoder:
         cut = [self._pieces(t) for t in texts]
         ids = [list(map(known.get, c)) for c in cut]
         new = list({p for c, i in zip(cut, ids, strict=True) if None in i for p, v in zip(c, i, strict=True) if v is None})
-        more = dict(zip(new, self._whole(new), strict=True))
+        more = dict(zip(new, self._ids(new), strict=True))
         out = [b"".join([more[p] if v is None else v for p, v in zip(c, i, strict=True)] if None in i else i) for c, i in zip(cut, ids, strict=True)]
         if len(known) < self.keep:
             known.update((p, i) for p, i in more.items() if len(p) <= 32)
