@@ -1 +1 @@
-"""Part of the engine."""
+"""Expressions that relations share: formats and phrases."""

@@ -1,10 +1,19 @@
-"""Bands, bounds, tiers, dollars left unused, decisions and the report: at most eight rows per account and provider."""
+"""Bands, bounds, tiers, dollars left unused, decisions: at most eight rows per account and provider.
+
+What is unknown is null, with a reason beside it, and no account is left out: reports start
+from all accounts that have usage or snapshots.
+"""
 
 from __future__ import annotations
 
-from .relations import MONTH, NOW, T0, K, dollars, relation
+from ..functions.text import usd
+from .relations import MONTH, K, dollars, relation
 from .windows import SNAP
 
+DECISION_REASON = (
+    "case when reason_code = 'extracted' then 'dollars extracted are unknown' when reason_code = 'cost' then 'plan cost is unknown: no plan price, or no measured time' "
+    "when reason_code = 'straddles' then 'the range lies on both sides of 1.0 times the plan cost' when verdict = 'DOWNGRADE' then 'returns less than 1.0 times the plan cost' end"
+)
 ON = "{0}.account_id = {1}.account_id and {0}.provider = {1}.provider"
 
 
@@ -118,7 +127,7 @@ def spans(d):
 select {K}, min(a) a, max(b) b from (
   select {K}, a, b, sum(case when reach is null or a > reach then 1 else 0 end) over (partition by {K} order by a, b rows unbounded preceding) island from (
     select {K}, a, b, max(b) over (partition by {K} order by a, b rows between unbounded preceding and 1 preceding) reach from (
-      select {K}, greatest(lo, {T0}) a, least(hi + 1, {NOW}) b from bounds) i where a < b) m) x group by {K}, island"""
+      select {K}, greatest(lo, {d.t0}) a, least(hi + 1, {d.now}) b from bounds) i where a < b) m) x group by {K}, island"""
 
 
 @relation
@@ -127,54 +136,83 @@ def measured(d):
 
 
 @relation
-def measured_span(d):
-    return f"select *, least(cast(1 as double), measured_secs / cast({NOW - T0} as double)) coverage_frac from measured"
+def accounts(d):
+    return f"select {K} from usage_events union select {K} from snapshots"
 
 
 @relation
 def plan_segments(d):
+    """Plans by time; the first one reaches back to the beginning."""
     return f"""
 select {K}, plan_type, case when row_number() over (partition by {K} order by ts) = 1 then -4611686018427387904 else ts end a,
   lead(ts, 1, 4611686018427387904) over (partition by {K} order by ts) b from plan_points"""
 
 
+@relation
+def plan_resolved(d):
+    """The current plan of each account: a configured price beats that of the plan's own."""
+    return f"""
+select k.account_id, k.provider, l.plan_type, coalesce(o.override_usd, p.monthly_usd) monthly_usd, case when o.override_usd is not null then false else coalesce(p.plan_approx, true) end plan_approx,
+  case when o.override_usd is not null then 'config' when p.monthly_usd is not null then 'plan' else 'unknown' end origin, o.override_usd,
+  case when o.override_usd is not null or p.monthly_usd is not null then null when l.plan_type is null then 'no snapshot names a plan, and no price is configured' else concat('plan ', l.plan_type, ' has no price') end error
+from accounts k left join latest_plan l on {on('l', 'k')} left join plan_overrides o on o.account_id = k.account_id left join plans p on p.provider = l.provider and p.plan_id = l.plan_type"""
+
+
+@relation
+def plan_resolve(d):
+    return f"select {K}, plan_type, {r6('monthly_usd')} monthly_usd, origin, error from plan_resolved"
+
+
+@relation
+def plan_pieces(d):
+    """The plan in force over each piece of measured time; without a known plan, the current one."""
+    return f"""
+select s.account_id, s.provider, g.plan_type, greatest(s.a, coalesce(g.a, s.a)) a, least(s.b, coalesce(g.b, s.b)) b
+from spans s left join plan_segments g on {on('s', 'g')} and greatest(s.a, g.a) < least(s.b, g.b)"""
+
+
 @relation
 def plan_costs(d):
-    """Dollars of the plan over the measured time; an unknown historical plan is priced as the current one."""
+    """Dollars of the plan over the measured time; an unknown historical plan is priced as the current one, and a configured price holds for all time."""
     return f"""
-select s.account_id, s.provider, sum(coalesce(h.monthly_usd, c.monthly_usd) * ((least(s.b, g.b) - greatest(s.a, g.a)) / cast({MONTH} as double))) cost,
-  max(c.monthly_usd) monthly_usd, bool_or(coalesce(c.plan_approx, true)) plan_approx, max(l.plan_type) plan_type, bool_or(h.monthly_usd is null) unknown_history
-from spans s join plan_segments g on {on('s', 'g')} and greatest(s.a, g.a) < least(s.b, g.b) join latest_plan l on {on('s', 'l')}
-left join plans h on h.provider = g.provider and h.plan_id = g.plan_type left join plans c on c.provider = l.provider and c.plan_id = l.plan_type
-group by s.account_id, s.provider"""
+select c.account_id, c.provider, x.cost, c.monthly_usd, c.plan_approx, c.plan_type, coalesce(x.unknown_history, false) unknown_history, x.unknown_plans, c.error
+from plan_resolved c left join (
+  select s.account_id, s.provider, sum(coalesce(r.override_usd, h.monthly_usd, r.monthly_usd) * ((s.b - s.a) / cast({MONTH} as double))) cost,
+    bool_or(h.monthly_usd is null and s.plan_type is not null and r.override_usd is null) unknown_history,
+    {d.kinds("case when h.monthly_usd is null and r.override_usd is null then s.plan_type end")} unknown_plans
+  from plan_pieces s join plan_resolved r on {on('r', 's')} left join plans h on h.provider = s.provider and h.plan_id = s.plan_type group by s.account_id, s.provider) x on {on('x', 'c')}"""
 
 
 @relation
 def plan_cost(d):
-    return f"select {K}, plan_type, {r6('monthly_usd')} monthly_usd, {r6('cost')} cost, unknown_history from plan_costs"
+    return f"select {K}, plan_type, {r6('monthly_usd')} monthly_usd, {r6('cost')} cost, unknown_history from plan_costs where cost is not null or plan_type is not null"
 
 
 @relation
-def plan_resolve(d):
-    """The current plan: a configured price (here for account a9) beats the detected plan's."""
+def operands(d):
+    """What the decision compares, as a range (lo = hi here), and the plan's cost over the measured time."""
     return f"""
-select l.account_id, l.provider, l.plan_type, coalesce(o.monthly_usd, p.monthly_usd) monthly_usd, case when o.monthly_usd is not null then 'config' when p.monthly_usd is not null then 'plan' else 'unknown' end origin
-from latest_plan l left join (select 'a9' account_id, cast(30 as double) monthly_usd) o on o.account_id = l.account_id left join plans p on p.provider = l.provider and p.plan_id = l.plan_type"""
+select k.account_id, k.provider, coalesce(a.full_usd, cast(0 as double)) lo, coalesce(a.full_usd, cast(0 as double)) hi, coalesce(a.approx_usd, cast(0 as double)) approx_usd,
+  case when c.cost > 0 then c.cost end cost, coalesce(a.approx_usd, 0) > 0 or coalesce(c.plan_approx, true) approx
+from accounts k left join api_equiv a on {on('a', 'k')} left join plan_costs c on {on('c', 'k')}"""
 
 
 @relation
 def decided(d):
+    """KEEP if the whole range returns the plan's cost, DOWNGRADE if none of it does; the end of the range next to the verdict's border is reported, never a middle."""
+    known = f"lo > -{d.inf()} and hi < {d.inf()} and lo <= hi"
     return f"""
-select x.*, case when cost is null or cost <= 0 then 'UNKNOWN' when full_usd / cost >= 1 then 'KEEP' else 'DOWNGRADE' end verdict, case when cost > 0 then full_usd / cost end multiple
-from (select a.account_id, a.provider, a.full_usd, a.approx_usd, case when c.cost > 0 then c.cost end cost, a.approx_usd > 0 or coalesce(c.plan_approx, true) approx
-from api_equiv a left join plan_costs c on {on('a', 'c')}) x"""
+select x.*, case verdict when 'KEEP' then lo when 'DOWNGRADE' then hi else case when reason_code = 'cost' and lo = hi then lo end end full_usd,
+  case verdict when 'KEEP' then lo / cost when 'DOWNGRADE' then hi / cost end multiple
+from (select y.*, case when reason_code is not null then 'UNKNOWN' when lo / cost >= 1 then 'KEEP' else 'DOWNGRADE' end verdict
+  from (select o.account_id, o.provider, o.lo, o.hi, o.approx_usd, o.approx, case when o.cost > 0 and o.cost < {d.inf()} then o.cost end cost,
+    case when not coalesce({known}, false) then 'extracted' when not coalesce(cost > 0 and cost < {d.inf()}, false) then 'cost' when lo / cost < 1 and hi / cost >= 1 then 'straddles' end reason_code from operands o) y) x"""
 
 
 @relation
 def decision(d):
     return f"""
-select {K}, verdict, {r6('multiple')} return_multiple, {r6('full_usd')} extracted_usd, {r6('cost')} plan_cost_usd, approx,
-  case verdict when 'UNKNOWN' then 'plan cost over the measured span is unknown (no measured time or unknown plan price)' when 'DOWNGRADE' then 'downgrade candidate (below keep)' end reason from decided"""
+select {K}, verdict, {r6('multiple')} return_multiple, {r6('full_usd')} extracted_usd, {r6('cost')} plan_cost_usd, approx, {DECISION_REASON} reason from decided"""
 
 
 @relation
@@ -187,7 +225,7 @@ left join (select c.account_id, c.provider, cast(sum(greatest(0, s.b - greatest(
   select g.account_id, g.provider, greatest(g.regime_start, coalesce(p.ts, 0)) start_ts from regime g left join (select {K}, max(ts) ts from plan_points group by {K}) p on {on('p', 'g')}) c on {on('c', 's')} group by c.account_id, c.provider) s on {on('s', 't')}
 left join (select e.account_id, e.provider, {dollars('e.usd')} usd from priced e join (
   select g.account_id, g.provider, greatest(g.regime_start, coalesce(p.ts, 0)) start_ts from regime g left join (select {K}, max(ts) ts from plan_points group by {K}) p on {on('p', 'g')}) c on {on('c', 'e')}
-  where e.ts >= greatest(c.start_ts, {T0}) and e.ts < {NOW} group by e.account_id, e.provider) u on {on('u', 't')}"""
+  where e.ts >= greatest(c.start_ts, {d.t0}) and e.ts < {d.now} group by e.account_id, e.provider) u on {on('u', 't')}"""
 
 
 @relation
@@ -205,8 +243,8 @@ def opened(d):
     """The live open instance of the operative window and the dollars spent in it."""
     return f"""
 select o.account_id, o.provider, o.first_ts, o.last_ts, o.last_pct, o.resets_at, o.regime_secs, {dollars('e.usd')} usd
-from op_instances o left join priced e on {on('e', 'o')} and e.ts > o.first_ts and e.ts <= {NOW}
-where o.is_open and {NOW} - o.last_ts <= o.regime_secs group by o.account_id, o.provider, o.first_ts, o.last_ts, o.last_pct, o.resets_at, o.regime_secs"""
+from op_instances o left join priced e on {on('e', 'o')} and e.ts > o.first_ts and e.ts <= {d.now}
+where o.is_open and {d.now} - o.last_ts <= o.regime_secs group by o.account_id, o.provider, o.first_ts, o.last_ts, o.last_pct, o.resets_at, o.regime_secs"""
 
 
 @relation
@@ -216,21 +254,25 @@ def open_extraction(d):
 
 @relation
 def left_over(d):
-    """Dollars left unused over the measured span: a band, a certified floor, or null (never zero)."""
+    """Dollars left unused over the measured span: a band, a certified floor, or null with the reason (never zero)."""
+    usable = "tier is not null and have_billing and measured_secs > 0"
     return f"""
-select x.*, case when tier = 'CALIBRATED' then 'band' when certified_low > 0 then 'floor' end kind,
-  case when tier = 'CALIBRATED' then greatest(greatest(lo, bound) * windows - full_usd, 0) when certified_low > 0 then certified_low end left_lo,
-  case when tier = 'CALIBRATED' then greatest(med * windows - full_usd, 0) end left_med, case when tier = 'CALIBRATED' then greatest(hi * windows - full_usd, 0) end left_hi,
-  case when tier = 'CALIBRATED' then band_approx when certified_low > 0 then bound_approx end left_approx
-from (select t.*, m.measured_secs, m.measured_secs / cast(t.regime_secs as double) windows, a.full_usd,
+select z.*, case when kind is not null then null when tier is null then 'no limit window was observed' when not have_billing then 'no utilization was recorded in the period'
+    when measured_secs <= 0 then 'nothing was measured in the period' when bound > 0 then 'usage covers all that is proven' else 'not calibrated, and no bound is proven yet' end left_reason
+from (
+select x.*, case when {usable} and tier = 'CALIBRATED' then 'band' when {usable} and certified_low > 0 then 'floor' end kind,
+  case when {usable} and tier = 'CALIBRATED' then greatest(greatest(lo, bound) * windows - full_usd, 0) when {usable} and certified_low > 0 then certified_low end left_lo,
+  case when {usable} and tier = 'CALIBRATED' then greatest(med * windows - full_usd, 0) end left_med, case when {usable} and tier = 'CALIBRATED' then greatest(hi * windows - full_usd, 0) end left_hi,
+  case when {usable} and tier = 'CALIBRATED' then band_approx when {usable} and certified_low > 0 then bound_approx end left_approx
+from (select k.account_id, k.provider, t.regime_start, t.regime_secs, t.complete, t.any_hundred, t.bound, t.bound_source, t.bound_approx, coalesce(t.n, 0) n, t.lo, t.med, t.hi, t.coverage, t.band_approx, t.shift, t.shift_ts, t.shift_rate, t.tier,
+    coalesce(m.measured_secs, 0) measured_secs, coalesce(m.measured_secs, 0) / cast(t.regime_secs as double) windows, coalesce(a.full_usd, cast(0 as double)) full_usd, coalesce(e.have_billing, false) have_billing,
     case when t.bound > 0 then t.bound * (c.secs / cast(t.regime_secs as double)) - c.usd end certified_low
-  from tiered t join measured m on {on('m', 't')} join billing_evidence e on {on('e', 't')} join api_equiv a on {on('a', 't')} join certified c on {on('c', 't')}
-  where e.have_billing and m.measured_secs > 0) x"""
+  from accounts k left join tiered t on {on('t', 'k')} left join measured m on {on('m', 'k')} left join billing_evidence e on {on('e', 'k')} left join api_equiv a on {on('a', 'k')} left join certified c on {on('c', 'k')}) x) z"""
 
 
 @relation
 def left_on_table(d):
-    return f"select {K}, tier, kind, {r6('left_lo')} lo, {r6('left_med')} med, {r6('left_hi')} hi, {r6('windows')} windows, left_approx approx from left_over"
+    return f"select {K}, tier, kind, {r6('left_lo')} lo, {r6('left_med')} med, {r6('left_hi')} hi, {r6('windows')} windows, left_approx approx, left_reason reason from left_over"
 
 
 @relation
@@ -251,8 +293,8 @@ def unlocked(d):
     """When a fourth instance can qualify. With none so far at a known pace the date would be absurd: null."""
     return f"""
 select t.account_id, t.provider, t.tier, t.n, greatest(0, 4 - t.n) needed, case when t.complete >= 1 then 'rate' else 'structural' end path,
-  case when t.complete >= 1 then case when t.n > 0 then {NOW} + cast(ceil(greatest(0, 4 - t.n) / (t.n / cast(t.complete as double))) as bigint) * t.regime_secs end
-  else greatest(f.first_ts + 4 * t.regime_secs, {NOW} + t.regime_secs) end unlocks_at
+  case when t.complete >= 1 then case when t.n > 0 then {d.now} + cast(ceil(greatest(0, 4 - t.n) / (t.n / cast(t.complete as double))) as bigint) * t.regime_secs end
+  else greatest(f.first_ts + 4 * t.regime_secs, {d.now} + t.regime_secs) end unlocks_at
 from tiered t join (select s.account_id, s.provider, min(s.first_ts) first_ts from summary s join operative o on {on('o', 's')} and o.window_id = s.window_id group by s.account_id, s.provider) f on {on('f', 't')}"""
 
 
@@ -263,10 +305,13 @@ def unlock(d):
 
 @relation
 def insufficient(d):
+    """What is missing for a calibrated band: more instances, or others beside the one that decides alone."""
+    missing = f"""case when u.needed > 0 then concat({d.text('u.needed')}, ' more instances of ', o.window_id, ' with a growth of 10 points or more')
+    else concat('the instance of ', {d.day('t.shift_ts')}, ' at ', {usd(d, 't.shift_rate')}, ' a window alone moves the estimate by ', {d.fixed('t.shift * 100', 1)}, '%') end"""
     return f"""
 select t.account_id, t.provider, u.needed, case when u.needed > 0 then u.path end path, case when u.needed > 0 then u.unlocks_at end unlocks_at,
-  case when u.needed = 0 then t.shift_ts end demoted_ts, {r6('case when u.needed = 0 then t.shift_rate end')} demoted_rate, {r6('case when u.needed = 0 then t.shift end')} demoted_shift
-from tiered t join unlocked u on {on('u', 't')} where t.tier = 'INSUFFICIENT'"""
+  case when u.needed = 0 then t.shift_ts end demoted_ts, {r6('case when u.needed = 0 then t.shift_rate end')} demoted_rate, {r6('case when u.needed = 0 then t.shift end')} demoted_shift, {missing} missing
+from tiered t join unlocked u on {on('u', 't')} join operative o on {on('o', 't')} where t.tier = 'INSUFFICIENT'"""
 
 
 @relation
@@ -275,7 +320,7 @@ def gaps(d):
 select x.*, case when tier = 'CALIBRATED' then 'band' when bound > 0 and bound - usd > 0 then 'floor' end kind,
   case when tier = 'CALIBRATED' then greatest(greatest(lo * frac, bound - usd), 0) when bound > 0 and bound - usd > 0 then bound - usd end gap_lo,
   case when tier = 'CALIBRATED' then med * frac end gap_med, case when tier = 'CALIBRATED' then hi * frac end gap_hi,
-  case when tier = 'CALIBRATED' or (bound > 0 and bound - usd > 0) then null when bound > 0 then 'extraction this window already covers the bound' else 'uncalibrated and no achieved-window bound yet' end gap_reason
+  case when tier = 'CALIBRATED' or (bound > 0 and bound - usd > 0) then null when bound > 0 then 'usage in this window covers all that is proven' else 'not calibrated, and no bound is proven yet' end gap_reason
 from (select t.*, o.first_ts open_first, o.last_ts open_last, o.last_pct, o.resets_at, o.usd, greatest((100 - ({SNAP.format('o.last_pct')})) / 100, cast(0 as double)) frac from tiered t join opened o on {on('o', 't')}) x"""
 
 
@@ -305,10 +350,9 @@ def capture_pace(d):
     return f"""
 select g.account_id, g.provider, {r6('g.age')} age_frac, {r6('g.gap_lo / g.n_days')} per_day_lo, {r6('g.gap_med / g.n_days')} per_day_med, {r6('g.gap_hi / g.n_days')} per_day_hi,
   case when g.checkpoint is null then 'too_young' when c.n < 4 then 'uncalibrated' else 'calibrated' end pace, case when c.n >= 4 then c.med end checkpoint_pct, g.checkpoint
-from (select *, (resets_at - {NOW}) / cast(86400 as double) n_days, 1 - (resets_at - {NOW}) / cast(regime_secs as double) age,
-    case when 1 - (resets_at - {NOW}) / cast(regime_secs as double) >= 0.75 then cast(0.75 as double) when 1 - (resets_at - {NOW}) / cast(regime_secs as double) >= 0.5 then cast(0.5 as double)
-      when 1 - (resets_at - {NOW}) / cast(regime_secs as double) >= 0.25 then cast(0.25 as double) end checkpoint
-  from gaps where tier = 'CALIBRATED' and resets_at > {NOW}) g
+from (select *, case when age >= 0.75 then cast(0.75 as double) when age >= 0.5 then cast(0.5 as double) when age >= 0.25 then cast(0.25 as double) end checkpoint
+  from (select *, (resets_at - {d.now}) / cast(86400 as double) n_days, greatest({d.now} - open_first, 0) / cast(regime_secs as double) age
+    from gaps where tier = 'CALIBRATED' and resets_at > {d.now}) y) g
 left join capture_curve c on {on('c', 'g')} and c.checkpoint = g.checkpoint"""
 
 
@@ -328,43 +372,10 @@ def window_context(d):
 @relation
 def other_windows(d):
     return f"""
-select w.account_id, w.provider, w.window_id, w.last_pct used_percent, w.resets_at, c.median_peak, coalesce(c.n, 0) n, coalesce(c.hit_100, 0) hit_100, 'not the operative window' gap_reason
+select w.account_id, w.provider, w.window_id, w.last_pct used_percent, w.resets_at, c.median_peak, coalesce(c.n, 0) n, coalesce(c.hit_100, 0) hit_100, 'dollars go with the operative window' gap_reason
 from newest w join operative o on {on('o', 'w')} and o.window_id <> w.window_id left join contexts c on {on('c', 'w')} and c.window_id = w.window_id where w.live"""
 
 
-@relation
-def provider_report(d):
-    return f"""
-select l.account_id, l.provider, c.plan_type, c.monthly_usd, {r6('w.window_cost')} window_cost, m.hull_t0, m.hull_t1, m.measured_secs, {r6(f'least(1, m.measured_secs / cast({NOW - T0} as double))')} coverage_frac,
-  {r6('l.full_usd')} extracted_usd, l.tier, l.kind, {r6('l.left_lo')} left_lo, {r6('l.left_med')} left_med, {r6('l.left_hi')} left_hi, {r6('g.gap_lo')} gap_lo, {r6('g.gap_med')} gap_med, {r6('g.gap_hi')} gap_hi,
-  v.verdict, {r6('v.multiple')} return_multiple, m.pieces > 1 note_disjoint, coalesce(c.unknown_history, false) note_unknown_plan, coalesce(u.n, 0) unpriced_models, coalesce(x.n, 0) external_models, v.approx_usd > 0.005 note_approx
-from left_over l join measured m on {on('m', 'l')} left join plan_costs c on {on('c', 'l')} left join worths w on {on('w', 'l')} left join gaps g on {on('g', 'l')} join decided v on {on('v', 'l')}
-left join (select {K}, count(*) n from unpriced_models group by {K}) u on {on('u', 'l')} left join (select {K}, count(*) n from external_models group by {K}) x on {on('x', 'l')}"""
-
-
-@relation
-def status_line(d):
-    return f"""
-select g.account_id, g.provider, concat(g.provider, ' ', o.window_id, ' ', cast(cast(round(g.last_pct) as bigint) as string), '% - gap ',
-  case g.kind when 'band' then concat('$', {d.money('g.gap_med')}) when 'floor' then concat('>= $', {d.money('g.gap_lo')}) else 'unknown' end, ' - resets ', {d.day('g.resets_at')}) entry
-from gaps g join operative o on {on('o', 'g')}"""
-
-
-@relation
-def brief_rows(d):
-    return f"""
-select l.account_id, l.provider, case l.kind when 'band' then case when l.left_hi > 0 then 'band' else 'no_shortfall' end when 'floor' then 'floor' else case when l.bound > 0 then 'no_shortfall' when l.n > 0 then 'calibrating' else 'unmeasured' end end headline_kind,
-  case when l.kind is not null then concat('$', {d.money('coalesce(l.left_med, l.left_lo)')}) end headline, concat('$', {d.money('l.full_usd')}) extracted, v.verdict
-from left_over l join decided v on {on('v', 'l')}"""
-
-
-@relation
-def formatters(d):
-    return f"""
-select {K}, concat('$', {d.money('full_usd')}) usd, {d.day(str(NOW))} utc_day, concat(cast({d.div('measured_secs', '86400')} as string), 'd ', cast({d.div('measured_secs % 86400', '3600')} as string), 'h') duration
-from (select a.account_id, a.provider, a.full_usd, m.measured_secs from api_equiv a join measured m on {on('m', 'a')}) x"""
-
-
 @relation
 def dq_calibration(d):
     return f"select {K}, case when tier = 'INSUFFICIENT' then 'warn' else 'ok' end status, tier from tiered"
@@ -380,18 +391,26 @@ select i.account_id, i.provider, i.instance_id, s.window_id, s.first_ts, s.peak_
 
 @relation
 def dq_attribution(d):
-    """Dollars of contained shorter instances must not exceed the long instance's."""
+    """Dollars of contained shorter instances must not exceed the long instance's: the newest eight that contain any are checked."""
     return f"""
-select a.account_id, a.provider, a.instance_id, a.attributed_usd long_usd, cast(coalesce(s.usd, 0) as double) short_usd, case when coalesce(s.usd, 0) <= a.attributed_usd + 0.01 then 'ok' else 'fail' end status
-from attribution a left join (select e.account_id, e.provider, e.instance_id, {dollars('e.usd')} usd from (
-    select p.account_id, p.provider, p.usd, p.ts, c.instance_id from attributed p join contained c on {on('c', 'p')} and c.instance_id = p.instance_id and p.ts > c.first_ts and p.ts <= c.peak_ts) e
-  group by e.account_id, e.provider, e.instance_id) s on {on('s', 'a')} and s.instance_id = a.instance_id"""
+select s.account_id, s.provider, s.instance_id, {r6('coalesce(a.attributed_usd, 0)')} long_usd, {r6('s.usd')} short_usd, case when s.usd <= coalesce(a.attributed_usd, 0) + 0.01 then 'ok' else 'fail' end status
+from (select c.account_id, c.provider, c.instance_id, {dollars('p.usd')} usd from contained c
+    left join attributed p on {on('p', 'c')} and p.instance_id = c.instance_id and p.ts > c.first_ts and p.ts <= c.peak_ts group by c.account_id, c.provider, c.instance_id) s
+left join attribution a on {on('a', 's')} and a.instance_id = s.instance_id"""
 
 
 @relation
 def dq_checks(d):
-    return """
-select 'price_table' name, case when count(*) = 0 then 'ok' else 'fail' end status from dq_prices
-union all select 'percent_grid', case when sum(fractional) = 0 then 'ok' else 'warn' end from dq_grid
-union all select 'calibration', case when sum(case when status = 'warn' then 1 else 0 end) = 0 then 'ok' else 'warn' end from dq_calibration
-union all select 'attribution', case when sum(case when status = 'fail' then 1 else 0 end) = 0 then 'ok' else 'fail' end from dq_attribution"""
+    """One row per check: ok, warn or fail."""
+    status = lambda bad, word: f"case when coalesce(sum(case when {bad} then 1 else 0 end), 0) = 0 then 'ok' else '{word}' end status"
+    return f"""
+select 'price_table' name, {status("problem is not null", 'fail')} from price_problems
+union all select 'unpriced_usage', {status("tokens > 0", 'warn')} from unpriced_models
+union all select 'percent_grid', {status("fractional > 0", 'warn')} from dq_grid
+union all select 'plan_price', {status("error is not null", 'warn')} from plan_resolved
+union all select 'billing_evidence', {status("not have_billing", 'warn')} from billing_evidence
+union all select 'calibration', {status("status = 'warn'", 'warn')} from dq_calibration
+union all select 'attribution', {status("status = 'fail'", 'fail')} from dq_attribution
+union all select 'parse_loss', {status("parse_errors > 0", 'warn')} from scan_summary
+union all select 'sources', {status("status = 'fail'", 'fail')} from source_inventory
+union all select 'source_crosscheck', {status("not agrees", 'warn')} from source_crosscheck"""

@@ -1,12 +1,15 @@
-"""Log ingestion: transcripts, cumulative counters, spools and polls, from raw lines to events and snapshots.
+"""Log ingestion: transcripts, rollouts with cumulative counters, spools and polls, from raw lines to events and snapshots.
 
-The raw lines are laid out from `usage_events` in the formats of the logs, with copies in
-second files, resets, and broken, synthetic, empty and negative lines among them.
+`transcript_lines`, `rollout_lines`, `spool_lines` and `poll_payloads` are the raw inputs;
+users bind their own (`sources.logs` reads files, `sources.refresh` keeps them up to date).
+Here they are laid out from `usage_events` in the formats of the logs, with copies in
+second files, resets, and broken, synthetic, empty and negative lines among them. Every
+line is parsed once.
 """
 
 from __future__ import annotations
 
-from .relations import K, relation
+from .relations import relation
 
 RESTART = 40  # counters start anew every so many rows
 BASELINE = 500_000
@@ -35,17 +38,18 @@ union all select account_id, source_file, 5000000 + event_id, '{{"type":"user","
 @relation
 def ingest_lines(d):
     """Parsed transcript lines with the reason why one is not an event. Cheap substring tests stand before the parse."""
-    j = lambda p: d.json_("line", "$." + p)
-    n = lambda p: f"coalesce({d.trybig(j('message.usage.' + p))}, 0)"
+    n = lambda p: f"coalesce({d.got('v', '$.message.usage.' + p, 'bigint')}, 0)"
+    text = lambda p: d.got("v", "$." + p, "string")
     return f"""
-select *, case when not ok then 'unparseable' when kind is null or kind <> 'assistant' or input_tokens is null then 'other' when model = '<synthetic>' then 'synthetic'
+select account_id, file, line_no, ok, kind, model, ts, session_id, input_tokens, cached_input_tokens, cache_w_5m, cache_w_1h, cache_w_unsplit, output_tokens, dedup_key,
+  case when not ok then 'unparseable' when kind is null or kind <> 'assistant' or not has_usage then 'other' when model = '<synthetic>' then 'synthetic'
     when least(input_tokens, cached_input_tokens, cache_w_5m, cache_w_1h, cache_w_unsplit, output_tokens) < 0 then 'negative'
-    when input_tokens + cached_input_tokens + cache_w_5m + cache_w_1h + cache_w_unsplit + output_tokens = 0 then 'empty' end reason
-from (select account_id, file, line_no, {d.valid('line')} ok, {j('type')} kind, coalesce({j('message.model')}, 'UNKNOWN') model, {d.iso(j('timestamp'))} ts, {j('sessionId')} session_id,
+    when input_tokens + cached_input_tokens + cache_w_5m + cache_w_1h + cache_w_unsplit + output_tokens = 0 then 'empty' when ts is null then 'no_time' end reason
+from (select account_id, file, line_no, v is not null ok, {text('type')} kind, coalesce({text('message.model')}, 'UNKNOWN') model, {d.iso(text('timestamp'))} ts, {text('sessionId')} session_id, {d.object('v', '$.message.usage')} has_usage,
   {n('input_tokens')} input_tokens, {n('cache_read_input_tokens')} cached_input_tokens, {n('cache_creation.ephemeral_5m_input_tokens')} cache_w_5m, {n('cache_creation.ephemeral_1h_input_tokens')} cache_w_1h,
-  case when {j('message.usage.cache_creation')} is not null then 0 else {n('cache_creation_input_tokens')} end cache_w_unsplit, {n('output_tokens')} output_tokens,
-  case when {j('message.id')} is not null and {j('requestId')} is not null then concat({j('message.id')}, ':', {j('requestId')}) else concat(file, ':', {d.text('line_no')}) end dedup_key
-from transcript_lines where line like '%"assistant"%' and line like '%"usage"%') x"""
+  case when {d.object('v', '$.message.usage.cache_creation')} then 0 else {n('cache_creation_input_tokens')} end cache_w_unsplit, {n('output_tokens')} output_tokens,
+  case when {text('message.id')} is not null and {text('requestId')} is not null then concat({text('message.id')}, ':', {text('requestId')}) else concat(file, ':', {d.text('line_no')}) end dedup_key
+from (select account_id, file, line_no, {d.parsed('line')} v from transcript_lines where line like '%"assistant"%' and line like '%"usage"%') w) x"""
 
 
 @relation
@@ -69,14 +73,27 @@ def usage_filters(d):
 
 @relation
 def quarantine(d):
-    return "select account_id, file, line_no, reason from ingest_lines where reason in ('unparseable', 'negative')"
+    return "select account_id, file, line_no, reason from ingest_lines where reason in ('unparseable', 'negative', 'no_time')"
 
 
 @relation
 def scan_summary(d):
-    return """
-select account_id, count(distinct file) files, count(*) n_lines, cast(sum(case when reason in ('unparseable', 'negative') then 1 else 0 end) as bigint) parse_errors,
-  count(distinct case when reason is null then dedup_key end) events from ingest_lines group by account_id"""
+    """What a scan saw and lost, by source and account."""
+    zero = "cast(0 as bigint)"
+    total = lambda cond: f"cast(sum(case when {cond} then 1 else 0 end) as bigint)"
+    return f"""
+select 'transcripts' source, account_id, count(distinct file) files, count(*) n_lines, {total("reason in ('unparseable', 'negative', 'no_time')")} parse_errors,
+  count(distinct case when reason is null then dedup_key end) events, {zero} snapshots, {zero} warnings from ingest_lines group by account_id
+union all select 'rollouts', r.account_id, r.files, r.n_lines, r.bad_lines + coalesce(b.n, 0), coalesce(e.n, 0), coalesce(s.n, 0), coalesce(w.n, 0) from (
+  select account_id, count(distinct file) files, count(*) n_lines, {total("v_type is null or (v_type = 'event_msg' and p_type = 'token_count' and ts is null)")} bad_lines from rollout_parsed group by account_id) r
+left join (select account_id, count(*) n from rollout_points where not valid group by account_id) b on b.account_id = r.account_id
+left join (select account_id, count(*) n from scan_rollout_usage group by account_id) e on e.account_id = r.account_id
+left join (select account_id, count(*) n from scan_rollout_snapshots group by account_id) s on s.account_id = r.account_id
+left join (select account_id, count(*) n from counter_warnings group by account_id) w on w.account_id = r.account_id
+union all select 'spool', l.account_id, {zero}, l.n, l.n - coalesce(g.n, 0), {zero}, coalesce(g.points, 0), {zero} from (select account_id, count(*) n from spool_lines group by account_id) l
+left join (select account_id, count(distinct line_id) n, count(*) points from spool_points group by account_id) g on g.account_id = l.account_id
+union all select 'polls', l.account_id, {zero}, l.n, l.n - coalesce(g.n, 0), {zero}, coalesce(g.points, 0), {zero} from (select account_id, count(*) n from poll_payloads group by account_id) l
+left join (select account_id, count(distinct ts) n, count(*) points from scan_polls group by account_id) g on g.account_id = l.account_id"""
 
 
 @relation
@@ -84,58 +101,161 @@ def dq_parse_loss(d):
     return "select 'parse_loss' name, case when sum(parse_errors) > 0 then 'warn' else 'ok' end status, cast(sum(parse_errors) as bigint) parse_errors from scan_summary"
 
 
+@relation
+def source_inventory(d):
+    """Every source that a scan expects: files, lines and the age of its oldest record in days; one without lines fails."""
+    age = lambda ts: d.div(f"{d.now} - min({ts})", "86400")
+    return f"""
+select n.source, coalesce(s.files, 0) files, coalesce(s.n_lines, 0) n_lines, a.oldest_days, case when coalesce(s.n_lines, 0) = 0 then 'fail' else 'ok' end status
+from (select 'transcripts' source union all select 'rollouts' union all select 'spool' union all select 'polls') n
+left join (select source, cast(sum(files) as bigint) files, cast(sum(n_lines) as bigint) n_lines from scan_summary group by source) s on s.source = n.source
+left join (select 'transcripts' source, {age('ts')} oldest_days from ingest_lines union all select 'rollouts', {age('ts')} from rollout_parsed
+  union all select 'spool', {age('ts')} from spool_lines union all select 'polls', {age('ts')} from poll_payloads) a on a.source = n.source"""
+
+
+@relation
+def retracted(d):
+    """Files to withdraw."""
+    return "select distinct account_id, file from ingest_lines where file like 'copy-f1%'"
+
+
 @relation
 def retract_source(d):
-    """One file's rows withdrawn from the raw table: the next copy of each key takes their place."""
+    """`retracted` files' rows withdrawn from the raw table: the next copy of each key takes their place."""
     return """
-select account_id, dedup_key, file from (select *, row_number() over (partition by account_id, dedup_key order by file, line_no) pick from ingest_lines
-where reason is null and file not like 'copy-f1%') x where pick = 1"""
+select account_id, dedup_key, file from (select n.account_id, n.dedup_key, n.file, row_number() over (partition by n.account_id, n.dedup_key order by n.file, n.line_no) pick
+from ingest_lines n left join retracted r on r.account_id = n.account_id and r.file = n.file where n.reason is null and r.file is null) x where pick = 1"""
+
+
+@relation
+def existing_keys(d):
+    """Event keys that the store holds already."""
+    return "select distinct account_id, dedup_key from ingest_lines where reason is null and line_no % 3 = 0"
 
 
 @relation
 def insert_ignore(d):
-    """Keys of the copies that the first files do not hold yet: nothing when ingested twice."""
+    """New event keys only, each once: nothing when ingested twice."""
     return """
-select n.account_id, n.dedup_key, min(n.file) file from ingest_lines n left join (select distinct account_id, dedup_key from ingest_lines where reason is null and line_no % 3 = 0) o
+select n.account_id, n.dedup_key, min(n.file) file from ingest_lines n left join existing_keys o
 on o.account_id = n.account_id and o.dedup_key = n.dedup_key where n.reason is null and o.dedup_key is null group by n.account_id, n.dedup_key"""
 
 
 @relation
-def counter_rows(d):
-    """Cumulative counters per session file; raw input counts cached tokens too."""
+def existing_snapshots(d):
+    """Keys of snapshots that the store holds already."""
+    return "select distinct account_id, source, window_id, ts from union_sources where ts % 2 = 0"
+
+
+@relation
+def insert_ignore_snapshots(d):
+    """New snapshots only, the first of each account, source, window and second by percent."""
+    return """
+select n.account_id, n.source, n.window_id, n.ts, min(n.used_percent) used_percent from union_sources n left join existing_snapshots o
+on o.account_id = n.account_id and o.source = n.source and o.window_id = n.window_id and o.ts = n.ts where o.ts is null group by n.account_id, n.source, n.window_id, n.ts"""
+
+
+@relation
+def counter_source(d):
+    """Running totals per session file, from which the rollout lines are laid out; raw input counts cached tokens too, and cache writes start anew by themselves now and then."""
     k = f"cast({d.json_('props', '$.k')} as bigint) * 10"
     return f"""
-select account_id, file, line_no, ts, model, cast(sum(inp + cached) over w as bigint) c_input, cast(sum(cached) over w as bigint) c_cached, cast(sum(wr) over w as bigint) c_write, cast(sum(outp) over w as bigint) c_output
+select account_id, file, line_no, ts, model, cast(sum(inp + cached) over w as bigint) c_input, cast(sum(cached) over w as bigint) c_cached, cast(sum(wr) over (partition by account_id, file, epoch, sheet order by line_no rows unbounded preceding) as bigint) c_write, cast(sum(outp) over w as bigint) c_output
 from (select u.account_id, concat('rollout-', u.session_id, '.jsonl') file, cast(row_number() over (partition by u.account_id, u.session_id order by u.ts, u.event_id) as bigint) line_no, u.ts, u.model,
     u.cents inp, {k} cached, u.cache_w_unsplit wr, u.cents outp,
-    {d.div('row_number() over (partition by u.account_id, u.session_id order by u.ts, u.event_id) - 1', str(RESTART))} epoch
+    {d.div('row_number() over (partition by u.account_id, u.session_id order by u.ts, u.event_id) - 1', str(RESTART))} epoch,
+    {d.div('row_number() over (partition by u.account_id, u.session_id order by u.ts, u.event_id) - 1', '15')} sheet
   from usage_events u join events e on e.event_id = u.event_id where u.provider = 'alpha') x window w as (partition by account_id, file, epoch order by line_no rows unbounded preceding)"""
 
 
 @relation
-def counter_diff(d):
-    """Counters to events, against the row before: first row, plain growth, reset, or partial regression clamped at zero."""
-    grow = lambda c: f"case when p is null then case when c_input + c_write + c_output > {BASELINE} then 0 else {c} end when {c} - p_{c} is null then {c} when all_up then {c} - p_{c} when c_input < p_c_input then {c} else greatest(0, {c} - p_{c}) end"
+def rollout_lines(d):
+    """A session line, a turn line before some counters, counters with limits, and lines that are broken, of other kinds or without a time."""
+    t = d.text
+    start = "select account_id, file, line_no * 10"
+    limits = lambda name, w: (
+        f"""'"{name}":{{"used_percent":', case when c.line_no % 71 = 0 then '-3' else coalesce({t(f'{w}.used_percent')}, 'null') end, ',"window_minutes":', case when c.line_no % 89 = 0 then '0' else coalesce({t(f'{w}.window_minutes')}, 'null') end, ',"resets_at":', coalesce({t(f'{w}.resets_at')}, 'null'), '}}'"""
+    )
+    point = lambda w: f"left join (select account_id, ts, max(used_percent) used_percent, max(window_minutes) window_minutes, max(resets_at) resets_at, max(plan_type) plan_type from snapshots where window_id = '{w}' group by account_id, ts)"
     return f"""
-select account_id, file, line_no, ts, model, greatest(0, d_input - d_cached) input_tokens, greatest(0, d_cached) cached_input_tokens, greatest(0, d_write) cache_w_unsplit, greatest(0, d_output) output_tokens from (
-  select account_id, file, line_no, ts, model, {grow('c_input')} d_input, {grow('c_cached')} d_cached, {grow('c_write')} d_write, {grow('c_output')} d_output
-  from (select *, p_c_input is not null and c_input >= p_c_input and c_cached >= p_c_cached and c_write >= p_c_write and c_output >= p_c_output all_up from (
-    select *, lag(line_no) over w p, lag(c_input) over w p_c_input, lag(c_cached) over w p_c_cached, lag(c_write) over w p_c_write, lag(c_output) over w p_c_output from counter_rows window w as (partition by account_id, file order by line_no)) a) b) c
-where d_input + d_cached + d_write + d_output > 0"""
+{start} + 1 line_no, '{{"type":"session_meta","payload":{{"id":"s","model":"m-session"}}}}' line from counter_source where line_no = 2
+union all {start} + 2, concat('{{"type":"turn_context","payload":{{"model":"', model, '"}}}}') from counter_source where line_no % 5 = 3
+union all {start} + 3, '{{"type":"event_msg","payload":{{"type":"token_count","info":{{"total_token' from counter_source where line_no % 40 = 7
+union all {start} + 4, '{{"type":"event_msg","payload":{{"type":"token_count","info":{{"total_token_usage":{{"input_tokens":9}}}}}}}}' from counter_source where line_no % 40 = 9
+union all {start} + 6, '{{"type":"event_msg","payload":{{"type":"agent_message"}}}}' from counter_source where line_no % 40 = 11
+union all {start} + 7, '{{"type":"response_item","payload":{{"text":"no session_meta here"}}}}' from counter_source where line_no % 40 = 13
+union all select c.account_id, c.file, c.line_no * 10 + 5, concat('{{"timestamp":"', {d.isotext('c.ts')}, '","type":"event_msg","payload":{{"type":"token_count","info":{{"total_token_usage":{{"input_tokens":', {t('c.c_input')}, ',"cached_input_tokens":', {t('c.c_cached')},
+  ',"cache_write_input_tokens":', {t('c.c_write')}, ',"output_tokens":', {t('c.c_output')}, '}}}},"rate_limits":{{"plan_type":"', coalesce(p.plan_type, 'basic'), '",', {limits('primary', 'p')}, ',', {limits('secondary', 's')}, '}}}}}}')
+from counter_source c {point('weekly')} p on p.account_id = c.account_id and p.ts = c.ts {point('short')} s on s.account_id = c.account_id and s.ts = c.ts"""
 
 
 @relation
-def scan_rollout_usage(d):
-    return "select account_id, file, line_no, ts, model, input_tokens, cached_input_tokens, cache_w_unsplit, output_tokens from counter_diff"
+def rollout_parsed(d):
+    """Rollout lines of the three kinds that matter, parsed once; v_type is null where a line does not parse."""
+    g = lambda p, kind: d.got("v", "$." + p, kind)
+    total = "payload.info.total_token_usage"
+    window = lambda w: f"{g(f'payload.rate_limits.{w}.used_percent', 'double')} {w}_percent, {g(f'payload.rate_limits.{w}.window_minutes', 'bigint')} {w}_minutes, {g(f'payload.rate_limits.{w}.resets_at', 'bigint')} {w}_resets"
+    return f"""
+select account_id, file, line_no, case when v is not null then coalesce({g('type', 'string')}, '') end v_type, {g('payload.type', 'string')} p_type, {d.iso(g('timestamp', 'string'))} ts, coalesce({g('payload.model', 'string')}, {g('model', 'string')}) named,
+  {d.object('v', '$.' + total)} has_total, coalesce({g(total + '.input_tokens', 'bigint')}, 0) c_input, coalesce({g(total + '.cached_input_tokens', 'bigint')}, 0) c_cached, coalesce({g(total + '.cache_write_input_tokens', 'bigint')}, 0) c_write,
+  coalesce({g(total + '.output_tokens', 'bigint')}, 0) c_output, {g('payload.rate_limits.plan_type', 'string')} plan_type, {window('primary')}, {window('secondary')}
+from (select account_id, file, line_no, {d.parsed('line')} v from rollout_lines where line like '%"turn_context"%' or line like '%"token_count"%' or line like '%"session_meta"%') x"""
 
 
 @relation
-def carry_model(d):
-    """The last turn's model so far; before any turn the first session model, else UNKNOWN."""
+def rollout_models(d):
+    """Each line with the model in force: the last turn's so far; before any turn the first session's, else UNKNOWN."""
     frame = "over (partition by account_id, file order by line_no rows between unbounded preceding and current row)"
     return f"""
-select account_id, file, line_no, coalesce({d.last('turn')} {frame}, {d.first('meta')} {frame}, 'UNKNOWN') model
-from (select account_id, file, line_no, case when line_no % 5 = 3 then model end turn, case when line_no = 2 then 'm-session' end meta from counter_rows) x"""
+select *, coalesce({d.last("case when v_type = 'turn_context' then named end")} {frame}, {d.first("case when v_type = 'session_meta' then named end")} {frame}, 'UNKNOWN') model from rollout_parsed"""
+
+
+@relation
+def carry_model(d):
+    return "select account_id, file, line_no, model from rollout_models where v_type = 'event_msg'"
+
+
+@relation
+def counter_rows(d):
+    """Cumulative counters: token counts with a time and a total, the model carried along."""
+    return "select account_id, file, line_no, ts, model, c_input, c_cached, c_write, c_output from rollout_models where v_type = 'event_msg' and p_type = 'token_count' and ts is not null and has_total"
+
+
+@relation
+def rollout_points(d):
+    """Both limits of each token count that states them, and whether the percent is a finite number from 0 up; a window without a length has none."""
+    one = lambda w: f"select account_id, file, line_no, ts, plan_type, '{w}' window_id, {w}_percent used_percent, case when {w}_minutes > 0 then {w}_minutes end window_minutes, {w}_resets resets_at from rollout_parsed where v_type = 'event_msg' and p_type = 'token_count' and ts is not null and {w}_percent is not null"
+    return f"select *, used_percent >= 0 and used_percent < {d.inf()} valid from ({one('primary')} union all {one('secondary')}) x"
+
+
+@relation
+def counter_steps(d):
+    """Each counter row beside the one before it in its file, and how they relate."""
+    return f"""
+select *, case when p is null then case when c_input + c_write + c_output > {BASELINE} then 'inherited' else 'first' end when c_input >= p_input and c_cached >= p_cached and c_write >= p_write and c_output >= p_output then 'growth'
+  when c_input < p_input then 'restart' else 'partial' end step
+from (select *, lag(line_no) over w p, lag(c_input) over w p_input, lag(c_cached) over w p_cached, lag(c_write) over w p_write, lag(c_output) over w p_output
+  from counter_rows window w as (partition by account_id, file order by line_no)) x"""
+
+
+@relation
+def counter_warnings(d):
+    """Baselines taken over from another session, and counters of which only some went back."""
+    return "select account_id, file, line_no, step from counter_steps where step in ('inherited', 'partial')"
+
+
+@relation
+def counter_diff(d):
+    """Counters to events: a first row and a restart count whole, growth by its difference, a partial regression clamped at zero, an inherited baseline not at all."""
+    grow = lambda c: f"case step when 'inherited' then 0 when 'first' then c_{c} when 'restart' then c_{c} else greatest(0, c_{c} - p_{c}) end d_{c}"
+    return f"""
+select account_id, file, line_no, ts, model, greatest(0, d_input - d_cached) input_tokens, greatest(0, d_cached) cached_input_tokens, greatest(0, d_write) cache_w_unsplit, greatest(0, d_output) output_tokens
+from (select *, {grow('input')}, {grow('cached')}, {grow('write')}, {grow('output')} from counter_steps) x where d_input <> 0 or d_cached <> 0 or d_write <> 0 or d_output <> 0"""
+
+
+@relation
+def scan_rollout_usage(d):
+    return f"select account_id, file, line_no, concat(file, ':', {d.text('line_no')}) dedup_key, ts, model, input_tokens, cached_input_tokens, cache_w_unsplit, output_tokens from counter_diff"
 
 
 @relation
@@ -153,43 +273,64 @@ def _points(d, provider: str) -> str:
 
 @relation
 def spool_lines(d):
+    """One limit a line, by percent or by the older name; some with a percent that is none."""
+    name = "case when ts % 11 = 0 then 'utilization' else 'used_percentage' end"
     return f"""
-select account_id, ts, concat('{{"ts":', {d.text('ts')}, ',"rate_limits":{{"', window_id, '":{{"used_percentage":', {d.text('cast(used_percent as bigint)')}, ',"resets_at":', {d.text('resets_at')}, '}}}}}}') line
+select account_id, ts, concat('{{"ts":', {d.text('ts')}, ',"rate_limits":{{"', window_id, '":{{"', {name}, '":', case when ts % 83 = 0 then '-1' else {d.text('cast(used_percent as bigint)')} end, ',"resets_at":', coalesce({d.text('resets_at')}, 'null'), '}}}}}}') line
 from ({_points(d, 'beta')}) p"""
 
 
 @relation
-def scan_spool(d):
+def spool_points(d):
     """One snapshot per window of a line; the window's length comes from a small dimension."""
-    j = lambda p: d.json_("line", p)
-    return f"""
-select account_id, window_id, window_minutes, used_percent, resets_at, ts from (
-  select s.account_id, w.window_id, w.window_minutes, {d.tryfloat("coalesce(" + "case w.window_id when 'weekly' then " + j('$.rate_limits.weekly.used_percentage') + " else " + j('$.rate_limits.short.used_percentage') + " end, " + "case w.window_id when 'weekly' then " + j('$.rate_limits.weekly.utilization') + " else " + j('$.rate_limits.short.utilization') + " end)")} used_percent,
-    {d.trybig("case w.window_id when 'weekly' then " + j('$.rate_limits.weekly.resets_at') + " else " + j('$.rate_limits.short.resets_at') + " end")} resets_at, {d.trybig(j('$.ts'))} ts
-  from spool_lines s join (select 'weekly' window_id, cast(10080 as bigint) window_minutes union all select 'short', cast(300 as bigint)) w on true) x where used_percent >= 0"""
+    g = lambda w, p, kind: d.got("v", f"$.rate_limits.{w}.{p}", kind)
+    one = lambda w, minutes: f"""
+  select account_id, line_id, ts, '{w}' window_id, cast({minutes} as bigint) window_minutes, coalesce({g(w, 'used_percentage', 'double')}, {g(w, 'utilization', 'double')}) used_percent, {g(w, 'resets_at', 'bigint')} resets_at from spool_parsed"""
+    return f"select * from ({one('weekly', 10080)} union all {one('short', 300)}) x where used_percent >= 0 and used_percent < {d.inf()} and ts is not null"
+
+
+@relation
+def spool_parsed(d):
+    return f"select account_id, line line_id, {d.got('v', '$.ts', 'bigint')} ts, v from (select account_id, line, {d.parsed('line')} v from spool_lines) x"
+
+
+@relation
+def scan_spool(d):
+    return "select account_id, window_id, window_minutes, used_percent, resets_at, ts from spool_points"
 
 
 @relation
 def poll_payloads(d):
-    part = lambda w, name: f"""concat('"{name}":{{"used_percent":', {d.text(f"cast(max(case when window_id = '{w}' then used_percent end) as bigint)")}, ',"limit_window_seconds":', {d.text(f"max(case when window_id = '{w}' then window_minutes end) * 60")}, ',"reset_at":', {d.text(f"max(case when window_id = '{w}' then resets_at end)")}, '}}')"""
+    """Landed responses of two shapes: lengths inside the payload, or windows by name with a reset as a number or as a time; some with an invalid percent."""
+    most = lambda w, x: f"max(case when window_id = '{w}' then {x} end)"
+    part = lambda w, name: f"""concat('"{name}":{{"used_percent":', {d.text(f"cast({most(w, 'used_percent')} as bigint)")}, ',"limit_window_seconds":', coalesce({d.text(most(w, 'window_minutes') + ' * 60')}, 'null'), ',"reset_at":', coalesce({d.text(most(w, 'resets_at'))}, 'null'), '}}')"""
+    other = lambda w: f"""concat('"{w}":{{"utilization":', case when ts % 101 = 0 then '-1' else {d.text(f"cast({most(w, 'used_percent')} as bigint)")} end, ',"resets_at":', case when ts % 2 = 0 then {d.text(most(w, 'resets_at'))} else concat('"', {d.isotext(most(w, 'resets_at'))}, '"') end, '}}')"""
     return f"""
-select account_id, ts, concat('{{"plan_type":"', max(plan_type), '","rate_limit":{{', {part('weekly', 'primary_window')}, ',', case when ts % 97 = 0 then '"secondary_window":{{"used_percent":-1,"limit_window_seconds":18000,"reset_at":1}}' else {part('short', 'secondary_window')} end, '}}}}') body
-from ({_points(d, 'alpha')}) p group by account_id, ts"""
+select account_id, ts, concat('{{"plan_type":"', max(coalesce(plan_type, 'basic')), '","rate_limit":{{', {part('weekly', 'primary_window')}, ',', case when ts % 97 = 0 then '"secondary_window":{{"used_percent":-1,"limit_window_seconds":18000,"reset_at":1}}' else {part('short', 'secondary_window')} end, '}}}}') body
+from ({_points(d, 'alpha')}) p group by account_id, ts
+union all select account_id, ts, concat('{{', {other('weekly')}, ',', {other('short')}, '}}') from ({_points(d, 'beta')}) q group by account_id, ts"""
 
 
 @relation
 def scan_polls(d):
-    """Both windows of a payload; one invalid percent, or none at all, rejects the whole payload."""
-    j = lambda p: d.json_("body", p)
-    one = lambda name, w: f"select account_id, ts, {j('$.plan_type')} plan_type, '{w}' window_id, {d.tryfloat(j(f'$.rate_limit.{name}.used_percent'))} used_percent, {d.div(d.trybig(j(f'$.rate_limit.{name}.limit_window_seconds')), '60')} window_minutes, {d.trybig(j(f'$.rate_limit.{name}.reset_at'))} resets_at from poll_payloads"
+    """All windows of a payload; one invalid percent, or none at all, rejects the whole payload."""
+    g = lambda p, kind: d.got("v", "$." + p, kind)
+    a = lambda name, w: f"select account_id, ts, {g('plan_type', 'string')} plan_type, '{w}' window_id, {g(f'rate_limit.{name}.used_percent', 'double')} used_percent, {d.div(g(f'rate_limit.{name}.limit_window_seconds', 'bigint'), '60')} window_minutes, {g(f'rate_limit.{name}.reset_at', 'bigint')} resets_at from poll_parsed"
+    b = lambda w, minutes: f"select account_id, ts, cast(null as string), '{w}', {g(f'{w}.utilization', 'double')}, cast({minutes} as bigint), coalesce({g(f'{w}.resets_at', 'bigint')}, {d.iso(g(f'{w}.resets_at', 'string'))}) from poll_parsed"
     return f"""
-select account_id, window_id, used_percent, window_minutes, resets_at, ts, plan_type from (
-  select *, max(case when used_percent >= 0 then 0 else 1 end) over (partition by account_id, ts) bad from ({one('primary_window', 'primary')} union all {one('secondary_window', 'secondary')}) x where used_percent is not null) y where bad = 0"""
+select account_id, window_id, used_percent, case when window_minutes > 0 then window_minutes end window_minutes, resets_at, ts, plan_type from (
+  select *, max(case when used_percent >= 0 and used_percent < {d.inf()} then 0 else 1 end) over (partition by account_id, ts) bad
+  from ({a('primary_window', 'primary')} union all {a('secondary_window', 'secondary')} union all {b('weekly', 10080)} union all {b('short', 300)}) x where used_percent is not null) y where bad = 0"""
+
+
+@relation
+def poll_parsed(d):
+    return f"select account_id, ts, {d.parsed('body')} v from poll_payloads"
 
 
 @relation
 def scan_rollout_snapshots(d):
-    return f"select account_id, case when window_id = 'weekly' then 'primary' else 'secondary' end window_id, window_minutes, used_percent, resets_at, ts, plan_type from ({_points(d, 'alpha')}) p where used_percent >= 0"
+    return "select account_id, window_id, window_minutes, used_percent, resets_at, ts, plan_type from rollout_points where valid"
 
 
 @relation
@@ -201,6 +342,15 @@ union all select 'spool', account_id, window_id, used_percent, resets_at, ts, ca
 union all select 'poll', account_id, window_id, used_percent, resets_at, ts, plan_type from scan_polls"""
 
 
+@relation
+def union_events(d):
+    """All event sources as one table, with what each lacks as zero."""
+    zero = "cast(0 as bigint)"
+    return f"""
+select 'rollout' source, account_id, dedup_key, ts, model, input_tokens, cached_input_tokens, {zero} cache_w_5m, {zero} cache_w_1h, cache_w_unsplit, output_tokens from scan_rollout_usage
+union all select 'transcript', account_id, dedup_key, ts, model, input_tokens, cached_input_tokens, cache_w_5m, cache_w_1h, cache_w_unsplit, output_tokens from scan_transcripts"""
+
+
 @relation
 def source_crosscheck(d):
     """A poll against the newest log snapshot of its window within the day before."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .relations import NOW, T0, K, dollars, relation
+from .relations import K, dollars, relation
 
 TOKENS = "input_tokens + cached_input_tokens + cache_w_5m + cache_w_1h + cache_w_unsplit + output_tokens"
 
@@ -24,18 +24,36 @@ select provider, model, prefix, lo, hi, p_input, p_cached, p_5m, p_1h, p_write,
 where pick = 1"""
 
 
+@relation
+def ruled(d):
+    """Usage events and whether their model is external by the provider's rule."""
+    return f"""
+select e.*, coalesce(r.slash_is_external, false) and e.model like '%/%' is_external, {TOKENS} total_tokens
+from usage_events e left join provider_rules r on r.provider = e.provider"""
+
+
+@relation
+def era_prices(d):
+    """The price row of each event by definition: of all rows of its provider and era that are a prefix of its model, the longest."""
+    return """
+select * from (select e.dedup_key, e.account_id, p.*, row_number() over (partition by e.account_id, e.dedup_key order by length(p.prefix) desc) pick
+from usage_events e join prices p on p.provider = e.provider and e.ts >= p.from_ts and e.ts < p.until_ts and starts_with(e.model, p.prefix)) x where pick = 1"""
+
+
 @relation
 def priced(d):
     """Every usage event with its dollars: null where external or unpriced."""
+    found = "model_prices p on p.provider = e.provider and p.model = e.model and e.ts >= p.lo and e.ts < p.hi"
+    if not d.spark:
+        found = "era_prices p on p.account_id = e.account_id and p.dedup_key = e.dedup_key"
     return f"""
-select e.*, p.prefix, e.provider = 'alpha' and e.model like '%/%' is_external, {TOKENS} total_tokens,
-  p.prefix is null and not (e.provider = 'alpha' and e.model like '%/%') is_unpriced,
-  case when e.provider = 'alpha' and e.model like '%/%' then null when p.split_family then
+select e.*, p.prefix, p.prefix is null and not e.is_external is_unpriced,
+  case when e.is_external then null when p.split_family then
     (e.input_tokens * p.p_input + e.cache_w_5m * p.p_5m + e.cache_w_1h * p.p_1h + e.cache_w_unsplit * p.p_5m + e.cached_input_tokens * p.p_cached + e.output_tokens * p.p_output) * 1e-6
   else (e.input_tokens * p.p_input + e.cached_input_tokens * p.p_cached + e.cache_w_unsplit * coalesce(p.p_write, p.p_input) + e.output_tokens * p.p_output) * 1e-6 end usd,
-  case when e.provider = 'alpha' and e.model like '%/%' then false when p.prefix is null then false when p.split_family then p.price_approx or e.cache_w_unsplit > 0
+  case when e.is_external then false when p.prefix is null then false when p.split_family then p.price_approx or e.cache_w_unsplit > 0
     else p.price_approx or (e.cache_w_unsplit > 0 and p.p_write is null) end is_approx
-from usage_events e left join model_prices p on p.provider = e.provider and p.model = e.model and e.ts >= p.lo and e.ts < p.hi"""
+from ruled e left join {found}"""
 
 
 @relation
@@ -52,7 +70,7 @@ def event_cost(d):
 def api_equiv(d):
     return f"""
 select {K}, {dollars('usd')} full_usd, {dollars('case when is_approx then usd end')} approx_usd,
-  count(*) n_events from priced where ts >= {T0} and ts < {NOW} group by {K}"""
+  count(*) n_events from priced where ts >= {d.t0} and ts < {d.now} group by {K}"""
 
 
 @relation
@@ -79,12 +97,12 @@ def weekly_usd(d):
 
 @relation
 def usage_between(d):
-    return f"select {K}, ts, model, input_tokens, output_tokens, dedup_key from usage_events where ts >= {T0 + 604800} and ts < {T0 + 2 * 604800}"
+    return f"select {K}, ts, model, input_tokens, output_tokens, dedup_key from usage_events where ts >= {d.t0 + 604800} and ts < {d.t0 + 2 * 604800}"
 
 
 @relation
 def snapshots_between(d):
-    return f"select {K}, window_id, ts, used_percent from snapshots where window_id = 'weekly' and ts >= {T0 + 604800} and ts < {T0 + 2 * 604800}"
+    return f"select {K}, window_id, ts, used_percent from snapshots where window_id = 'weekly' and ts >= {d.t0 + 604800} and ts < {d.t0 + 2 * 604800}"
 
 
 @relation
@@ -99,13 +117,28 @@ def window_ids(d):
     return f"select distinct {K}, window_id from snapshots"
 
 
+def _bad(d, *rates: str) -> str:
+    """Not a number from 0 up: negative, infinite or NaN (which both dialects sort above infinity)."""
+    return " or ".join(f"not ({r} >= 0 and {r} < {d.inf()})" for r in rates)
+
+
 @relation
-def dq_prices(d):
-    """Rows that must fail a load: bad prefix, era or rate, overlapping eras of one prefix, bad or repeated plan."""
-    return """
+def price_problems(d):
+    """What must fail a load: empty prefix, empty era, bad rate, overlapping eras of one prefix, bad or repeated plan."""
+    needed = " or ".join(f"{r} is null" for r in ("p_input", "p_cached", "p_output"))
+    return f"""
 select 'price' kind, provider, prefix id, case when prefix = '' then 'empty prefix' when from_ts >= until_ts then 'empty era' else 'bad rate' end problem from prices
-where prefix = '' or from_ts >= until_ts or p_input < 0 or p_cached < 0 or p_output < 0 or coalesce(p_5m, 0) < 0 or coalesce(p_1h, 0) < 0 or coalesce(p_write, 0) < 0
+where prefix = '' or from_ts >= until_ts or {needed} or {_bad(d, 'p_input', 'p_cached', 'p_output', 'coalesce(p_5m, 0)', 'coalesce(p_1h, 0)', 'coalesce(p_write, 0)')}
 union all select 'price', provider, prefix, 'overlapping eras' from (
-  select provider, prefix, from_ts, lag(until_ts) over (partition by provider, prefix order by from_ts) before from prices) x where before > from_ts
+  select provider, prefix, from_ts, max(until_ts) over (partition by provider, prefix order by from_ts, until_ts rows between unbounded preceding and 1 preceding) before from prices) x where before > from_ts
 union all select 'plan', provider, plan_id, 'repeated plan' from plans group by provider, plan_id having count(*) > 1
-union all select 'plan', provider, plan_id, 'bad price' from plans where not monthly_usd >= 0"""
+union all select 'plan', provider, plan_id, 'bad price' from plans where monthly_usd is null or {_bad(d, 'monthly_usd')}"""
+
+
+@relation
+def dq_prices(d):
+    """Each prefix with the events that it prices and what is wrong with it; problem is null where all is well."""
+    return f"""
+select p.provider, p.prefix, q.problem, coalesce(e.n, 0) n_events, coalesce(e.usd, cast(0 as double)) usd from (select distinct provider, prefix from prices) p
+left join (select provider, id, min(problem) problem from price_problems where kind = 'price' group by provider, id) q on q.provider = p.provider and q.id = p.prefix
+left join (select provider, prefix, count(*) n, {dollars('usd')} usd from priced group by provider, prefix) e on e.provider = p.provider and e.prefix = p.prefix"""

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from . import tables, pricing, windows, estimate, ingest  # noqa: F401, I001  the order of definition
 from ..operators import report
-from .relations import RELATIONS, query, text
+from .relations import NOW, RELATIONS, Settings, query, text
 
 NAMES = """
 usage_between snapshots_between bounds window_ids price_join event_cost api_equiv unpriced_models external_models weekly_usd dq_prices
@@ -15,11 +14,23 @@ left_on_table window_worth unlock insufficient live_gap capture_curve capture_pa
 formatters plan_resolve dq_calibration dq_attribution dq_checks dq_parse_loss
 scan_transcripts dedup_events usage_filters quarantine scan_summary retract_source insert_ignore counter_diff scan_rollout_usage carry_model active_copy
 scan_spool scan_polls scan_rollout_snapshots union_sources source_crosscheck manifest_delta
+accounts basis open_windows report_notes phrases source_inventory insert_ignore_snapshots union_events counter_warnings
 """.split()
 
 QUERIES = {n: query(n) for n in NAMES}
 ORACLES = {n: text(n, "duck") for n in NAMES}
 
+# what a user asks for: one provider, another period
+ASKED = {
+    "one_provider": ("weekly_usd", Settings(providers=("beta",))),
+    "one_provider_report": ("provider_report", Settings(providers=("alpha",))),
+    "last_week": ("api_equiv", report.settings("7d", NOW)),
+    "last_week_report": ("provider_report", report.settings("week", NOW, "both")),
+    "all_history": ("left_on_table", report.settings("all", NOW)),
+}
+QUERIES |= {n: query(name, s) for n, (name, s) in ASKED.items()}
+ORACLES |= {n: text(name, "duck", settings=s) for n, (name, s) in ASKED.items()}
+
 # the report as JSON has no SQL form; tests hold it against the report's columns
 QUERIES["report_json"] = report.report_json
 assert set(NAMES) <= set(RELATIONS)

@@ -22,18 +22,19 @@ from events"""
 
 @relation
 def snap_base(d):
+    """Account 7 has usage but no snapshots."""
     return f"""
-select *, 1704067200 + {d.div('ts - 1704067200', '604800')} * 604800 wk_start, 1704067200 + {d.div('ts - 1704067200', '18000')} * 18000 h5_start,
-  sum(cents) over (partition by account_id) tot, cast(substr(account_id, 2) as bigint) n
-from usage_events"""
+select u.*, 1704067200 + {d.div('ts - 1704067200', '604800')} * 604800 wk_start, 1704067200 + {d.div('ts - 1704067200', '18000')} * 18000 h5_start, t.tot, cast(substr(u.account_id, 2) as bigint) n
+from usage_events u join (select account_id, cast(sum(cents) as bigint) tot from usage_events group by account_id) t on t.account_id = u.account_id where u.account_id <> 'a7'"""
 
 
 def _series(d, window: str, minutes: int, start: str, seconds: int, times: str) -> str:
+    """A percent that grows with the account's spending. Account 1 reaches 100; resets of accounts 3 and 8 drift by the day; account 4 has gaps in its metadata."""
     return f"""
-select account_id, provider, '{window}' window_id, cast({minutes} as bigint) window_minutes,
-  cast(least(100, max({d.div(f'run * 400 * 100{times}', 'tot * (100 + 20 * n)')})) as double) used_percent,
-  cast(max({start}) + {seconds} as bigint) resets_at, ts, 'log' source,
-  case when n % 2 = 0 and ts >= 1704067200 + 14 * 86400 then 'pro' else 'basic' end plan_type
+select account_id, provider, '{window}' window_id, case when n = 4 and ts % 7 = 0 then null else cast({minutes} as bigint) end window_minutes,
+  cast(least(100, max({d.div(f'run * 400 * 100{times}', 'tot * (case when n = 1 then 60 else 100 + 20 * n end)')})) as double) used_percent,
+  case when n = 4 and ts % 5 = 0 then null else cast(max({start}) + {seconds} + case when n in (3, 8) then {d.div('(ts - 1704067200) % 604800', '86400')} * 130 else 0 end as bigint) end resets_at, ts, 'log' source,
+  case when n = 4 and ts % 3 = 0 then null when n % 2 = 0 and ts >= 1704067200 + 14 * 86400 then 'pro' else 'basic' end plan_type
 from (select *, cast(sum(cents) over (partition by account_id, {start} order by ts, event_id rows unbounded preceding) as bigint) run from snap_base) x
 group by account_id, provider, ts, tot, n"""
 
@@ -43,7 +44,19 @@ def snapshots(d):
     return f"""{_series(d, 'weekly', 10080, 'wk_start', 604800, '')}
 union all {_series(d, 'short', 300, 'h5_start', 18000, ' * 20')}
 union all select account_id, provider, 'weekly_scoped', cast(10080 as bigint), cast(7 as double), cast(wk_start + 604800 as bigint), min(ts), 'log', cast(null as string)
-from snap_base group by account_id, provider, wk_start"""
+from snap_base where n <> 6 group by account_id, provider, wk_start"""
+
+
+@relation
+def provider_rules(d):
+    """Whether a slash in a model's name marks it as one that the subscription does not pay for."""
+    return "select 'alpha' provider, true slash_is_external union all select 'beta', false"
+
+
+@relation
+def plan_overrides(d):
+    """Configured plan prices; they beat those of the plan table."""
+    return "select 'a9' account_id, cast(30 as double) override_usd"
 
 
 #: provider, prefix, from, until, input, cached, 5m, 1h, write, output (USD per 1M tokens), approx (fixed values)

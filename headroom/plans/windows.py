@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from .relations import MOST_INSTANCES, NOW, T0, K, dollars, relation
+from .relations import MOST_INSTANCES, K, dollars, relation
 
 KW = f"{K}, window_id"
+RESET_SLACK, DROP = 600, 5
 SNAP = "case when abs({0} - round({0})) < 1e-6 then round({0}) else {0} end"
 
 
@@ -22,22 +23,66 @@ def coalesce_snapshots(d):
     return "select * from coalesced"
 
 
-@relation
-def instanced(d):
-    """Snapshots with the number of their instance; splits by regime, reset, drop, gap and plan against the row before.
+def _differ(a: str, b: str) -> str:
+    return f"coalesce({a} <> {b}, false)"
 
-    Exact where resets_at does not drift inside an instance; `operators.instances` folds
-    the anchor for series that do.
-    """
+
+@relation
+def segments(d):
+    """Snapshots cut where the row before proves a new instance: every such cut is one of the exact rules, so that instances lie inside segments."""
     return f"""
-select {KW}, ts, used_percent, window_minutes, resets_at, plan_type,
-  cast(sum(case when starts then 1 else 0 end) over (partition by {KW} order by ts rows unbounded preceding) as bigint) instance_id
-from (select *, p_ts is null or coalesce(p_minutes <> window_minutes, false) or coalesce(abs(p_resets - resets_at) > 600, false)
-    or used_percent < p_pct - 5 or coalesce(ts - p_ts > p_minutes * 60, false) or coalesce(p_plan <> plan_type, false) starts
+select *, sum(case when cut then 1 else 0 end) over (partition by {KW} order by ts rows unbounded preceding) segment
+from (select *, p_ts is null or used_percent < p_pct - {DROP} or {_differ('p_minutes', 'window_minutes')} or {_differ('p_plan', 'plan_type')}
+    or coalesce(ts - p_ts > p_minutes * 60, false) or coalesce(abs(p_resets - resets_at) > {2 * RESET_SLACK}, false) cut
   from (select *, lag(ts) over w p_ts, lag(window_minutes) over w p_minutes, lag(resets_at) over w p_resets, lag(used_percent) over w p_pct, lag(plan_type) over w p_plan
     from coalesced window w as (partition by {KW} order by ts)) x) y"""
 
 
+def _starts(minutes: str, anchor: str, plan: str, last: str, pct: str, r: str) -> str:
+    """Whether row `r` starts a new instance, against what the instance so far carries."""
+    return (
+        f"{_differ(minutes, r + 'window_minutes')} or coalesce(abs({anchor} - {r}resets_at) > {RESET_SLACK}, false) or coalesce({r}used_percent < {pct} - {DROP}, false) "
+        f"or coalesce({r}ts - {last} > {minutes} * 60, false) or {_differ(plan, r + 'plan_type')}"
+    )
+
+
+@relation
+def instanced(d):
+    """Snapshots with the number of their instance, counted from 1 per window.
+
+    An instance carries its first known length, the first known reset as anchor (drift is
+    measured against it, not against the row before) and its latest plan. A row starts a
+    new one if the length differs, the reset lies more than 600 s from the anchor, the
+    percent falls by more than 5, a whole window passed unseen, or the plan differs.
+    Spark folds the rows of a segment in order and keeps only the times of the starts; the
+    plain form walks each series row by row.
+    """
+    if not d.spark:
+        moved = _starts("c_minutes", "c_anchor", "c_plan", "c_ts", "c_pct", "")
+        return f"""
+with recursive rows_of as materialized (select *, row_number() over (partition by {KW} order by ts) rn from coalesced),
+walk as (
+  select {KW}, rn, ts, used_percent, window_minutes, resets_at, plan_type, window_minutes c_minutes, resets_at c_anchor, plan_type c_plan, cast(1 as bigint) instance_id from rows_of where rn = 1
+  union all
+  select {KW}, rn, ts, used_percent, window_minutes, resets_at, plan_type, case when moved then window_minutes else coalesce(c_minutes, window_minutes) end,
+    case when moved then resets_at else coalesce(c_anchor, resets_at) end, case when moved then plan_type else coalesce(plan_type, c_plan) end, instance_id + case when moved then 1 else 0 end
+  from (select *, {moved} moved from (
+    select n.*, w.c_minutes, w.c_anchor, w.c_plan, w.ts c_ts, w.used_percent c_pct, w.instance_id from walk w
+    join rows_of n on n.account_id = w.account_id and n.provider = w.provider and n.window_id = w.window_id and n.rn = w.rn + 1) x) y)
+select {KW}, ts, used_percent, window_minutes, resets_at, plan_type, instance_id from walk"""
+    new = f"s.last is null or {_starts('s.minutes', 's.anchor', 's.plan', 's.last', 's.pct', 'r.')}"
+    carried = lambda yes, no: f"case when {new} then {yes} else {no} end"
+    start = "named_struct('last', cast(null as bigint), 'pct', cast(null as double), 'minutes', cast(null as bigint), 'anchor', cast(null as bigint), 'plan', cast(null as string), 'starts', cast(array() as array<bigint>))"
+    step = f"""named_struct('last', r.ts, 'pct', r.used_percent, 'minutes', {carried('r.window_minutes', 'coalesce(s.minutes, r.window_minutes)')}, 'anchor', {carried('r.resets_at', 'coalesce(s.anchor, r.resets_at)')},
+    'plan', {carried('r.plan_type', 'coalesce(r.plan_type, s.plan)')}, 'starts', case when {new} then concat(s.starts, array(r.ts)) else s.starts end)"""
+    return f"""
+select {KW}, r.ts, r.used_percent, r.window_minutes, r.resets_at, r.plan_type, cast(sum(case when array_contains(starts, r.ts) then 1 else 0 end) over (partition by {KW} order by r.ts rows unbounded preceding) as bigint) instance_id
+from (select {KW}, starts, explode(points) r from (
+  select *, aggregate(points, {start}, (s, r) -> {step}, s -> s.starts) starts from (
+    select {KW}, segment, sort_array(collect_list(struct(cast(ts as bigint) ts, cast(used_percent as double) used_percent, cast(window_minutes as bigint) window_minutes, cast(resets_at as bigint) resets_at, plan_type))) points
+    from segments group by {KW}, segment) x) y) z"""
+
+
 @relation
 def summary(d):
     return f"""
@@ -68,7 +113,7 @@ select distinct a.account_id, a.provider, a.window_id from window_ids a join win
 def newest(d):
     """The newest instance of each window that is not scoped, and whether it is live."""
     return f"""
-select x.*, coalesce(window_minutes > 0 and {NOW} - last_ts <= window_minutes * 60, false) live from (
+select x.*, coalesce(window_minutes > 0 and {d.now} - last_ts <= window_minutes * 60, false) live from (
   select s.*, row_number() over (partition by s.account_id, s.provider, s.window_id order by s.first_ts desc) newness from summary s
   left join scoped_ids c on c.account_id = s.account_id and c.provider = s.provider and c.window_id = s.window_id where c.window_id is null) x where newness = 1"""
 
@@ -92,7 +137,7 @@ def op_instances(d):
     return f"""
 select s.*, o.regime_secs, row_number() over (partition by s.account_id, s.provider order by s.first_ts desc) rn,
   row_number() over (partition by s.account_id, s.provider order by s.first_ts desc) = 1
-    and case when s.resets_at is not null then s.resets_at > {NOW} else {NOW} - s.last_ts <= o.regime_secs end is_open
+    and case when s.resets_at is not null then s.resets_at > {d.now} else {d.now} - s.last_ts <= o.regime_secs end is_open
 from summary s join operative o on o.account_id = s.account_id and o.provider = s.provider and o.window_id = s.window_id and o.window_minutes = s.window_minutes"""
 
 
@@ -101,19 +146,23 @@ def open_closed(d):
     return f"select {KW}, instance_id, first_ts, is_open, not is_open and covered_secs >= 0.75 * regime_secs is_complete from op_instances"
 
 
+@relation
+def instance_days(d):
+    """Each attribution span (first_ts, peak_ts] by the days that it touches."""
+    return f"select {K}, instance_id, first_ts, peak_ts, regime_secs, {d.every(d.div('first_ts', '86400'), d.div('peak_ts', '86400'))} as day_no from op_instances"
+
+
 @relation
 def attributed(d):
-    """As-of join of events to instances: a union with the instance starts, the last start carried forward.
+    """Events inside the attribution spans, by the inequality that defines them.
 
-    A start sorts after the events of its own second: attribution is (first_ts, peak_ts].
+    Spark meets events and spans by account and day, so that no account's history stands in
+    one task; the spans of a window do not overlap.
     """
+    met = "instance_days i on i.account_id = e.account_id and i.provider = e.provider and i.day_no = e.day_no" if d.spark else "op_instances i on i.account_id = e.account_id and i.provider = e.provider"
     return f"""
-select a.account_id, a.provider, a.dedup_key, a.ts, a.usd, a.is_approx, a.is_unpriced, i.instance_id, i.first_ts, i.peak_ts, i.regime_secs from (
-  select {K}, dedup_key, ts, usd, is_approx, is_unpriced, is_start, {d.last('start_ts')} over (partition by {K} order by ts, is_start rows between unbounded preceding and current row) start_ts
-  from (select {K}, dedup_key, ts, usd, is_approx, is_unpriced, 0 is_start, cast(null as bigint) start_ts from priced
-    union all select {K}, null, first_ts, null, false, false, 1, first_ts from op_instances) u) a
-join op_instances i on i.account_id = a.account_id and i.provider = a.provider and i.first_ts = a.start_ts
-where a.is_start = 0 and a.ts <= i.peak_ts"""
+select e.account_id, e.provider, e.dedup_key, e.ts, e.usd, e.is_approx, e.is_unpriced, i.instance_id, i.first_ts, i.peak_ts, i.regime_secs
+from (select *, {d.div('ts', '86400')} as day_no from priced) e join {met} and e.ts > i.first_ts and e.ts <= i.peak_ts"""
 
 
 @relation
@@ -228,7 +277,7 @@ select {K}, ts, plan_type from (select *, lag(plan_type) over (partition by {K}
 @relation
 def billing_evidence(d):
     return f"""
-select s.account_id, s.provider, bool_or(s.ts >= {T0} and s.ts < {NOW} and c.window_id is null) have_billing
+select s.account_id, s.provider, bool_or(s.ts >= {d.t0} and s.ts < {d.now} and c.window_id is null) have_billing
 from snapshots s left join scoped_ids c on c.account_id = s.account_id and c.provider = s.provider and c.window_id = s.window_id group by s.account_id, s.provider"""
 
 

@@ -5,10 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from headroom.operators.instances import coalesce_same_second, reconstruct
-from headroom.operators.report import parse_period
+from headroom.operators.report import parse_period, parse_providers, settings
 from headroom.plans import registry
-from headroom.plans.relations import apply
+from headroom.plans.relations import Settings, apply
 
 SF = "/root/testdata/sf0.001"
 SNAP = "account_id string, provider string, window_id string, window_minutes long, used_percent double, resets_at long, ts long, source string, plan_type string"
@@ -45,16 +44,22 @@ def series(spark, rows):
         ([(100, 1, None, 300, None), (100 + 6 * 3600, 2, None, 300, None)], 2),
         ([(100, 1, None, 300, "a"), (200, 2, None, 300, "a"), (300, 3, None, 300, "b")], 2),
         ([(100, 1, None, 300, None), (200, 2, None, 300, None), (300, 3, None, 10080, None)], 2),
+        # what an instance carries outlasts rows that do not state it
+        ([(100, 1, None, 300, "a"), (200, 2, None, 300, None), (300, 3, None, 300, "b")], 2),
+        ([(100, 1, None, 300, None), (200, 2, None, None, None), (200 + 6 * 3600, 3, None, None, None)], 2),
+        ([(100, 1, 10000, 300, None), (200, 2, None, 300, None), (300, 3, 10700, 300, None)], 2),
+        ([(100, 1, None, None, None), (200, 2, None, 300, None), (300, 3, None, 600, None)], 2),
+        ([(100, 1, 10000, 300, None), (200, 2, 10600, 300, None), (300, 3, 9400, 300, None)], 1),
     ],
 )
-def test_reconstruct(spark, rows, instances):
-    got = reconstruct(series(spark, rows)).agg(F.max("instance_id")).first()[0]
+def test_instances(spark, rows, instances):
+    got = apply(spark, "instances", snapshots=series(spark, rows)).agg(F.max("instance_id")).first()[0]
     assert got == instances
 
 
 def test_same_second(spark):
     rows = [(100, 39, None, None, None), (200, 40, None, 300, None), (200, 30, 9000, None, "x"), (300, 41, None, None, None)]
-    got = {r.ts: r for r in coalesce_same_second(series(spark, rows)).collect()}
+    got = {r.ts: r for r in apply(spark, "coalesce_snapshots", snapshots=series(spark, rows)).collect()}
     assert len(got) == 3
     assert (got[200].used_percent, got[200].resets_at, got[200].window_minutes, got[200].plan_type) == (40, 9000, 300, "x")
 
