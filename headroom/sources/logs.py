@@ -7,33 +7,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 HEAD = 256
+MANIFEST = "file string, size long, mtime timestamp, head string, open_end boolean"
 
 
-def read_lines(spark: SparkSession, root: str, account_id: str, glob: str = "*.jsonl") -> DataFrame:
-    """(account_id, file, line_no, line) of all lines below a folder; a file is read in its own order."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+def _files(spark: SparkSession, paths: str | list[str], glob: str):
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(paths)
+
+
+def read_lines(spark: SparkSession, paths: str | list[str], account_id: str, glob: str = "*.jsonl") -> DataFrame:
+    """(account_id, file, line_no, line) of all lines of files, or of files below folders; a file is read in its own order."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(paths)
     raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
     order = W.partitionBy("file").orderBy("block", "seq")
     return raw.select(F.lit(account_id).alias("account_id"), "file", F.row_number().over(order).cast("long").alias("line_no"), F.col("value").alias("line"))
 
 
-def manifest(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
-    """(file, size, mtime, head) of each file; head is the hash of its first bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return files.select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2(F.substring("content", 1, HEAD), 256).alias("head"))
+def manifest(spark: SparkSession, paths: str | list[str], glob: str = "*.jsonl") -> DataFrame:
+    """(file, size, mtime) of each file, from the listing alone: no file is opened."""
+    return _files(spark, paths, glob).select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
 def changed_files(now: DataFrame, seen: DataFrame) -> DataFrame:
-    """Files that are new, and those whose size, time or head changed; `rewritten` marks the ones whose old rows must go."""
+    """(file, size, mtime, head, open_end, rewritten) of new files, and of those whose size or time changed.
+
+    Only these are opened: head is the hash of their first bytes, open_end tells that the
+    last line has no end yet. `rewritten` marks files that shrank or whose first bytes, as
+    far as the last scan saw them, are others.
+    """
     old = seen.select("file", F.col("size").alias("o_size"), F.col("mtime").alias("o_mtime"), F.col("head").alias("o_head"))
     both = now.join(old, "file", "left")
-    new = F.col("o_size").isNull()
-    moved = (F.col("size") != F.col("o_size")) | (F.col("mtime") != F.col("o_mtime"))
-    rewritten = ~new & ((F.col("size") < F.col("o_size")) | ((F.col("o_size") >= HEAD) & (F.col("head") != F.col("o_head"))))
-    return both.where(new | moved).select("file", "size", "mtime", "head", F.coalesce(rewritten, F.lit(False)).alias("rewritten"))
-
-
-def replace_files(bronze: DataFrame, fresh: DataFrame) -> DataFrame:
+    both = both.where(F.col("o_size").isNull() | (F.col("size") != F.col("o_size")) | (F.col("mtime") != F.col("o_mtime")))
+    spark, paths = now.sparkSession, [r.file for r in both.select("file").collect()]  # names of changed files
+    if not paths:
+        return both.select("file", "size", "mtime", F.lit(None).cast("string").alias("head"), F.lit(False).alias("open_end"), F.lit(False).alias("rewritten"))
+    first = lambda n: F.sha2(F.substring("content", F.lit(1), n), 256)
+    opened = _files(spark, paths, "*").select(F.col("path").alias("file"), "content").join(both, "file")
+    other = (F.col("size") < F.col("o_size")) | (first(F.least(F.lit(HEAD), F.col("o_size")).cast("int")) != F.col("o_head"))
+    ending = (F.col("size") > 0) & (F.substring("content", -1, 1) != F.lit(b"\n"))
+    return opened.select("file", "size", "mtime", first(F.least(F.lit(HEAD), F.col("size")).cast("int")).alias("head"), ending.alias("open_end"), F.coalesce(other, F.lit(False)).alias("rewritten"))
+
+
+def replace_files(bronze: DataFrame, fresh: DataFrame, changed: DataFrame) -> DataFrame:
     """The raw table after changed files were read anew: their old rows go, all other rows stay."""
-    gone = fresh.select("file").distinct()
-    return bronze.join(gone, "file", "left_anti").unionByName(fresh)
+    return bronze.join(changed.select("file").distinct(), "file", "left_anti").unionByName(fresh)

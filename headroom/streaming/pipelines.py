@@ -12,28 +12,38 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 BASELINE = 500_000
 
 
-def line_stream(spark: SparkSession, root: str) -> DataFrame:
+def line_stream(spark: SparkSession, root: str, account_id: str = "a") -> DataFrame:
     """Lines of immutable part files as they land."""
-    return spark.readStream.option("recursiveFileLookup", True).text(root).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    lines = spark.readStream.option("recursiveFileLookup", True).text(root)
+    return lines.select(F.lit(account_id).alias("account_id"), F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
 
 
 def usage_stream(lines: DataFrame) -> DataFrame:
-    """Usage events of transcript lines; what does not parse, is synthetic, empty or negative falls out (the batch job counts it)."""
+    """Usage events of transcript lines (account_id, file, line); what does not parse, is synthetic, empty or negative falls out (the batch job counts it).
+
+    The key is the message and request id; without both it is the file and the line's
+    own content, as a stream has no line numbers.
+    """
     v = lines.where(F.col("line").contains('"assistant"') & F.col("line").contains('"usage"')).withColumn("v", F.expr("try_parse_json(line)"))
     get = lambda p, t: F.expr(f"try_variant_get(v, '$.{p}', '{t}')")
     n = lambda p: F.coalesce(get(f"message.usage.{p}", "bigint"), F.lit(0))
+    split = F.expr("coalesce(schema_of_variant(try_variant_get(v, '$.message.usage.cache_creation', 'variant')) like 'OBJECT%', false)")
     events = v.select(
-        F.to_timestamp(get("timestamp", "string")).alias("at"), F.coalesce(get("message.model", "string"), F.lit("UNKNOWN")).alias("model"),
+        "account_id", F.to_timestamp(get("timestamp", "string")).alias("at"), F.coalesce(get("message.model", "string"), F.lit("UNKNOWN")).alias("model"),
         n("input_tokens").alias("input_tokens"), n("output_tokens").alias("output_tokens"), n("cache_read_input_tokens").alias("cached_input_tokens"),
-        F.concat_ws(":", get("message.id", "string"), get("requestId", "string")).alias("dedup_key"),
+        n("cache_creation.ephemeral_5m_input_tokens").alias("cache_w_5m"), n("cache_creation.ephemeral_1h_input_tokens").alias("cache_w_1h"),
+        F.when(split, 0).otherwise(n("cache_creation_input_tokens")).alias("cache_w_unsplit"),
+        F.coalesce(F.concat(get("message.id", "string"), F.lit(":"), get("requestId", "string")), F.concat("file", F.lit(":"), F.sha2("line", 256))).alias("dedup_key"),
+        get("type", "string").alias("kind"),
     )
-    counts = [F.col(c) for c in ("input_tokens", "output_tokens", "cached_input_tokens")]
-    return events.where(F.col("at").isNotNull() & (F.col("model") != "<synthetic>") & (F.least(*counts) >= 0) & (F.greatest(*counts) > 0))
+    counts = [F.col(c) for c in ("input_tokens", "output_tokens", "cached_input_tokens", "cache_w_5m", "cache_w_1h", "cache_w_unsplit")]
+    good = F.col("at").isNotNull() & (F.col("kind") == "assistant") & (F.col("model") != "<synthetic>") & (F.least(*counts) >= 0) & (F.greatest(*counts) > 0)
+    return events.where(good).drop("kind")
 
 
 def dedup_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """One event per key within the watermark; later copies are left to the batch recomputation."""
-    return events.withWatermark("at", delay).dropDuplicatesWithinWatermark(["dedup_key"])
+    """One event per account and key within the watermark; later copies are left to the batch recomputation."""
+    return events.withWatermark("at", delay).dropDuplicatesWithinWatermark(["account_id", "dedup_key"])
 
 
 def weekly_stream(priced: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -72,38 +82,61 @@ def counter_stream(rows: DataFrame) -> DataFrame:
     )
 
 
-_STATE = "first_ts long, last_ts long, last_pct double, peak double, peak_ts long, anchor long, minutes long, plan string"
-
-
-def _track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = list(state.get) if state.exists else None
-    rows = pd.concat(list(frames)).sort_values("ts").astype(object)
-    rows = rows.where(rows.notna(), None)
-    closed = []
-    for r in rows.itertuples(index=False):
-        minutes, resets, plan = r.window_minutes, r.resets_at, r.plan_type
-        if now is not None:
-            first, last, pct, peak, peak_ts, anchor, length, kept = now
-            new = (
-                (length is not None and minutes is not None and length != minutes)
-                or (anchor is not None and resets is not None and abs(anchor - resets) > 600)
-                or r.used_percent < pct - 5
-                or (length is not None and r.ts - last > length * 60)
-                or (kept is not None and plan is not None and kept != plan)
-            )
-        if now is None or new:
-            if now is not None:
-                closed.append((*key, now[0], now[1], now[3], now[4]))
-            now = [int(r.ts), int(r.ts), float(r.used_percent), float(r.used_percent), int(r.ts), resets, minutes, plan]
-        else:
-            higher = r.used_percent > peak
-            now = [first, int(r.ts), float(r.used_percent), float(r.used_percent) if higher else peak, int(r.ts) if higher else peak_ts, resets if anchor is None else anchor, minutes if length is None else length, kept if plan is None else plan]
-    state.update(tuple(None if v is None else (v if isinstance(v, (str, float)) else int(v)) for v in now))
-    yield pd.DataFrame(closed, columns=["account_id", "provider", "window_id", "first_ts", "last_ts", "peak_pct", "peak_ts"])
-
-
-def instance_stream(snapshots: DataFrame) -> DataFrame:
-    """Instances as they close; the open one stays in the state. Rows of a micro-batch are sorted, later micro-batches must be later in time."""
+_STATE = "first_ts long, last_ts long, last_pct double, peak double, peak_ts long, anchor long, minutes long, plan string, resets_at long"
+_CLOSED = ["account_id", "provider", "window_id", "first_ts", "last_ts", "peak_pct", "peak_ts"]
+
+
+def _closed(key: tuple, now: list) -> tuple:
+    return (*key, now[0], now[1], now[3], now[4])
+
+
+def _tracker(timed: bool):
+    def track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = list(state.get) if state.exists else None
+        if state.hasTimedOut:  # the reset passed without another snapshot
+            state.remove()
+            yield pd.DataFrame([_closed(key, now)], columns=_CLOSED)
+            return
+        rows = pd.concat(list(frames)).sort_values("ts").astype(object)
+        rows = rows.where(rows.notna(), None)
+        closed = []
+        for r in rows.itertuples(index=False):
+            minutes, resets, plan = r.window_minutes, r.resets_at, r.plan_type
+            new = now is None
+            if not new:
+                first, last, pct, peak, peak_ts, anchor, length, kept, latest = now
+                new = (
+                    (length is not None and minutes is not None and length != minutes)
+                    or (anchor is not None and resets is not None and abs(anchor - resets) > 600)
+                    or r.used_percent < pct - 5
+                    or (length is not None and r.ts - last > length * 60)
+                    or (kept is not None and plan is not None and kept != plan)
+                )
+                if new:
+                    closed.append(_closed(key, now))
+            if new:
+                now = [int(r.ts), int(r.ts), float(r.used_percent), float(r.used_percent), int(r.ts), resets, minutes, plan, resets]
+            else:
+                if r.used_percent > peak:
+                    peak, peak_ts = float(r.used_percent), int(r.ts)
+                now = [first, int(r.ts), float(r.used_percent), peak, peak_ts, resets if anchor is None else anchor, minutes if length is None else length, kept if plan is None else plan, latest if resets is None else resets]
+        state.update(tuple(None if v is None else (v if isinstance(v, (str, float)) else int(v)) for v in now))
+        if timed and now[8] is not None:
+            state.setTimeoutTimestamp(max(int(now[8]) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(closed, columns=_CLOSED)
+
+    return track
+
+
+def instance_stream(snapshots: DataFrame, delay: str | None = None) -> DataFrame:
+    """Instances as they close; the open one stays in the state. Rows of a micro-batch are sorted, later micro-batches must be later in time.
+
+    With a `delay`, snapshots need a timestamp column `at`: an instance then also closes
+    when the watermark passes its reset.
+    """
+    if delay:
+        snapshots = snapshots.withWatermark("at", delay)
+    timeout = GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout
     return snapshots.groupBy("account_id", "provider", "window_id").applyInPandasWithState(
-        _track, "account_id string, provider string, window_id string, first_ts long, last_ts long, peak_pct double, peak_ts long", _STATE, "append", GroupStateTimeout.NoTimeout
+        _tracker(bool(delay)), "account_id string, provider string, window_id string, first_ts long, last_ts long, peak_pct double, peak_ts long", _STATE, "append", timeout
     )

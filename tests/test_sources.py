@@ -1,8 +1,11 @@
-"""Log files: lines in order, the manifest, rewritten files."""
+"""Log files: lines in order, the manifest, rewritten files, the whole refresh."""
+
+import json
 
 import pyspark.sql.functions as F
 
-from headroom.sources.logs import changed_files, manifest, read_lines, replace_files
+from headroom.sources.logs import MANIFEST, changed_files, manifest, read_lines, replace_files
+from headroom.sources.refresh import append_summary, lifetime_parse_errors, refresh
 
 
 def test_manifest_and_replacement(spark, tmp_path):
@@ -10,16 +13,58 @@ def test_manifest_and_replacement(spark, tmp_path):
     logs.mkdir()
     (logs / "a.jsonl").write_text("".join(f'{{"n":{i}}}\n' for i in range(100)))
     (logs / "b.jsonl").write_text('{"n":0}\n' * 50)
+    (logs / "s.jsonl").write_text('{"n":5}\n')
     (logs / "c.txt").write_text("x\n")
-    seen = manifest(spark, str(logs)).checkpoint()
+    seen = changed_files(manifest(spark, str(logs)), spark.createDataFrame([], MANIFEST)).drop("rewritten").checkpoint()
+    assert seen.count() == 3
     lines = read_lines(spark, str(logs), "acc").checkpoint()
-    assert lines.count() == 150
+    assert lines.count() == 151
     first = lines.where(F.col("file").endswith("a.jsonl")).orderBy("line_no").collect()
     assert [r.line for r in first] == [f'{{"n":{i}}}' for i in range(100)] and first[0].line_no == 1
     assert changed_files(manifest(spark, str(logs)), seen).count() == 0
     (logs / "a.jsonl").write_text('{"n":7}\n')
+    (logs / "s.jsonl").write_text('{"n":6}\n{"n":6')  # small, other bytes, larger
+    (logs / "b.jsonl").write_text('{"n":0}\n' * 51)
     (logs / "d.jsonl").write_text('{"n":1}\n')
-    delta = {r.file.rsplit("/", 1)[1]: r.rewritten for r in changed_files(manifest(spark, str(logs)), seen).collect()}
-    assert delta == {"a.jsonl": True, "d.jsonl": False}
-    fresh = read_lines(spark, str(logs), "acc", "[ad].jsonl")
-    assert replace_files(lines, fresh).count() == 50 + 2
+    changed = changed_files(manifest(spark, str(logs)), seen)
+    assert {r.file.rsplit("/", 1)[1]: (r.rewritten, r.open_end) for r in changed.collect()} == {"a.jsonl": (True, False), "s.jsonl": (True, True), "b.jsonl": (False, False), "d.jsonl": (False, False)}
+    fresh = read_lines(spark, str(logs), "acc", "[abds].jsonl")
+    assert replace_files(lines, fresh, changed).count() == 1 + 51 + 2 + 1
+
+
+def said(i, model="m", request="r", n=10):
+    usage = {"input_tokens": n, "output_tokens": 1}
+    return json.dumps({"type": "assistant", "timestamp": "2024-01-01T00:00:00Z", "requestId": request, "message": {"id": f"m{i}", "model": model, "usage": usage}}) + "\n"
+
+
+def counted(n, percent):
+    payload = {"type": "token_count", "info": {"total_token_usage": {"input_tokens": n}}, "rate_limits": {"primary": {"used_percent": percent, "window_minutes": 300}}}
+    return json.dumps({"type": "event_msg", "timestamp": f"2024-01-01T00:00:{n:02d}Z", "payload": payload}) + "\n"
+
+
+def test_refresh(spark, tmp_path):
+    logs, log_of_scans = tmp_path / "logs", str(tmp_path / "scans")
+    (logs / "archive").mkdir(parents=True)
+    (logs / "a.jsonl").write_text(said(1) + said(2) + "{broken \"assistant\" \"usage\"\n" + said(3)[:-1])  # the last line is not finished
+    (logs / "b.jsonl").write_text(said(2, n=99) + said(4))
+    (logs / "rollout-1.jsonl").write_text(counted(5, 10) + counted(9, 11))
+    (logs / "archive" / "rollout-1.jsonl").write_text(counted(50, 90))
+    (logs / "archive" / "rollout-2.jsonl").write_text(counted(30, 20))
+    polls = spark.createDataFrame([("acc", 1, "{}"), ("acc", 2, '{"weekly":{"utilization":3}}')], "account_id string, ts long, body string")
+    keys = lambda scan: sorted((r.dedup_key.rsplit("/", 1)[-1], r.input_tokens) for r in scan.events.collect())
+    one = refresh(spark, [str(logs)], "acc", archive="/archive/", polls=polls)
+    rollouts = [("rollout-1.jsonl:1", 5), ("rollout-1.jsonl:2", 4), ("rollout-2.jsonl:1", 30)]
+    assert keys(one) == sorted([("m1:r", 10), ("m2:r", 10), ("m4:r", 10), *rollouts])
+    assert sorted((r.source, r.used_percent) for r in one.snapshots.collect()) == [("poll", 3.0), ("rollout", 10.0), ("rollout", 11.0), ("rollout", 20.0)]
+    assert {(r.source, r.parse_errors) for r in one.summary.collect()} >= {("transcripts", 1), ("polls", 1)}
+    append_summary(one.summary, log_of_scans)
+    two = refresh(spark, [str(logs)], "acc", one, archive="/archive/")
+    assert two.changed.count() == 0 and keys(two) == keys(one)
+    append_summary(two.summary, log_of_scans)
+    assert lifetime_parse_errors(spark, log_of_scans) == 3  # one line, twice, and the payload
+    # the file that held the first copy of m2 is written anew without it: the other copy takes its place
+    (logs / "a.jsonl").write_text(said(7))
+    (logs / "rollout-1.jsonl").write_text(counted(5, 10) + counted(9, 11) + counted(20, 12))
+    three = refresh(spark, [str(logs)], "acc", two, archive="/archive/")
+    assert {r.file.rsplit("/", 1)[1]: r.rewritten for r in three.changed.collect()} == {"a.jsonl": True, "rollout-1.jsonl": False}
+    assert keys(three) == sorted([("m7:r", 10), ("m2:r", 99), ("m4:r", 10), *rollouts, ("rollout-1.jsonl:3", 11)])
