@@ -109,7 +109,13 @@ def _blocks(values, second, offsets, shape: Shape):
     return doc[cut], start, n, grams[low], whole, first, other
 
 
-def _emit(shape: Shape, hot: np.ndarray, same_document: bool):
+ROW = "gram long, block long, key long, pos long"
+NODE_ROW = f"{ROW}, u long, v long, src_key long, src_pos long"
+
+
+def emit(shape: Shape, hot: np.ndarray, same_document: bool, nodes: bool = False):
+    """The blocks of (key, text) rows as ROW; with `nodes` as NODE_ROW, which adds the hashes of a block's first and last window - 1 symbols and, where it is known at once, the earlier place that it repeats."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in K.text_slices(batch, 1):
@@ -122,24 +128,30 @@ def _emit(shape: Shape, hot: np.ndarray, same_document: bool):
                         continue
                     doc, start, n, gram, whole, first, other = found
                     key, place = keys[text[doc]], start - at[doc] + base[doc]
+                    src_key, src_place = np.full(len(n), -1), np.full(len(n), -1)
                     big = np.isin(gram, hot) if len(hot) else np.zeros(len(gram), bool)
                     if big.any():
-                        gram, whole, key, place, n = _split(shape, same_document, big, start, n, gram, whole, key, place, first, other)
-                    pos = place * SHIFT + n
-                    yield _arrow(gram.view(np.int64), whole.view(np.int64), key, pos)
+                        start, gram, whole, key, place, n, src_key, src_place = _split(shape, same_document, big, start, n, gram, whole, key, place, first, other)
+                    cols = [gram.view(np.int64), whole.view(np.int64), key, place * SHIFT + n]
+                    if nodes:
+                        most, wide = np.maximum(n, 1), shape.window - 1
+                        cols += [K.span_hash(first, start, start + wide).view(np.int64), K.span_hash(first, start + most, start + most + wide).view(np.int64)]
+                        cols += [pa.array(src_key, mask=src_key < 0), pa.array(src_place * SHIFT + 1, mask=src_key < 0)]
+                    names = [c.split()[0] for c in (NODE_ROW if nodes else ROW).split(", ")]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in cols], names=names)
 
     return run
 
 
 def _split(shape, same_document, big, start, n, gram, whole, key, place, first, other):
-    """Blocks of hot minimizers become windows dealt by content; of equal ones in this batch the first is dealt, the others are repeats (n = 0)."""
+    """Blocks of hot minimizers become windows dealt by content; of equal ones in this batch the first is dealt, the others are repeats of it (n = 0)."""
     m = n[big]
     inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
     s = np.repeat(start[big], m) + inner
     k, p = np.repeat(key[big], m), np.repeat(place[big], m) + inner
     h1, h2 = K.span_hash(first, s, s + shape.window), K.span_hash(other, s, s + shape.window)
     order = np.lexsort((p, k, h2, h1))
-    h1, h2, k, p = h1[order], h2[order], k[order], p[order]
+    s, h1, h2, k, p = s[order], h1[order], h2[order], k[order], p[order]
     again = np.concatenate([[False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])])
     src = np.maximum.accumulate(np.where(again, 0, np.arange(len(k))))
     again &= same_document | (k > k[src])
@@ -148,11 +160,8 @@ def _split(shape, same_document, big, start, n, gram, whole, key, place, first,
     ones = np.where(again, 0, 1)
     rest = ~big
     join = lambda a, b: np.concatenate([a[rest], b])
-    return join(gram, h1), join(whole, h2), join(key, k), join(place, p), join(n, ones)
-
-
-def _arrow(gram, whole, key, pos) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (gram, whole, key, pos)], names=["gram", "block", "key", "pos"])
+    none = np.full(len(n), -1)
+    return join(start, s), join(gram, h1), join(whole, h2), join(key, k), join(place, p), join(n, ones), join(none, np.where(again, k[src], -1)), join(none, np.where(again, p[src], -1))
 
 
 def _sampled_grams(shape: Shape):
@@ -194,7 +203,7 @@ def compared_blocks(docs: DataFrame, shape: Shape, same_document: bool) -> DataF
     """
     n = partitions(docs)
     hot = hot_grams(docs, shape, n)
-    rows = docs.select("key", "text").mapInArrow(_emit(shape, hot, same_document), "gram long, block long, key long, pos long")
+    rows = docs.select("key", "text").mapInArrow(emit(shape, hot, same_document), ROW)
     rows = rows.repartition(n, "gram").sortWithinPartitions("gram", "block", "key", "pos")  # serves all windows below
     by_gram, by_block = W.partitionBy("gram"), W.partitionBy("gram", "block")
     n_windows = F.col("pos") % SHIFT

@@ -1,13 +1,22 @@
 """Substring dedup of long word sequences over a compacted de Bruijn graph.
 
-The edges of the graph are the windows of `window` words, its nodes their overlaps. A
-document is a walk. Runs of edges that share a minimizer are compacted before anything
-leaves the scan (`blocks`): such a run is a nonbranching stretch of one walk. A Spark
-join of stretches by minimizer merges equal ones; only where different stretches meet at
-a minimizer - the branching places - are the single edges joined. Repeated edges that
-follow each other in a document are one long repeated span, given by source coordinates
-(document, first word, number of words), and the spans are cut out of the documents' own
-words.
+Edges are the sequences of `window` words (k-mers), nodes their first and last window - 1
+words; a document is a walk. Only edges that occur in several documents matter, and they
+leave the scan in runs, as is usual for graphs that do not fit one machine:
+
+1. Runs of edges that share a minimizer (`blocks`) meet by it. A run that is whole in
+   several documents is one compact edge. Where different runs meet at a minimizer, their
+   single edges are joined.
+2. Nodes count the repeated edges that enter and leave them. A node with one of each does
+   not branch: its edges belong to one path. Paths are compacted by pointer doubling, a
+   join per doubling, so that a path of n edges takes log2(n) joins.
+3. Every later occurrence of an edge has source coordinates: the document and place where
+   the edge comes first. Occurrences that follow each other along a path and along one
+   source are one long repeated span (document, words, source document, source words).
+4. The words at both coordinates of each span are compared (by a 160-bit digest of the
+   words themselves, so that texts need not travel) before the result is given, and the
+   spans are cut out of the documents' own words. Hashes that disagreed with the words
+   would raise.
 """
 
 from __future__ import annotations
@@ -19,16 +28,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import kernels as K
-from .blocks import SHIFT, Shape, compared_blocks, covered, ordered_key, with_places, word_symbols
-from .common import written
+from .blocks import NODE_ROW, SHIFT, Shape, covered, emit, hot_grams, ordered_key, word_symbols
+from .common import discard, partitions, written
 
 ANCHOR = 24
+_EDGE_ROW = "e1 long, e2 long, u long, v long, key long, place long, src_key long, src_place long"
 
 
 def _edges(window: int):
-    """The single edges of the asked stretches: two independent hashes, document and place."""
+    """The single edges of the asked runs: two independent hashes, nodes, document and place; of equal ones in a batch, where the first stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,57 +54,139 @@ def _edges(window: int):
                 place = np.repeat(pos // SHIFT, n) + inner
                 doc = np.repeat(doc, n)
                 at = place + words[doc]
-                h1 = K.span_hash(K.prefix_hash(hashes), at, at + window)
-                h2 = K.span_hash(K.prefix_hash(second), at, at + window)
+                first, other = K.prefix_hash(hashes), K.prefix_hash(second)
                 key = rows.column(0).to_numpy()[doc]
-                # equal edges of one batch: the first document's stand for all; later documents' are repeats already
+                h1, h2 = K.span_hash(first, at, at + window), K.span_hash(other, at, at + window)
                 order = np.lexsort((place, key, h2, h1))
-                h1, h2, key, place = h1[order], h2[order], key[order], place[order]
+                at, h1, h2, key, place = at[order], h1[order], h2[order], key[order], place[order]
                 same = np.concatenate([[False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])])
-                src = np.maximum.accumulate(np.where(same, 0, np.arange(len(key)))) if len(key) else same
-                known = same & (key > key[src]) if len(key) else same
-                names = ["e1", "e2", "key", "place", "known"]
-                cols = [h1.view(np.int64), h2.view(np.int64), key, place, known]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+                src = np.maximum.accumulate(np.where(same, 0, np.arange(len(key)))) if len(key) else np.zeros(0, np.int64)
+                plain = ~(same & (key > key[src])) if len(key) else np.zeros(0, bool)
+                u, v = K.span_hash(first, at, at + window - 1), K.span_hash(first, at + 1, at + window)
+                cols = [h1.view(np.int64), h2.view(np.int64), u.view(np.int64), v.view(np.int64), key, place, pa.array(key[src], mask=plain), pa.array(place[src], mask=plain)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=[c.split()[0] for c in _EDGE_ROW.split(", ")])
 
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(key, pos) of all windows whose words also start in an earlier document; pos is first * SHIFT + number of windows."""
-    shape = Shape(window, min(ANCHOR, max(1, window // 2)), word_symbols)
-    compared = written(compared_blocks(docs, shape, same_document=False), "stretches")
-    asked = compared.where("gram is not null").groupBy("key").agg(F.collect_list("pos").alias("asked"))
-    edges = docs.select("key", "text").join(asked, "key").mapInArrow(_edges(window), "e1 long, e2 long, key long, place long, known boolean")
-    edges = written(edges, "edges")
-    met = edges.where("not known").groupBy("e1", "e2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
-    later = edges.where("not known").join(met, ["e1", "e2"]).where("key > first").select("key", "place")
-    later = later.union(edges.where("known").select("key", "place"))
-    return compared.where("gram is null").select("key", "pos").union(later.select("key", (F.col("place") * SHIFT + 1).alias("pos")))
+def repeated_edges(docs: DataFrame, window: int) -> DataFrame:
+    """(edge, u, v, n, key, place, src_key, src_place): every run of n edges that also starts in an earlier document, src.
+
+    `u` and `v` are the nodes at its ends. A run is a compact edge, or a single one.
+    """
+    shape, n = Shape(window, min(ANCHOR, max(1, window // 2)), word_symbols), partitions(docs)
+    rows = docs.select("key", "text").mapInArrow(emit(shape, hot_grams(docs, shape, n), False, nodes=True), NODE_ROW)
+    rows = rows.repartition(n, "gram").sortWithinPartitions("gram", "block", "key", "pos")  # serves all windows below
+    by_gram, by_block = W.partitionBy("gram"), W.partitionBy("gram", "block")
+    first = F.min(F.struct("key", "pos")).over(by_block)
+    several = F.min("block").over(by_gram) != F.max("block").over(by_gram)
+    rows = rows.select("gram", "block", "key", "pos", "u", "v", "src_key", "src_pos", first.alias("first"), several.alias("several"))
+    known = F.col("src_key").isNotNull()
+    repeat = known | (F.col("key") > F.col("first.key"))
+    rows = rows.where(repeat | F.col("several")).select(
+        "block", "u", "v", "key", "pos", F.when(known, F.col("src_key")).when(repeat, F.col("first.key")).alias("src_key"), F.when(known, F.col("src_pos")).when(repeat, F.col("first.pos")).alias("src_pos")
+    )
+    rows = written(rows, "runs")
+    at = lambda c: F.floor(F.col(c) / SHIFT).cast("long")
+    whole = rows.where("src_key is not null").select(
+        F.col("block").alias("edge"), "u", "v", F.greatest(F.col("pos") % SHIFT, F.lit(1)).cast("long").alias("n"), "key", at("pos").alias("place"), "src_key", at("src_pos").alias("src_place")
+    )
+    asked = rows.where("src_key is null").groupBy("key").agg(F.collect_list("pos").alias("asked"))
+    single = written(docs.select("key", "text").join(asked, "key").mapInArrow(_edges(window), _EDGE_ROW), "edges")
+    met = single.where("src_key is null").groupBy("e1", "e2").agg(F.min(F.struct("key", "place")).alias("first"), F.max("key").alias("last")).where("first.key < last")
+    later = single.where("src_key is null").join(met, ["e1", "e2"]).where("key > first.key")
+    columns = [F.xxhash64("e1", "e2").alias("edge"), "u", "v", F.lit(1).cast("long").alias("n"), "key", "place"]
+    later = later.select(*columns, F.col("first.key").alias("src_key"), F.col("first.place").alias("src_place"))
+    return whole.union(later).union(single.where("src_key is not null").select(*columns, "src_key", "src_place"))
+
+
+def compacted(edges: DataFrame, max_rounds: int = 48) -> DataFrame:
+    """(edge, path, at) of distinct `edges` (edge, u, v, n): the first edge of its nonbranching path, and the number of windows before it there.
+
+    A path that runs in a circle has no first edge: each of its edges is a path of its own.
+    """
+    leave = edges.groupBy("u").agg(F.count("*").alias("m"), F.min("edge").alias("next")).where("m = 1").select(F.col("u").alias("node"), "next")
+    enter = edges.groupBy("v").agg(F.count("*").alias("m"), F.min(F.struct("edge", "n")).alias("e")).where("m = 1").select(F.col("v").alias("node"), "e.edge", "e.n")
+    before = leave.join(enter, "node").where("edge <> next").select(F.col("next").alias("edge"), F.col("edge").alias("prev"), F.col("n").alias("at"))
+    now = written(edges.select("edge").join(before, "edge", "left").select("edge", "prev", F.coalesce("at", F.lit(0)).cast("long").alias("at"), F.col("prev").isNull().alias("done"), F.coalesce("prev", "edge").alias("path")), "paths")
+    total, left = edges.count(), now.where("not done").limit(1).count()
+    rounds = 0
+    while left and rounds < max_rounds and (1 << rounds) <= 2 * total:
+        # the pointer of the edge that mine points to becomes mine
+        far = now.select(F.col("edge").alias("prev"), F.col("prev").alias("far"), F.col("at").alias("more"), F.col("done").alias("end"), F.col("path").alias("head"))
+        open_, closed = now.where("not done"), now.where("done")
+        step = open_.join(far, "prev").select("edge", F.col("far").alias("prev"), (F.col("at") + F.col("more")).alias("at"), F.col("end").alias("done"), F.col("head").alias("path"))
+        after = written(closed.union(step.select("edge", F.coalesce("prev", "path").alias("prev"), "at", "done", "path")), "paths")
+        discard(now)
+        now, rounds = after, rounds + 1
+        left = now.where("not done").limit(1).count()
+    alone = F.col("done")
+    return now.select("edge", F.when(alone, F.col("path")).otherwise(F.col("edge")).alias("path"), F.when(alone, F.col("at")).otherwise(0).cast("long").alias("at"))
+
+
+def repeated_spans(runs: DataFrame) -> DataFrame:
+    """(key, place, n, src_key, src_place): the longest stretches of n windows along one path and one source."""
+    edges = runs.groupBy("edge").agg(F.min(F.struct("u", "v", "n")).alias("e")).select("edge", "e.u", "e.v", "e.n")
+    paths = compacted(written(edges, "graph"))
+    rows = runs.join(paths, "edge").select("key", "place", "n", "src_key", "src_place", "path")
+    line = ["key", "path", "src_key", F.col("place") - F.col("src_place")]
+    ahead = F.max(F.col("place") + F.col("n")).over(W.partitionBy(*line).orderBy("place").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("fresh", (ahead.isNull() | (F.col("place") > ahead)).cast("int"))
+    rows = rows.withColumn("span", F.sum("fresh").over(W.partitionBy(*line).orderBy("place").rowsBetween(W.unboundedPreceding, 0)))
+    out = rows.groupBy("key", "path", "src_key", (F.col("place") - F.col("src_place")).alias("shift"), "span")
+    out = out.agg(F.min("place").alias("place"), F.max(F.col("place") + F.col("n")).alias("end"))
+    return out.select("key", "place", (F.col("end") - F.col("place")).alias("n"), "src_key", (F.col("place") - F.col("shift")).alias("src_place"))
 
 
 def _cut(window: int):
+    """What is left of each document, and digests of the word ranges that are asked of it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"doc_id": batch.column(0).to_pylist(), "n_words": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-            for text, places in zip(batch.column(1), batch.column(2), strict=True):
+            out: dict[str, list] = {"key": batch.column(0).to_pylist(), "doc_id": batch.column(1).to_pylist(), "n_words": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "digests": []}
+            for text, spans, asked in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
                 words = (text.as_py() or "").encode().split()
-                removed = spans = 0
-                if places.is_valid:
-                    gone = covered(len(words), places.values.to_numpy(), window)
+                digests = [{"place": r["place"], "n": r["n"], "digest": hashlib.blake2b(b" ".join(words[r["place"] : r["place"] + r["n"] + window - 1]), digest_size=20).digest()} for r in asked.as_py() or ()]
+                removed = n_spans = 0
+                if spans.is_valid:
+                    step = np.zeros(len(words) + 1, np.int64)
+                    for r in spans.as_py():
+                        step[r["place"]] += 1
+                        step[r["place"] + r["n"] + window - 1] -= 1
+                    gone = np.cumsum(step[:-1]) > 0
                     removed = int(gone.sum())
-                    spans = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
+                    n_spans = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
                     words = [words[i] for i in np.flatnonzero(~gone)]
                 out["n_words"].append(len(words) + removed)
                 out["n_removed"].append(removed)
-                out["n_spans"].append(spans)
+                out["n_spans"].append(n_spans)
                 out["kept_sha256"].append(hashlib.sha256(b" ".join(words)).hexdigest())
-            types = [pa.int64()] * 4 + [pa.string()]
+                out["digests"].append(digests)
+            types = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.struct([("place", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())]))]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
     return run
 
 
+_CUT_ROW = "key long, doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string, digests array<struct<place:long,n:long,digest:binary>>"
+
+
+def cut_spans(keyed: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """The documents without their spans, after the words of each span have been compared with those at its source."""
+    own = spans.groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("spans"))
+    ranges = spans.select("key", "place", "n").union(spans.select("src_key", "src_place", "n")).distinct()
+    asked = ranges.groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("asked"))
+    both = asked.join(own, "key", "left")
+    rows = keyed.join(both, "key", "left").select("key", "doc_id", "text", "spans", "asked")
+    cut = written(rows.mapInArrow(_cut(window), _CUT_ROW), "cut")
+    seen = cut.select("key", F.explode("digests").alias("d")).select("key", "d.place", "d.n", "d.digest")
+    there = seen.select(F.col("key").alias("src_key"), F.col("place").alias("src_place"), "n", F.col("digest").alias("src_digest"))
+    agree = spans.join(seen, ["key", "place", "n"]).join(there, ["src_key", "src_place", "n"]).where("digest = src_digest")
+    if agree.count() != spans.count():
+        raise RuntimeError("equal hashes of unequal words: choose other hash values")
+    return cut
+
+
 def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     """Per row of `docs` (doc_id, text): n_words, n_removed, n_spans and kept_sha256, the hash of the words left.
 
@@ -104,5 +197,6 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     columns are ignored, and an empty table gives no rows.
     """
     keyed, _ = ordered_key(docs)
-    with_all = with_places(keyed, repeated_windows(keyed, window)).select("doc_id", "text", "places")
-    return with_all.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string")
+    runs = written(repeated_edges(keyed, window), "repeats")
+    spans = written(repeated_spans(runs), "spans")
+    return cut_spans(keyed, spans, window).drop("key", "digests")

@@ -79,6 +79,46 @@ def test_suffix_lpf(spark):
     assert sorted(map(tuple, got.collect())) == sorted(cut_bytes(TEXTS))
 
 
+def test_paths_are_compacted_where_nothing_branches(spark):
+    chain = [(f"c{i}", i, i + 1, 2) for i in range(40)]  # one path of 40 edges
+    fork = [("f1", 100, 101, 1), ("f2", 101, 102, 1), ("f3", 101, 103, 1), ("f4", 103, 104, 3), ("f5", 104, 105, 1)]  # two edges leave node 101
+    ring = [("r1", 200, 201, 1), ("r2", 201, 202, 1), ("r3", 202, 200, 1)]
+    names = {e: i for i, (e, *_) in enumerate(chain + fork + ring)}
+    edges = spark.createDataFrame([(names[e], u, v, n) for e, u, v, n in chain + fork + ring], "edge long, u long, v long, n long")
+    back = {i: e for e, i in names.items()}
+    got = {back[r.edge]: (back[r.path], r.at) for r in debruijn.compacted(edges).collect()}
+    want = {f"c{i}": ("c0", 2 * i) for i in range(40)} | {"f1": ("f1", 0), "f2": ("f2", 0), "f3": ("f3", 0), "f4": ("f3", 1), "f5": ("f3", 4)} | {e: (e, 0) for e in ("r1", "r2", "r3")}
+    assert got == want
+
+
+def test_spans_have_source_coordinates(spark):
+    passage = words(90)
+    texts = [" ".join([*words(5), *passage, *words(5)]), " ".join([*words(40), *passage, *words(7)]), " ".join([*words(3), *passage[10:80], *words(60)])]
+    keyed = spark.createDataFrame(list(enumerate(texts)), "key long, text string").selectExpr("key", "key doc_id", "text")
+    spans = debruijn.repeated_spans(debruijn.written(debruijn.repeated_edges(keyed, 50), "repeats"))
+    got = {(s.key, s.place, s.n, s.src_key, s.src_place) for s in spans.collect()}
+    covered = {(k, p + i, q, o + i) for k, p, n, q, o in got for i in range(n)}
+    assert covered == {(1, 40 + i, 0, 5 + i) for i in range(41)} | {(2, 3 + i, 0, 15 + i) for i in range(21)}
+    wrong = spans.withColumn("src_place", spans.src_place + 1)
+    with pytest.raises(RuntimeError, match="unequal words"):
+        debruijn.cut_spans(keyed, wrong, 50)
+
+
+def test_longest_previous_factors():
+    r = np.random.default_rng(3)
+    for alphabet, window in ((2, 6), (3, 9), (4, 16)):
+        raw = r.integers(97, 97 + alphabet, 400).astype(np.uint8)
+        text, starts = raw.tobytes(), np.arange(400 - window + 1)
+        order, lcp = suffix_lpf.suffix_order(raw, starts, window, np.zeros(len(starts), np.int64), starts)
+        length, source = suffix_lpf.previous_factors(starts[order], lcp)
+        for i, p in enumerate(starts[order].tolist()):
+            best = max([next((k for k in range(window) if text[p + k] != text[q + k]), window) for q in range(p)], default=0)
+            assert length[i] == best
+            if best:
+                q = int(starts[order][source[i]])
+                assert q < p and text[q : q + best] == text[p : p + best]
+
+
 def test_hot_minimizers_change_nothing(spark, monkeypatch):
     from headroom.llm import blocks
 
