@@ -1,15 +1,16 @@
 """Byte-level substring dedup by longest previous factors.
 
 A byte string that starts at place p has occurred before, at `window` bytes or more,
-exactly if the longest previous factor of p reaches `window`. For a suffix array that is
-decided by the previous and the next smaller position in suffix order: of all earlier
-suffixes these two share the longest prefixes with p.
+exactly if the longest previous factor (LPF) of p reaches `window`. LPF comes from the
+suffix array: of all earlier positions, the previous and the next smaller position in
+suffix order share the longest prefixes with p.
 
 Only suffixes that can have an earlier partner are sorted. `blocks` groups suffixes by
-the minimizer of their first `window` bytes; equal prefixes meet in one group, whole
-equal blocks are settled there, and the bytes of the blocks left are dealt by minimizer.
-Each group gets its own suffix array, truncated at `window` bytes (no longer prefix can
-matter), and its LPF decision from previous and next smaller positions.
+the minimizer of their first `window` bytes, so that equal prefixes meet in one group.
+Equal blocks are equal suffix ranges: only the first of them is sorted, and all later
+ones have an LPF of their whole length. Where a group has several different blocks, their
+bytes are dealt by minimizer; each group gets its own suffix array with the LCP of
+neighbours, both up to `window` bytes (no longer prefix can matter), and its LPF array.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ MOST_WINDOWS = 1 << 18
 
 
 def suffix_order(raw: np.ndarray, starts: np.ndarray, window: int, group: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes by group, first `window` bytes and text position; and whether each shares group and `window` bytes with the one before."""
+    """Suffixes by group, first `window` bytes and text position; and how many of these bytes each shares with the one before (none across groups)."""
     wide = -(-window // 8) * 8
     view = np.lib.stride_tricks.sliding_window_view(raw, window)[starts]
     if wide != window:
@@ -39,28 +40,52 @@ def suffix_order(raw: np.ndarray, starts: np.ndarray, window: int, group: np.nda
     words = np.ascontiguousarray(view).view(">u8").astype(np.uint64)
     order = np.lexsort((rank, *(words[:, i] for i in reversed(range(words.shape[1]))), group))
     words, group = words[order], group[order]
-    same = np.concatenate([[False], (words[1:] == words[:-1]).all(1) & (group[1:] == group[:-1])])
-    return order, same
-
-
-def has_previous_factor(rank: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """Whether LPF reaches the window, for suffixes in suffix order with text positions `rank`.
-
-    Within a run of equal truncated suffixes: a previous smaller position exists if some
-    position before it in the run is smaller, a next smaller one if some position after
-    it is; across a run's border the common prefix is shorter than the window.
+    lcp = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        differ = words[1:] != words[:-1]
+        at = differ.argmax(1)
+        row = np.arange(len(at))
+        x = words[1:][row, at] ^ words[:-1][row, at]
+        shared = np.zeros(len(x), np.int64)  # equal bytes at the front of the word that differs
+        for byte in range(7, 0, -1):
+            shared += (x >> np.uint64(8 * byte)) == 0
+        lcp[1:] = np.where(differ.any(1), np.minimum(8 * at + shared, window), window)
+        lcp[1:][group[1:] != group[:-1]] = 0
+    return order, lcp
+
+
+def nearest_smaller(rank: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix in suffix order the nearest one before it with a smaller text position (-1: none), and the bytes that both share.
+
+    Pointers start at the neighbour and jump along the pointers of larger positions, all at
+    once, so that they double their reach; the smallest LCP on the way goes along.
+    """
+    at = np.arange(len(rank)) - 1
+    shared = lcp.copy()
+    todo = np.flatnonzero((at >= 0) & (rank[at] > rank))
+    while len(todo):
+        p = at[todo]
+        shared[todo], at[todo] = np.minimum(shared[todo], shared[p]), at[p]
+        p = at[todo]
+        todo = todo[(p >= 0) & (shared[todo] > 0) & (rank[p] > rank[todo])]
+    none = (at < 0) | (shared <= 0)
+    return np.where(none, -1, at), np.where(none, 0, shared)
+
+
+def previous_factors(rank: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest previous factor of each suffix in suffix order, and the suffix (by its place in that order, -1: none) where it stands.
+
+    Of all earlier text positions, the previous and the next smaller one in suffix order
+    share the longest prefixes.
     """
     n = len(rank)
-    if not n:
-        return np.zeros(0, bool)
-    run = np.cumsum(~same) - 1
-    spread = int(rank.max()) + 1
-    # running minima restart at each run, because later runs lie lower (or higher) by a whole spread
-    before = np.minimum.accumulate(rank - run * spread) + run * spread
-    psv = before < rank
-    back = (run - run[-1]) * spread
-    after = (np.minimum.accumulate((rank + back)[::-1])[::-1]) - back
-    return psv | (after < rank)
+    before, left = nearest_smaller(rank, lcp)
+    # the same seen from the end: the LCP with the suffix after becomes that with the one before
+    back = np.zeros(n, np.int64)
+    back[1:] = lcp[1:][::-1]
+    after, right = nearest_smaller(rank[::-1], back)
+    after, right = np.where(after < 0, -1, n - 1 - after)[::-1], right[::-1]
+    return np.maximum(left, right), np.where(left >= right, before, after)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -114,9 +139,9 @@ def _lpf(window: int):
             parts = (content >> np.uint64(40)) % np.uint64(max(1, len(row) // MOST_WINDOWS))
             for part in range(int(parts.max()) + 1):
                 mine = np.flatnonzero(parts == part)
-                order, same = suffix_order(raw, starts[mine], window, gram[row[mine]], rank[mine])
+                order, lcp = suffix_order(raw, starts[mine], window, gram[row[mine]], rank[mine])
                 mine = mine[order]
-                mine = mine[has_previous_factor(rank[mine], same)]
+                mine = mine[previous_factors(rank[mine], lcp)[0] >= window]
                 yield pa.RecordBatch.from_arrays([pa.array(key[row[mine]]), pa.array(place[mine] * SHIFT + 1)], names=["key", "pos"])
 
     return run
