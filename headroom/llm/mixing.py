@@ -7,7 +7,7 @@ the words before a document give q, the part of the target already delivered, an
 t = F^-1(q) is the document's training position. Sorting all copies by position yields
 the training order.
 
-Only (doc_id, source, size) leave the scan. Running sums need no task that sees a whole
+Only (doc_id, source, size) leave the scan, as a written table. Running sums need no task that sees a whole
 source: every source is cut into hash buckets, the bucket totals (sources x buckets
 rows) get their running sums, and each bucket adds its own.
 """
@@ -20,7 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD
+from .common import WORD, free_name, written
+
+
+def word_count(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 @dataclass(frozen=True)
@@ -109,10 +113,11 @@ def curriculum_assign(
     sized = docs.select(
         "doc_id",
         "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        word_count("text").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place"),
     )
     sized = sized.withColumn("bucket", F.shiftright(F.conv(F.substring("place", 1, 4), 16, 10).cast("int"), 16 - (buckets.bit_length() - 1)))
+    sized = written(sized, "sizes")  # texts are read and counted once
     targets = source_targets(sized, tuple(s.weight for s in schedules), share, cap)
     totals = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -139,15 +144,16 @@ def curriculum_assign(
 def curriculum_mix(docs: DataFrame, **options) -> DataFrame:
     """The training order: a row per taken copy, range-sorted by position, with all columns of `docs` and pass, taken, position.
 
-    Columns of `docs` that have these names are replaced. Rows that share a doc_id are
-    told apart by their source and size, equal ones are interchangeable.
+    Columns of `docs` that have these three names are replaced, all others stay. Rows that
+    share a doc_id, or have none, are told apart by their source and size, equal ones are
+    interchangeable; a row of size 0 is not taken.
     """
     docs = docs.drop("pass", "taken", "position")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("source", "_size"))
-    picked = curriculum_assign(docs, **options).withColumnRenamed("size", "_size").withColumn("_nth", nth)
-    picked = picked.select(F.col("doc_id").alias("_id"), "_nth", F.explode("passes").alias("p"))
-    picked = picked.select("_id", "_nth", F.col("p.pass").alias("pass"), F.col("p.taken").alias("taken"), F.col("p.position").alias("position"))
-    numbered = docs.withColumn("_size", size).withColumn("_nth", nth).drop("_size").withColumnRenamed("_nth", "_n")
-    joined = numbered.join(picked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_nth")))
-    return joined.drop("_id", "_nth", "_n").orderBy("position", "doc_id", "pass")
+    there, nth, ident = (free_name(docs, n) for n in ("size", "nth", "ident"))
+    sized = docs.withColumn(there, word_count("text"))
+    numbered = sized.withColumn(nth, F.row_number().over(W.partitionBy("doc_id").orderBy("source", there)))
+    again = W.partitionBy("doc_id").orderBy("source", "size")
+    picked = curriculum_assign(docs, **options).withColumn(nth, F.row_number().over(again)).select(F.col("doc_id").alias(ident), F.col(nth).alias(f"{nth}_"), F.explode("passes").alias("p"))
+    picked = picked.select(ident, f"{nth}_", F.col("p.pass").alias("pass"), F.col("p.taken").alias("taken"), F.col("p.position").alias("position"))
+    joined = numbered.join(picked, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(nth) == F.col(f"{nth}_")))
+    return joined.drop(ident, nth, f"{nth}_", there).orderBy("position", "doc_id", "pass")
