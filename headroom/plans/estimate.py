@@ -383,10 +383,11 @@ def dq_calibration(d):
 
 @relation
 def contained(d):
-    """Shorter-window instances inside a long attribution span, and their dollars by the as-of join of their own window."""
+    """Instances of shorter windows, scoped ones left out, inside the attribution spans of the newest eight long ones that have a span."""
     return f"""
-select i.account_id, i.provider, i.instance_id, s.window_id, s.first_ts, s.peak_ts from op_instances i join summary s on {on('s', 'i')} and s.window_id <> i.window_id and s.window_minutes * 60 < i.regime_secs
-  and s.first_ts >= i.first_ts and s.peak_ts <= i.peak_ts and s.peak_ts > s.first_ts where i.rn <= 8"""
+select i.account_id, i.provider, i.instance_id, s.window_id, s.first_ts, s.peak_ts from op_instances i join summary s on {on('s', 'i')} and s.window_id <> i.window_id
+  and s.first_ts >= i.first_ts and s.peak_ts <= i.peak_ts and s.peak_ts > s.first_ts
+join newest w on {on('w', 's')} and w.window_id = s.window_id and w.window_minutes > 0 and w.window_minutes * 60 < i.regime_secs where i.rn <= 8 and i.peak_ts > i.first_ts"""
 
 
 @relation
@@ -401,16 +402,13 @@ left join attribution a on {on('a', 's')} and a.instance_id = s.instance_id"""
 
 @relation
 def dq_checks(d):
-    """One row per check: ok, warn or fail."""
-    status = lambda bad, word: f"case when coalesce(sum(case when {bad} then 1 else 0 end), 0) = 0 then 'ok' else '{word}' end status"
-    return f"""
-select 'price_table' name, {status("problem is not null", 'fail')} from price_problems
-union all select 'unpriced_usage', {status("tokens > 0", 'warn')} from unpriced_models
-union all select 'percent_grid', {status("fractional > 0", 'warn')} from dq_grid
-union all select 'plan_price', {status("error is not null", 'warn')} from plan_resolved
-union all select 'billing_evidence', {status("not have_billing", 'warn')} from billing_evidence
-union all select 'calibration', {status("status = 'warn'", 'warn')} from dq_calibration
-union all select 'attribution', {status("status = 'fail'", 'fail')} from dq_attribution
-union all select 'parse_loss', {status("parse_errors > 0", 'warn')} from scan_summary
-union all select 'sources', {status("status = 'fail'", 'fail')} from source_inventory
-union all select 'source_crosscheck', {status("not agrees", 'warn')} from source_crosscheck"""
+    """One row per check: ok, warn or fail, and how many rows it found wanting."""
+    checks = (
+        ("price_table", "fail", "price_problems", "problem is not null"), ("unpriced_usage", "warn", "unpriced_models", "tokens > 0"), ("percent_grid", "warn", "dq_grid", "fractional > 0"),
+        ("plan_price", "warn", "plan_resolved", "error is not null"), ("billing_evidence", "warn", "billing_evidence", "not have_billing"), ("calibration", "warn", "dq_calibration", "status = 'warn'"),
+        ("attribution", "fail", "dq_attribution", "status = 'fail'"), ("parse_loss", "warn", "scan_summary", "parse_errors > 0"), ("sources", "fail", "source_inventory", "status = 'fail'"),
+        ("source_crosscheck", "warn", "source_crosscheck", "not agrees"),
+    )
+    rows = [f"select '{name}' name, '{word}' word, count(*) n_rows, coalesce(sum(case when {bad} then 1 else 0 end), 0) n_bad from {table}" for name, word, table, bad in checks]
+    found = "\nunion all ".join(rows)
+    return f"select name, case when n_bad = 0 then 'ok' else word end status, concat({d.text('cast(n_bad as bigint)')}, ' of ', {d.text('n_rows')}, ' rows') detail from ({found}) x"

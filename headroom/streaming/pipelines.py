@@ -46,6 +46,11 @@ def dedup_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return events.withWatermark("at", delay).dropDuplicatesWithinWatermark(["account_id", "dedup_key"])
 
 
+def late_rows(batch: DataFrame, streamed: DataFrame, keys: tuple[str, ...] = ("account_id", "dedup_key")) -> DataFrame:
+    """What a batch recomputation has and a stream's table lacks: rows that came after the watermark. The batch is the authority; these are to be added."""
+    return batch.join(streamed.select(*keys).distinct(), list(keys), "left_anti")
+
+
 def weekly_stream(priced: DataFrame, delay: str = "1 day") -> DataFrame:
     """Dollars per Monday week; `priced` has account_id, provider, at, usd."""
     week = F.window("at", "7 days", startTime="4 days")

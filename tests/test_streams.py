@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 import pytest
 
 from headroom.plans.relations import apply
-from headroom.streaming.pipelines import dedup_stream, instance_stream, line_stream, usage_stream, weekly_stream
+from headroom.streaming.pipelines import dedup_stream, instance_stream, late_rows, line_stream, usage_stream, weekly_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +59,18 @@ def test_instances_close_at_their_reset(spark, tmp_path):
         run.awaitTermination()
     got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "closed")).collect()]
     assert got == [("a", "p", "x", 1000, 1100, 9.0, 1100)]
+
+
+def test_late_rows_are_found_by_the_batch(spark, tmp_path):
+    schema = "account_id string, dedup_key string, at timestamp"
+    day = lambda n: f"2024-01-{n:02d} 00:00:00"
+    batches = [[("a", "k1", day(20))], [("a", "k2", day(21))], [("a", "late", day(2)), ("a", "k3", day(22))]]
+    for rows in batches:
+        df = spark.createDataFrame(rows, "account_id string, dedup_key string, at string").selectExpr("account_id", "dedup_key", "to_timestamp(at) at")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))
+        stream = dedup_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "landed")), "1 hour")
+        run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    batch, streamed = spark.read.schema(schema).parquet(str(tmp_path / "landed")), spark.read.parquet(str(tmp_path / "out"))
+    assert {r.dedup_key for r in streamed.collect()} == {"k1", "k2", "k3"}
+    assert [r.dedup_key for r in late_rows(batch, streamed).collect()] == ["late"]
