@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .tables import written
+
 HEAD = 256
 MANIFEST = "file string, size long, mtime timestamp, head string, open_end boolean"
 
@@ -15,11 +17,18 @@ def _files(spark: SparkSession, paths: str | list[str], glob: str):
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], account_id: str, glob: str = "*.jsonl") -> DataFrame:
-    """(account_id, file, line_no, line) of all lines of files, or of files below folders; a file is read in its own order."""
+    """(account_id, file, line_no, line) of all lines of files, or of files below folders; lines are numbered in the order of their file.
+
+    The lines of each split are counted first (a row per split), so that the texts
+    themselves are neither shuffled nor sorted to be numbered.
+    """
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(paths)
     raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
-    order = W.partitionBy("file").orderBy("block", "seq")
-    return raw.select(F.lit(account_id).alias("account_id"), "file", F.row_number().over(order).cast("long").alias("line_no"), F.col("value").alias("line"))
+    splits = raw.groupBy("file", "block").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = written(splits.select("file", "block", "first", ahead.alias("ahead")), "splits")
+    number = (F.col("ahead") + F.col("seq") - F.col("first") + 1).cast("long")
+    return raw.join(splits, ["file", "block"]).select(F.lit(account_id).alias("account_id"), "file", number.alias("line_no"), F.col("value").alias("line"))
 
 
 def manifest(spark: SparkSession, paths: str | list[str], glob: str = "*.jsonl") -> DataFrame:

@@ -32,6 +32,20 @@ def test_manifest_and_replacement(spark, tmp_path):
     assert replace_files(lines, fresh, changed).count() == 1 + 51 + 2 + 1
 
 
+def test_lines_of_split_files_are_numbered(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f"{name}{i}\n" for i in range(5000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        lines = read_lines(spark, str(tmp_path), "acc")
+        assert lines.rdd.getNumPartitions() > 4
+        rows = lines.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(rows) == 10_000 and all(r.line == f"{r.file[-7]}{r.line_no - 1}" for r in rows)
+
+
 def said(i, model="m", request="r", n=10):
     usage = {"input_tokens": n, "output_tokens": 1}
     return json.dumps({"type": "assistant", "timestamp": "2024-01-01T00:00:00Z", "requestId": request, "message": {"id": f"m{i}", "model": model, "usage": usage}}) + "\n"
