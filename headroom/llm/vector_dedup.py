@@ -31,8 +31,8 @@ from .common import components, partitions, written
 from .near_dup import whole_groups
 
 BLOCK_BYTES = 1 << 24  # of the vectors of a block; a cell has half of it on average, up to CENTRES cells
-SAMPLE = 16_384
-CENTRES = 1024
+SAMPLE = 32_768
+CENTRES = 8192  # one for each half block of vectors, and for four of the sample at most
 SLICE = 256  # rows compared with a block at once
 ROUNDING = 1e-9  # far above the error of a product of unit vectors
 AUDIT = 200
@@ -47,7 +47,8 @@ def fit_centres(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> n
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), k, replace=False)]
     for _ in range(rounds):
-        near = np.concatenate([(sample[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(sample), 4096)])
+        step = max(64, (1 << 22) // k)
+        near = np.concatenate([(sample[i : i + step] @ centres.T).argmax(1) for i in range(0, len(sample), step)])
         total = np.zeros_like(centres)
         np.add.at(total, near, sample)
         norm = np.linalg.norm(total, axis=1)
@@ -64,8 +65,10 @@ def _homes(centres: np.ndarray):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sim = _matrix(batch.column("unit")) @ centres.T
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sim.argmax(1)), pa.array(sim.max(1))], names=[*batch.schema.names, "cell", "inner"])
+            for lo in range(0, batch.num_rows, 1024):
+                rows = batch.slice(lo, 1024)
+                sim = _matrix(rows.column("unit")) @ centres.T
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sim.argmax(1)), pa.array(sim.max(1))], names=[*rows.schema.names, "cell", "inner"])
 
     return run
 
@@ -79,7 +82,7 @@ def possible(x: np.ndarray, home: np.ndarray, centres: np.ndarray, least: np.nda
     radius = np.arccos(np.clip(least - ROUNDING, -1, 1))
     near = sim >= np.cos(np.minimum(radius + angle, np.pi)) - 1e-6
     # a cell's vectors lie on its side of the plane midway between its centre and the row's own
-    apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T)[home], 0))
+    apart = np.sqrt(np.maximum(2 - 2 * (centres[home] @ centres.T), 0))
     beyond = sim[np.arange(len(x)), home][:, None] - sim
     near &= beyond <= (np.sin(angle) + 1e-6) * apart + 1e-6
     near[np.arange(len(x)), home] = True
@@ -225,7 +228,7 @@ def links_found(nodes: DataFrame, cosine: float, block: int | None = None) -> Da
     if not len(sample):
         sample = _matrix(nodes.select("unit").limit(1).toArrow()["unit"])
     sample = sample[np.lexsort(sample.T[:3])]
-    centres = fit_centres(sample, int(min(CENTRES, len(sample), max(1, 2 * total // block))))
+    centres = fit_centres(sample, int(min(CENTRES, max(1, len(sample) // 4), max(1, 2 * total // block))))
     schema = T.StructType([*nodes.schema.fields, T.StructField("cell", T.LongType()), T.StructField("inner", T.DoubleType())])
     homes = written(nodes.mapInArrow(_homes(centres), schema), "homes")
     size, least = np.zeros(len(centres), np.int64), np.ones(len(centres))

@@ -187,3 +187,17 @@ def test_language_is_right_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.language_id(docs).where("held_out").join(docs.where("lang is not null").select("doc_id", "lang"), "doc_id").toPandas()
     assert len(got) > 100 and (got.lang_pred == got.lang).mean() > 0.97
+
+
+@pytest.mark.parametrize(("n", "dim"), [(6000, 6), (10_000, 7)])
+def test_vectors_spread_over_few_dimensions(spark, n, dim):
+    """Links everywhere, across all borders of cells: all are found, and each counts at both of its ends."""
+    x = np.random.default_rng(2).normal(size=(n, dim))
+    u = vector_dedup.unit_rows(x)
+    true = np.concatenate([(u[i : i + 1000] @ u.T >= 0.9).sum(1) for i in range(0, n, 1000)]) - 1
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    result = vector_dedup.embedding_dedup(vectors, block=900).cache()
+    links = {r.vec_id: r.n_links for r in result.collect()}
+    assert [links[i] for i in range(n)] == true.tolist() and sum(links.values()) % 2 == 0
+    found, there = vector_dedup.audit_recall(vectors, result)
+    assert found == there > 0
