@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, decontaminate, language, licenses, mixing, near_dup, pu_quality, suffix_lpf, token_shards, vector_dedup
+from . import debruijn, decontaminate, language, licenses, mixing, near_dup, oracles, pu_quality, suffix_lpf, token_shards, vector_dedup
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,7 +90,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("distance")
 
 
 QUERIES: dict[str, Query] = {
@@ -105,4 +105,4 @@ QUERIES: dict[str, Query] = {
     "op7_token_shards": op7_token_shards,
     "op9_simhash_decontaminate": op9_simhash_decontaminate,
 }
-ORACLES: dict[str, str] = {"op1_curriculum_mix": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_curriculum_mix": OP1_SQL, **oracles.ORACLES}
