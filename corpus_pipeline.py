@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headroom.llm import decontaminate, language, mixing, near_dup, queries, token_shards
-from headroom.llm.common import read, written
+from headroom.llm.common import discard, read, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_LANGUAGE_SCORE = 0.1
@@ -66,7 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """All stages in order; a stage's table goes when the next one is written."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            discard(before)
+        before = docs
+    shards = STAGES[-1][1](spark, docs, sf_dir)  # written, and read back from the shards alone
+    discard(docs)
+    return shards
