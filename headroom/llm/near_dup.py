@@ -40,6 +40,7 @@ SHINGLE = 5
 BANDS, ROWS = 20, 4  # a pair at 0.85 shares no band with probability (1 - 0.85**4)**20 < 4e-7
 BITS, SAMPLE = 1024, 512
 BLOCK = 1024
+SALTS = 64
 SLACK = (0.035, 0.10)  # over 5 standard deviations of the estimate: whole sets, samples
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = np.random.Generator(np.random.PCG64(8)).integers(1, 2**63, (BANDS, ROWS + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -361,10 +362,13 @@ def labelled_sets(keyed: DataFrame, percent: int) -> DataFrame:
     signatures = written(keyed.select("key", "text").mapInArrow(_signatures, _SIGNATURE), "signatures")
     sets = ["set1", "set2", "n_shingles"]
     found = similar_links(keyed, signatures, percent)
-    firsts = signatures.where("n_shingles > 0").groupBy(*sets).agg(F.min("key").alias("first"))
-    firsts = firsts.join(found, F.col("first") == F.col("node"), "left").select(*sets, F.coalesce("component", "first").alias("component"))
-    # an equal set may stand in any number of rows: the join is one that Spark splits when skewed
-    return signatures.select("key", *sets).join(firsts, sets, "left").select("key", "n_shingles", F.coalesce("component", "key").alias("component"))
+    # an equal set may stand in any number of rows: each set is dealt to SALTS parts, of which those that occur get its component
+    rows = signatures.where("n_shingles > 0").select("key", *sets, F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
+    parts = rows.groupBy(*sets, "salt").agg(F.min("key").alias("first"))
+    firsts = parts.groupBy(*sets).agg(F.min("first").alias("first"), F.collect_list("salt").alias("salts"))
+    firsts = firsts.join(found, F.col("first") == F.col("node"), "left").select(*sets, F.explode("salts").alias("salt"), F.coalesce("component", "first").alias("component"))
+    out = rows.join(firsts, [*sets, "salt"]).select("key", "n_shingles", "component")
+    return out.union(signatures.where("n_shingles = 0").select("key", "n_shingles", F.col("key").alias("component")))
 
 
 def minhash_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
