@@ -18,6 +18,7 @@ sends each content once, so that no group is large.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -110,11 +111,12 @@ def _blocks(values, second, offsets, shape: Shape):
 
 
 ROW = "gram long, block long, key long, pos long"
-NODE_ROW = f"{ROW}, u long, v long, src_key long, src_pos long"
+SOURCE_ROW = f"{ROW}, src_key long, src_pos long"
+NODE_ROW = f"{SOURCE_ROW}, u long, v long"
 
 
 def emit(shape: Shape, hot: np.ndarray, same_document: bool, nodes: bool = False):
-    """The blocks of (key, text) rows as ROW; with `nodes` as NODE_ROW, which adds the hashes of a block's first and last window - 1 symbols and, where it is known at once, the earlier place that it repeats."""
+    """The blocks of (key, text) rows as SOURCE_ROW, where src is the earlier place that a block repeats if that is known at once; with `nodes` as NODE_ROW, which adds the hashes of its first and last window - 1 symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,11 +135,11 @@ def emit(shape: Shape, hot: np.ndarray, same_document: bool, nodes: bool = False
                     if big.any():
                         start, gram, whole, key, place, n, src_key, src_place = _split(shape, same_document, big, start, n, gram, whole, key, place, first, other)
                     cols = [gram.view(np.int64), whole.view(np.int64), key, place * SHIFT + n]
+                    cols += [pa.array(src_key, mask=src_key < 0), pa.array(src_place * SHIFT + 1, mask=src_key < 0)]
                     if nodes:
                         most, wide = np.maximum(n, 1), shape.window - 1
                         cols += [K.span_hash(first, start, start + wide).view(np.int64), K.span_hash(first, start + most, start + most + wide).view(np.int64)]
-                        cols += [pa.array(src_key, mask=src_key < 0), pa.array(src_place * SHIFT + 1, mask=src_key < 0)]
-                    names = [c.split()[0] for c in (NODE_ROW if nodes else ROW).split(", ")]
+                    names = [c.split()[0] for c in (NODE_ROW if nodes else SOURCE_ROW).split(", ")]
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in cols], names=names)
 
     return run
@@ -197,36 +199,95 @@ def hot_grams(docs: DataFrame, shape: Shape, n_partitions: int) -> np.ndarray:
 
 
 def compared_blocks(docs: DataFrame, shape: Shape, same_document: bool) -> DataFrame:
-    """(key, pos, gram): gram is null for blocks that repeat an earlier one, and the minimizer of blocks still to be compared.
+    """(key, pos, gram, src_key, src_pos): blocks that repeat an earlier one, with its place; and blocks still to be compared, with their minimizer.
 
     same_document: whether an earlier place in the same document makes a repeat too.
     """
     n = partitions(docs)
     hot = hot_grams(docs, shape, n)
-    rows = docs.select("key", "text").mapInArrow(emit(shape, hot, same_document), ROW)
+    rows = docs.select("key", "text").mapInArrow(emit(shape, hot, same_document), SOURCE_ROW)
     rows = rows.repartition(n, "gram").sortWithinPartitions("gram", "block", "key", "pos")  # serves all windows below
     by_gram, by_block = W.partitionBy("gram"), W.partitionBy("gram", "block")
-    n_windows = F.col("pos") % SHIFT
-    if same_document:
-        repeat = F.row_number().over(by_block.orderBy("key", "pos")) > 1
-    else:
-        repeat = F.col("key") > F.min("key").over(by_block)
+    first = F.min(F.struct("key", "pos")).over(by_block)
     several = F.min("block").over(by_gram) != F.max("block").over(by_gram)
-    rows = rows.select("key", "pos", "gram", several.alias("several"), (repeat | (n_windows == 0)).alias("repeat")).where("repeat or several")
-    pos = F.when(n_windows == 0, F.col("pos") + 1).otherwise(F.col("pos"))
-    return rows.select("key", pos.alias("pos"), F.when(~F.col("repeat"), F.col("gram")).alias("gram"))
+    rows = rows.select("key", "pos", "gram", "src_key", "src_pos", first.alias("first"), several.alias("several"))
+    known = F.col("src_key").isNotNull()
+    repeat = known | (F.col("key") > F.col("first.key"))
+    if same_document:
+        repeat = repeat | (F.col("pos") > F.col("first.pos"))
+    pos = F.when(known, F.col("pos") + 1).otherwise(F.col("pos"))  # its number of windows was 0
+    source = lambda c: F.when(known, F.col(f"src_{c}")).when(repeat, F.col(f"first.{c}")).alias(f"src_{c}")
+    rows = rows.where(repeat | F.col("several"))
+    return rows.select("key", pos.alias("pos"), F.when(~repeat, F.col("gram")).alias("gram"), source("key"), source("pos"))
+
+
+def place_of(pos: str):
+    return F.floor(F.col(pos) / SHIFT).cast("long")
+
+
+def joined_spans(runs: DataFrame, *by: str) -> DataFrame:
+    """(key, place, n, src_key, src_place): runs of n windows (key, place, n, src_key, src_place) that follow each other in document and source, as one."""
+    runs = runs.select("key", "place", "n", "src_key", (F.col("place") - F.col("src_place")).alias("shift"), *by).repartition(partitions(runs), "key")
+    line = W.partitionBy("key", "src_key", "shift", *by).orderBy("place")
+    ahead = F.max(F.col("place") + F.col("n")).over(line.rowsBetween(W.unboundedPreceding, -1))
+    runs = runs.withColumn("fresh", (ahead.isNull() | (F.col("place") > ahead)).cast("int"))
+    runs = runs.withColumn("span", F.sum("fresh").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    out = runs.groupBy("key", "src_key", "shift", *by, "span").agg(F.min("place").alias("place"), F.max(F.col("place") + F.col("n")).alias("end"))
+    return out.select("key", "place", (F.col("end") - F.col("place")).alias("n"), "src_key", (F.col("place") - F.col("shift")).alias("src_place"))
 
 
-def covered(n: int, places: np.ndarray, window: int) -> np.ndarray:
-    """Mask of the n symbols of a document that lie in the windows of `places` (first * SHIFT + number)."""
-    step = np.zeros(n + 1, np.int64)
-    first, count = places // SHIFT, places % SHIFT
-    np.add.at(step, first, 1)
-    np.add.at(step, np.minimum(first + count - 1 + window, n), -1)
-    return np.cumsum(step[:-1]) > 0
+CUT_ROW = "key long, doc_id long, size long, n_removed long, n_spans long, kept_sha256 string, digests array<struct<place:long,n:long,digest:binary>>"
 
 
-def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """`docs` with the array of all places of each document, null where it has none."""
-    grouped = places.groupBy("key").agg(F.collect_list("pos").alias("places"))
-    return docs.join(grouped, "key", "left")
+def cut_spans(keyed: DataFrame, spans: DataFrame, window: int, symbols_of: Callable[[str | None], list], joined: Callable[[list], bytes]) -> DataFrame:
+    """CUT_ROW of each document without its spans, after the symbols of each span have been compared with those at its source.
+
+    What is compared are 160-bit digests of the symbols themselves, so that texts need
+    not travel. Hashes that found unequal symbols raise.
+    """
+    own = spans.groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("spans"))
+    ranges = spans.select("key", "place", "n").union(spans.select("src_key", "src_place", "n")).distinct()
+    asked = ranges.groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("asked"))
+    rows = keyed.join(asked.join(own, "key", "left"), "key", "left").select("key", "doc_id", "text", "spans", "asked")
+    cut = written(rows.mapInArrow(_cut(window, symbols_of, joined), CUT_ROW), "cut")
+    seen = cut.select("key", F.explode("digests").alias("d")).select("key", "d.place", "d.n", "d.digest")
+    there = seen.select(F.col("key").alias("src_key"), F.col("place").alias("src_place"), "n", F.col("digest").alias("src_digest"))
+    agree = spans.join(seen, ["key", "place", "n"]).join(there, ["src_key", "src_place", "n"]).where("digest = src_digest")
+    if agree.count() != spans.count():
+        raise RuntimeError("equal hashes of unequal text: choose other hash values")
+    return cut.drop("key", "digests")
+
+
+def _pairs(column: pa.Array, r: int) -> tuple[np.ndarray, np.ndarray]:
+    if not column[r].is_valid:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    values = column[r].values
+    return values.field("place").to_numpy(), values.field("n").to_numpy()
+
+
+def _cut(window: int, symbols_of, joined):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"size": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "digests": []}
+            for r in range(batch.num_rows):
+                symbols = symbols_of(batch.column(2)[r].as_py())
+                places, counts = _pairs(batch.column(4), r)
+                out["digests"].append([{"place": p, "n": n, "digest": hashlib.blake2b(joined(symbols[p : p + n + window - 1]), digest_size=20).digest()} for p, n in zip(places.tolist(), counts.tolist(), strict=True)])
+                places, counts = _pairs(batch.column(3), r)
+                gone = np.zeros(0, bool)
+                out["size"].append(len(symbols))
+                if len(places):
+                    step = np.zeros(len(symbols) + 1, np.int64)
+                    np.add.at(step, places, 1)
+                    np.add.at(step, places + counts + window - 1, -1)
+                    gone = np.cumsum(step[:-1]) > 0
+                    edge = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))  # kept stretches start and end here
+                    symbols = [s for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) for s in symbols[a:b]] if isinstance(symbols, list) else b"".join(symbols[a:b] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+                out["n_removed"].append(int(gone.sum()))
+                out["n_spans"].append(int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()))
+                out["kept_sha256"].append(hashlib.sha256(joined(symbols)).hexdigest())
+            types = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("place", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())]))]
+            cols = [batch.column(0), batch.column(1), *[pa.array(v, t) for v, t in zip(out.values(), types, strict=True)]]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", *out])
+
+    return run

@@ -21,7 +21,6 @@ leave the scan in runs, as is usual for graphs that do not fit one machine:
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import kernels as K
-from .blocks import NODE_ROW, SHIFT, Shape, covered, emit, hot_grams, ordered_key, word_symbols
+from .blocks import NODE_ROW, SHIFT, Shape, cut_spans, emit, hot_grams, joined_spans, ordered_key, place_of, word_symbols
 from .common import discard, partitions, written
 
 ANCHOR = 24
@@ -87,9 +86,8 @@ def repeated_edges(docs: DataFrame, window: int) -> DataFrame:
         "block", "u", "v", "key", "pos", F.when(known, F.col("src_key")).when(repeat, F.col("first.key")).alias("src_key"), F.when(known, F.col("src_pos")).when(repeat, F.col("first.pos")).alias("src_pos")
     )
     rows = written(rows, "runs")
-    at = lambda c: F.floor(F.col(c) / SHIFT).cast("long")
     whole = rows.where("src_key is not null").select(
-        F.col("block").alias("edge"), "u", "v", F.greatest(F.col("pos") % SHIFT, F.lit(1)).cast("long").alias("n"), "key", at("pos").alias("place"), "src_key", at("src_pos").alias("src_place")
+        F.col("block").alias("edge"), "u", "v", F.greatest(F.col("pos") % SHIFT, F.lit(1)).cast("long").alias("n"), "key", place_of("pos").alias("place"), "src_key", place_of("src_pos").alias("src_place")
     )
     asked = rows.where("src_key is null").groupBy("key").agg(F.collect_list("pos").alias("asked"))
     single = written(docs.select("key", "text").join(asked, "key").mapInArrow(_edges(window), _EDGE_ROW), "edges")
@@ -128,63 +126,11 @@ def repeated_spans(runs: DataFrame) -> DataFrame:
     """(key, place, n, src_key, src_place): the longest stretches of n windows along one path and one source."""
     edges = runs.groupBy("edge").agg(F.min(F.struct("u", "v", "n")).alias("e")).select("edge", "e.u", "e.v", "e.n")
     paths = compacted(written(edges, "graph"))
-    rows = runs.join(paths, "edge").select("key", "place", "n", "src_key", "src_place", "path")
-    line = ["key", "path", "src_key", F.col("place") - F.col("src_place")]
-    ahead = F.max(F.col("place") + F.col("n")).over(W.partitionBy(*line).orderBy("place").rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("fresh", (ahead.isNull() | (F.col("place") > ahead)).cast("int"))
-    rows = rows.withColumn("span", F.sum("fresh").over(W.partitionBy(*line).orderBy("place").rowsBetween(W.unboundedPreceding, 0)))
-    out = rows.groupBy("key", "path", "src_key", (F.col("place") - F.col("src_place")).alias("shift"), "span")
-    out = out.agg(F.min("place").alias("place"), F.max(F.col("place") + F.col("n")).alias("end"))
-    return out.select("key", "place", (F.col("end") - F.col("place")).alias("n"), "src_key", (F.col("place") - F.col("shift")).alias("src_place"))
+    return joined_spans(runs.join(paths, "edge"), "path")
 
 
-def _cut(window: int):
-    """What is left of each document, and digests of the word ranges that are asked of it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"key": batch.column(0).to_pylist(), "doc_id": batch.column(1).to_pylist(), "n_words": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "digests": []}
-            for text, spans, asked in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
-                words = (text.as_py() or "").encode().split()
-                digests = [{"place": r["place"], "n": r["n"], "digest": hashlib.blake2b(b" ".join(words[r["place"] : r["place"] + r["n"] + window - 1]), digest_size=20).digest()} for r in asked.as_py() or ()]
-                removed = n_spans = 0
-                if spans.is_valid:
-                    step = np.zeros(len(words) + 1, np.int64)
-                    for r in spans.as_py():
-                        step[r["place"]] += 1
-                        step[r["place"] + r["n"] + window - 1] -= 1
-                    gone = np.cumsum(step[:-1]) > 0
-                    removed = int(gone.sum())
-                    n_spans = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
-                    words = [words[i] for i in np.flatnonzero(~gone)]
-                out["n_words"].append(len(words) + removed)
-                out["n_removed"].append(removed)
-                out["n_spans"].append(n_spans)
-                out["kept_sha256"].append(hashlib.sha256(b" ".join(words)).hexdigest())
-                out["digests"].append(digests)
-            types = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.struct([("place", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
-
-    return run
-
-
-_CUT_ROW = "key long, doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string, digests array<struct<place:long,n:long,digest:binary>>"
-
-
-def cut_spans(keyed: DataFrame, spans: DataFrame, window: int) -> DataFrame:
-    """The documents without their spans, after the words of each span have been compared with those at its source."""
-    own = spans.groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("spans"))
-    ranges = spans.select("key", "place", "n").union(spans.select("src_key", "src_place", "n")).distinct()
-    asked = ranges.groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("asked"))
-    both = asked.join(own, "key", "left")
-    rows = keyed.join(both, "key", "left").select("key", "doc_id", "text", "spans", "asked")
-    cut = written(rows.mapInArrow(_cut(window), _CUT_ROW), "cut")
-    seen = cut.select("key", F.explode("digests").alias("d")).select("key", "d.place", "d.n", "d.digest")
-    there = seen.select(F.col("key").alias("src_key"), F.col("place").alias("src_place"), "n", F.col("digest").alias("src_digest"))
-    agree = spans.join(seen, ["key", "place", "n"]).join(there, ["src_key", "src_place", "n"]).where("digest = src_digest")
-    if agree.count() != spans.count():
-        raise RuntimeError("equal hashes of unequal words: choose other hash values")
-    return cut
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().split()
 
 
 def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -199,4 +145,4 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     keyed, _ = ordered_key(docs)
     runs = written(repeated_edges(keyed, window), "repeats")
     spans = written(repeated_spans(runs), "spans")
-    return cut_spans(keyed, spans, window).drop("key", "digests")
+    return cut_spans(keyed, spans, window, words_of, b" ".join).withColumnRenamed("size", "n_words")

@@ -11,11 +11,13 @@ Equal blocks are equal suffix ranges: only the first of them is sorted, and all
 ones have an LPF of their whole length. Where a group has several different blocks, their
 bytes are dealt by minimizer; each group gets its own suffix array with the LCP of
 neighbours, both up to `window` bytes (no longer prefix can matter), and its LPF array.
+Every repeat has the place where it stands first. Repeats that follow each other there too
+are one span, and the bytes of all spans are compared with those at their sources before
+the result is given.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .blocks import SHIFT, Shape, byte_symbols, compared_blocks, covered, ordered_key, with_places
+from .blocks import SHIFT, Shape, byte_symbols, compared_blocks, cut_spans, joined_spans, ordered_key, place_of
 from .common import partitions, written
 
 ANCHOR = 32
@@ -141,45 +143,30 @@ def _lpf(window: int):
                 mine = np.flatnonzero(parts == part)
                 order, lcp = suffix_order(raw, starts[mine], window, gram[row[mine]], rank[mine])
                 mine = mine[order]
-                mine = mine[previous_factors(rank[mine], lcp)[0] >= window]
-                yield pa.RecordBatch.from_arrays([pa.array(key[row[mine]]), pa.array(place[mine] * SHIFT + 1)], names=["key", "pos"])
+                length, source = previous_factors(rank[mine], lcp)
+                long = np.flatnonzero(length >= window)
+                src, mine = mine[source[long]], mine[long]
+                yield pa.RecordBatch.from_arrays([pa.array(key[row[mine]]), pa.array(place[mine]), pa.array(key[row[src]]), pa.array(place[src])], names=["key", "place", "src_key", "src_place"])
 
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = 100) -> DataFrame:
-    """(key, pos) of all `window`-byte strings that also start earlier; pos is first * SHIFT + number of strings."""
+def repeated_strings(docs: DataFrame, window: int = 100) -> DataFrame:
+    """(key, place, n, src_key, src_place): n places in a row whose `window`-byte strings also start earlier, there."""
     shape = Shape(window, min(ANCHOR, max(1, window // 2)), byte_symbols)
     compared = written(compared_blocks(docs, shape, same_document=True), "blocks")
-    asked = compared.where("gram is not null")
+    asked = compared.where("gram is not null").select("gram", "key", "pos")
     length = (F.col("pos") % SHIFT + (window - 1)).cast("int")
     piece = F.substring(F.col("text").cast("binary"), (F.col("pos") / SHIFT).cast("int") + 1, length)
     pieces = docs.select("key", "text").join(asked, "key").select("gram", "key", "pos", piece.alias("piece"))
     pieces = pieces.repartition(partitions(docs), "gram").sortWithinPartitions("gram", "key", "pos")
-    settled = compared.where("gram is null").select("key", "pos")
-    return settled.union(pieces.mapInArrow(_lpf(window), "key long, pos long"))
+    found = pieces.mapInArrow(_lpf(window), "key long, place long, src_key long, src_place long")
+    whole = compared.where("gram is null").select("key", place_of("pos").alias("place"), (F.col("pos") % SHIFT).alias("n"), "src_key", place_of("src_pos").alias("src_place"))
+    return whole.union(found.select("key", "place", F.lit(1).cast("long").alias("n"), "src_key", "src_place"))
 
 
-def _cut(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"doc_id": batch.column(0).to_pylist(), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-            for text, places in zip(batch.column(1), batch.column(2), strict=True):
-                raw = (text.as_py() or "").encode()
-                removed = spans = 0
-                if places.is_valid:
-                    gone = covered(len(raw), places.values.to_numpy(), window)
-                    removed = int(gone.sum())
-                    spans = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
-                    raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                out["n_bytes"].append(len(raw) + removed)
-                out["n_removed"].append(removed)
-                out["n_spans"].append(spans)
-                out["kept_sha256"].append(hashlib.sha256(raw).hexdigest())
-            types = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
-
-    return run
+def bytes_of(text: str | None) -> bytes:
+    return (text or "").encode()
 
 
 def suffix_dedup(docs: DataFrame, window: int = 100) -> DataFrame:
@@ -193,5 +180,5 @@ def suffix_dedup(docs: DataFrame, window: int = 100) -> DataFrame:
     gives no rows. What is left of a text may end inside a UTF-8 sequence.
     """
     keyed, _ = ordered_key(docs)
-    with_all = with_places(keyed, repeated_windows(keyed, window)).select("doc_id", "text", "places")
-    return with_all.mapInArrow(_cut(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    spans = written(joined_spans(repeated_strings(keyed, window)), "spans")
+    return cut_spans(keyed, spans, window, bytes_of, bytes).withColumnRenamed("size", "n_bytes")

@@ -100,8 +100,8 @@ def test_spans_have_source_coordinates(spark):
     covered = {(k, p + i, q, o + i) for k, p, n, q, o in got for i in range(n)}
     assert covered == {(1, 40 + i, 0, 5 + i) for i in range(41)} | {(2, 3 + i, 0, 15 + i) for i in range(21)}
     wrong = spans.withColumn("src_place", spans.src_place + 1)
-    with pytest.raises(RuntimeError, match="unequal words"):
-        debruijn.cut_spans(keyed, wrong, 50)
+    with pytest.raises(RuntimeError, match="unequal text"):
+        debruijn.cut_spans(keyed, wrong, 50, debruijn.words_of, b" ".join)
 
 
 def test_longest_previous_factors():
