@@ -97,12 +97,14 @@ def weekly_usd(d):
 
 @relation
 def usage_between(d):
-    return f"select {K}, ts, model, input_tokens, output_tokens, dedup_key from usage_events where ts >= {d.t0 + 604800} and ts < {d.t0 + 2 * 604800}"
+    """Usage of the period asked for."""
+    return f"select {K}, ts, model, input_tokens, output_tokens, dedup_key from usage_events where ts >= {d.t0} and ts < {d.now}"
 
 
 @relation
 def snapshots_between(d):
-    return f"select {K}, window_id, ts, used_percent from snapshots where window_id = 'weekly' and ts >= {d.t0 + 604800} and ts < {d.t0 + 2 * 604800}"
+    """Snapshots of the period asked for."""
+    return f"select {K}, window_id, ts, used_percent from snapshots where ts >= {d.t0} and ts < {d.now}"
 
 
 @relation

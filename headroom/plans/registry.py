@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import report
-from .relations import NOW, RELATIONS, Settings, query, text
+from .relations import NOW, RELATIONS, T0, WEEK, Settings, query, text
 
 NAMES = """
 usage_between snapshots_between bounds window_ids price_join event_cost api_equiv unpriced_models external_models weekly_usd dq_prices
@@ -26,6 +26,8 @@ ASKED = {
     "one_provider_report": ("provider_report", Settings(providers=("alpha",))),
     "last_week": ("api_equiv", report.settings("7d", NOW)),
     "last_week_report": ("provider_report", report.settings("week", NOW, "both")),
+    "second_week": ("usage_between", Settings(T0 + WEEK, T0 + 2 * WEEK)),
+    "second_week_snapshots": ("snapshots_between", Settings(T0 + WEEK, T0 + 2 * WEEK, providers=("alpha",))),
     "all_history": ("left_on_table", report.settings("all", NOW)),
 }
 QUERIES |= {n: query(name, s) for n, (name, s) in ASKED.items()}
