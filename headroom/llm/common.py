@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 import zipfile
@@ -18,9 +17,9 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the Python workers of a session that was not started with it on their path."""
+    """Sends the package to the Python workers, once a session: no machine but the driver's need have it, nor be started with it on its path."""
     root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
-    if app in _shipped or Path.cwd() == root or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+    if app in _shipped:
         return
     _shipped.add(app)
     path = f"{tempfile.mkdtemp(prefix='headroom-')}/headroom.zip"

@@ -83,6 +83,32 @@ best as (select *, row_number() over (partition by doc_id, item_id order by simi
 select doc_id, item_id, start::int as start, m::int as n_words, similarity from best where pick = 1
 """
 
+#: Every usable row against every query: whole-number products, equal scores by the smaller id.
+OP12 = """
+with vec as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
+  where embedding is not null and list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda x: not isfinite(x))) = 0),
+listed as (select *, row_number() over () rn from vec),
+scored as (select q.vec_id query_id, q.rn, c.vec_id, list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])) s
+  from listed q join listed c on q.vec_id % 50 = 0 and q.rn <> c.rn)
+select query_id, rank::int as rank, vec_id, coalesce(s, 0)::bigint as score
+from (select *, row_number() over (partition by rn order by coalesce(s, 0) desc, vec_id nulls last) rank from scored) x where rank <= 5
+"""
+
+#: Every prefix of every rebuilt conversation as a list of turns; subtrees by the pairs of a node and one below it on some conversation's way. CRC-32 by its definition, bit by bit.
+OP13 = """
+with turns as (select conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) t from conversations where conv_id is not null group by conv_id),
+lent as (select conv_id, t, (xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, len(conv_id::varchar) + 1), lambda i: ascii(conv_id::varchar[i])::bigint)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 6)::int h from turns),
+rebuilt as (select c.conv_id, list_concat(coalesce(b.t[1 : c.h], []), c.t[c.h + 1 :]) t from lent c left join turns b on b.conv_id = c.conv_id - c.conv_id % 100),
+prefixes as (select conv_id, d, t[1 : d] node, len(t) = d ended from (select *, unnest(range(0, len(t) + 1)) d from rebuilt)),
+nodes as (select d, node, min(conv_id) conv_id, count(*) n_convs, string_agg(case when ended then conv_id::varchar end, ',' order by conv_id) ends from prefixes group by d, node),
+kids as (select d - 1 d, node[1 : d - 1] node, count(*) n_children from nodes where d > 0 group by all),
+known as (select n.*, coalesce(k.n_children, 0) n_children, (n.n_convs - 1) * coalesce(length(n.node[n.d].text), 0) saved from nodes n left join kids k on k.d = n.d and k.node = n.node),
+below as (select k.d, k.node[1 : u] top, u, k.n_children, k.saved from (select *, unnest(range(0, d + 1)) u from known) k),
+sums as (select u d, top node, sum(case when n_children = 0 then 1 else 0 end) n_leaves, sum(saved) saved_tokens from below group by u, top)
+select k.conv_id, k.d::bigint as depth, p.conv_id as parent_conv_id, k.n_convs, k.n_children, s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens, sha256(coalesce(k.ends, '')) as ends_sha256
+from known k join sums s on s.d = k.d and s.node = k.node left join nodes p on p.d = k.d - 1 and p.node = k.node[1 : k.d - 1]
+"""
 
 
 def _quoted(text: str) -> str:
@@ -122,4 +148,6 @@ ORACLES = {
     "op5_suffix_lpf_dedup": OP5,
     "op9_simhash_decontaminate": OP9,
     "op10_minhash_dedup": OP10,
+    "op12_threshold_topk": OP12,
+    "op13_prefix_trie": OP13,
 }

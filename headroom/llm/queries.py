@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, decontaminate, language, licenses, mixing, near_dup, oracles, pu_quality, suffix_lpf, token_shards, vector_dedup
+from . import debruijn, decontaminate, language, licenses, mixing, near_dup, oracles, prefix_trie, pu_quality, suffix_lpf, token_shards, topk, vector_dedup, whitening
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,18 @@ def op9_simhash_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("distance")
 
 
+def op11_bitsliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_curriculum_mix": op1_curriculum_mix,
     "op2_license_scan": op2_license_scan,
@@ -104,5 +116,8 @@ QUERIES: dict[str, Query] = {
     "op8_pu_quality": op8_pu_quality,
     "op7_token_shards": op7_token_shards,
     "op9_simhash_decontaminate": op9_simhash_decontaminate,
+    "op11_bitsliced_whitening": op11_bitsliced_whitening,
+    "op12_threshold_topk": op12_threshold_topk,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {"op1_curriculum_mix": OP1_SQL, **oracles.ORACLES}
