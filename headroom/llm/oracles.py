@@ -97,7 +97,7 @@ from (select *, row_number() over (partition by rn order by coalesce(s, 0) desc,
 #: Every prefix of every rebuilt conversation as a list of turns; subtrees by the pairs of a node and one below it on some conversation's way. CRC-32 by its definition, bit by bit.
 OP13 = """
 with turns as (select conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) t from conversations where conv_id is not null group by conv_id),
-lent as (select conv_id, t, (xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, len(conv_id::varchar) + 1), lambda i: ascii(conv_id::varchar[i])::bigint)),
+lent as (select conv_id, t, (xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, len(conv_id::varchar) + 1), lambda i: ascii((conv_id::varchar)[i])::bigint)),
   lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 6)::int h from turns),
 rebuilt as (select c.conv_id, list_concat(coalesce(b.t[1 : c.h], []), c.t[c.h + 1 :]) t from lent c left join turns b on b.conv_id = c.conv_id - c.conv_id % 100),
 prefixes as (select conv_id, d, t[1 : d] node, len(t) = d ended from (select *, unnest(range(0, len(t) + 1)) d from rebuilt)),

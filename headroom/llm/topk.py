@@ -139,6 +139,11 @@ def _cells(classes: DataFrame, asked: DataFrame, blocks: int, query_blocks: int)
     return given.unionByName(asking).groupBy("block", "query_block")
 
 
+def _blocks(n: int) -> int:
+    """Blocks of `n` candidates: CELLS of them until they have their full size, but none below 1024."""
+    return max(1, -(-n // max(1024, min(CANDIDATE_BLOCK, n // CELLS))))
+
+
 def _first(rows: DataFrame, by: str, most: int) -> DataFrame:
     """The `most` best rows of each query; Spark cuts each task's part before it deals them out."""
     order = W.partitionBy(by).orderBy(F.col("score").desc(), "place", "class")
@@ -176,7 +181,7 @@ def top_k(vectors: DataFrame, k: int = 5, queries: Column | None = None, column:
     wanting = rows.where("asks").select("vector").distinct()
     asked = written(classes.join(wanting, "vector").select("class", "place", "vector"), "asked")
     n, q = classes.count(), asked.count()
-    blocks = max(1, -(-n // max(1024, min(CANDIDATE_BLOCK, n // CELLS))))
+    blocks = _blocks(n)
     query_blocks = max(1, -(-q // QUERY_BLOCK))
     bare = classes.select("class", "place", "vector")
     gathered = _cells(bare, asked.withColumn("cutoff", F.lit(0).cast("long")), blocks, query_blocks).applyInPandas(_cell(k + 1, slices, False), _FOUND)

@@ -230,7 +230,7 @@ def whiten(vectors: DataFrame, column: str = "embedding", components: int = COMP
     rows, and rows without a vec_id, are vectors of their own. A component without variance
     has whitened null and explained 0; with no component that has any, identity_error is
     null. No usable vector, or only empty ones: no rows. Other columns are ignored. An entry
-    of 2^47 or more is refused. Signs are fixed: the largest entry of each eigenvector is
+    of 2^47 or more, and a deviation beyond a long, are refused. Signs are fixed: the largest entry of each eigenvector is
     positive, the first of equal ones decides.
     """
     model = fit(vectors, column)

@@ -17,7 +17,7 @@ def rounded(row):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_equals_oracle(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "benchmark"):
+    for table in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     found = con.sql(queries.ORACLES[name])
     got = queries.QUERIES[name](spark, SF)
