@@ -49,8 +49,8 @@ def window_word(d, minutes: str) -> str:
 
 def reason_phrase(reason: str) -> str:
     return (
-        f"case {reason} when 'low_growth' then 'low growth' when 'unpriced' then 'unpriced usage' "
-        f"when 'usage_gap' then 'usage gap in span' when 'snapshot_gap' then 'snapshot gap in span' else 'other' end"
+        f"case {reason} when 'low_growth' then 'grew too little' when 'unpriced' then 'has usage without a price' "
+        f"when 'usage_gap' then 'usage pauses too long' when 'snapshot_gap' then 'snapshots pause too long' else 'other' end"
     )
 
 

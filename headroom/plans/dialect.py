@@ -29,6 +29,7 @@ SPARK = {
     "even": lambda x: f"bround({x}, 0)",
     "every": lambda a, b: f"explode(sequence({a}, {b}))",
     "inf": lambda: "cast('infinity' as double)",
+    "pair": lambda a, b: f"struct({a}, {b})",
     "replaced": lambda x, pattern: f"regexp_replace({x}, '{pattern}', '')",
 }
 DUCK = {
@@ -58,5 +59,6 @@ DUCK = {
     "even": lambda x: f"round_even({x}, 0)",
     "every": lambda a, b: f"unnest(range({a}, {b} + 1))",
     "inf": lambda: "cast('infinity' as double)",
+    "pair": lambda a, b: f"row({a}, {b})",
     "replaced": lambda x, pattern: f"regexp_replace({x}, '{pattern}', '', 'g')",
 }

@@ -155,7 +155,7 @@ def plan_resolved(d):
 select k.account_id, k.provider, l.plan_type, coalesce(o.override_usd, p.monthly_usd) monthly_usd, case when o.override_usd is not null then false else coalesce(p.plan_approx, true) end plan_approx,
   case when o.override_usd is not null then 'config' when p.monthly_usd is not null then 'plan' else 'unknown' end origin, o.override_usd,
   case when o.override_usd is not null or p.monthly_usd is not null then null when l.plan_type is null then 'no snapshot names a plan, and no price is configured' else concat('plan ', l.plan_type, ' has no price') end error
-from accounts k left join latest_plan l on {on('l', 'k')} left join plan_overrides o on o.account_id = k.account_id left join plans p on p.provider = l.provider and p.plan_id = l.plan_type"""
+from accounts k left join latest_plan l on {on('l', 'k')} left join plan_overrides o on {on('o', 'k')} left join plans p on p.provider = l.provider and p.plan_id = l.plan_type"""
 
 
 @relation

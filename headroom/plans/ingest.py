@@ -90,10 +90,12 @@ left join (select account_id, count(*) n from rollout_points where not valid gro
 left join (select account_id, count(*) n from scan_rollout_usage group by account_id) e on e.account_id = r.account_id
 left join (select account_id, count(*) n from scan_rollout_snapshots group by account_id) s on s.account_id = r.account_id
 left join (select account_id, count(*) n from counter_warnings group by account_id) w on w.account_id = r.account_id
-union all select 'spool', l.account_id, {zero}, l.n, l.n - coalesce(g.n, 0), {zero}, coalesce(g.points, 0), {zero} from (select account_id, count(*) n from spool_lines group by account_id) l
-left join (select account_id, count(distinct line_id) n, count(*) points from spool_points group by account_id) g on g.account_id = l.account_id
-union all select 'polls', l.account_id, {zero}, l.n, l.n - coalesce(g.n, 0), {zero}, coalesce(g.points, 0), {zero} from (select account_id, count(*) n from poll_payloads group by account_id) l
-left join (select account_id, count(distinct ts) n, count(*) points from scan_polls group by account_id) g on g.account_id = l.account_id"""
+union all select 'spool', l.account_id, {zero}, l.n, l.n - coalesce(g.n, 0), {zero}, coalesce(p.points, 0), {zero} from (select account_id, count(*) n from spool_lines group by account_id) l
+left join (select account_id, count(distinct concat(file, ':', {d.text('line_no')})) n from spool_points group by account_id) g on g.account_id = l.account_id
+left join (select account_id, count(*) points from scan_spool group by account_id) p on p.account_id = l.account_id
+union all select 'polls', l.account_id, {zero}, l.n, l.n - coalesce(g.n, 0), {zero}, coalesce(p.points, 0), {zero} from (select account_id, count(*) n from poll_payloads group by account_id) l
+left join (select account_id, count(distinct payload_id) n from poll_points group by account_id) g on g.account_id = l.account_id
+left join (select account_id, count(*) points from scan_polls group by account_id) p on p.account_id = l.account_id"""
 
 
 @relation
@@ -273,11 +275,12 @@ def _points(d, provider: str) -> str:
 
 @relation
 def spool_lines(d):
-    """One limit a line, by percent or by the older name; some with a percent that is none."""
+    """One limit a line, by percent or by the older name; some with a percent that is none, some lines written twice."""
     name = "case when ts % 11 = 0 then 'utilization' else 'used_percentage' end"
     return f"""
-select account_id, ts, concat('{{"ts":', {d.text('ts')}, ',"rate_limits":{{"', window_id, '":{{"', {name}, '":', case when ts % 83 = 0 then '-1' else {d.text('cast(used_percent as bigint)')} end, ',"resets_at":', coalesce({d.text('resets_at')}, 'null'), '}}}}}}') line
-from ({_points(d, 'beta')}) p"""
+select account_id, 'spool.jsonl' file, cast(2 * row_number() over (partition by account_id order by ts, window_id) + again as bigint) line_no, ts, line
+from (select account_id, ts, window_id, concat('{{"ts":', {d.text('ts')}, ',"rate_limits":{{"', window_id, '":{{"', {name}, '":', case when ts % 83 = 0 then '-1' else {d.text('cast(used_percent as bigint)')} end, ',"resets_at":', coalesce({d.text('resets_at')}, 'null'), '}}}}}}') line
+from ({_points(d, 'beta')}) p) x join (select 0 again union all select 1) twice on again = 0 or ts % 13 = 0"""
 
 
 @relation
@@ -285,47 +288,61 @@ def spool_points(d):
     """One snapshot per window of a line; the window's length comes from a small dimension."""
     g = lambda w, p, kind: d.got("v", f"$.rate_limits.{w}.{p}", kind)
     one = lambda w, minutes: f"""
-  select account_id, line_id, ts, '{w}' window_id, cast({minutes} as bigint) window_minutes, coalesce({g(w, 'used_percentage', 'double')}, {g(w, 'utilization', 'double')}) used_percent, {g(w, 'resets_at', 'bigint')} resets_at from spool_parsed"""
+  select account_id, file, line_no, ts, '{w}' window_id, cast({minutes} as bigint) window_minutes, coalesce({g(w, 'used_percentage', 'double')}, {g(w, 'utilization', 'double')}) used_percent, {g(w, 'resets_at', 'bigint')} resets_at from spool_parsed"""
     return f"select * from ({one('weekly', 10080)} union all {one('short', 300)}) x where used_percent >= 0 and used_percent < {d.inf()} and ts is not null"
 
 
 @relation
 def spool_parsed(d):
-    return f"select account_id, line line_id, {d.got('v', '$.ts', 'bigint')} ts, v from (select account_id, line, {d.parsed('line')} v from spool_lines) x"
+    return f"select account_id, file, line_no, {d.got('v', '$.ts', 'bigint')} ts, v from (select account_id, file, line_no, {d.parsed('line')} v from spool_lines) x"
 
 
 @relation
 def scan_spool(d):
-    return "select account_id, window_id, window_minutes, used_percent, resets_at, ts from spool_points"
+    """The first line of each window and second, by file and line."""
+    return """
+select account_id, window_id, window_minutes, used_percent, resets_at, ts from (
+  select *, row_number() over (partition by account_id, window_id, ts order by file, line_no) pick from spool_points) x where pick = 1"""
 
 
 @relation
 def poll_payloads(d):
-    """Landed responses of two shapes: lengths inside the payload, or windows by name with a reset as a number or as a time; some with an invalid percent."""
+    """Landed responses of two shapes, each with an id of its own: lengths inside the payload, or windows by name with a reset as a number or as a time; some with an invalid percent, some of those in the second of a valid one."""
     most = lambda w, x: f"max(case when window_id = '{w}' then {x} end)"
     part = lambda w, name: f"""concat('"{name}":{{"used_percent":', {d.text(f"cast({most(w, 'used_percent')} as bigint)")}, ',"limit_window_seconds":', coalesce({d.text(most(w, 'window_minutes') + ' * 60')}, 'null'), ',"reset_at":', coalesce({d.text(most(w, 'resets_at'))}, 'null'), '}}')"""
     other = lambda w: f"""concat('"{w}":{{"utilization":', case when ts % 101 = 0 then '-1' else {d.text(f"cast({most(w, 'used_percent')} as bigint)")} end, ',"resets_at":', case when ts % 2 = 0 then {d.text(most(w, 'resets_at'))} else concat('"', {d.isotext(most(w, 'resets_at'))}, '"') end, '}}')"""
-    return f"""
+    good = f"""
 select account_id, ts, concat('{{"plan_type":"', max(coalesce(plan_type, 'basic')), '","rate_limit":{{', {part('weekly', 'primary_window')}, ',', case when ts % 97 = 0 then '"secondary_window":{{"used_percent":-1,"limit_window_seconds":18000,"reset_at":1}}' else {part('short', 'secondary_window')} end, '}}}}') body
 from ({_points(d, 'alpha')}) p group by account_id, ts
 union all select account_id, ts, concat('{{', {other('weekly')}, ',', {other('short')}, '}}') from ({_points(d, 'beta')}) q group by account_id, ts"""
+    return f"""
+select account_id, concat('p', {d.text('ts')}) payload_id, ts, body from ({good}) g
+union all select account_id, concat('q', {d.text('ts')}), ts, '{{"weekly":{{"utilization":-1}},"short":{{"utilization":3}}}}' from ({_points(d, 'beta')}) r where ts % 19 = 0 group by account_id, ts"""
 
 
 @relation
-def scan_polls(d):
-    """All windows of a payload; one invalid percent, or none at all, rejects the whole payload."""
+def poll_points(d):
+    """All windows of a payload; one invalid percent, or none at all, rejects the whole payload, and no other one of the same second."""
     g = lambda p, kind: d.got("v", "$." + p, kind)
-    a = lambda name, w: f"select account_id, ts, {g('plan_type', 'string')} plan_type, '{w}' window_id, {g(f'rate_limit.{name}.used_percent', 'double')} used_percent, {d.div(g(f'rate_limit.{name}.limit_window_seconds', 'bigint'), '60')} window_minutes, {g(f'rate_limit.{name}.reset_at', 'bigint')} resets_at from poll_parsed"
-    b = lambda w, minutes: f"select account_id, ts, cast(null as string), '{w}', {g(f'{w}.utilization', 'double')}, cast({minutes} as bigint), coalesce({g(f'{w}.resets_at', 'bigint')}, {d.iso(g(f'{w}.resets_at', 'string'))}) from poll_parsed"
+    a = lambda name, w: f"select account_id, payload_id, ts, {g('plan_type', 'string')} plan_type, '{w}' window_id, {g(f'rate_limit.{name}.used_percent', 'double')} used_percent, {d.div(g(f'rate_limit.{name}.limit_window_seconds', 'bigint'), '60')} window_minutes, {g(f'rate_limit.{name}.reset_at', 'bigint')} resets_at from poll_parsed"
+    b = lambda w, minutes: f"select account_id, payload_id, ts, cast(null as string), '{w}', {g(f'{w}.utilization', 'double')}, cast({minutes} as bigint), coalesce({g(f'{w}.resets_at', 'bigint')}, {d.iso(g(f'{w}.resets_at', 'string'))}) from poll_parsed"
     return f"""
-select account_id, window_id, used_percent, case when window_minutes > 0 then window_minutes end window_minutes, resets_at, ts, plan_type from (
-  select *, max(case when used_percent >= 0 and used_percent < {d.inf()} then 0 else 1 end) over (partition by account_id, ts) bad
+select account_id, payload_id, window_id, used_percent, case when window_minutes > 0 then window_minutes end window_minutes, resets_at, ts, plan_type from (
+  select *, max(case when used_percent >= 0 and used_percent < {d.inf()} then 0 else 1 end) over (partition by account_id, payload_id) bad
   from ({a('primary_window', 'primary')} union all {a('secondary_window', 'secondary')} union all {b('weekly', 10080)} union all {b('short', 300)}) x where used_percent is not null) y where bad = 0"""
 
 
+@relation
+def scan_polls(d):
+    """The first accepted payload of each window and second, by its id."""
+    return """
+select account_id, window_id, used_percent, window_minutes, resets_at, ts, plan_type from (
+  select *, row_number() over (partition by account_id, window_id, ts order by payload_id) pick from poll_points) x where pick = 1"""
+
+
 @relation
 def poll_parsed(d):
-    return f"select account_id, ts, {d.parsed('body')} v from poll_payloads"
+    return f"select account_id, payload_id, ts, {d.parsed('body')} v from poll_payloads"
 
 
 @relation

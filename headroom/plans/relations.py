@@ -71,6 +71,8 @@ class _D:
 
 #: The logs that a choice of providers narrows.
 LOGS = ("usage_events", "snapshots")
+#: Relations that need no more of a log than the period.
+RANGES = {"usage_between": "usage_events", "snapshots_between": "snapshots"}
 
 
 def _sql(name: str, dialect: str, settings: Settings) -> str:
@@ -136,6 +138,9 @@ def apply(spark: SparkSession, name: str, kept: dict[str, DataFrame] | None = No
         _listed(settings)
         tables = {n: t.where(t["provider"].isin(*settings.providers)) if n in LOGS else t for n, t in tables.items()}
 
+    if name in RANGES:  # of a table in partitions by day only those of the period are opened
+        tables = {n: t.where(f"day between {settings.t0} div 86400 and {settings.now} div 86400") if n == RANGES[name] and "day" in t.columns else t for n, t in tables.items()}
+
     def below(n: str) -> list[str]:
         found = []
         for m in _needs(_sql(n, "spark", settings)):

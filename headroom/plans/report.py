@@ -86,10 +86,12 @@ left join worths w on {on('w', 'l')} left join gaps g on {on('g', 'l')}"""
 
 @relation
 def status_line(d):
+    """An entry per open window: percent used, for the operative one what is left (both ends of a band), and the time to its reset."""
+    left = f"""case when not operative then '' when kind = 'band' then concat(' - ', {usd_whole(d, 'gap_lo')}, ' to ', {usd_whole(d, 'gap_hi')}, ' left')
+  when kind = 'floor' then concat(' - at least ', {usd_whole(d, 'gap_lo')}, ' left') else ' - gap not measured' end"""
     return f"""
-select g.account_id, g.provider, concat(g.provider, ' ', o.window_id, ' ', cast(cast(round(g.last_pct) as bigint) as string), '% - gap ',
-  case g.kind when 'band' then {usd_whole(d, 'g.gap_med')} when 'floor' then concat('>= ', {usd_whole(d, 'g.gap_lo')}) else 'unknown' end, ' - resets ', coalesce({d.day('g.resets_at')}, 'unknown')) entry
-from gaps g join operative o on {on('o', 'g')}"""
+select account_id, provider, window_id, operative, concat(provider, ' ', window_id, ' ', {d.fixed(d.even('used_pct'), 0)}, '%', {left},
+  case when resets_at is null then '' else concat(' - resets in ', {duration(d, f'greatest(resets_at - {d.now}, 0)')}) end) entry from open_windows"""
 
 
 @relation

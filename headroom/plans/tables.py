@@ -55,8 +55,8 @@ def provider_rules(d):
 
 @relation
 def plan_overrides(d):
-    """Configured plan prices; they beat those of the plan table."""
-    return "select 'a9' account_id, cast(30 as double) override_usd"
+    """Configured plan prices by account and provider; they beat those of the plan table."""
+    return "select 'a9' account_id, 'beta' provider, cast(30 as double) override_usd union all select 'a4', 'beta', cast(99 as double)"
 
 
 #: provider, prefix, from, until, input, cached, 5m, 1h, write, output (USD per 1M tokens), approx (fixed values)

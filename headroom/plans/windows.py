@@ -11,10 +11,11 @@ SNAP = "case when abs({0} - round({0})) < 1e-6 then round({0}) else {0} end"
 
 @relation
 def coalesced(d):
-    """One row per second: the largest percent; each missing field from the row of next lower percent."""
+    """One row per second: the largest percent; each missing field from the row of next lower percent, of equal percents from the source that comes last."""
+    by = d.pair("used_percent", "coalesce(source, '')")
+    known = lambda c: f"max_by({c}, {by}) filter (where {c} is not null) {c}"
     return f"""
-select {KW}, ts, max(used_percent) used_percent, max_by(window_minutes, used_percent) filter (where window_minutes is not null) window_minutes,
-  max_by(resets_at, used_percent) filter (where resets_at is not null) resets_at, max_by(plan_type, used_percent) filter (where plan_type is not null) plan_type
+select {KW}, ts, max(used_percent) used_percent, {known('window_minutes')}, {known('resets_at')}, {known('plan_type')}
 from snapshots group by {KW}, ts"""
 
 

@@ -5,6 +5,7 @@ import pytest
 from headroom.functions import text as T
 from headroom.operators.checks import require_ok
 from headroom.plans.relations import Settings, _D, apply
+from headroom.sources.refresh import EMPTY_LOGS
 from headroom.sources.prices import OPEN_END, book, day, load
 
 DAY, MONTH, WEEK = 86400, 2629746, 604800
@@ -138,7 +139,7 @@ def test_plan_history_is_priced_by_its_time(spark):
     assert apply(spark, "measured_span", settings=asked, **given).first().measured_secs == 12 * DAY + 1
     far = apply(spark, "measured_span", settings=Settings(t - 90 * DAY, t + 90 * DAY), **given).first()
     assert (far.hull_t0, far.hull_t1) == (t, t + 12 * DAY + 1)
-    fixed = spark.createDataFrame([("a", 30.0)], "account_id string, override_usd double")
+    fixed = spark.createDataFrame([("a", "alpha", 30.0), ("a", "beta", 99.0)], "account_id string, provider string, override_usd double")
     got = apply(spark, "plan_cost", settings=asked, plan_overrides=fixed, **given).first()
     assert got.cost == round(30 * (12 * DAY + 1) / MONTH, 6) and got.monthly_usd == 30
 
@@ -218,9 +219,34 @@ def test_polls_are_refused_whole(spark):
         '{"rate_limit":{"primary_window":{"used_percent":5,"limit_window_seconds":18000},"secondary_window":{"used_percent":-6,"limit_window_seconds":18000}}}',
         '{"weekly":{"utilization":30.5,"resets_at":"2024-01-01T00:00:10Z"},"short":{"utilization":1,"resets_at":44}}', '{"weekly":{"utilization":-1},"short":{"utilization":1}}', "not json", "{}",
     ]
-    given = spark.createDataFrame([("a", i, b) for i, b in enumerate(bodies)], "account_id string, ts long, body string")
+    bodies += ['{"weekly":{"utilization":-1}}', '{"short":{"utilization":9}}']  # of the second of a valid one: the one that is refused takes nothing along, the later one adds nothing
+    times = [*range(6), 2, 2]
+    given = spark.createDataFrame([("a", f"p{i}", t, b) for i, (t, b) in enumerate(zip(times, bodies))], "account_id string, payload_id string, ts long, body string")
     got = sorted((r.ts, r.window_id, r.used_percent, r.window_minutes or 0, r.resets_at or 0) for r in apply(spark, "scan_polls", poll_payloads=given).collect())
     assert got == [(0, "primary", 5.0, 300, 7), (0, "secondary", 6.0, 0, 0), (2, "short", 1.0, 300, 44), (2, "weekly", 30.5, 10080, 1704067210)]
+    none = {n: spark.createDataFrame([], s) for n, s in EMPTY_LOGS.items() if n != "poll_payloads"}
+    summary = {r.source: r for r in apply(spark, "scan_summary", poll_payloads=given, **none).collect()}
+    assert (summary["polls"].n_lines, summary["polls"].parse_errors, summary["polls"].snapshots) == (8, 5, 4)
+
+
+def test_spool_lines_count_once(spark):
+    """A line that is written again is no error and no second snapshot; of two percents of one second the first line's stays."""
+    line = lambda t, p: '{"ts":%d,"rate_limits":{"weekly":{"used_percentage":%d}}}' % (t, p)
+    rows = [("a", "s", i, 0, x) for i, x in enumerate([line(5, 10), line(5, 10), line(5, 10), line(5, 11), "broken", line(6, -1), line(7, 12)])]
+    given = spark.createDataFrame(rows, "account_id string, file string, line_no long, ts long, line string")
+    assert sorted((r.ts, r.used_percent) for r in apply(spark, "scan_spool", spool_lines=given).collect()) == [(5, 10.0), (7, 12.0)]
+    none = {n: spark.createDataFrame([], s) for n, s in EMPTY_LOGS.items() if n != "spool_lines"}
+    summary = {r.source: r for r in apply(spark, "scan_summary", spool_lines=given, **none).collect()}
+    assert (summary["spool"].n_lines, summary["spool"].parse_errors, summary["spool"].snapshots) == (7, 2, 2)
+
+
+@pytest.mark.parametrize("swapped", [False, True])
+def test_equal_percents_of_one_second(spark, swapped):
+    """Where percents are equal the source that comes last decides, in whatever order rows come."""
+    rows = [("a", "p", "w", 300, 5.0, 900, 100, "rollout", "x"), ("a", "p", "w", 10080, 5.0, 800, 100, "poll", "y"), ("a", "p", "w", 60, 4.0, 700, 100, "spool", "z")]
+    given = spark.createDataFrame(rows[::-1] if swapped else rows, SNAP).coalesce(1)
+    got = apply(spark, "coalesced", snapshots=given).first()
+    assert (got.used_percent, got.window_minutes, got.resets_at, got.plan_type) == (5.0, 300, 900, "x")
 
 
 def test_failed_checks_stop(spark):
