@@ -106,7 +106,8 @@ def curriculum_assign(
     `docs` needs doc_id, text and source; other columns are ignored. A null text has size
     0, a null source is a source of its own, after all others; repeated rows are taken as
     separate documents, in a stable order. Documents of size 0 are taken 0 times. An empty
-    table gives no rows. The order inside a source is md5(doc_id), so reruns agree.
+    table gives no rows. The order inside a source is md5(doc_id), without an id that of the
+    text's own md5, so reruns agree and rows without ids are not one group.
     """
     if buckets & (buckets - 1) or not 16 <= buckets <= 1 << 16:
         raise ValueError("buckets must be a power of two from 16 to 65536")
@@ -114,7 +115,7 @@ def curriculum_assign(
         "doc_id",
         "source",
         word_count("text").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary")).alias("place"),
     )
     sized = sized.withColumn("bucket", F.shiftright(F.conv(F.substring("place", 1, 4), 16, 10).cast("int"), 16 - (buckets.bit_length() - 1)))
     sized = written(sized, "sizes")  # texts are read and counted once
@@ -151,9 +152,10 @@ def curriculum_mix(docs: DataFrame, **options) -> DataFrame:
     docs = docs.drop("pass", "taken", "position")
     there, nth, ident = (free_name(docs, n) for n in ("size", "nth", "ident"))
     sized = docs.withColumn(there, word_count("text"))
-    numbered = sized.withColumn(nth, F.row_number().over(W.partitionBy("doc_id").orderBy("source", there)))
-    again = W.partitionBy("doc_id").orderBy("source", "size")
-    picked = curriculum_assign(docs, **options).withColumn(nth, F.row_number().over(again)).select(F.col("doc_id").alias(ident), F.col(nth).alias(f"{nth}_"), F.explode("passes").alias("p"))
-    picked = picked.select(ident, f"{nth}_", F.col("p.pass").alias("pass"), F.col("p.taken").alias("taken"), F.col("p.position").alias("position"))
-    joined = numbered.join(picked, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(nth) == F.col(f"{nth}_")))
-    return joined.drop(ident, nth, f"{nth}_", there).orderBy("position", "doc_id", "pass")
+    numbered = sized.withColumn(nth, F.row_number().over(W.partitionBy("doc_id", "source", there).orderBy(F.xxhash64("text"))))
+    again = W.partitionBy("doc_id", "source", "size").orderBy(F.get("passes", F.lit(0))["position"], "taken")
+    picked = curriculum_assign(docs, **options).withColumn(nth, F.row_number().over(again)).select(F.col("doc_id").alias(ident), F.col("source").alias(f"{nth}_source"), F.col("size").alias(f"{nth}_size"), F.col(nth).alias(f"{nth}_"), F.explode("passes").alias("p"))
+    picked = picked.select(ident, f"{nth}_", f"{nth}_source", f"{nth}_size", F.col("p.pass").alias("pass"), F.col("p.taken").alias("taken"), F.col("p.position").alias("position"))
+    same = F.col("doc_id").eqNullSafe(F.col(ident)) & F.col("source").eqNullSafe(F.col(f"{nth}_source")) & (F.col(there) == F.col(f"{nth}_size"))
+    joined = numbered.join(picked, same & (F.col(nth) == F.col(f"{nth}_")))
+    return joined.drop(ident, nth, f"{nth}_", f"{nth}_source", f"{nth}_size", there).orderBy("position", "doc_id", "pass")

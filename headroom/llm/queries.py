@@ -20,19 +20,21 @@ def default_tokenizer() -> str:
 
 
 def op1_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In training order; first_position and last_position (of 0 to 1) are where the schedules place a document's copies, null if none is taken."""
     out = mixing.curriculum_assign(read(spark, sf_dir, "documents"))
-    out = out.withColumn("first_position", F.get("passes", F.lit(0))["position"]).drop("passes", "source")
-    return out.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id").drop("first_position")
+    place = lambda i: F.round(F.try_element_at("passes", F.lit(i))["position"], 9)
+    out = out.withColumn("n_passes", F.size("passes").cast("long")).withColumn("first_position", place(1)).withColumn("last_position", place(-1)).drop("passes", "source")
+    return out.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
 OP1_SQL = r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-    md5(coalesce(doc_id::varchar, '')) as place
+    md5(coalesce(doc_id::varchar, md5(coalesce(text, '')))) as place
   from documents),
 per as (select source, sum(size)::bigint as source_size from sized group by source),
 ranked as (
-  select *, [3.0, 1.0, 2.0][(row_number() over (order by encode(source) nulls last) - 1) % 3 + 1]::double as weight from per),
+  select *, (row_number() over (order by encode(source) nulls last) - 1) % 3 as class, [3.0, 1.0, 2.0][class + 1]::double as weight from per),
 filled as (
   select *, (1.5::double * (sum(source_size) over ())::double
       - 2.0::double * coalesce(sum(source_size) over (order by source_size / weight, encode(source) nulls last
@@ -43,17 +45,29 @@ filled as (
 final as (
   select min_by(level, source_size / weight) filter (level * weight <= 2.0::double * source_size) as level from filled),
 targets as (
-  select f.source, f.source_size,
+  select f.source, f.source_size, f.class,
     least(2.0::double * f.source_size, coalesce(final.level * f.weight, 2.0::double * f.source_size)) as target
   from filled f, final),
 placed as (
   select d.doc_id, d.size, t.source_size, t.target,
     (coalesce(sum(d.size) over (partition by d.source order by d.place, d.doc_id, d.size
-      rows between unbounded preceding and 1 preceding), 0))::bigint as ahead
-  from sized d join targets t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  (greatest(0, least(size, floor(target)::bigint - ahead)) + greatest(0, least(size, floor(target)::bigint - source_size - ahead)))::bigint as taken
-from placed
+      rows between unbounded preceding and 1 preceding), 0))::bigint as ahead, row_number() over () as row_id, t.class
+  from sized d join targets t on d.source is not distinct from t.source),
+-- the weight schedules as straight pieces: class, from, to, weight at both ends
+pieces(class, t0, t1, w0, w1) as (values (0, 0.0::double, 1.0::double, 1.5::double, 0.5::double), (1, 0.0, 0.6, 0.4, 0.8), (1, 0.6, 1.0, 0.8, 2.2), (2, 0.0, 0.5, 0.8, 1.2), (2, 0.5, 1.0, 1.2, 0.8)),
+areas as (select *, coalesce(sum((t1 - t0) * (w0 + w1) / 2) over (partition by class order by t0 rows between unbounded preceding and 1 preceding), 0) as before,
+  sum((t1 - t0) * (w0 + w1) / 2) over (partition by class) as whole, (w1 - w0) / (t1 - t0) as slope from pieces),
+passes as (
+  select p.*, k, greatest(0, least(size, floor(target)::bigint - k * source_size - ahead))::bigint as took, least(1.0::double, (k * source_size + ahead)::double / target) as share
+  from placed p, (values (0), (1)) c(k)),
+-- a pass stands where the demand so far, the area under the schedule, is the share of the target that was delivered before it
+stood as (
+  select x.*, a.t0 + case when a.slope = 0 then (share * a.whole - a.before) / a.w0
+      else (sqrt(greatest(a.w0 * a.w0 + 2 * a.slope * greatest(share * a.whole - a.before, 0), 0)) - a.w0) / a.slope end as position
+  from passes x left join areas a on a.class = x.class and share * a.whole >= a.before and (share * a.whole < a.before + (a.t1 - a.t0) * (a.w0 + a.w1) / 2 or a.t1 = 1)
+  where took > 0)
+select p.doc_id, p.size, p.source_size, p.target, coalesce(s.taken, 0)::bigint as taken, coalesce(s.n_passes, 0)::bigint as n_passes, round(s.first_position, 9) as first_position, round(s.last_position, 9) as last_position
+from placed p left join (select row_id, sum(took) as taken, count(*) as n_passes, min_by(position, k) as first_position, max_by(position, k) as last_position from stood group by row_id) s on s.row_id = p.row_id
 """
 
 

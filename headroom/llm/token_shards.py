@@ -14,6 +14,7 @@ partition are summed over all partitions to place a shard in the whole sequence.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import partitions, shared_dir
+from .common import partitions, shared_dir, ship
 
 BLOCK = 512
 SHARD_SCHEMA = (
@@ -142,7 +143,7 @@ class WaveletMatrix:
 
 
 class Encoder:
-    """Encodes texts with a tokenizers file, each distinct run of blanks and word once.
+    """Encodes texts with a tokenizers file, each distinct run of blanks and word once; a file that is not plain byte-level BPE gets whole texts.
 
     A border between a non-space and a following ASCII space is always a border of the
     byte-level pre-tokenizer, and each pre-token is encoded on its own, so that the ids
@@ -159,6 +160,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.byte_level = _byte_level(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep, self.known, self.marks = keep, {}, {}
         self.model = self.tokenizer.model.tokenize
@@ -201,6 +203,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """32-bit ids of each text, in the machine's byte order (little-endian ones only are supported)."""
+        if not self.byte_level:
+            return self._whole(texts)
         known = self.known
         cut = [self._pieces(t) for t in texts]
         ids = [list(map(known.get, c)) for c in cut]
@@ -212,6 +216,15 @@ class Encoder:
         return out
 
 
+def _byte_level(path: str) -> bool:
+    """Whether a tokenizers file cuts texts as the Encoder does: BPE over the byte-level pre-tokenizer's own pattern, nothing normalised, nothing put in front or behind."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    cut, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    return plain and not said.get("normalizer") and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -237,6 +250,8 @@ def _encode_partition(path: str, end_id: int, bits: int, shard_tokens: int, grou
             nonlocal done, shard, held
             lens = np.array([len(t) // 4 for t in tokens], "<u4")
             flat = np.frombuffer(b"".join(tokens), "<u4")
+            if int(flat.max(initial=0)) >> bits:
+                raise ValueError(f"id {flat.max()} does not fit into {bits} bits")
             wm = WaveletMatrix.build(flat, bits)
             row = [part, shard, done, len(flat), bits]
             blobs = [np.array([-1 if i is None else i for i in ids], "<i8").tobytes() + bytes(i is None for i in ids), lens.tobytes(), wm.planes.tobytes(), wm.ranks.tobytes()]
@@ -268,23 +283,37 @@ def write_token_shards(
     path: str,
     tokenizer_path: str,
     end_id: int = 2,
-    bits: int = 16,
+    bits: int | None = None,
     shard_tokens: int = 1 << 20,
     n_partitions: int | None = None,
+    order: list[Column] | None = None,
 ) -> None:
     """Encodes `docs` (doc_id, text; other columns are ignored) and writes the shards.
 
     A null text is empty and still gets its end id; a null doc_id stands before all
     others; repeated rows are written as often as they come, in order of their text. An
     empty table writes no shard. A document is never cut: one longer than `shard_tokens`
-    has a shard of its own. ids must be below 2**bits.
+    has a shard of its own. `bits` are as many as the vocabulary needs; an id that does not
+    fit is refused. With `order`, documents stand by these columns instead.
     """
+    ship(docs.sparkSession)
     n = n_partitions or partitions(docs)
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    bits = bits or max(_vocabulary(tokenizer_path) - 1, end_id).bit_length()
+    if order:
+        names = [f"__{i}" for i in range(len(order))]
+        ordered = docs.select("doc_id", "text", *[c.alias(a) for c, a in zip(order, names)]).repartitionByRange(n, *names).sortWithinPartitions(*names).select("doc_id", "text")
+    else:  # texts stand by their beginnings too, so that rows without an id are not one task's
+        ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     shards = ordered.mapInArrow(_encode_partition(tokenizer_path, end_id, bits, shard_tokens, 1 << 20), SHARD_SCHEMA)
     shards.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
 
 
+def _vocabulary(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+
+
 def _decode_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in range(batch.num_rows):

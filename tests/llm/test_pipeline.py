@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from headroom.llm import mixing
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -94,7 +95,10 @@ def test_whole_pipeline(spark, tmp_path):
     tiny(spark, rows).write.parquet(f"{sf}/documents.parquet")
     got = [tuple(r) for r in corpus_pipeline.run(spark, sf).orderBy("start").collect()]
     ids = [g[0] for g in got]
-    assert set(ids) <= set(range(60)) and ids == sorted(ids) and max(ids.count(i) for i in ids) <= 2
+    assert set(ids) <= set(range(60)) and max(ids.count(i) for i in ids) <= 2
+    # the shards hold the copies in training order, not by id
+    mixed = mixing.curriculum_mix(tiny(spark, [r for r in rows if r[0] < 60])).collect()
+    assert [r.position for r in mixed] == sorted(r.position for r in mixed) and ids == [r.doc_id for r in mixed] != sorted(ids)
     # shares: 150 % of all words over three sources, weights 3, 1, 2, no source above twice its size
     share = {s: sum(60 for i in ids if "abc"[i % 3] == s) / 1200 for s in "abc"}
     assert abs(share["a"] - 2) < 0.06 and abs(share["c"] - 5 / 3) < 0.06 and abs(share["b"] - 5 / 6) < 0.06

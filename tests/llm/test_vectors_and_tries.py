@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from headroom.llm import prefix_trie, topk, whitening
+from headroom.llm import mixing, prefix_trie, token_shards, topk, whitening
 
 VECTOR = "vec_id long, embedding array<float>, label int, class long, place long, row long, vector int, asks int, block int, query int"
 NAN, INF = float("nan"), float("inf")
@@ -189,3 +189,29 @@ def test_prefix_trie_of_little(spark):
         got = prefix_trie.prefix_trie(conversations(spark, rows)).collect()
         assert sorted(map(tuple, got), key=repr) == brute_trie(rows)
     assert prefix_trie.ROOT == hashlib.sha256(b"").hexdigest()
+
+
+def test_schedules_decide_positions(spark):
+    docs = spark.createDataFrame([(i, "word " * (1 + i % 7), "abc"[i % 3]) for i in range(90)] + [(None, f"no id {i}", "a") for i in range(30)], "doc_id long, text string, source string")
+    flat = tuple(mixing.Schedule(s.weight) for s in mixing.DEFAULT_SCHEDULES)
+    row = lambda r: (r.doc_id, r.size, r.taken)
+    by_schedule, by_flat = (mixing.curriculum_assign(docs, s).collect() for s in (mixing.DEFAULT_SCHEDULES, flat))
+    assert sorted(map(repr, map(row, by_schedule))) == sorted(map(repr, map(row, by_flat)))
+    places = lambda rows: sorted(p.position for r in rows for p in r.passes)
+    assert places(by_schedule) != places(by_flat)
+    # halfway through training a source that falls from 1.5 to 0.5 has given 5/8 of its words
+    first = [(p.position, p.taken) for r in by_schedule if r.source == "a" for p in r.passes]
+    assert sum(t for p, t in first if p < 0.5) / sum(t for _, t in first) == pytest.approx(0.625, abs=0.03)
+
+
+def test_tokenizers_of_other_kinds(spark, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path, texts = P.path("word_bpe_49k.json"), ["Hello  World, it's 42!", " two\n\nLines\tÉTÉ ", "", "plain"]
+    plain = Tokenizer.from_file(path)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = token_shards.token_shards(docs, path).orderBy("start").collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ([*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts)]
+    with pytest.raises(Exception, match="does not fit"):
+        token_shards.write_token_shards(docs, str(tmp_path / "few"), path, bits=8)
