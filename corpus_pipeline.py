@@ -6,7 +6,8 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headroom.llm import decontaminate, language, mixing, near_dup, queries, token_shards
@@ -49,8 +50,21 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards in order of doc_id (null first), then text; each copy is encoded as often as it comes, a null text is empty."""
-    return token_shards.token_shards(docs, queries.default_tokenizer())
+    """Token shards in the order in which a written table holds its rows, which is the training order of the stage before; each copy is encoded as often as it comes, a null text is empty.
+
+    Rows that are no written table have no order: they stand by doc_id (null first), then text.
+    """
+    return token_shards.token_shards(docs, queries.default_tokenizer(), order=_table_order(docs))
+
+
+def _table_order(docs: DataFrame) -> list[Column] | None:
+    """Number of the part and of the row in it: a sorted table is written as sorted parts."""
+    order = [F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int"), F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    try:
+        docs.select(*order).schema
+    except AnalysisException:
+        return None
+    return order
 
 
 STAGES = [
