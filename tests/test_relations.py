@@ -89,30 +89,6 @@ def test_counters_give_back_the_events(spark):
     assert (got[0], got[1]) == (want, want)
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from headroom.streaming.pipelines import counter_stream, instance_stream
-
-    events = spark.read.parquet(f"{SF}/events.parquet")
-    columns = ["account_id", "file", "line_no", "input_tokens", "cached_input_tokens", "cache_w_unsplit", "output_tokens"]
-    cases = (
-        ("counter_rows", counter_stream, apply(spark, "counter_diff", events=events).select(columns), columns),
-        ("coalesced", instance_stream, None, None),
-    )
-    for name, stream, want, cols in cases:
-        rows = apply(spark, name, events=events)
-        rows.repartition(2).write.parquet(str(tmp_path / name))
-        source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / name))
-        run = stream(source).writeStream.format("memory").queryName(f"s_{name}").option("checkpointLocation", str(tmp_path / f"c_{name}")).trigger(availableNow=True).start()
-        run.awaitTermination()
-        got = spark.table(f"s_{name}")
-        if want is not None:
-            assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.collect()))
-        else:
-            # all but the open instance of each window have been closed
-            total = apply(spark, "summary", events=events).count()
-            assert got.count() == total - apply(spark, "window_ids", events=events).count()
-
-
 def test_period():
     assert parse_period("7d", 10**9) == (10**9 - 604800, 10**9)
     assert parse_period("month", 10**9)[0] == 10**9 - 30 * 86400
