@@ -9,8 +9,9 @@ shares a word shingle with it, so the work has two passes:
 2. Only the documents that were hit are read again, and the named windows are cut.
 
 A word is hashed once, and a shingle's hash is that of its words' hashes. The items'
-shingles, and the keys of the documents hit, are sent to all tasks where their checked
-size is below BROADCAST_BYTES; else the same joins shuffle.
+shingles, which do not grow with the documents, are sent to all tasks where their checked
+size is below BROADCAST_BYTES; else that join shuffles. The keys of the documents hit are a
+written table whose size Spark knows when it plans the join with the texts.
 """
 
 from __future__ import annotations
@@ -77,9 +78,8 @@ def item_windows(docs: DataFrame, index: DataFrame, k: int, without: str = "") -
     hits = rows.join(F.broadcast(places) if small_enough(places) else places, "shingle")
     asked = hits.select("key", "n_words", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start")).distinct()
     asked = written(asked, "asked")
-    hit = asked.select("key").distinct()
-    if small_enough(hit):
-        docs = docs.join(F.broadcast(hit), "key", "left_semi")
+    # documents that were hit are told apart by key before their words are made, whatever their number
+    docs = docs.join(written(asked.select("key").distinct(), "hit"), "key", "left_semi")
     cut = with_words(docs, "key", "doc_id", without=without).join(asked, "key")
     m = F.least("n_words", F.lit(k))
     last = F.greatest(F.size("w") - F.col("n_words"), F.lit(0))
