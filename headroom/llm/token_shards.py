@@ -302,8 +302,8 @@ def write_token_shards(
     if order:
         names = [f"__{i}" for i in range(len(order))]
         ordered = docs.select("doc_id", "text", *[c.alias(a) for c, a in zip(order, names)]).repartitionByRange(n, *names).sortWithinPartitions(*names).select("doc_id", "text")
-    else:  # texts stand by their beginnings too, so that rows without an id are not one task's
-        ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    else:  # ids tell documents apart; the range is cut by them alone, so that no text is read for it
+        ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     shards = ordered.mapInArrow(_encode_partition(tokenizer_path, end_id, bits, shard_tokens, 1 << 20), SHARD_SCHEMA)
     shards.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
 
