@@ -215,17 +215,44 @@ def decision(d):
 select {K}, verdict, {r6('multiple')} return_multiple, {r6('full_usd')} extracted_usd, {r6('cost')} plan_cost_usd, approx, {DECISION_REASON} reason from decided"""
 
 
+def spent_since(d, starts: str, after: str, until: str) -> str:
+    """Dollars of each account from its start (`starts` has K and start_ts; `after` is > or >=) to `until`, a condition on ts.
+
+    Spark adds up days first. Whole days meet the start by account, a row a day; only the
+    events of the start's own day meet it one by one, by account and day. So no event of a
+    long history meets a key that the whole account shares.
+    """
+    if not d.spark:
+        return f"select e.account_id, e.provider, {dollars('e.usd')} usd from priced e join {starts} c on {on('c', 'e')} where e.ts {after} c.start_ts and {until.format('e.ts')} group by e.account_id, e.provider"
+    exact = "cast(sum(cast({0} as decimal(28, 9))) as decimal(38, 9))"
+    return f"""
+select account_id, provider, cast(coalesce(sum(usd), 0) as double) usd from (
+  select e.account_id, e.provider, e.usd from (select {K}, ts div 86400 day_no, {exact.format('usd')} usd from priced where {until.format('ts')} group by {K}, ts div 86400) e
+  join {starts} c on {on('c', 'e')} and e.day_no > c.start_ts div 86400
+  union all select e.account_id, e.provider, cast(e.usd as decimal(38, 9)) from priced e join {starts} c on {on('c', 'e')} and e.ts div 86400 = c.start_ts div 86400 and e.ts {after} c.start_ts where {until.format('e.ts')}) x
+group by account_id, provider"""
+
+
+@relation
+def certified_starts(d):
+    """When the current plan and regime began."""
+    return f"""
+select g.account_id, g.provider, greatest(g.regime_start, coalesce(p.ts, 0)) start_ts from regime g left join (select {K}, max(ts) ts from plan_points group by {K}) p on {on('p', 'g')}"""
+
+
+@relation
+def certified_periods(d):
+    """The part of that time inside the period."""
+    return f"select {K}, greatest(start_ts, {d.t0}) start_ts from certified_starts"
+
+
 @relation
 def certified(d):
     """Measured time and dollars under the current plan and regime."""
     return f"""
-select t.account_id, t.provider, t.start_ts, coalesce(s.secs, 0) secs, coalesce(u.usd, cast(0 as double)) usd from (
-  select g.account_id, g.provider, greatest(g.regime_start, coalesce(p.ts, 0)) start_ts from regime g left join (select {K}, max(ts) ts from plan_points group by {K}) p on {on('p', 'g')}) t
-left join (select c.account_id, c.provider, cast(sum(greatest(0, s.b - greatest(s.a, c.start_ts))) as bigint) secs from spans s join (
-  select g.account_id, g.provider, greatest(g.regime_start, coalesce(p.ts, 0)) start_ts from regime g left join (select {K}, max(ts) ts from plan_points group by {K}) p on {on('p', 'g')}) c on {on('c', 's')} group by c.account_id, c.provider) s on {on('s', 't')}
-left join (select e.account_id, e.provider, {dollars('e.usd')} usd from priced e join (
-  select g.account_id, g.provider, greatest(g.regime_start, coalesce(p.ts, 0)) start_ts from regime g left join (select {K}, max(ts) ts from plan_points group by {K}) p on {on('p', 'g')}) c on {on('c', 'e')}
-  where e.ts >= greatest(c.start_ts, {d.t0}) and e.ts < {d.now} group by e.account_id, e.provider) u on {on('u', 't')}"""
+select t.account_id, t.provider, t.start_ts, coalesce(s.secs, 0) secs, coalesce(u.usd, cast(0 as double)) usd from certified_starts t
+left join (select c.account_id, c.provider, cast(sum(greatest(0, s.b - greatest(s.a, c.start_ts))) as bigint) secs from spans s join certified_starts c on {on('c', 's')} group by c.account_id, c.provider) s on {on('s', 't')}
+left join ({spent_since(d, 'certified_periods', '>=', '{} < ' + str(d.now))}) u on {on('u', 't')}"""
 
 
 @relation
@@ -238,13 +265,18 @@ def certified_extraction(d):
     return f"select {K}, start_ts, {r6('usd')} usd from certified"
 
 
+@relation
+def open_starts(d):
+    """The live open instance of the operative window."""
+    return f"select {K}, first_ts start_ts, first_ts, last_ts, last_pct, resets_at, regime_secs from op_instances where is_open and {d.now} - last_ts <= regime_secs"
+
+
 @relation
 def opened(d):
     """The live open instance of the operative window and the dollars spent in it."""
     return f"""
-select o.account_id, o.provider, o.first_ts, o.last_ts, o.last_pct, o.resets_at, o.regime_secs, {dollars('e.usd')} usd
-from op_instances o left join priced e on {on('e', 'o')} and e.ts > o.first_ts and e.ts <= {d.now}
-where o.is_open and {d.now} - o.last_ts <= o.regime_secs group by o.account_id, o.provider, o.first_ts, o.last_ts, o.last_pct, o.resets_at, o.regime_secs"""
+select o.account_id, o.provider, o.first_ts, o.last_ts, o.last_pct, o.resets_at, o.regime_secs, coalesce(u.usd, cast(0 as double)) usd
+from open_starts o left join ({spent_since(d, 'open_starts', '>', '{} <= ' + str(d.now))}) u on {on('u', 'o')}"""
 
 
 @relation

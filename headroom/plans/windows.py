@@ -28,15 +28,44 @@ def _differ(a: str, b: str) -> str:
     return f"coalesce({a} <> {b}, false)"
 
 
+SLOT = 30 * 86400
+POINT = "cast(ts as bigint) ts, cast(used_percent as double) used_percent, cast(window_minutes as bigint) window_minutes, cast(resets_at as bigint) resets_at, plan_type"
+
+
+@relation
+def slots(d):
+    """Each part of a series (SLOT seconds) with the last row of the part before it."""
+    return f"""
+select {KW}, slot, lag(ending) over (partition by {KW} order by slot) border
+from (select {KW}, ts div {SLOT} slot, max_by(struct({POINT}), ts) ending from coalesced group by {KW}, ts div {SLOT}) x"""
+
+
+@relation
+def cuts(d):
+    """Snapshots, and whether the row before proves a new instance: every such cut is one of the exact rules, so that instances lie inside segments.
+
+    Rows meet their neighbours inside a slot; the first one of a slot meets the border row. No task sorts a whole series.
+    """
+    before = lambda c, name: f"case when p_ts is null then border.{c} else {name} end"
+    return f"""
+select {KW}, slot, ts, used_percent, window_minutes, resets_at, plan_type, q_ts is null or used_percent < q_pct - {DROP} or {_differ('q_minutes', 'window_minutes')} or {_differ('q_plan', 'plan_type')}
+    or coalesce(ts - q_ts > q_minutes * 60, false) or coalesce(abs(q_resets - resets_at) > {2 * RESET_SLACK}, false) cut
+from (select *, {before('ts', 'p_ts')} q_ts, {before('used_percent', 'p_pct')} q_pct, {before('window_minutes', 'p_minutes')} q_minutes, {before('resets_at', 'p_resets')} q_resets, {before('plan_type', 'p_plan')} q_plan
+  from (select c.*, b.border from (
+    select *, lag(ts) over w p_ts, lag(window_minutes) over w p_minutes, lag(resets_at) over w p_resets, lag(used_percent) over w p_pct, lag(plan_type) over w p_plan
+    from (select *, ts div {SLOT} slot from coalesced) x window w as (partition by {KW}, slot order by ts)) c
+  join slots b on b.account_id = c.account_id and b.provider = c.provider and b.window_id = c.window_id and b.slot = c.slot) y) z"""
+
+
 @relation
 def segments(d):
-    """Snapshots cut where the row before proves a new instance: every such cut is one of the exact rules, so that instances lie inside segments."""
+    """Snapshots with the number of their segment: cuts so far in the slot, and in the slots before it."""
     return f"""
-select *, sum(case when cut then 1 else 0 end) over (partition by {KW} order by ts rows unbounded preceding) segment
-from (select *, p_ts is null or used_percent < p_pct - {DROP} or {_differ('p_minutes', 'window_minutes')} or {_differ('p_plan', 'plan_type')}
-    or coalesce(ts - p_ts > p_minutes * 60, false) or coalesce(abs(p_resets - resets_at) > {2 * RESET_SLACK}, false) cut
-  from (select *, lag(ts) over w p_ts, lag(window_minutes) over w p_minutes, lag(resets_at) over w p_resets, lag(used_percent) over w p_pct, lag(plan_type) over w p_plan
-    from coalesced window w as (partition by {KW} order by ts)) x) y"""
+select c.account_id, c.provider, c.window_id, c.ts, c.used_percent, c.window_minutes, c.resets_at, c.plan_type,
+  coalesce(b.ahead, 0) + sum(case when cut then 1 else 0 end) over (partition by c.account_id, c.provider, c.window_id, c.slot order by c.ts rows unbounded preceding) segment
+from cuts c join (select {KW}, slot, sum(n) over (partition by {KW} order by slot rows between unbounded preceding and 1 preceding) ahead from (
+  select {KW}, slot, sum(case when cut then 1 else 0 end) n from cuts group by {KW}, slot) x) b
+on b.account_id = c.account_id and b.provider = c.provider and b.window_id = c.window_id and b.slot = c.slot"""
 
 
 def _starts(minutes: str, anchor: str, plan: str, last: str, pct: str, r: str) -> str:
@@ -55,8 +84,9 @@ def instanced(d):
     measured against it, not against the row before) and its latest plan. A row starts a
     new one if the length differs, the reset lies more than 600 s from the anchor, the
     percent falls by more than 5, a whole window passed unseen, or the plan differs.
-    Spark folds the rows of a segment in order and keeps only the times of the starts; the
-    plain form walks each series row by row.
+    Spark folds the rows of a segment in order and keeps only the times of the starts, and
+    adds the number of starts in the segments before (a row each); the plain form walks each
+    series row by row.
     """
     if not d.spark:
         moved = _starts("c_minutes", "c_anchor", "c_plan", "c_ts", "c_pct", "")
@@ -71,17 +101,24 @@ walk as (
     select n.*, w.c_minutes, w.c_anchor, w.c_plan, w.ts c_ts, w.used_percent c_pct, w.instance_id from walk w
     join rows_of n on n.account_id = w.account_id and n.provider = w.provider and n.window_id = w.window_id and n.rn = w.rn + 1) x) y)
 select {KW}, ts, used_percent, window_minutes, resets_at, plan_type, instance_id from walk"""
+    return f"""
+select f.account_id, f.provider, f.window_id, r.ts, r.used_percent, r.window_minutes, r.resets_at, r.plan_type, cast(f.ahead + size(filter(f.starts, x -> x <= r.ts)) as bigint) instance_id
+from (select g.*, coalesce(b.ahead, 0) ahead, explode(g.points) r from folded g join (
+  select {KW}, segment, sum(n) over (partition by {KW} order by segment rows between unbounded preceding and 1 preceding) ahead from (select {KW}, segment, size(starts) n from folded) x) b
+  on b.account_id = g.account_id and b.provider = g.provider and b.window_id = g.window_id and b.segment = g.segment) f"""
+
+
+@relation
+def folded(d):
+    """Each segment's rows in order, and the times at which instances start in it."""
     new = f"s.last is null or {_starts('s.minutes', 's.anchor', 's.plan', 's.last', 's.pct', 'r.')}"
     carried = lambda yes, no: f"case when {new} then {yes} else {no} end"
     start = "named_struct('last', cast(null as bigint), 'pct', cast(null as double), 'minutes', cast(null as bigint), 'anchor', cast(null as bigint), 'plan', cast(null as string), 'starts', cast(array() as array<bigint>))"
     step = f"""named_struct('last', r.ts, 'pct', r.used_percent, 'minutes', {carried('r.window_minutes', 'coalesce(s.minutes, r.window_minutes)')}, 'anchor', {carried('r.resets_at', 'coalesce(s.anchor, r.resets_at)')},
     'plan', {carried('r.plan_type', 'coalesce(r.plan_type, s.plan)')}, 'starts', case when {new} then concat(s.starts, array(r.ts)) else s.starts end)"""
     return f"""
-select {KW}, r.ts, r.used_percent, r.window_minutes, r.resets_at, r.plan_type, cast(sum(case when array_contains(starts, r.ts) then 1 else 0 end) over (partition by {KW} order by r.ts rows unbounded preceding) as bigint) instance_id
-from (select {KW}, starts, explode(points) r from (
-  select *, aggregate(points, {start}, (s, r) -> {step}, s -> s.starts) starts from (
-    select {KW}, segment, sort_array(collect_list(struct(cast(ts as bigint) ts, cast(used_percent as double) used_percent, cast(window_minutes as bigint) window_minutes, cast(resets_at as bigint) resets_at, plan_type))) points
-    from segments group by {KW}, segment) x) y) z"""
+select {KW}, segment, points, aggregate(points, {start}, (s, r) -> {step}, s -> s.starts) starts
+from (select {KW}, segment, sort_array(collect_list(struct({POINT}))) points from segments group by {KW}, segment) x"""
 
 
 @relation
