@@ -254,3 +254,101 @@ def test_failed_checks_stop(spark):
     assert require_ok(rows("warn")).count() == 2
     with pytest.raises(RuntimeError, match="two"):
         require_ok(rows("fail"))
+
+
+def keyed(spark, schema, *rows):
+    return spark.createDataFrame([("a", "p", *r) for r in rows], f"account_id string, provider string, {schema}")
+
+
+TIERED = "tier string, lo double, med double, hi double, bound double, n long, regime_secs long"
+OPENED = "first_ts long, last_ts long, last_pct double, resets_at long, usd double"
+
+
+def test_gap_of_a_calibrated_window(spark):
+    """A band of 20.67, 25 and 53.45 at 27 percent; what is proven lifts the lower end."""
+    tiered = keyed(spark, TIERED, ("CALIBRATED", 20.67, 25.0, 53.45, 10.0, 4, WEEK))
+    gap = lambda usd, bound=None: apply(spark, "live_gap", tiered=tiered if bound is None else keyed(spark, TIERED, ("CALIBRATED", 20.67, 25.0, 53.45, bound, 4, WEEK)), opened=keyed(spark, OPENED, (1, 2, 27.0, 99, usd))).first()
+    r = gap(6.0)
+    assert (r.kind, round(r.lo, 2), r.med, round(r.hi, 2), r.gap_reason) == ("band", 15.09, 18.25, 39.02, None)
+    assert gap(6.0, 24.0).lo == 18.0  # 24 proven less 6 used
+    full = apply(spark, "live_gap", tiered=tiered, opened=keyed(spark, OPENED, (1, 2, 104.0, 99, 30.0))).first()
+    assert (full.lo, full.med, full.hi) == (0, 0, 0)
+
+
+@pytest.mark.parametrize(
+    ("bound", "usd", "kind", "lo", "reason"),
+    [(20.0, 1.7, "floor", 18.3, None), (20.0, 20.0, None, None, "usage in this window covers all that is proven"), (0.0, 1.0, None, None, "not calibrated, and no bound is proven yet")],
+)
+def test_gap_of_a_window_with_a_bound_only(spark, bound, usd, kind, lo, reason):
+    r = apply(spark, "live_gap", tiered=keyed(spark, TIERED, ("MEASURED", 1.0, 2.0, 3.0, bound, 2, WEEK)), opened=keyed(spark, OPENED, (1, 2, 50.0, 99, usd))).first()
+    assert (r.kind, r.lo, r.med, r.hi, r.gap_reason) == (kind, lo, None, None, reason)
+
+
+@pytest.mark.parametrize(("age", "n", "pace", "at", "checkpoint"), [(0.2, 9, "too_young", None, None), (0.25, 3, "uncalibrated", None, 0.25), (0.363, 4, "calibrated", 20.0, 0.25), (0.5, 4, "calibrated", 40.0, 0.5), (0.99, 4, "calibrated", 60.0, 0.75)])
+def test_capture_pace(spark, age, n, pace, at, checkpoint):
+    now = 1_000_000
+    gaps = keyed(spark, "tier string, resets_at long, open_first long, regime_secs long, gap_lo double, gap_med double, gap_hi double", ("CALIBRATED", now + 107 * 3600, now - int(round(age * WEEK)), WEEK, 15.09, 18.25, 39.02))
+    curve = keyed(spark, "checkpoint double, med double, n long, skipped long", (0.25, 20.0, n, 0), (0.5, 40.0, n, 0), (0.75, 60.0, n, 0))
+    r = apply(spark, "capture_pace", settings=Settings(0, now), gaps=gaps, capture_curve=curve).first()
+    assert (r.pace, r.checkpoint_pct, r.checkpoint) == (pace, at, checkpoint)
+    assert (round(r.per_day_lo, 2), round(r.per_day_hi, 2)) == (3.38, 8.75)  # 4 days and 11 hours are left
+
+
+def test_dollars_since_a_start(spark):
+    """Certified: from the last plan change on, the end left out; open: after the first snapshot, now counted. Days and single events add up to the definition."""
+    now, events = 900_000, [(86_399, 1.0), (200_000, 2.0), (200_001, 4.0), (258_000, 8.0), (300_000, 16.0), (899_999, 32.0), (900_000, 64.0), (900_001, 128.0)]
+    priced = keyed(spark, "ts long, usd double", *events, (250_000, None))
+    given = {
+        "priced": priced, "regime": keyed(spark, "regime_start long, regime_secs long, complete long", (1000, WEEK, 1)), "plan_points": keyed(spark, "ts long, plan_type string", (500, "x"), (200_000, "y")),
+        "spans": keyed(spark, "a long, b long", (100_000, 150_000), (190_000, 260_000), (300_000, 300_010)),
+    }
+    certified = lambda t0: apply(spark, "certified_extraction", settings=Settings(t0, now), **given).first()
+    assert (certified(0).start_ts, certified(0).usd) == (200_000, 62.0)
+    assert certified(258_001).usd == 48.0 and certified(950_000).usd == 0
+    assert apply(spark, "certified_epoch", settings=Settings(0, now), **given).first().secs == 60_000 + 10
+    instances = keyed(spark, "first_ts long, last_ts long, last_pct double, resets_at long, regime_secs long, is_open boolean", (200_000, now - 5, 30.0, None, WEEK, True), (1, 2, 3.0, None, WEEK, False))
+    opened = apply(spark, "open_extraction", settings=Settings(0, now), priced=priced, op_instances=instances).collect()
+    assert [(r.first_ts, r.usd) for r in opened] == [(200_000, 124.0)]
+    stale = apply(spark, "open_extraction", settings=Settings(0, now + WEEK), priced=priced, op_instances=instances).count()
+    assert stale == 0
+
+
+PREPARED = "instance_id long, first_ts long, last_ts long, peak_ts long, peak_pct double, first_pct double, covered_secs long, regime_secs long, is_open boolean, dpct double, attributed_usd double, unpriced boolean, approx boolean, usage_gap long, snapshot_gap long"
+
+
+@pytest.mark.parametrize(
+    ("dpct", "unpriced", "span", "usage_gap", "snapshot_gap", "reason"),
+    [
+        (10.0, False, 8000, 2000, 60480, None), (9.0, True, 8000, 9999, 99999, "low_growth"), (10.0, True, 8000, 9999, 99999, "unpriced"), (10.0, False, 8000, 2001, 99999, "usage_gap"),
+        (10.0, False, 100, 1800, 0, None), (10.0, False, 100, 1801, 0, "usage_gap"), (10.0, False, 8000, 2000, 60481, "snapshot_gap"),
+    ],
+)
+def test_gates_in_order_and_at_equality(spark, dpct, unpriced, span, usage_gap, snapshot_gap, reason):
+    row = (1, 0, span, span, 50.0, 0.0, span, WEEK, False, dpct, 5.0, unpriced, False, usage_gap, snapshot_gap)
+    assert apply(spark, "admission", prepared=keyed(spark, PREPARED, row)).first().reason == reason
+
+
+def test_polls_against_logs(spark):
+    polled = spark.createDataFrame([("a", "w", 40.0, 100_000), ("a", "w", 10.0, 90_000), ("a", "x", 50.0, 100_000), ("a", "y", 7.0, 100_000)], "account_id string, window_id string, used_percent double, ts long")
+    logged = spark.createDataFrame([("a", "w", 35.0, 99_000), ("a", "w", 1.0, 98_000), ("a", "w", 99.0, 100_001), ("a", "x", 44.0, 100_000), ("a", "y", 7.0, 13_600)], "account_id string, window_id string, used_percent double, ts long")
+    got = apply(spark, "source_crosscheck", scan_polls=polled, scan_rollout_snapshots=logged).collect()
+    assert sorted((r.window_id, r.polled, r.logged, r.agrees) for r in got) == [("w", 40.0, 35.0, True), ("x", 50.0, 44.0, False)]  # y: a day old
+
+
+def test_short_windows_inside_long_ones(spark):
+    contained = keyed(spark, "instance_id long, window_id string, first_ts long, peak_ts long", (1, "s", 100, 200), (1, "s", 300, 400), (2, "s", 1000, 1100))
+    attributed = keyed(spark, "instance_id long, ts long, usd double", (1, 100, 1.0), (1, 101, 2.0), (1, 200, 4.0), (1, 250, 8.0), (1, 400, 16.0), (2, 1050, 5.0))
+    long = lambda one, two: keyed(spark, "instance_id long, attributed_usd double", (1, one), (2, two))
+    rows = lambda t: {(r.instance_id, r.short_usd, r.status) for r in apply(spark, "dq_attribution", contained=contained, attributed=attributed, attribution=t).collect()}
+    assert rows(long(31.0, 5.0)) == {(1, 22.0, "ok"), (2, 5.0, "ok")} and rows(long(21.99, 4.98)) == {(1, 22.0, "ok"), (2, 5.0, "fail")}
+
+
+def test_an_entry_for_each_open_window(spark):
+    schema = "window_id string, operative boolean, used_pct double, resets_at long, kind string, gap_lo double, gap_med double, gap_hi double"
+    now = 1_000_000
+    windows = keyed(spark, schema, ("long", True, 27.4, now + 385_200, "band", 15.09, 18.25, 39.02), ("short", False, 50.0, now + 600, None, None, None, None), ("old", True, 10.0, None, "floor", 18.3, None, None), ("none", True, 3.0, now - 5, None, None, None, None))
+    got = {r.window_id: r.entry for r in apply(spark, "status_line", settings=Settings(0, now), open_windows=windows).collect()}
+    assert got == {
+        "long": "p long 27% - $15 to $39 left - resets in 4d 11h", "short": "p short 50% - resets in 10m",
+        "old": "p old 10% - at least $18 left", "none": "p none 3% - gap not measured - resets in 0m",
+    }

@@ -104,3 +104,33 @@ def test_report_json(spark):
     for r in rows:
         for p in json.loads(r.json)["providers"]:
             assert p["extracted_usd"] == flat[r.account_id, p["provider"]].extracted_usd
+
+
+@pytest.mark.parametrize("slot", [900, 40_000, 30 * 86400])
+def test_series_cut_by_time_equal_the_fold(spark, monkeypatch, slot):
+    """Whatever the parts that a series is cut into, its instances are those of one walk over all rows."""
+    import random
+
+    from headroom.plans import windows
+    from headroom.streaming.pipelines import fold, merged_second
+
+    monkeypatch.setattr(windows, "SLOT", slot)
+    g, rows, want = random.Random(slot), [], {}
+    for w in "xyz":
+        ts, percent, resets = 1000, 0.0, 20_000
+        for _ in range(250):
+            ts += g.choice([0, 1, 60, 300, 3000, 20_000])
+            percent = g.choice([percent, percent + 1, percent + 7, max(0.0, percent - 4), 1.0])
+            resets += g.choice([0, 0, 0, 400, -300, 18_000])
+            rows.append(("a", "p", w, g.choice([300, 300, None, 10_080]), percent, g.choice([resets, None]), ts, f"s{len(rows)}", g.choice([None, None, "b", "b", "c"])))
+        now, at, n = None, {}, 0
+        for r in rows:
+            if r[2] == w:
+                at.setdefault(r[6], []).append((r[6], r[4], r[7], r[3], r[5], r[8]))
+        for t in sorted(at):
+            started = now is None
+            now, closed = fold(now, merged_second(at[t]))
+            n += started or closed is not None
+            want[w, t] = n
+    got = apply(spark, "instances", snapshots=spark.createDataFrame(rows, SNAP).repartition(3)).collect()
+    assert {(r.window_id, r.ts): r.instance_id for r in got} == want and max(want.values()) > 50
