@@ -7,12 +7,15 @@ leave the scan in runs, as is usual for graphs that do not fit one machine:
 1. Runs of edges that share a minimizer (`blocks`) meet by it. A run that is whole in
    several documents is one compact edge. Where different runs meet at a minimizer, their
    single edges are joined.
-2. Nodes count the repeated edges that enter and leave them. A node with one of each does
-   not branch: its edges belong to one path. Paths are compacted by pointer doubling, a
-   join per doubling, so that a path of n edges takes log2(n) joins.
-3. Every later occurrence of an edge has source coordinates: the document and place where
-   the edge comes first. Occurrences that follow each other along a path and along one
-   source are one long repeated span (document, words, source document, source words).
+2. Every later occurrence of an edge has source coordinates: the document and place where
+   the edge comes first. A node does not branch if all occurrences that enter it come by one
+   edge and all that leave it go by one, in their documents and at their sources alike; an
+   occurrence that ends there, or goes on along an edge that is not repeated, is a branch too.
+   The edges at such nodes are one path. Paths are compacted by pointer doubling, a join per
+   doubling, so that a path of n edges takes log2(n) joins.
+3. Whoever walks the first edge of a path walks all of it, so a path's first edge alone says
+   where it is repeated: each of its occurrences, as long as the path, is one repeated span
+   (document, words, source document, source words). The other edges are not looked at again.
 4. The words at both coordinates of each span are compared (by a 160-bit digest of the
    words themselves, so that texts need not travel) before the result is given, and the
    spans are cut out of the documents' own words. Hashes that disagreed with the words
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import kernels as K
-from .blocks import NODE_ROW, SHIFT, Shape, cut_spans, emit, hot_grams, joined_spans, ordered_key, place_of, word_symbols
+from .blocks import NODE_ROW, SHIFT, Shape, cut_spans, emit, hot_grams, ordered_key, place_of, word_symbols
 from .common import discard, partitions, written
 
 ANCHOR = 24
@@ -98,35 +101,47 @@ def repeated_edges(docs: DataFrame, window: int) -> DataFrame:
     return whole.union(later).union(single.where("src_key is not null").select(*columns, "src_key", "src_place"))
 
 
+def linked(runs: DataFrame) -> DataFrame:
+    """(edge, n, prev, prev_n) of distinct edges: `prev` is the one edge by which a node that does not branch is entered, null where the edge begins a path."""
+    line = W.partitionBy("key").orderBy("place")
+    ahead, back = (f(F.struct("edge", "u", "v", "n", "place", "src_key", "src_place")).over(line) for f in (F.lead, F.lag))
+    on = lambda a, b: (b("place") == a("place") + a("n")) & (b("u") == a("v")) & (b("src_key") == a("src_key")) & (b("src_place") == a("src_place") + a("n"))
+    far = lambda c: lambda name: F.col(c)[name]
+    walks = runs.repartition(partitions(runs), "key").withColumn("ahead", ahead).withColumn("back", back)
+    walks = walks.select("edge", "n", F.when(on(F.col, far("ahead")), F.col("ahead.edge")).alias("next"), F.when(on(far("back"), F.col), F.col("back.edge")).alias("prev"))
+    one = lambda c: F.when((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)), F.min(c)).alias(c)
+    edges = written(walks.groupBy("edge").agg(F.min("n").alias("n"), one("next"), one("prev")), "graph")
+    there = edges.select(F.col("edge").alias("p"), F.col("n").alias("prev_n"), F.col("next").alias("p_next"))
+    met = edges.join(there, (F.col("prev") == F.col("p")) & (F.col("p_next") == F.col("edge")) & (F.col("p") != F.col("edge")), "left")
+    return met.select("edge", "n", F.col("p").alias("prev"), "prev_n")
+
+
 def compacted(edges: DataFrame, max_rounds: int = 48) -> DataFrame:
-    """(edge, path, at) of distinct `edges` (edge, u, v, n): the first edge of its nonbranching path, and the number of windows before it there.
+    """(path, n): the nonbranching paths of `edges` (edge, n, prev, prev_n) by their first edge, with all their windows.
 
     A path that runs in a circle has no first edge: each of its edges is a path of its own.
     """
-    leave = edges.groupBy("u").agg(F.count("*").alias("m"), F.min("edge").alias("next")).where("m = 1").select(F.col("u").alias("node"), "next")
-    enter = edges.groupBy("v").agg(F.count("*").alias("m"), F.min(F.struct("edge", "n")).alias("e")).where("m = 1").select(F.col("v").alias("node"), "e.edge", "e.n")
-    before = leave.join(enter, "node").where("edge <> next").select(F.col("next").alias("edge"), F.col("edge").alias("prev"), F.col("n").alias("at"))
-    now = written(edges.select("edge").join(before, "edge", "left").select("edge", "prev", F.coalesce("at", F.lit(0)).cast("long").alias("at"), F.col("prev").isNull().alias("done"), F.coalesce("prev", "edge").alias("path")), "paths")
-    total, left = edges.count(), now.where("not done").limit(1).count()
+    now = edges.select("edge", "n", "prev", F.coalesce("prev_n", F.lit(0)).cast("long").alias("at"), F.col("prev").isNull().alias("done"), F.coalesce("prev", "edge").alias("path"))
+    now = written(now, "paths")
+    total, left = now.count(), now.where("not done").limit(1).count()
     rounds = 0
     while left and rounds < max_rounds and (1 << rounds) <= 2 * total:
         # the pointer of the edge that mine points to becomes mine
         far = now.select(F.col("edge").alias("prev"), F.col("prev").alias("far"), F.col("at").alias("more"), F.col("done").alias("end"), F.col("path").alias("head"))
         open_, closed = now.where("not done"), now.where("done")
-        step = open_.join(far, "prev").select("edge", F.col("far").alias("prev"), (F.col("at") + F.col("more")).alias("at"), F.col("end").alias("done"), F.col("head").alias("path"))
-        after = written(closed.union(step.select("edge", F.coalesce("prev", "path").alias("prev"), "at", "done", "path")), "paths")
+        step = open_.join(far, "prev").select("edge", "n", F.col("far").alias("prev"), (F.col("at") + F.col("more")).alias("at"), F.col("end").alias("done"), F.col("head").alias("path"))
+        after = written(closed.union(step.select("edge", "n", F.coalesce("prev", "path").alias("prev"), "at", "done", "path")), "paths")
         discard(now)
         now, rounds = after, rounds + 1
         left = now.where("not done").limit(1).count()
-    alone = F.col("done")
-    return now.select("edge", F.when(alone, F.col("path")).otherwise(F.col("edge")).alias("path"), F.when(alone, F.col("at")).otherwise(0).cast("long").alias("at"))
+    path, at = F.when(F.col("done"), F.col("path")).otherwise(F.col("edge")), F.when(F.col("done"), F.col("at")).otherwise(0)
+    return now.groupBy(path.alias("path")).agg(F.max(at + F.col("n")).alias("n"))
 
 
 def repeated_spans(runs: DataFrame) -> DataFrame:
-    """(key, place, n, src_key, src_place): the longest stretches of n windows along one path and one source."""
-    edges = runs.groupBy("edge").agg(F.min(F.struct("u", "v", "n")).alias("e")).select("edge", "e.u", "e.v", "e.n")
-    paths = compacted(written(edges, "graph"))
-    return joined_spans(runs.join(paths, "edge"), "path")
+    """(key, place, n, src_key, src_place): each later occurrence of a path, n windows, with where it comes first."""
+    paths = compacted(linked(runs))
+    return runs.drop("n").join(paths, F.col("edge") == F.col("path")).select("key", "place", "n", "src_key", "src_place")
 
 
 def words_of(text: str | None) -> list[bytes]:

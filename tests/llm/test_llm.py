@@ -80,15 +80,27 @@ def test_suffix_lpf(spark):
 
 
 def test_paths_are_compacted_where_nothing_branches(spark):
-    chain = [(f"c{i}", i, i + 1, 2) for i in range(40)]  # one path of 40 edges
-    fork = [("f1", 100, 101, 1), ("f2", 101, 102, 1), ("f3", 101, 103, 1), ("f4", 103, 104, 3), ("f5", 104, 105, 1)]  # two edges leave node 101
-    ring = [("r1", 200, 201, 1), ("r2", 201, 202, 1), ("r3", 202, 200, 1)]
-    names = {e: i for i, (e, *_) in enumerate(chain + fork + ring)}
-    edges = spark.createDataFrame([(names[e], u, v, n) for e, u, v, n in chain + fork + ring], "edge long, u long, v long, n long")
+    edges = {f"c{i}": (i, i + 1, 2) for i in range(40)} | {"f1": (100, 101, 1), "f2": (101, 102, 1), "f3": (101, 103, 1), "f4": (103, 104, 3), "f5": (104, 105, 1)} | {"r1": (200, 201, 1), "r2": (201, 202, 1), "r3": (202, 200, 1)}
+    names = {e: i for i, e in enumerate(edges)}
     back = {i: e for e, i in names.items()}
-    got = {back[r.edge]: (back[r.path], r.at) for r in debruijn.compacted(edges).collect()}
-    want = {f"c{i}": ("c0", 2 * i) for i in range(40)} | {"f1": ("f1", 0), "f2": ("f2", 0), "f3": ("f3", 0), "f4": ("f3", 1), "f5": ("f3", 4)} | {e: (e, 0) for e in ("r1", "r2", "r3")}
-    assert got == want
+    walks = {10: [f"c{i}" for i in range(40)], 11: ["f1", "f2"], 12: ["f1", "f3", "f4", "f5"], 13: ["r1", "r2", "r3", "r1", "r2", "r3"], 14: [f"c{i}" for i in range(40)]}
+    rows = []
+    for key, walk in walks.items():
+        place = 7 * key
+        for e in walk:
+            u, v, n = edges[e]
+            rows.append((names[e], u, v, n, key, place, 1, place - key))
+            place += n
+    schema = "edge long, u long, v long, n long, key long, place long, src_key long, src_place long"
+    paths = lambda walked: {back[r.path]: r.n for r in debruijn.compacted(debruijn.linked(spark.createDataFrame(walked, schema))).collect()}
+    want = {"c0": 80, "f1": 1, "f2": 1, "f3": 5, "r1": 3}  # two edges leave node 101; the ring's walk begins at r1
+    assert paths(rows) == want
+    short = [r for r in rows if not (r[4] == 14 and r[0] >= 10)]  # document 14 stops in the middle of the chain: a branch
+    assert paths(short) == want | {"c0": 20, "c10": 60}
+    moved = [(*r[:6], 2, r[7]) if r[4] == 14 and r[0] >= 10 else r for r in rows]  # its source changes there
+    assert paths(moved) == want | {"c0": 20, "c10": 60}
+    ring = spark.createDataFrame([(1, 1, 3, 1), (2, 1, 1, 1), (3, 1, 2, 1)], "edge long, n long, prev long, prev_n long")
+    assert {(r.path, r.n) for r in debruijn.compacted(ring).collect()} == {(1, 1), (2, 1), (3, 1)}  # no first edge
 
 
 def test_spans_have_source_coordinates(spark):

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from headroom.llm import mixing, prefix_trie, token_shards, topk, whitening
+from headroom.llm import debruijn, mixing, prefix_trie, token_shards, topk, whitening
 
 VECTOR = "vec_id long, embedding array<float>, label int, class long, place long, row long, vector int, asks int, block int, query int"
 NAN, INF = float("nan"), float("inf")
@@ -215,3 +215,19 @@ def test_tokenizers_of_other_kinds(spark, tmp_path):
     assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ([*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts)]
     with pytest.raises(Exception, match="does not fit"):
         token_shards.write_token_shards(docs, str(tmp_path / "few"), path, bits=8)
+
+
+def test_paths_decide_the_spans(spark, monkeypatch):
+    """A passage that several documents walk is one span each, and without compaction the words removed are others."""
+    g = random.Random(9)
+    word = lambda: "".join(g.choice("abcdefgh") for _ in range(5))
+    passage, tail = [word() for _ in range(400)], [word() for _ in range(120)]
+    texts = [" ".join([word() for _ in range(20)] + (passage if i < 4 else passage[100:300] + tail) + [word() for _ in range(20)]) for i in range(6)]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "key long, doc_id long, text string").repartition(2)
+    runs = debruijn.repeated_edges(docs, 50).checkpoint()
+    spans = [tuple(r) for r in debruijn.repeated_spans(runs).select("key", "n").collect()]
+    assert sum(n for k, n in spans if k == 1) == 351 and sum(n for k, n in spans if k == 5) == 151 + 120 and len([k for k, _ in spans if k == 1]) <= 6 < runs.where("key = 1").count()
+    whole = {r.doc_id: r.n_removed for r in debruijn.substring_dedup(docs.drop("key")).collect()}
+    assert whole == {0: 0, 1: 400, 2: 400, 3: 400, 4: 200, 5: 320}
+    monkeypatch.setattr(debruijn, "compacted", lambda edges: edges.where("prev is null").selectExpr("edge path", "n"))
+    assert {r.doc_id: r.n_removed for r in debruijn.substring_dedup(docs.drop("key")).collect()} != whole
