@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import kernels as K
-from .common import held_remainder, written
+from .common import held_remainder, ship, written
 
 ORDER = 4
 HASHES = 3
@@ -127,6 +127,7 @@ def _count_grams(index: dict[str, int]):
 
 def learn(docs: DataFrame, train: Column, sample: int = SAMPLE, slots: int = SLOTS) -> LanguageFilter:
     """Filters from the rows of `docs` (doc_id, text, lang) that `train` marks; rows without lang or text are left out."""
+    ship(docs.sparkSession)
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     languages = sorted(sizes)
@@ -155,6 +156,7 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     the model knows no language. Texts of any length are read whole, ties go to the
     language that stands first.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     shared, false = spark.sparkContext.broadcast(model), model.false_rates()
     docs = docs.drop("lang_pred", "score")

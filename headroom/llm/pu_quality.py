@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import held_remainder
+from .common import held_remainder, ship
 
 SAMPLE = 8000
 CLASSES = 7  # lower, upper, digit, blank, line end, punctuation, beyond ASCII
@@ -153,6 +153,7 @@ def _as_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> LinearModel:
     """Fits on `docs` (doc_id, text) and `labels` (doc_id, quality); only rows that `train` marks count, and only labels of 1 are read."""
+    ship(docs.sparkSession)
     rows = docs.where(train).select("doc_id", "text")
     trusted = labels.where(train & (F.col("quality") == 1)).select("doc_id").distinct()
     part = lambda salt: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
