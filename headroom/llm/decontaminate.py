@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-Every window of an item's length around a shared shingle gets a 64-bit SimHash of its
+Every kind of window of an item's length around a shared shingle gets a 64-bit SimHash of its
 shingles, each weighted by how often it occurs. Fingerprints within RADIUS of an item's
 are found without comparing all pairs: the 64 bits are cut into BLOCKS blocks, and of
 RADIUS = BLOCKS * (FLIPS + 1) - 1 differing bits some block holds at most FLIPS. Items
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, written
-from .text_scan import WINDOW, item_shingles, item_windows
+from .text_scan import KIND, at_places, item_shingles, item_windows
 
 SHINGLE = 5
 BLOCKS = (13, 13, 13, 13, 12)
@@ -71,21 +71,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     items = items.select(F.struct("item.item_id", F.xxhash64("text").alias("t")).alias("item"), "text")
     index = written(item_shingles(items, SHINGLE), "items")
     keyed = docs.select(row_key(docs).alias("key"), "doc_id", "text")
-    windows = written(item_windows(keyed, index, SHINGLE), "windows")
-    prints = simhash(windows, WINDOW)
-    asks = prints.select(*WINDOW, "print", "size", variants(F.col("print"), WINDOW_FLIPS).alias("e")).select(*WINDOW, "print", "size", "e.block", "e.value")
+    places, windows = item_windows(keyed, index, SHINGLE)
+    prints = simhash(windows, KIND)
+    asks = prints.select(*KIND, "print", "size", variants(F.col("print"), WINDOW_FLIPS).alias("e")).select(*KIND, "print", "size", "e.block", "e.value")
     table = simhash(index, ["item", "n_words"]).withColumnsRenamed({"print": "item_print", "size": "item_size"})
     table = table.select("item", "n_words", "item_print", "item_size", variants(F.col("item_print"), ITEM_FLIPS).alias("e"))
     table = written(table.select("item", "n_words", "item_print", "item_size", "e.block", "e.value"), "index")
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     near = asks.join(table, ["n_words", "block", "value"]).where(distance <= RADIUS)
-    near = near.select(*WINDOW, "item", "size", "item_size", distance.alias("distance")).distinct()
+    near = near.select(*KIND, "item", "size", "item_size", distance.alias("distance")).distinct()
     # weighted Jaccard similarity, from the counts of the shingles that both have
-    mine = windows.groupBy(*WINDOW, "doc_id", "shingle").agg(F.count("*").alias("n"))
+    mine = windows.groupBy(*KIND, "shingle").agg(F.count("*").alias("n"))
     theirs = index.groupBy("item", "shingle").agg(F.count("*").alias("m"))
-    both = near.join(mine, WINDOW).join(theirs, ["item", "shingle"]).groupBy(*WINDOW, "doc_id", "item", "size", "item_size", "distance").agg(F.sum(F.least("n", "m")).alias("both"))
+    both = near.join(mine, KIND).join(theirs, ["item", "shingle"]).groupBy(*KIND, "item", "size", "item_size", "distance").agg(F.sum(F.least("n", "m")).alias("both"))
     share = F.col("both") / (F.col("size") + F.col("item_size") - F.col("both"))
-    return both.withColumn("similarity", share).where(F.col("similarity") >= similarity).select("key", "doc_id", "item.item_id", "start", "n_words", "distance", "similarity")
+    similar = both.withColumn("similarity", share).where(F.col("similarity") >= similarity)
+    return at_places(places, similar).select("key", "doc_id", "item.item_id", "start", "n_words", "distance", "similarity")
 
 
 def row_key(docs: DataFrame) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 
 from .common import written
 from .license_texts import TEMPLATES
-from .text_scan import WINDOW, item_shingles, item_windows
+from .text_scan import KIND, at_places, item_shingles, item_windows
 
 SHINGLE = 5
 BANDS = 20
@@ -56,16 +56,16 @@ def license_scan(docs: DataFrame, templates: DataFrame, containment: float = CON
     items = templates.select(F.struct("template_id", "license", F.xxhash64("text").alias("t")).alias("item"), "text").distinct()
     index = written(item_shingles(items, SHINGLE, MARKS), "items")
     keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("key"), "doc_id", "text")
-    windows = written(item_windows(keyed, index, SHINGLE, MARKS), "windows")
+    where, windows = item_windows(keyed, index, SHINGLE, MARKS)
     table = minhashes(index, ["item", "n_words"])
-    found = minhashes(windows, WINDOW).join(table, ["n_words", "band", "value"]).select(*WINDOW, "item").distinct()
+    found = minhashes(windows, KIND).join(table, ["n_words", "band", "value"]).select(*KIND, "item").distinct()
     kinds = index.select("item", "shingle").distinct()
-    shared = found.join(windows.select(*WINDOW, "doc_id", "shingle").distinct(), WINDOW).join(kinds, ["item", "shingle"])
-    shared = shared.groupBy(*WINDOW, "doc_id", "item").agg(F.count("*").alias("both"))
+    shared = found.join(windows.distinct(), KIND).join(kinds, ["item", "shingle"])
+    shared = shared.groupBy(*KIND, "item").agg(F.count("*").alias("both"))
     shared = shared.join(kinds.groupBy("item").agg(F.count("*").alias("all")), "item")
     shared = shared.withColumn("containment", F.col("both") / F.col("all")).where(F.col("containment") >= containment)
     # versions of a license differ in a word or two: a window states those that it contains best
-    shared = shared.withColumn("best", F.max("containment").over(W.partitionBy(*WINDOW))).where("containment = best")
-    places = shared.groupBy("doc_id", F.col("item.license").alias("license"))
+    shared = shared.withColumn("best", F.max("containment").over(W.partitionBy(*KIND))).where("containment = best")
+    places = at_places(where, shared).groupBy("doc_id", F.col("item.license").alias("license"))
     out = places.agg(F.count_distinct("key", "start").alias("n_places"), F.max_by(F.struct("start", "containment"), F.struct("containment", -F.col("start"))).alias("m"))
     return out.select("doc_id", "license", "n_places", "m.start", "m.containment")

@@ -7,6 +7,8 @@ shares a word shingle with it, so the work has two passes:
    Every hit names the window of the item's own length in which the shingle would stand
    at its place in the item. Nothing else leaves the scan.
 2. Only the documents that were hit are read again, and the named windows are cut.
+   Windows of equal words are one kind: a passage that stands in any number of documents is
+   retrieved and verified once, and its places meet the result by the kind alone.
 
 A word is hashed once, and a shingle's hash is that of its words' hashes. The items'
 shingles, which do not grow with the documents, are sent to all tasks where their checked
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 BROADCAST_BYTES = 48 << 20
+SALTS = 64
 ROW_BYTES = 64  # of a row of numbers in a broadcast table
-WINDOW = ["key", "n_words", "start"]
+KIND = ["n_words", "kind1", "kind2"]  # length and 128 bits of hash of a window's words
 _BLANKS = "\t\n\x0b\x0c\r"
 
 
@@ -62,8 +65,8 @@ def small_enough(table: DataFrame) -> bool:
     return table.limit(most + 1).count() <= most
 
 
-def item_windows(docs: DataFrame, index: DataFrame, k: int, without: str = "") -> DataFrame:
-    """(key, doc_id, n_words, start, shingle), a row per shingle: the item-sized windows of `docs` (key, doc_id, text) around shared shingles.
+def item_windows(docs: DataFrame, index: DataFrame, k: int, without: str = "") -> tuple[DataFrame, DataFrame]:
+    """The item-sized windows of `docs` (key, doc_id, text) around shared shingles: (key, doc_id, start, kind) of each, and (kind, shingle), a row per shingle of each kind.
 
     Windows that hang over an end of the document are moved inside; a document shorter
     than the item is one window. An item of m words, fewer than k, is one m-word shingle:
@@ -74,18 +77,28 @@ def item_windows(docs: DataFrame, index: DataFrame, k: int, without: str = "") -
     some = lambda m: F.coalesce(shingles(F.col("w"), m), F.array().cast("array<bigint>"))
     found = F.concat(*[F.transform(some(m), lambda h, i: F.struct(i.alias("pos"), h.alias("shingle"))) for m in lengths])
     # the outer form: no filter on the shingles is inferred, which would be pushed below the words
-    rows = with_words(docs, "key", without=without).select("key", F.explode_outer(found).alias("s")).select("key", "s.pos", "s.shingle")
+    rows = with_words(docs, "key", without=without).select("key", F.size("w").alias("length"), F.explode_outer(found).alias("s"))
+    rows = rows.select("key", "length", "s.pos", "s.shingle")
     hits = rows.join(F.broadcast(places) if small_enough(places) else places, "shingle")
-    asked = hits.select("key", "n_words", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start")).distinct()
+    last = F.greatest(F.col("length") - F.col("n_words"), F.lit(0))
+    asked = hits.select("key", "n_words", F.greatest(F.least(F.col("pos") - F.col("at"), last), F.lit(0)).alias("start")).distinct()
     asked = written(asked, "asked")
     # documents that were hit are told apart by key before their words are made, whatever their number
     docs = docs.join(written(asked.select("key").distinct(), "hit"), "key", "left_semi")
     cut = with_words(docs, "key", "doc_id", without=without).join(asked, "key")
-    m = F.least("n_words", F.lit(k))
-    last = F.greatest(F.size("w") - F.col("n_words"), F.lit(0))
-    cut = cut.select("key", "doc_id", "n_words", m.alias("m"), F.least("start", last).alias("start"), F.slice("w", F.least("start", last) + 1, F.col("n_words")).alias("w"))
-    cut = cut.dropDuplicates(WINDOW)
+    cut = cut.select("key", "doc_id", "n_words", "start", F.slice("w", F.col("start") + 1, F.col("n_words")).alias("w"))
+    cut = cut.select("*", F.xxhash64("w").alias("kind1"), F.xxhash64(F.lit(1), "w").alias("kind2"))
+    cut = written(cut, "windows")
+    kinds = cut.groupBy(*KIND).agg(F.any_value("w").alias("w")).withColumn("m", F.least("n_words", F.lit(k)))
     s = F.array().cast("array<bigint>")
     for m in lengths:
         s = F.when(F.col("m") == m, some(m)).otherwise(s)
-    return cut.select("key", "doc_id", "n_words", "start", F.explode(s).alias("shingle"))
+    kinds = written(kinds.select(*KIND, F.explode(s).alias("shingle")), "kinds")
+    return cut.select("key", "doc_id", "start", *KIND), kinds
+
+
+def at_places(places: DataFrame, found: DataFrame) -> DataFrame:
+    """What was `found` of each kind at all of its places. A kind may have any number of places: each is dealt to SALTS parts, of which those that occur get what was found."""
+    dealt = places.withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.lit(SALTS)))
+    parts = dealt.select(*KIND, "salt").distinct()
+    return dealt.join(found.join(parts, KIND), [*KIND, "salt"]).drop("salt").distinct()  # repeated rows have the same places
