@@ -77,7 +77,7 @@ def item_windows(docs: DataFrame, index: DataFrame, k: int, without: str = "") -
     some = lambda m: F.coalesce(shingles(F.col("w"), m), F.array().cast("array<bigint>"))
     found = F.concat(*[F.transform(some(m), lambda h, i: F.struct(i.alias("pos"), h.alias("shingle"))) for m in lengths])
     # the outer form: no filter on the shingles is inferred, which would be pushed below the words
-    rows = with_words(docs, "key", without=without).select("key", F.size("w").alias("length"), F.explode_outer(found).alias("s"))
+    rows = with_words(docs, "key", without=without).withColumn("length", F.size("w")).select("key", "length", F.explode_outer(found).alias("s"))
     rows = rows.select("key", "length", "s.pos", "s.shingle")
     hits = rows.join(F.broadcast(places) if small_enough(places) else places, "shingle")
     last = F.greatest(F.col("length") - F.col("n_words"), F.lit(0))
