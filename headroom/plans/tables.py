@@ -39,8 +39,49 @@ from (select *, cast(sum(cents) over (partition by account_id, {start} order by
 group by account_id, provider, ts, tot, n"""
 
 
+#: Running sums of a week and of five hours are made of those of hours, the largest parts that both consist of.
+HOUR = "coalesce(ts - pmod(ts - 1704067200, 3600), -9223372036854775808)"
+
+
+@relation
+def hours(d):
+    """Each account's hours with what was spent in the week and in the five hours before them."""
+    ahead = lambda start: f"sum(spent) over (partition by account_id, {start} order by hour rows between unbounded preceding and 1 preceding)"
+    return f"""
+select account_id, hour, cast(sum(spent) over (partition by account_id) as bigint) tot, {ahead('wk_start')} wk_ahead, {ahead('h5_start')} h5_ahead
+from (select account_id, hour, wk_start, h5_start, sum(cents) spent from hourly group by account_id, hour, wk_start, h5_start) x"""
+
+
+@relation
+def hourly(d):
+    return f"""
+select account_id, provider, ts, event_id, cents, {HOUR} hour, 1704067200 + {d.div('ts - 1704067200', '604800')} * 604800 wk_start, 1704067200 + {d.div('ts - 1704067200', '18000')} * 18000 h5_start,
+  cast(substr(account_id, 2) as bigint) n from usage_events where account_id <> 'a7'"""
+
+
+def _both_series(d) -> str:
+    """Both series of `_series` from one sort of the events, by hours: no task sorts an account's week."""
+    run = lambda ahead: f"cast(coalesce({ahead} + run, {ahead}, run) as bigint)"
+    used = lambda r, times: f"cast(least(100, max({d.div(f'{r} * 400 * 100{times}', 'tot * (case when n = 1 then 60 else 100 + 20 * n end)')})) as double)"
+    point = lambda window, minutes, start, seconds, percent: (
+        f"named_struct('window_id', '{window}', 'minutes', cast({minutes} as bigint), 'used_percent', {percent}, 'resets_at', cast({start} + {seconds} + case when n in (3, 8) then {d.div('(ts - 1704067200) % 604800', '86400')} * 130 else 0 end as bigint))"
+    )
+    return f"""
+select account_id, provider, p.window_id, case when n = 4 and ts % 7 = 0 then null else p.minutes end window_minutes, p.used_percent, case when n = 4 and ts % 5 = 0 then null else p.resets_at end resets_at, ts, 'log' source,
+  case when n = 4 and ts % 3 = 0 then null when n % 2 = 0 and ts >= 1704067200 + 14 * 86400 then 'pro' else 'basic' end plan_type
+from (select account_id, provider, ts, n, explode(array({point('weekly', 10080, 'wk_start', 604800, 'week_used')}, {point('short', 300, 'h5_start', 18000, 'h5_used')})) p from (
+  select account_id, provider, ts, n, max(wk_start) wk_start, max(h5_start) h5_start, {used('wk_run', '')} week_used, {used('h5_run', ' * 20')} h5_used from (
+    select r.account_id, r.hour, r.provider, r.ts, r.n, r.wk_start, r.h5_start, o.tot, {run('o.wk_ahead')} wk_run, {run('o.h5_ahead')} h5_run
+    from (select *, sum(cents) over (partition by account_id, hour order by ts, event_id rows unbounded preceding) run from hourly) r
+    join hours o on o.account_id = r.account_id and o.hour = r.hour) x group by account_id, hour, provider, ts, tot, n) y) z"""
+
+
 @relation
 def snapshots(d):
+    if d.spark:
+        return f"""{_both_series(d)}
+union all select account_id, provider, 'weekly_scoped', cast(10080 as bigint), cast(7 as double), cast(wk_start + 604800 as bigint), min(ts), 'log', cast(null as string)
+from hourly where n <> 6 group by account_id, provider, wk_start"""
     return f"""{_series(d, 'weekly', 10080, 'wk_start', 604800, '')}
 union all {_series(d, 'short', 300, 'h5_start', 18000, ' * 20')}
 union all select account_id, provider, 'weekly_scoped', cast(10080 as bigint), cast(7 as double), cast(wk_start + 604800 as bigint), min(ts), 'log', cast(null as string)
