@@ -42,12 +42,12 @@ from usage_events e join prices p on p.provider = e.provider and e.ts >= p.from_
 
 @relation
 def priced(d):
-    """Every usage event with its dollars: null where external or unpriced."""
-    found = "model_prices p on p.provider = e.provider and p.model = e.model and e.ts >= p.lo and e.ts < p.hi"
+    """Every usage event with its dollars: null where external or unpriced. Events have few models, so the prices go to the events: by key, a task would get all events of a model."""
+    found, small = "model_prices p on p.provider = e.provider and p.model = e.model and e.ts >= p.lo and e.ts < p.hi", " /*+ BROADCAST(p) */"
     if not d.spark:
-        found = "era_prices p on p.account_id = e.account_id and p.dedup_key = e.dedup_key"
+        small, found = "", "era_prices p on p.account_id = e.account_id and p.dedup_key = e.dedup_key"
     return f"""
-select e.*, p.prefix, p.prefix is null and not e.is_external is_unpriced,
+select{small} e.*, p.prefix, p.prefix is null and not e.is_external is_unpriced,
   case when e.is_external then null when p.split_family then
     (e.input_tokens * p.p_input + e.cache_w_5m * p.p_5m + e.cache_w_1h * p.p_1h + e.cache_w_unsplit * p.p_5m + e.cached_input_tokens * p.p_cached + e.output_tokens * p.p_output) * 1e-6
   else (e.input_tokens * p.p_input + e.cached_input_tokens * p.p_cached + e.cache_w_unsplit * coalesce(p.p_write, p.p_input) + e.output_tokens * p.p_output) * 1e-6 end usd,

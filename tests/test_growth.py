@@ -27,6 +27,11 @@ def test_lines_are_opened_at_one_call(name, most):
     assert relations.RELATIONS[name](relations._D("spark", Settings())).count("try_variant_get(") == most
 
 
+def test_priced_events_are_not_moved_by_model(spark, events):
+    tables = {"events": events, "provider_rules": apply(spark, "provider_rules")}
+    assert "rightHint=(strategy=broadcast)" in relations._run(spark, "priced", tables, Settings())._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_counters_are_laid_out_once(spark, events):
     kept = {}
     apply(spark, "union_events", kept, events=events)
