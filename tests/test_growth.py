@@ -80,3 +80,12 @@ def test_spool_numbers_run_on_over_hours(spark):
     lines = apply(spark, "spool_lines", snapshots=points).orderBy("line_no").collect()
     assert [r.line_no // 2 for r in lines] == list(range(1, len(lines) + 1)) and [r.ts for r in lines] == sorted(r.ts for r in lines)
     assert len(lines) == sum(2 if r[6] % 13 == 0 else 1 for r in rows)
+
+
+
+def test_lines_of_counters_are_laid_out_once(spark, events):
+    """The tests of a line stand on its text, not on the expression that lays it out."""
+    kept = {}
+    apply(spark, "rollout_parsed", kept, events=events)
+    df = relations._run(spark, "rollout_parsed", {"events": events, **{n: kept[n] for n in ("counter_source", "snapshots")}}, Settings())
+    assert "Contains(" in plan(df) and "Contains(concat" not in plan(df)
