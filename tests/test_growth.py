@@ -89,3 +89,17 @@ def test_lines_of_counters_are_laid_out_once(spark, events):
     apply(spark, "rollout_parsed", kept, events=events)
     df = relations._run(spark, "rollout_parsed", {"events": events, **{n: kept[n] for n in ("counter_source", "snapshots")}}, Settings())
     assert "Contains(" in plan(df) and "Contains(concat" not in plan(df)
+
+
+
+def test_short_spans_meet_events_by_hour(spark):
+    """Events at both ends of a span, at a border of hours, in two spans, in none, and without a price."""
+    at = 1704067200
+    spans = [("a", "p", 1, "short", at, at + 7200), ("a", "p", 1, "other", at + 3599, at + 3600), ("a", "p", 2, "short", at, at + 10)]
+    contained = spark.createDataFrame(spans, "account_id string, provider string, instance_id long, window_id string, first_ts long, peak_ts long")
+    paid = [(1, at, 1.0), (1, at + 1, 2.0), (1, at + 3600, 4.0), (1, at + 7200, 8.0), (1, at + 7201, 16.0), (1, at + 5, None), (3, at + 5, 32.0)]
+    events = spark.createDataFrame([("a", "p", i, t, usd) for i, t, usd in paid], "account_id string, provider string, instance_id long, ts long, usd double")
+    totals = spark.createDataFrame([("a", "p", 1, 31.0)], "account_id string, provider string, instance_id long, attributed_usd double")
+    df = apply(spark, "dq_attribution", contained=contained, attributed=events, attribution=totals)
+    assert re.search(r"Join Inner.*hour_no#\d+L? = hour_no#\d+L?", plan(df))
+    assert {r.instance_id: (r.long_usd, r.short_usd, r.status) for r in df.collect()} == {1: (31.0, 18.0, "ok"), 2: (0.0, 0.0, "ok")}
