@@ -103,3 +103,15 @@ def test_short_spans_meet_events_by_hour(spark):
     df = apply(spark, "dq_attribution", contained=contained, attributed=events, attribution=totals)
     assert re.search(r"Join Inner.*hour_no#\d+L? = hour_no#\d+L?", plan(df))
     assert {r.instance_id: (r.long_usd, r.short_usd, r.status) for r in df.collect()} == {1: (31.0, 18.0, "ok"), 2: (0.0, 0.0, "ok")}
+
+
+
+def test_new_snapshots_are_found_without_a_join(spark):
+    """Both tables are grouped at once; keys with a null are new whatever the store holds, and a key held twice is held."""
+    columns = "account_id string, source string, window_id string, ts long, used_percent double"
+    rows = [("a", "poll", "w", 1, 5.0), ("a", "poll", "w", 1, 3.0), ("a", "poll", "w", 2, 7.0), (None, "poll", "w", 3, 1.0), (None, "poll", "w", 3, 2.0), ("a", "poll", "w", 4, None)]
+    held = [("a", "poll", "w", 2), ("a", "poll", "w", 2), (None, "poll", "w", 3), ("a", "poll", "w", 9)]
+    new, old = spark.createDataFrame(rows, columns), spark.createDataFrame(held, columns.rsplit(",", 1)[0])
+    df = apply(spark, "insert_ignore_snapshots", union_sources=new, existing_snapshots=old)
+    assert "Join" not in plan(df)
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([("a", "poll", "w", 1, 3.0), (None, "poll", "w", 3, 1.0), ("a", "poll", "w", 4, None)], key=str)
