@@ -82,7 +82,6 @@ def test_spool_numbers_run_on_over_hours(spark):
     assert len(lines) == sum(2 if r[6] % 13 == 0 else 1 for r in rows)
 
 
-
 def test_lines_of_counters_are_laid_out_once(spark, events):
     """The tests of a line stand on its text, not on the expression that lays it out."""
     kept = {}
@@ -91,6 +90,16 @@ def test_lines_of_counters_are_laid_out_once(spark, events):
     assert "Contains(" in plan(df) and "Contains(concat" not in plan(df)
 
 
+def test_new_snapshots_are_found_without_a_join(spark):
+    """Both tables are grouped at once; keys with a null are new whatever the store holds, and a key held twice is held."""
+    columns = "account_id string, source string, window_id string, ts long, used_percent double"
+    rows = [("a", "poll", "w", 1, 5.0), ("a", "poll", "w", 1, 3.0), ("a", "poll", "w", 2, 7.0), (None, "poll", "w", 3, 1.0), (None, "poll", "w", 3, 2.0), ("a", "poll", "w", 4, None)]
+    held = [("a", "poll", "w", 2), ("a", "poll", "w", 2), (None, "poll", "w", 3), ("a", "poll", "w", 9)]
+    new, old = spark.createDataFrame(rows, columns), spark.createDataFrame(held, columns.rsplit(",", 1)[0])
+    df = apply(spark, "insert_ignore_snapshots", union_sources=new, existing_snapshots=old)
+    assert "Join" not in plan(df)
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([("a", "poll", "w", 1, 3.0), (None, "poll", "w", 3, 1.0), ("a", "poll", "w", 4, None)], key=str)
+
 
 def test_short_spans_meet_events_by_hour(spark):
     """Events at both ends of a span, at a border of hours, in two spans, in none, and without a price."""
@@ -105,13 +114,9 @@ def test_short_spans_meet_events_by_hour(spark):
     assert {r.instance_id: (r.long_usd, r.short_usd, r.status) for r in df.collect()} == {1: (31.0, 18.0, "ok"), 2: (0.0, 0.0, "ok")}
 
 
+def test_series_are_cut_by_days_and_coalesced_once(spark, events):
+    from headroom.plans.windows import SLOT
 
-def test_new_snapshots_are_found_without_a_join(spark):
-    """Both tables are grouped at once; keys with a null are new whatever the store holds, and a key held twice is held."""
-    columns = "account_id string, source string, window_id string, ts long, used_percent double"
-    rows = [("a", "poll", "w", 1, 5.0), ("a", "poll", "w", 1, 3.0), ("a", "poll", "w", 2, 7.0), (None, "poll", "w", 3, 1.0), (None, "poll", "w", 3, 2.0), ("a", "poll", "w", 4, None)]
-    held = [("a", "poll", "w", 2), ("a", "poll", "w", 2), (None, "poll", "w", 3), ("a", "poll", "w", 9)]
-    new, old = spark.createDataFrame(rows, columns), spark.createDataFrame(held, columns.rsplit(",", 1)[0])
-    df = apply(spark, "insert_ignore_snapshots", union_sources=new, existing_snapshots=old)
-    assert "Join" not in plan(df)
-    assert sorted(map(tuple, df.collect()), key=str) == sorted([("a", "poll", "w", 1, 3.0), (None, "poll", "w", 3, 1.0), ("a", "poll", "w", 4, None)], key=str)
+    kept = {}
+    apply(spark, "instances", kept, events=events)
+    assert "coalesced" in kept and SLOT <= 86400
