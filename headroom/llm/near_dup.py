@@ -17,19 +17,24 @@ band value form a bucket, and only the connected components of the links are ask
    connect. All of these are confirmed on the full shingle sets, and only confirmed pairs
    are links.
 2. In a larger bucket, the documents outside its largest component so far visit all parts.
-   A bucket that the first round has connected is done, so that a group of copies costs
-   in proportion to its size.
+   These are VISITED * BLOCK documents long, but MOST in number: beyond that the parts grow,
+   so that the rows dealt out are at most 2 * MOST times the bucket's. A bucket that the
+   first round has connected is done, so that a group of copies costs in proportion to its
+   size.
 3. Where the sketches were sure of a pair that its sets refute, a forest may have hidden
    other links: the parts of these documents are compared anew without forests.
+
+A document meets its sketches and its label once a round, with the list of its buckets;
+only then is it dealt to the parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -40,6 +45,8 @@ SHINGLE = 5
 BANDS, ROWS = 20, 4  # a pair at 0.85 shares no band with probability (1 - 0.85**4)**20 < 4e-7
 BITS, SAMPLE = 1024, 512
 BLOCK = 1024
+VISITED, MOST = 4, 8  # blocks in a part that is visited, and parts of a bucket that are, unless VISITED makes fewer
+PAIRS = 1 << 17  # compared at once
 SALTS = 64
 SLACK = (0.035, 0.10)  # over 5 standard deviations of the estimate: whole sets, samples
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,6 +113,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+_SKETCH = ["n_shingles", "level", "bands", "sketch", "sampled", "sketch_up", "sampled_up"]
 _SIGNATURE = "key long, n_shingles long, set1 long, set2 long, bands array<long>, level int, sketch binary, sampled int, sketch_up binary, sampled_up int"
 
 
@@ -146,24 +154,39 @@ class _Bucket:
         return a[ok], b[ok], np.where(over[ok] >= slack[ok], 1.0, 0.0)
 
 
-def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> np.ndarray:
-    """Which pairs to keep: a spanning forest of the sure ones over the labels, and the unsure ones between its trees."""
-    parent = list(range(int(label.max()) + 1))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    keep = np.zeros(len(a), bool)
-    for i in np.flatnonzero(sure).tolist():
-        x, y = find(int(label[a[i]])), find(int(label[b[i]]))
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            keep[i] = True
-    roots = np.array([find(i) for i in range(len(parent))])[label]
-    return keep | ((sure == 0) & (roots[a] != roots[b]))
+class _Forest:
+    """The sure pairs that span what all sure pairs of a part connect, and the unsure ones between its trees."""
+
+    def __init__(self, label: np.ndarray):
+        _, self.root = np.unique(label, return_inverse=True)
+        self.sure: list[tuple[np.ndarray, np.ndarray]] = []
+        self.unsure: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_unsure = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> None:
+        """Pairs of rows, sorted by `a`."""
+        self.unsure.append((a[sure == 0], b[sure == 0]))
+        self.n_unsure += len(self.unsure[-1][0])
+        a, b = a[sure > 0], b[sure > 0]
+        cut = np.flatnonzero(a[1:] != a[:-1]) + 1
+        for x, ys in zip(a[np.append(0, cut)].tolist() if len(a) else (), np.split(b, cut), strict=False):
+            own = self.root[x]
+            trees, first = np.unique(self.root[ys], return_index=True)
+            first = first[trees != own]
+            if len(first):
+                joins = np.zeros(len(self.root), bool)
+                joins[trees] = True
+                self.root[joins[self.root]] = own
+                self.sure.append((np.full(len(first), x), ys[first]))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, sure) since the last call."""
+        none = [(np.zeros(0, np.int64),) * 2]
+        a, b = (np.concatenate(v) for v in zip(*none, *self.sure, strict=True))
+        x, y = (np.concatenate(v) for v in zip(*none, *self.unsure, strict=True))
+        apart = self.root[x] != self.root[y]
+        self.sure, self.unsure, self.n_unsure = [], [], 0
+        return np.append(a, x[apart]), np.append(b, y[apart]), np.repeat([1.0, 0.0], [len(a), int(apart.sum())])
 
 
 AT_HOME, VISITOR, RESIDENT = 0, 1, 2  # visitors and those at home ask, residents and those at home answer
@@ -195,22 +218,24 @@ def _candidates(threshold: float, forest: bool):
             a = b - 1 - (np.arange(len(b)) - np.repeat(np.cumsum(reps) - reps, reps))
             meet = (label[a] != label[b]) & ((side[a] != side[b]) | (side[a] == AT_HOME))
             a, b = a[meet], b[meet]
-            for lo in range(0, len(a), 1 << 17):
-                yield emit(d, *d.compare(a[lo : lo + (1 << 17)], b[lo : lo + (1 << 17)], threshold))
+            for lo in range(0, len(a), PAIRS):
+                yield emit(d, *d.compare(a[lo : lo + PAIRS], b[lo : lo + PAIRS], threshold))
             for lo, n in zip(cut[size > 16].tolist(), size[size > 16].tolist(), strict=True):
-                ask = np.arange(lo, lo + n)[side[lo : lo + n] != RESIDENT]
-                answer = np.arange(lo, lo + n)[side[lo : lo + n] != VISITOR]
-                found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
-                for i in range(0, len(ask), 128):
-                    a, b = (v.ravel() for v in np.meshgrid(ask[i : i + 128], answer, indexing="ij"))
-                    meet = (label[a] != label[b]) & ((side[a] != side[b]) | (a < b))
-                    found.append(d.compare(a[meet], b[meet], threshold))
+                ask = np.flatnonzero(side[lo : lo + n] != RESIDENT)
+                answer = np.flatnonzero(side[lo : lo + n] != VISITOR)
+                own, trees = side[lo : lo + n], _Forest(label[lo : lo + n])
+                step = max(1, PAIRS // max(1, len(answer)))
+                for i in range(0, len(ask), step):
+                    a, b = (v.ravel() for v in np.meshgrid(ask[i : i + step], answer, indexing="ij"))
+                    meet = (trees.root[a] != trees.root[b]) & ((own[a] != own[b]) | (a < b))
+                    a, b, sure = d.compare(a[meet] + lo, b[meet] + lo, threshold)
                     if not forest:
-                        yield emit(d, *found.pop())
-                if forest:
-                    a, b, sure = (np.concatenate(v) for v in zip(*found, strict=True))
-                    keep = _forest(label[lo : lo + n], a - lo, b - lo, sure)
-                    yield emit(d, a[keep], b[keep], sure[keep])
+                        yield emit(d, a, b, sure)
+                        continue
+                    trees.add(a - lo, b - lo, sure)
+                    if trees.n_unsure > 8 * PAIRS or i + step >= len(ask):
+                        a, b, sure = trees.pairs()
+                        yield emit(d, a + lo, b + lo, sure)
 
     return run
 
@@ -277,34 +302,48 @@ def _confirm(percent: int):
     return run
 
 
-def _block(key: str, blocks) -> F.Column:
-    return F.pmod(F.xxhash64(key), blocks).cast("long")
+def _block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("key"), blocks).cast("long")
+
+
+def _every(blocks: Column) -> Column:
+    return F.sequence(F.lit(0).cast("long"), blocks - 1)
+
 
+def _place(x: Column, part: Column, side: Column) -> Column:
+    return F.struct(x["band"].alias("band"), x["bucket"].alias("bucket"), part.alias("part"), side.cast("int").alias("side"))
 
-def _parts(rows: DataFrame, size: int) -> DataFrame:
-    """(key, band, bucket, part, side): the parts of the first round."""
-    blocks = F.ceil(F.col("m") / size).cast("long")
-    dealt = rows.select("key", "band", "bucket", _block("key", blocks).alias("part"), F.lit(AT_HOME).alias("side"))
-    heads = rows.where(F.col("m") > size).groupBy("bucket").agg(F.min("key").alias("key"), F.first("band").alias("band"), F.max("m").alias("m"))
-    heads = heads.select("key", "band", "bucket", _block("key", blocks).alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("part"))
-    return dealt.union(heads.where("part <> home").select("key", "band", "bucket", "part", F.lit(VISITOR).alias("side")))
 
+def _parts(x: Column, size: int) -> Column:
+    """The places (band, bucket, part, side) of a document of bucket `x` in the first round: its part, and all of them for the bucket's first document."""
+    blocks = F.ceil(x["m"] / size).cast("long")
+    home = _block(blocks)
+    head = F.transform(_every(blocks), lambda p: _place(x, p, F.when(p == home, AT_HOME).otherwise(VISITOR)))
+    return F.when(x["head"] == F.col("key"), head).otherwise(F.array(_place(x, home, F.lit(AT_HOME))))
 
-def _visits(rows: DataFrame, labels: DataFrame, size: int) -> DataFrame:
-    """(key, band, bucket, part, side): in buckets of more than `size` documents with several labels, those outside the largest one visit all parts."""
-    large = rows.where(F.col("m") > size).join(labels, "key")
-    count = large.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    count = count.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
-    large = large.join(count, "bucket").withColumn("out", F.col("label") != F.col("main"))
-    blocks, guests = F.ceil(F.col("m") / size).cast("long"), F.ceil((F.col("all") - F.col("most")) / size).cast("long")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    home = large.select("key", "band", "bucket", "out", "m", "all", "most", _block("key", blocks).alias("home"), _block("key", guests).alias("guest"))
-    asks = home.where("out").select("key", "band", "bucket", "guest", "home", every(blocks).alias("at"))
-    asks = asks.select("key", "band", "bucket", "guest", "at", F.when(F.col("home") == F.col("at"), AT_HOME).otherwise(VISITOR).alias("side"))
+
+def _visits(x: Column, size: int) -> Column:
+    """The places of a document of bucket `x` where those outside the largest label of more than `size` documents visit all parts; none in buckets of one label."""
+    length = F.greatest(F.lit(VISITED * size).cast("long"), F.ceil(x["m"] / MOST).cast("long"))
+    blocks, guests = (F.ceil(n / length).cast("long") for n in (x["m"], x["others"]))
+    home, guest = _block(blocks), _block(guests)
+    part = lambda guest, at: (guest + 1) * (1 << 30) + at
+    asks = F.transform(_every(blocks), lambda p: _place(x, part(guest, p), F.when(p == home, AT_HOME).otherwise(VISITOR)))
     # those that visit from another part of the guests answer at home too
-    answers = home.select("key", "band", "bucket", "out", F.col("guest").alias("own"), F.col("home").alias("at"), every(guests).alias("guest"))
-    answers = answers.where("not out or own <> guest").select("key", "band", "bucket", "guest", "at", F.lit(RESIDENT).alias("side"))
-    return asks.union(answers).select("key", "band", "bucket", ((F.col("guest") + 1) * (1 << 30) + F.col("at")).alias("part"), "side")
+    others = F.filter(_every(guests), lambda g: ~x["out"] | (g != guest))
+    answers = F.transform(others, lambda g: _place(x, part(g, home), F.lit(RESIDENT)))
+    return F.when(x["others"] > 0, F.when(x["out"], F.concat(asks, answers)).otherwise(answers)).otherwise(F.array().cast(_PLACES))
+
+
+_PLACES = "array<struct<band:int,bucket:bigint,part:bigint,side:int>>"
+
+
+def _with_others(rows: DataFrame, size: int) -> DataFrame:
+    """`rows` (key, label, bucket, m and others) with `others`, the documents outside the bucket's largest label (0 in buckets of up to `size`), and `out`, whether this is one."""
+    count = rows.where(F.col("m") > size).groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    count = count.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    found = rows.join(count, "bucket", "left")
+    return found.withColumns({"out": F.coalesce(F.col("label") != F.col("main"), F.lit(False)), "others": F.coalesce("others", F.lit(0).cast("long"))}).drop("main")
 
 
 def similar_links(keyed: DataFrame, signatures: DataFrame, percent: int, size: int = BLOCK) -> DataFrame:
@@ -313,14 +352,15 @@ def similar_links(keyed: DataFrame, signatures: DataFrame, percent: int, size: i
     reps = signatures.where("n_shingles > 0").groupBy("set1", "set2", "n_shingles").agg(F.min("key").alias("key")).select("key")
     reps = signatures.join(reps, "key", "left_semi")
     rows = reps.select("key", F.posexplode("bands").alias("band", "bucket"))
-    count = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    rows = written(rows.join(count, "bucket").select("key", "band", "bucket", "m"), "buckets")
-    sketches = signatures.select("key", "n_shingles", "level", "bands", "sketch", "sampled", "sketch_up", "sampled_up")
-
-    def confirmed(parts: DataFrame, labels: DataFrame | None, forest: bool) -> tuple[DataFrame, DataFrame]:
-        """Links among the candidates of the parts, and the documents of candidates that were sure and are no links."""
-        parts = parts.join(sketches, "key")
-        parts = parts.withColumn("label", F.col("key")) if labels is None else parts.join(labels, "key")
+    count = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("key").alias("head")).where("m > 1")
+    lists = rows.join(count, "bucket").groupBy("key").agg(F.collect_list(F.struct("band", "bucket", "m", "head")).alias("buckets"))
+    sketches = signatures.select("key", *_SKETCH)
+    held = written(lists.join(sketches, "key").select("key", *_SKETCH, "buckets"), "buckets")
+    buckets_of = lambda docs: docs.withColumn("x", F.explode("buckets")).select(*(c for c in docs.columns if c != "buckets"), "x.*")
+
+    def confirmed(docs: DataFrame, places: Callable[[Column], Column], forest: bool) -> tuple[DataFrame, DataFrame]:
+        """Links among the candidates of the places of `docs` (sketches, label, buckets), and the documents of candidates that were sure and are no links."""
+        parts = docs.select("key", "label", *_SKETCH, F.explode(F.flatten(F.transform("buckets", places))).alias("x")).select("key", "label", *_SKETCH, "x.*")
         parts = parts.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "key")
         pairs = parts.mapInArrow(_candidates(percent / 100, forest), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
         pairs = written(pairs, "pairs")
@@ -336,20 +376,29 @@ def similar_links(keyed: DataFrame, signatures: DataFrame, percent: int, size: i
         return links, wrong
 
     def labelled(links: DataFrame) -> DataFrame:
+        """(key, label, band, bucket, m, head)"""
         found = components(links).withColumnRenamed("node", "key")
-        return rows.select("key").distinct().join(found, "key", "left").select("key", F.coalesce("component", "key").alias("label"))
-
-    links, wrong = confirmed(_parts(rows, size), None, True)
-    if rows.where(F.col("m") > size).limit(1).count():
-        labels = labelled(links)
-        more, still = confirmed(_visits(rows, labels, size), labels, True)
+        docs = held.select("key", "buckets").join(found, "key", "left").select("key", F.coalesce("component", "key").alias("label"), "buckets")
+        return buckets_of(written(docs, "labels"))
+
+    def listed(rows: DataFrame) -> DataFrame:
+        """A row a document again, with its sketches."""
+        columns = [c for c in rows.columns if c not in ("key", "label")]
+        return rows.groupBy("key").agg(F.first("label").alias("label"), F.collect_list(F.struct(*columns)).alias("buckets")).join(held.select("key", *_SKETCH), "key")
+
+    links, wrong = confirmed(held.withColumn("label", F.col("key")), lambda x: _parts(x, size), True)
+    if buckets_of(held.select("key", "buckets")).where(F.col("m") > size).limit(1).count():
+        large = labelled(links).where(F.col("m") > size)
+        more, still = confirmed(listed(_with_others(large, size).where("others > 0")), lambda x: _visits(x, size), True)
         links, wrong = links.union(more), wrong.union(still)
+    rows = buckets_of(held.select("key", "buckets"))
     done = rows.select("bucket").limit(0)
     while wrong.limit(1).count():
         again = rows.join(wrong, "key", "left_semi").select("bucket").distinct().join(done, "bucket", "left_anti")
-        again, labels = written(again, "again"), labelled(links)
-        some = rows.join(again, "bucket", "left_semi")
-        more, wrong = confirmed(_parts(some, size).union(_visits(some, labels, size)), labels, False)
+        again = written(again, "again")
+        some = labelled(links).join(again, "bucket", "left_semi")
+        # pairs of two labels in a larger bucket meet at visits
+        more, wrong = confirmed(listed(_with_others(some, size)), lambda x: F.when(x["m"] > size, _visits(x, size)).otherwise(_parts(x, size)), False)
         links, done = links.union(more), done.union(again)
         wrong = rows.join(wrong, "key", "left_semi").join(done, "bucket", "left_anti").select("key").distinct()
     return components(links)

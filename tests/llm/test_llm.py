@@ -207,6 +207,56 @@ def test_minhash_large_buckets(spark, monkeypatch, slack):
     assert got == brute_components(texts, 85)
 
 
+@pytest.mark.parametrize(("visited", "most"), [(1, 2), (1, 100), (4, 8)])
+def test_minhash_parts_that_grow(spark, monkeypatch, visited, most):
+    """Documents that meet in large buckets without being linked; parts are visited whatever their number and length."""
+    r = random.Random(18)
+    base, texts = words(150), []
+    for _ in range(150):
+        near = list(base)
+        for _ in range(r.choice((1, 1, 2, 3, 4))):
+            near[r.randrange(150)] = r.choice(VOCABULARY)
+        texts.append(" ".join(near))
+    monkeypatch.setattr(near_dup.similar_links, "__defaults__", (12,))
+    monkeypatch.setattr(near_dup, "VISITED", visited)
+    monkeypatch.setattr(near_dup, "MOST", most)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_dup.minhash_dedup(table(spark, texts)).collect()}
+    assert got == brute_components(texts, 85)
+    assert 20 < sum(x[2] for x in got.values()) < 130
+
+
+def test_minhash_rows_dealt_out_stay_in_proportion(spark, monkeypatch):
+    """No document meets its sketches once a band or part, and a large bucket's rows are at most 2 * MOST times its documents."""
+    dealt, joins = [], []
+    listed = type(table(spark, TEXTS)).join
+    monkeypatch.setattr(near_dup.similar_links, "__defaults__", (12,))
+    monkeypatch.setattr(near_dup, "VISITED", 1)
+    monkeypatch.setattr(near_dup, "MOST", 2)
+
+    def mapped(self, run, schema, *more, f=type(table(spark, TEXTS)).mapInArrow):
+        if "part" in self.columns:
+            dealt.append(self.groupBy("key", "bucket").count().agg({"count": "max"}).first()[0])
+        return f(self, run, schema, *more)
+
+    def joined(self, other, on=None, how=None):
+        if isinstance(on, str) and how is None and "sketch" in other.columns:
+            joins.append((self.count(), self.select("key").distinct().count()))
+        return listed(self, other, on, how)
+
+    r, base, texts = random.Random(19), words(150), []
+    for _ in range(100):
+        near = list(base)
+        for _ in range(r.choice((2, 3, 4))):
+            near[r.randrange(150)] = r.choice(VOCABULARY)
+        texts.append(" ".join(near))
+    docs = table(spark, texts)
+    monkeypatch.setattr(type(docs), "mapInArrow", mapped)
+    monkeypatch.setattr(type(docs), "join", joined)
+    near_dup.minhash_dedup(docs, percent=80).count()
+    assert len(dealt) >= 2 and max(dealt[1:]) <= 4, dealt
+    assert joins and all(rows == keys for rows, keys in joins), joins
+
+
 def sure_of_all(compare):
     def run(self, a, b, threshold):
         a, b, sure = compare(self, a, b, threshold - 0.15)
